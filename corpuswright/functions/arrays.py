@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .let import let, let_all
+
 # Fixed value: the label that the loss ignores.
 IGNORE = -100
 
@@ -16,6 +18,10 @@ def int_lit(v: int) -> Column:
     return F.lit(v).cast("int")
 
 
+def as_col(n: int | Column) -> Column:
+    return F.lit(n) if isinstance(n, int) else n
+
+
 def repeat(v: int, n: Column) -> Column:
     return F.array_repeat(int_lit(v), n.cast("int"))
 
@@ -26,20 +32,24 @@ def truncate(ids: Column, n: int | Column) -> Column:
 
 def tail(ids: Column, n: int | Column) -> Column:
     """Last n elements (all of them if there are fewer)."""
-    size = F.size(ids)
-    keep = F.least(size, F.lit(n) if isinstance(n, int) else n)
-    return F.slice(ids, size - keep + 1, keep)
+
+    def last(s: Column) -> Column:
+        keep = F.least(F.size(s["ids"]), s["n"])
+        return F.slice(s["ids"], F.size(s["ids"]) - keep + 1, keep)
+
+    return let_all({"ids": ids, "n": as_col(n)}, last)
 
 
 def pad_to(ids: Column, n: int | Column, value: int, side: str = "right") -> Column:
     """Pad to n elements; longer rows are left as they are."""
-    n = F.lit(n) if isinstance(n, int) else n
-    fill = repeat(value, F.greatest(n - F.size(ids), F.lit(0)))
-    if side == "left":
-        return F.concat(fill, ids)
-    if side == "right":
-        return F.concat(ids, fill)
-    raise ValueError(f"side must be left or right, not {side}")
+    if side not in ("left", "right"):
+        raise ValueError(f"side must be left or right, not {side}")
+
+    def padded(s: Column) -> Column:
+        fill = repeat(value, F.greatest(s["n"] - F.size(s["ids"]), F.lit(0)))
+        return F.concat(fill, s["ids"]) if side == "left" else F.concat(s["ids"], fill)
+
+    return let_all({"ids": ids, "n": as_col(n)}, padded)
 
 
 def pad_mask(ids: Column, n: int | Column, side: str = "right") -> Column:
@@ -59,7 +69,7 @@ def first_index_not(arr: Column, value: int) -> Column:
 
 
 def ends_with(ids: Column, value: int) -> Column:
-    return F.coalesce(F.get(ids, F.size(ids) - 1) == int_lit(value), F.lit(False))
+    return let(ids, lambda x: F.coalesce(F.get(x, F.size(x) - 1) == int_lit(value), F.lit(False)))
 
 
 def starts_with(ids: Column, value: int) -> Column:
@@ -68,21 +78,23 @@ def starts_with(ids: Column, value: int) -> Column:
 
 def append_eos(ids: Column, eos: int) -> Column:
     """EOS at the end unless it is there already, decided per row."""
-    return F.when(ends_with(ids, eos), ids).otherwise(F.concat(ids, F.array(int_lit(eos))))
+    return let(ids, lambda x: F.when(ends_with(x, eos), x).otherwise(F.concat(x, F.array(int_lit(eos)))))
 
 
 def prepend_bos(ids: Column, bos: int) -> Column:
-    return F.when(starts_with(ids, bos), ids).otherwise(F.concat(F.array(int_lit(bos)), ids))
+    return let(ids, lambda x: F.when(starts_with(x, bos), x).otherwise(F.concat(F.array(int_lit(bos)), x)))
 
 
 def eos_slot(ids: Column, pad: int) -> Column:
     """Where a right-padded row takes its EOS: the first pad, or the last position if it is full."""
-    at = first_index(ids, pad)
-    return F.when(at < 0, F.size(ids) - 1).otherwise(at)
+    return let(ids, lambda x: F.coalesce(F.nullif(first_index(x, pad), F.lit(-1)), F.size(x) - 1))
 
 
-def put_at(arr: Column, at: Column, value: int) -> Column:
-    return F.transform(arr, lambda x, i: F.when(i == at, int_lit(value)).otherwise(x))
+def put_at(arr: Column, index: Column, value: int) -> Column:
+    return let_all(
+        {"arr": arr, "index": index},
+        lambda s: F.transform(s["arr"], lambda x, i: F.when(i == s["index"], int_lit(value)).otherwise(x)),
+    )
 
 
 def ignore_value(ids: Column, value: int) -> Column:
@@ -92,16 +104,23 @@ def ignore_value(ids: Column, value: int) -> Column:
 
 def ignore_span(labels: Column, start: Column, length: Column) -> Column:
     """Labels: `length` positions from `start` → ignored."""
-    return F.transform(
-        labels,
-        lambda x, i: F.when((i >= start) & (i < start + length), int_lit(IGNORE)).otherwise(x),
+    return let_all(
+        {"labels": labels, "start": start, "end": start + length},
+        lambda s: F.transform(
+            s["labels"],
+            lambda x, i: F.when((i >= s["start"]) & (i < s["end"]), int_lit(IGNORE)).otherwise(x),
+        ),
     )
 
 
 def leading_ones(size: Column, n: Column) -> Column:
     """0/1 array of `size` whose first n elements are 1."""
-    k = F.least(F.greatest(n, F.lit(0)), size)
-    return F.concat(repeat(1, k), repeat(0, size - k))
+
+    def ones(s: Column) -> Column:
+        k = F.least(F.greatest(s["n"], F.lit(0)), s["size"])
+        return F.concat(repeat(1, k), repeat(0, s["size"] - k))
+
+    return let_all({"size": size, "n": n}, ones)
 
 
 def shift_right(labels: Column, start: int, pad: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.let import let
 from .prompts import ChatTemplate
 from .vocab import Vocabulary
 
@@ -133,12 +134,15 @@ def encode_instruction_test(
 
 def token_windows(df: DataFrame, ids: str, width: int, pad: int, key: str, out_key: str = "row_id") -> DataFrame:
     """Whole texts as right-padded rows of `width` ids; a full row has no padding."""
-    n = F.ceil(F.size(ids) / F.lit(width)).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def windows(x: Column) -> Column:
+        last = F.floor((F.size(x) - 1) / F.lit(width)).cast("int")
+        starts = F.when(F.size(x) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice(x, i * width + 1, width).alias("ids")))
+
     passed = [c for c in df.columns if c != ids]
     return (
-        df.withColumn("__w", F.explode(F.transform(starts, lambda i: F.struct(
-            i.alias("i"), F.slice(F.col(ids), i * width + 1, width).alias("ids")))))
+        df.withColumn("__w", F.explode(let(F.col(ids), windows)))
         .withColumn(out_key, F.col(key) * F.lit(1_000_000) + F.col("__w.i"))
         .withColumn("attention_mask", A.pad_mask(F.col("__w.ids"), width))
         .withColumn("input_ids", A.pad_to(F.col("__w.ids"), width, pad))

@@ -91,6 +91,7 @@ class Vocabulary:
         table, n, unk = self._bucket_table(), len(self.buckets), int_lit(self.specials.unk)
 
         def lookup(word: Column) -> Column:
+            # the table is one literal after constant folding
             bucket = F.get(table, F.pmod(F.xxhash64(word), F.lit(n)).cast("int"))
             return F.coalesce(F.get(F.filter(bucket, lambda e: e["t"] == word), F.lit(0))["i"], unk)
 

@@ -258,8 +258,8 @@ def encoded_ctes(out: str, src: str, keys: str, text: str) -> dict[str, str]:
     keyed = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
     return {
         f"{out}_w": f"SELECT {keys}, {words_sql(text)} AS w FROM {src}",
-        f"{out}_t": f"SELECT {keys}, unnest(w) AS token, generate_subscripts(w, 1) AS at FROM {out}_w",
-        f"{out}_g": f"""SELECT {keyed}, list(coalesce(v.id, {SPECIALS.unk}) ORDER BY at) AS ids
+        f"{out}_t": f"SELECT {keys}, unnest(w) AS token, generate_subscripts(w, 1) AS ix FROM {out}_w",
+        f"{out}_g": f"""SELECT {keyed}, list(coalesce(v.id, {SPECIALS.unk}) ORDER BY ix) AS ids
             FROM {out}_t s LEFT JOIN vocab v ON v.token = s.token GROUP BY {keyed}""",
         out: f"""SELECT {keyed}, coalesce(g.ids, []::INT[]) AS ids
             FROM {out}_w s LEFT JOIN {out}_g g ON {' AND '.join(f's.{k.strip()} = g.{k.strip()}' for k in keys.split(','))}""",

@@ -161,8 +161,8 @@ def pad_to_max(spark, sf):
 
 DECODE_CTES = {
     **ROW_CTES,
-    "named": """SELECT row_id, string_agg(v.token, ' ' ORDER BY at) AS text
-        FROM (SELECT row_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS at FROM rows) t JOIN vocab v ON v.id = t.id
+    "named": """SELECT row_id, string_agg(v.token, ' ' ORDER BY ix) AS text
+        FROM (SELECT row_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS ix FROM rows) t JOIN vocab v ON v.id = t.id
         GROUP BY row_id""",
 }
 
@@ -179,21 +179,21 @@ def decode(spark, sf):
 TRAIN_CTES = {
     **encoded_ctes("penc", "prompted", "seq, direction", "prompt"),
     **encoded_ctes("fenc", "prompted", "seq, direction", "prompt||tgt_text"),
-    "both": """SELECT f.seq, f.direction, f.ids AS full_ids, p.ids AS prompt_ids
+    "pair_ids": """SELECT f.seq, f.direction, f.ids AS full_ids, p.ids AS prompt_ids
         FROM fenc f JOIN penc p ON p.seq = f.seq AND p.direction = f.direction""",
     "train_left": f"""SELECT *, [CASE WHEN x = {S.pad} THEN -100 ELSE x END for x in input_ids] AS labels0,
             coalesce(list_position(list_transform(input_ids, lambda q: q <> {S.pad}), true), 0) AS first
         FROM (SELECT seq, direction, least(len(prompt_ids), {SRC}) AS n,
             {pad_sql(f'list_concat(list_concat([{S.bos}], full_ids)[1:{SRC + NEW - 1}], [{S.eos}])', SRC + NEW, S.pad, 'left')} AS input_ids,
             {pad_mask_sql(f'list_concat(list_concat([{S.bos}], full_ids)[1:{SRC + NEW - 1}], [{S.eos}])', SRC + NEW, 'left')} AS attention_mask
-        FROM both)""",
+        FROM pair_ids)""",
     "train_right": f"""SELECT seq, direction, n,
             [CASE WHEN i = slot THEN {S.eos} ELSE x END for x, i in padded] AS input_ids,
             [CASE WHEN i = slot THEN 1 ELSE x END for x, i in mask] AS attention_mask
         FROM (SELECT *, coalesce(list_position(padded, {S.pad}), {SRC + NEW}) AS slot
             FROM (SELECT seq, direction, least(len(prompt_ids), {SRC}) AS n,
                 {pad_sql(f'list_concat([{S.bos}], full_ids)[1:{SRC + NEW}]', SRC + NEW, S.pad)} AS padded,
-                {pad_mask_sql(f'list_concat([{S.bos}], full_ids)[1:{SRC + NEW}]', SRC + NEW)} AS mask FROM both))""",
+                {pad_mask_sql(f'list_concat([{S.bos}], full_ids)[1:{SRC + NEW}]', SRC + NEW)} AS mask FROM pair_ids))""",
 }
 
 
@@ -297,8 +297,8 @@ def pack_sql(src: dict[str, str], by: str, key: str) -> dict[str, str]:
     return {
         **src,
         "batched": f"SELECT *, (row_number() OVER (PARTITION BY {by} ORDER BY {key}) - 1) // {BATCH} AS batch FROM items",
-        "toks": f"SELECT {by}, batch, {key}, unnest(ids) AS id, generate_subscripts(ids, 1) AS at FROM batched",
-        "numbered": f"SELECT *, row_number() OVER (PARTITION BY {by}, batch ORDER BY {key}, at) - 1 AS p FROM toks",
+        "toks": f"SELECT {by}, batch, {key}, unnest(ids) AS id, generate_subscripts(ids, 1) AS ix FROM batched",
+        "numbered": f"SELECT *, row_number() OVER (PARTITION BY {by}, batch ORDER BY {key}, ix) - 1 AS p FROM toks",
         "blocks": f"""SELECT {by}, batch, p // {BLOCK} AS block_no, list(id ORDER BY p) AS ids FROM numbered
             GROUP BY ALL HAVING count(*) = {BLOCK}""",
     }
