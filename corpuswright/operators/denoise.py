@@ -51,10 +51,10 @@ def segmentation(items: Column, segments: Column, seed: int, *keys: Column) -> C
     Cuts are the first segments − 1 inner positions in the order of their hash.
     """
     inner = F.when(items > 1, F.sequence(F.lit(1), items - 1)).otherwise(F.array().cast("array<int>"))
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(inner, lambda i: F.concat(hash_hex(seed, *keys, i), F.lpad(i.cast("string"), 9, "0")))
     )
-    cuts = F.array_sort(F.transform(F.slice(ranked, 1, segments - 1), lambda s: F.substring(s, 9, 9).cast("int")))
+    cuts = F.sort_array(F.transform(F.slice(ranked, 1, segments - 1), lambda s: F.substring(s, 9, 9).cast("int")))
     lengths = lambda s: F.zip_with(
         F.concat(s["cuts"], F.array(s["items"])), F.concat(F.array(F.lit(0)), s["cuts"]), lambda end, start: end - start
     )

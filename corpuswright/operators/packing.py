@@ -68,7 +68,7 @@ def pack_blocks(
 
     pieces = placed.select(*batch, F.inline(F.transform(touched, piece)))
     # one group holds the ids of one block, hence at most `block` pieces; partitioned by batch already
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]))
+    joined = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]))
     blocks = pieces.groupBy(*batch, "block_no").agg(joined.alias("input_ids")).filter(F.size("input_ids") == block)
     out = blocks.withColumn("attention_mask", repeat(1, F.lit(block))).withColumn("labels", F.col("input_ids"))
     return out.withColumn("prefix_mask", repeat(0, F.lit(block))) if prefix_mask else out

@@ -134,7 +134,7 @@ def encode_by_join(
         key, F.coalesce("id", int_lit(specials.unk)).alias("__id"), F.explode("__at").alias("__pos")
     )
     regrouped = found.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__id"))), lambda s: s["__id"]).alias("__ids")
+        F.transform(F.sort_array(F.collect_list(F.struct("__pos", "__id"))), lambda s: s["__id"]).alias("__ids")
     )
     return (
         df.join(regrouped, key, "left")

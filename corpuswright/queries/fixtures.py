@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rand import uniform
 from ..functions.text import PY_SPACE
 from ..operators.vocab import Specials, Vocabulary, load_vocabulary
+from ..session import spread
 from ..sources.lang import LOCAL_PREFIX, LOCAL_SUFFIX, lang_rows
 
 SEED = 42
@@ -26,7 +27,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def mono(spark: SparkSession, sf: str) -> DataFrame:
     """Monolingual texts: every document."""
-    return table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("raw_text"))
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("raw_text"))
+    return spread(docs, "doc_id")
 
 
 def parallel(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +124,12 @@ def preferences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf: str) -> Vocabulary:
-    return load_vocabulary(table(spark, sf, "documents"), "text", VOCAB_SIZE, SPECIALS)
+    return load_vocabulary(mono(spark, sf), "raw_text", VOCAB_SIZE, SPECIALS)
+
+
+def vocabulary_of_specials() -> Vocabulary:
+    """No words: enough where only the number of tokens matters."""
+    return Vocabulary([], SPECIALS, [[]])
 
 
 def joined(ids: str | Column) -> Column:

@@ -77,7 +77,7 @@ def shot_table(spark, sf):
     from ..operators.mixing import take_first
 
     first = take_first(expanded(spark, sf), SHOTS, "seq", ("direction",))
-    listed = F.array_sort(F.collect_list(F.struct("seq", F.col("src_text").alias("source"), F.col("tgt_text").alias("target"))))
+    listed = F.sort_array(F.collect_list(F.struct("seq", F.col("src_text").alias("source"), F.col("tgt_text").alias("target"))))
     return first.groupBy("direction").agg(
         F.transform(listed, lambda s: F.struct(s["source"].alias("source"), s["target"].alias("target"))).alias("shots")
     )
