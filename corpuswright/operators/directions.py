@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import local_table
+
 
 def parse_directions(directions: str | list[str]) -> list[str]:
     """'de-en,en-de' → ['de-en', 'en-de'], request order kept, duplicates removed."""
@@ -25,7 +27,7 @@ def canonical(direction: str) -> str:
 def direction_dim(spark: SparkSession, directions: str | list[str]) -> DataFrame:
     """One row per request: position, direction, src, tgt, pair (canonical)."""
     rows = [(i, d, *d.split("-"), canonical(d)) for i, d in enumerate(parse_directions(directions))]
-    return spark.createDataFrame(rows, "position int, direction string, src string, tgt string, pair string")
+    return local_table(spark, rows, "position int, direction string, src string, tgt string, pair string")
 
 
 def requested_languages(directions: str | list[str]) -> list[str]:

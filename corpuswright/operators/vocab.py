@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import IGNORE, int_lit, truncate
 from ..functions.text import py_strip, words
+from ..session import local_table
 
 LITERAL_LIMIT = 200_000
 
@@ -67,14 +68,13 @@ class Vocabulary:
     @classmethod
     def from_table(cls, vocab: DataFrame, specials: Specials = Specials()) -> Vocabulary:
         """Collect a vocabulary table (bounded by its size) together with Spark's own hash of each word."""
-        n = vocab.count()
-        if n > LITERAL_LIMIT:
-            raise ValueError(f"{n} words are too many for a literal; use encode_by_join")
-        slot = F.pmod(F.xxhash64("token"), F.lit(max(n, 1)))
-        rows = vocab.select("token", "id", slot.alias("slot")).collect()
-        buckets: list[list[tuple[str, int]]] = [[] for _ in range(max(n, 1))]
+        hashed = vocab.select("token", "id", F.xxhash64("token").alias("hash"))
+        rows = hashed.limit(LITERAL_LIMIT + 1).collect()
+        if len(rows) > LITERAL_LIMIT:
+            raise ValueError(f"more than {LITERAL_LIMIT} words are too many for a literal; use encode_by_join")
+        buckets: list[list[tuple[str, int]]] = [[] for _ in range(max(len(rows), 1))]
         for r in rows:
-            buckets[r.slot].append((r.token, r.id))
+            buckets[r.hash % len(buckets)].append((r.token, r.id))
         ordered = [r.token for r in sorted(rows, key=lambda r: r.id)]
         return cls(ordered, specials, buckets)
 
@@ -162,4 +162,4 @@ def encode_with(make_tokenizer: Callable[[], Callable[[list[str]], list[list[int
 def vocabulary_of(spark: SparkSession, tokens: list[str], specials: Specials = Specials()) -> Vocabulary:
     """A vocabulary from a given word list, ids in list order."""
     rows = [(t, 0, specials.first_word + i) for i, t in enumerate(tokens)]
-    return Vocabulary.from_table(spark.createDataFrame(rows, "token string, n long, id int"), specials)
+    return Vocabulary.from_table(local_table(spark, rows, "token string, n long, id int"), specials)

@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Rows a side may have before `broadcast_if_small` leaves the choice to the optimizer.
 BROADCAST_ROWS = 200_000
@@ -71,3 +74,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as a local relation: no job and no Python worker when it is broadcast."""
+    fields = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(fields)
+    columns = list(zip(*rows)) if rows else [[] for _ in arrow]
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema=fields)

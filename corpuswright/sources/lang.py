@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import local_table
+
 # Group, language, English name, long code, ISO-639-3 code.
 LANGUAGES = """
 - en English eng_Latn eng
@@ -98,14 +100,14 @@ def lang_rows() -> list[tuple]:
 
 
 def lang_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(lang_rows(), LANG_SCHEMA)
+    return local_table(spark, lang_rows(), LANG_SCHEMA)
 
 
 def local_parts(spark: SparkSession) -> DataFrame:
     """Localized prompt parts; one language here has no row in `lang_dim`."""
     langs = sorted(LOCAL_PREFIX.keys() | LOCAL_SUFFIX.keys())
     rows = [(lang, LOCAL_PREFIX.get(lang), LOCAL_SUFFIX.get(lang)) for lang in langs]
-    return spark.createDataFrame(rows, "lang string, prefix string, suffix string")
+    return local_table(spark, rows, "lang string, prefix string, suffix string")
 
 
 def required(value: Column, what: str, key: Column) -> Column:
