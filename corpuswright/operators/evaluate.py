@@ -50,13 +50,14 @@ def _grams(tokens: Column, weight: Column) -> Column:
 def ngram_stats(tokens: DataFrame, keys: list[str] = SEGMENT) -> DataFrame:
     """Per segment: lengths, and for n = 1..4 clipped matches and totals.
 
-    Hypothesis and reference n-grams are counted in one aggregation on (segment, n, gram), without a join, so
-    a long segment is spread over its n-grams. Segments without any n-gram keep their row.
+    Texts are shuffled by segment before they are taken apart: both aggregations then run inside that
+    partitioning, and the n-grams, many times the size of the text, never move. A hot system or direction is
+    spread over its segments. Segments without any n-gram keep their row.
     """
     grams = F.concat(_grams(F.col("hyp_tokens"), F.lit(1)), _grams(F.col("ref_tokens"), F.lit(0)))
     # the extra (0, '') row carries the lengths, so that empty segments are not lost
     lengths = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"), F.lit(0).alias("w")))
-    rows = tokens.filter(F.col("hyp_tokens").isNotNull()).select(
+    rows = tokens.filter(F.col("hyp_tokens").isNotNull()).repartition(*keys).select(
         *keys,
         F.size("hyp_tokens").alias("hyp_len"),
         F.size("ref_tokens").alias("ref_len"),

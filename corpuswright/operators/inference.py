@@ -101,7 +101,10 @@ def score_segments(
 
 
 # Fixed values: (source length, new tokens) of directions that are run again with longer limits, per news set.
-RETRY_LIMITS = {"2022": {"zh-en": (512, 256)}, "2023": {"zh-en": (1024, 512)}}
+RETRY_LIMITS = {
+    "2022": {"zh-en": (512, 256)},
+    "2023": {"ru-en": (1024, 512), "de-en": (1024, 512), "en-de": (1024, 512), "zh-en": (1024, 512)},
+}
 
 
 def with_limits(

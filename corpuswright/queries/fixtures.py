@@ -33,7 +33,7 @@ def mono(spark: SparkSession, sf: str) -> DataFrame:
 
 def parallel(spark: SparkSession, sf: str) -> DataFrame:
     """Parallel rows xx-en: neighbouring documents of which exactly one is English, whole texts."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
     a = docs.select(F.col("doc_id").alias("seq"), F.col("lang").alias("la"), F.col("text").alias("ta"))
     b = docs.select((F.col("doc_id") - 1).alias("seq"), F.col("lang").alias("lb"), F.col("text").alias("tb"))
     pairs = a.join(b, "seq").filter((F.col("la") == "en") != (F.col("lb") == "en"))

@@ -173,10 +173,10 @@ LOG_CTES = {
 
 
 @query(with_ctes("", """
-SELECT phase, log_window, metric, round(avg(value), 9) AS mean, count(*) AS batches FROM batches GROUP BY ALL""", LOG_CTES))
+SELECT phase, log_window, metric, avg(value)::FLOAT AS mean, count(*) AS batches FROM batches GROUP BY ALL""", LOG_CTES))
 def log_metrics(spark, sf):
     rows = L.log_metrics(metric_log(spark, sf), ["phase", "log_window", "metric"])
-    return rows.withColumn("mean", F.round("mean", 9))
+    return rows.withColumn("mean", F.col("mean").cast("float"))
 
 
 @query(with_ctes("prompted", f"""

@@ -104,7 +104,7 @@ class LengthScorer:
 
     def __call__(self, sources, hypotheses, references):
         against = sources if references is None else references
-        return [round(len(h) / max(len(a), 1), 6) for h, a in zip(hypotheses, against)]
+        return [len(h) / max(len(a), 1) for h, a in zip(hypotheses, against)]
 
 
 @query(with_ctes("aligned", """
@@ -113,7 +113,8 @@ SELECT system, direction, seg_id, round(length(hypothesis) / greatest(length(ref
 def score_segments(spark, sf):
     rows = X.aligned(spark, sf)
     free = G.score_segments(rows, LengthScorer, with_reference=False).withColumnRenamed("score", "score_free")
-    return G.score_segments(rows, LengthScorer).join(free, ["system", "direction", "seg_id"])
+    scored = G.score_segments(rows, LengthScorer).join(free, ["system", "direction", "seg_id"])
+    return scored.withColumn("score", F.round("score", 6)).withColumn("score_free", F.round("score_free", 6))
 
 
 @query(with_ctes("prompted vocab", f"""
