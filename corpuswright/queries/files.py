@@ -1 +1,272 @@
-"""Filled in later."""
+"""Readers and writers: the given tables are written in each input layout and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.ordering import with_key_position
+from ..session import work_dir
+from ..sources import readers as R
+from ..sources import sinks as K
+from . import fixtures as X
+from .evaluation import REPORT, report_rows
+from .fixtures import arr, encoded_ctes, with_ctes
+from .outputs import RAW, raw_outputs
+from .prompts import shot_table
+from .registry import query
+
+
+def _translation(*pairs):
+    """A two-entry map column; dynamic keys in the given order."""
+    return F.map_from_arrays(F.array(*[k for k, _ in pairs]), F.array(*[v for _, v in pairs])).alias("translation")
+
+
+def _write_json(df, path, order):
+    """Rows in order, one JSON object per line."""
+    rows = df.repartitionByRange(order).sortWithinPartitions(order)
+    rows.drop(order).write.json(path)
+
+
+def write_parallel(spark, sf, root):
+    """train: German and French pairs; test: German → English. The other files stay missing."""
+    rows = X.parallel(spark, sf)
+    pair = _translation((F.col("lang_a"), F.col("text_a")), (F.col("lang_b"), F.col("text_b")))
+    for lang in ("de", "fr"):
+        _write_json(rows.filter(F.col("lang_a") == lang).select("seq", pair), f"{root}/{lang}en/train.{lang}-en-v2.json", "seq")
+    _write_json(rows.filter("lang_a = 'de'").select("seq", pair), f"{root}/deen/test.de-en.json", "seq")
+
+
+NUMBERED = {"numbered": "SELECT *, row_number() OVER (PARTITION BY lang_a ORDER BY seq) - 1 AS line FROM parallel"}
+
+
+@query(with_ctes("parallel", """
+SELECT 'train' AS split, lang_a||'-en' AS pair, line AS seq, lang_a, lang_b, text_a, text_b FROM numbered WHERE lang_a IN ('de', 'fr')
+UNION ALL SELECT 'test', 'de-en', line, lang_a, lang_b, text_a, text_b FROM numbered WHERE lang_a = 'de'""", NUMBERED))
+def read_parallel(spark, sf):
+    root = work_dir(spark, "parallel")
+    write_parallel(spark, sf, root)
+    return R.read_parallel(spark, root, X.DIRECTIONS, suffix="v2")
+
+
+@query(with_ctes("parallel", """
+SELECT 'train' AS split, lang_a||'-en' AS pair, line AS seq, lang_a, lang_b, text_a, text_b FROM numbered WHERE lang_a IN ('de', 'fr')
+UNION ALL SELECT 'test', lang_a||'-en', seq, lang_a, lang_b, text_a, text_b FROM parallel WHERE lang_a IN ('de', 'fr')""", NUMBERED))
+def override_test(spark, sf):
+    """The test rows come from another data set, of which only the requested directions are read."""
+    root = work_dir(spark, "parallel")
+    write_parallel(spark, sf, root)
+    other = X.parallel(spark, sf).withColumn("direction", F.concat(F.col("lang_a"), F.lit("-en")))
+    other.write.partitionBy("direction").parquet(f"{root}/other")
+    return R.override_test(R.read_parallel(spark, root, X.DIRECTIONS, suffix="v2"), f"{root}/other", X.DIRECTIONS)
+
+
+LINES = "SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS ix FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY doc_id, ix) - 1 AS seq, 'de' AS lang_a, 'en' AS lang_b, line AS text_a, '' AS text_b
+FROM ({LINES})""")
+def read_source_text(spark, sf):
+    path = work_dir(spark, "source")
+    docs = X.mono(spark, sf).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    docs.select(F.explode(F.split("raw_text", "\n"))).write.option("lineSep", "\n").text(path)
+    return R.read_source_text(spark, path, "de-en")
+
+
+@query(with_ctes("parallel", "SELECT lang_a, lang_b, text_a, text_b FROM parallel"))
+def read_mono_json(spark, sf):
+    path = work_dir(spark, "mono")
+    X.parallel(spark, sf).select(
+        _translation((F.col("lang_a"), F.col("text_a")), (F.col("lang_b"), F.col("text_b")))
+    ).write.json(path)
+    return R.read_mono_json(spark, [path])
+
+
+@query("SELECT lang, text AS raw_text FROM documents WHERE lang IN ('de', 'en', 'fr')")
+def read_web_mono(spark, sf):
+    path = work_dir(spark, "web")
+    X.table(spark, sf, "documents").select("lang", "text", "doc_id", "source").write.partitionBy("lang").parquet(path)
+    return R.read_web_mono(spark, path, ["de", "en", "fr"])
+
+
+@query(with_ctes("parallel", """
+SELECT 'en-es' AS direction, line AS seq, lang_a, lang_b, text_a, text_b FROM numbered WHERE lang_a = 'es'
+UNION ALL SELECT 'th-en', line, 'th', lang_b, text_a, text_b FROM numbered WHERE lang_a = 'de'""", NUMBERED))
+def read_web_parallel(spark, sf):
+    """Spanish from its pair folder, Thai (German texts in its place) from the fallback corpus."""
+    root = work_dir(spark, "webpairs")
+    rows = X.parallel(spark, sf)
+    write = lambda lang, name, path: _write_json(
+        rows.filter(F.col("lang_a") == lang).select(
+            "seq", _translation((F.lit(name), F.col("text_a")), (F.col("lang_b"), F.col("text_b")))
+        ),
+        path,
+        "seq",
+    )
+    write("es", "es", f"{root}/eng_Latn-spa_Latn")
+    write("de", "th", f"{root}/en-th")
+    return R.read_web_parallel(spark, root, ["en-es", "th-en", "fr-en"], {"tha_Thai": f"{root}/en-th"})
+
+
+@query(with_ctes("instr langs", """
+SELECT i.inputs, i.targets, l.name AS language, i.language_code, l.lang FROM instr i JOIN langs l ON l.iso3 = i.language_code
+WHERE i.language_code IN ('deu', 'eng', 'fra', 'spa')"""))
+def read_instructions(spark, sf):
+    from ..sources.lang import lang_dim
+
+    path = work_dir(spark, "instructions")
+    names = F.broadcast(lang_dim(spark).select(F.col("iso3").alias("language_code"), F.col("name").alias("language")))
+    X.instructions(spark, sf).join(names, "language_code").withColumn("annotation_type", F.lit("original")).write.json(path)
+    return R.read_instructions(spark, path, X.DIRECTIONS, test=True).select("inputs", "targets", "language", "language_code", "lang")
+
+
+@query(with_ctes("prefs", """
+SELECT lang_a||'-en' AS lang_pair, lang_a, lang_b, text_a, text_b, sys1_a, sys2_a, sys1_b, sys2_b, ref_score_a, sys1_score_a,
+       sys2_score_a, ref_score_b, sys1_score_b, sys2_score_b, delta::DOUBLE AS delta, required_direction
+FROM prefs WHERE lang_a IN ('de', 'fr', 'es')"""))
+def read_preferences(spark, sf):
+    """Written with dynamic keys: languages, system prefixes and scorer are part of the names."""
+    path = work_dir(spark, "prefs")
+    entries = [(F.lit("language_pair"), F.concat(F.col("lang_a"), F.lit("-en")))]
+    for s in ("a", "b"):
+        lang = F.col(f"lang_{s}")
+        entries.append((lang, F.col(f"text_{s}")))
+        for name, prefix in (("sys1", "one"), ("sys2", "two")):
+            entries.append((F.concat(F.lit(f"{prefix}_"), lang), F.col(f"{name}_{s}")))
+        for name, prefix in (("ref", "ref"), ("sys1", "one"), ("sys2", "two")):
+            entries.append((F.concat(F.lit(f"{prefix}_"), lang, F.lit("_kiwi")), F.col(f"{name}_score_{s}").cast("string")))
+    entries.append((F.lit("Delta"), F.col("delta").cast("string")))
+    entries.append((F.lit("required_directions"), F.col("required_direction")))
+    rows = X.preferences(spark, sf)
+    present = F.map_filter(_translation(*entries), lambda k, v: v.isNotNull()).alias("translation")
+    rows.select(present, F.concat(F.col("lang_a"), F.lit("-en")).alias("lang_pair")).write.partitionBy("lang_pair").json(path)
+    return R.read_preferences(spark, path, X.DIRECTIONS, "kiwi", ("one", "two"))
+
+
+@query(with_ctes("prompted", """
+SELECT direction, rn AS place, src_text AS source, tgt_text AS target
+FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY seq) - 1 AS rn FROM prompted) WHERE rn < 5"""))
+def read_shots(spark, sf):
+    folder = work_dir(spark, "shots")
+    for d in X.DIRECTIONS:
+        one = shot_table(spark, sf).filter(F.col("direction") == d)
+        one.select(F.to_json("shots").alias("value")).coalesce(1).write.text(f"{folder}/shots.{d}.json")
+    return R.read_shots(spark, folder, X.DIRECTIONS).select("direction", F.posexplode("shots").alias("place", "s")).select(
+        "direction", F.col("place").cast("long").alias("place"), "s.source", "s.target"
+    )
+
+
+FLAT = "replace({}, chr(10), ' ')"
+
+
+def segments(spark, sf):
+    """Aligned outputs as single lines, numbered per direction."""
+    flat = [F.translate(c, "\n", " ").alias(c) for c in ("source", "reference", "hypothesis")]
+    rows = X.aligned(spark, sf).select("system", "direction", "seg_id", *flat)
+    return with_key_position(rows, "seg_id", ("system", "direction"), "line")
+
+
+SEGMENTS = {
+    "segs": f"""SELECT system, direction, row_number() OVER (PARTITION BY system, direction ORDER BY seg_id) - 1 AS seg_id,
+        {FLAT.format('source')} AS source, {FLAT.format('reference')} AS reference, {FLAT.format('hypothesis')} AS hypothesis FROM aligned"""
+}
+XX_EN = ["de-en", "fr-en", "es-en"]
+
+
+@query(with_ctes("aligned", "SELECT * FROM segs WHERE system <> 'sysC'", SEGMENTS))
+def read_aligned(spark, sf):
+    """Two systems' outputs, the source and the reference as line-aligned files."""
+    root = work_dir(spark, "aligned")
+    rows = segments(spark, sf).drop("seg_id").withColumnRenamed("line", "seg_id")
+    for d in XX_EN:
+        ref = rows.filter("system = 'sysC'")
+        K.write_aligned(ref, f"{root}/testset", d, d[:2], "source")
+        K.write_aligned(ref, f"{root}/testset", d, "en", "reference")
+        for s in ("sysA", "sysB"):
+            K.write_aligned(rows.filter(F.col("system") == s), f"{root}/{s}", d, "en", "hypothesis")
+    return R.read_aligned(spark, f"{root}/testset", {s: f"{root}/{s}" for s in ("sysA", "sysB")}, XX_EN)
+
+
+@query(with_ctes("scores", """
+SELECT scorer, 'run' AS output, row_number() OVER (PARTITION BY scorer ORDER BY direction, system, seg_id) - 1 AS seg_id, score FROM scores"""))
+def read_segment_scores(spark, sf):
+    """The text layout of one scorer, the JSON layout of the other."""
+    root = work_dir(spark, "scores")
+    from ..operators.ordering import with_position
+
+    # three directions × three systems give the blocks of the numbering
+    block = F.struct("direction", "system", F.floor(F.col("seg_id") / 1000))
+    rows = with_position(X.scores(spark, sf), ["direction", "system", "seg_id"], block, ("scorer",), "line")
+    text = rows.filter("scorer = 'comet'").select(
+        F.concat(F.lit("run\tSegment "), F.col("line").cast("string"), F.lit("\tscore: "), F.col("score").cast("string"))
+    )
+    text.write.text(f"{root}/comet")
+    # the JSON layout is one object per run, which only one task can write
+    scores = rows.filter("scorer = 'kiwi'").agg(F.sort_array(F.collect_list(F.struct("line", F.col("score").alias("COMET")))).alias("l"))
+    scores.select(
+        F.to_json(F.create_map(F.lit("run"), F.transform("l", lambda s: F.struct(s["COMET"].alias("COMET"))))).alias("value")
+    ).write.text(f"{root}/kiwi")
+    return R.read_segment_scores(spark, f"{root}/comet", "comet").unionByName(
+        R.read_segment_scores_json(spark, f"{root}/kiwi", "kiwi")
+    )
+
+
+@query(with_ctes("prompted", """
+SELECT direction, row_number() OVER (PARTITION BY direction ORDER BY seq) - 1 AS seg_id, coalesce(a, q0, '') AS text FROM answers""", RAW))
+def write_translations(spark, sf):
+    """Cleaned answers, one line per segment, read back with their line numbers."""
+    from ..operators.outputs import clean_output
+
+    out = work_dir(spark, "translations")
+    cleaned = raw_outputs(spark, sf).select(
+        "direction", F.col("seq").alias("seg_id"), clean_output(F.col("output"), F.col("suffix")).alias("output")
+    )
+    K.write_translations(cleaned, out)
+    from ..sources.files import with_file_columns, with_line_number
+
+    raw = with_file_columns(spark.read.option("lineSep", "\n").schema("value string, file string").text(out))
+    rows = raw.select(F.substring("file", 6, 20).alias("direction"), F.col("value").alias("text"), "__file", "__offset", "__order")
+    return with_line_number(rows, ("direction",), "seg_id")
+
+
+@query(with_ctes("instr langs", """
+SELECT l.lang, i.inputs AS question, i.targets AS response FROM instr i JOIN langs l ON l.iso3 = i.language_code"""))
+def write_qa_jsonl(spark, sf):
+    from ..sources.lang import lang_dim
+
+    out = work_dir(spark, "qa")
+    names = F.broadcast(lang_dim(spark).select(F.col("iso3").alias("language_code"), "lang"))
+    rows = X.instructions(spark, sf).join(names, "language_code")
+    qa = rows.select("lang", "conv_id", "turn", F.col("inputs").alias("question"), F.col("targets").alias("response"))
+    K.write_qa_jsonl(qa, out, ("conv_id", "turn"))
+    return spark.read.schema("question string, response string, lang string").json(out)
+
+
+@query(with_ctes("aligned scores dirs", "SELECT * FROM report", REPORT))
+def write_report(spark, sf):
+    out = work_dir(spark, "report")
+    rows = report_rows(spark, sf)
+    K.write_report(rows, out, "csv")
+    return spark.read.option("header", True).schema(rows.schema).csv(out)
+
+
+@query(with_ctes("prompted", """
+SELECT direction, seg_id, rn, cleaned FROM (SELECT direction, seq AS seg_id, coalesce(a, q0, '') AS cleaned,
+  row_number() OVER (PARTITION BY direction ORDER BY seq) AS rn FROM answers) WHERE rn <= 10""", RAW))
+def preview(spark, sf):
+    from ..operators.outputs import clean_output
+
+    rows = raw_outputs(spark, sf).select(
+        "direction", F.col("seq").alias("seg_id"), clean_output(F.col("output"), F.col("suffix")).alias("cleaned")
+    )
+    return K.preview(rows)
+
+
+@query(with_ctes("vocab", f"SELECT doc_id, {arr('ids')} AS ids FROM enc", encoded_ctes("enc", "documents", "doc_id", "text")))
+def cache_prepared(spark, sf):
+    """Prepared once; the second call reads what the first one wrote."""
+    path = work_dir(spark, "prepared")
+    v = X.vocabulary(spark, sf)
+    prepared = X.mono(spark, sf).select("doc_id", v.encode(F.col("raw_text")).alias("ids"))
+    K.cache_prepared(prepared, path)
+    again = K.cache_prepared(prepared.withColumn("ids", F.raise_error(F.lit("prepared twice")).cast("array<int>")), path)
+    return again.select("doc_id", X.joined("ids").alias("ids"))
