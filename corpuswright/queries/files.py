@@ -187,7 +187,9 @@ def read_aligned(spark, sf):
 
 
 @query(with_ctes("scores", """
-SELECT scorer, 'run' AS output, row_number() OVER (PARTITION BY scorer ORDER BY direction, system, seg_id) - 1 AS seg_id, score FROM scores"""))
+SELECT scorer, CASE scorer WHEN 'comet' THEN 'run' ELSE 'run-'||(line // 1000) END AS output,
+       CASE scorer WHEN 'comet' THEN line ELSE line % 1000 END AS seg_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY scorer ORDER BY direction, system, seg_id) - 1 AS line FROM scores)"""))
 def read_segment_scores(spark, sf):
     """The text layout of one scorer, the JSON layout of the other."""
     root = work_dir(spark, "scores")
@@ -200,11 +202,13 @@ def read_segment_scores(spark, sf):
         F.concat(F.lit("run\tSegment "), F.col("line").cast("string"), F.lit("\tscore: "), F.col("score").cast("string"))
     )
     text.write.text(f"{root}/comet")
-    # the JSON layout is one object per run, which only one task can write
-    scores = rows.filter("scorer = 'kiwi'").agg(F.sort_array(F.collect_list(F.struct("line", F.col("score").alias("COMET")))).alias("l"))
-    scores.select(
-        F.to_json(F.create_map(F.lit("run"), F.transform("l", lambda s: F.struct(s["COMET"].alias("COMET"))))).alias("value")
-    ).write.text(f"{root}/kiwi")
+    # the JSON layout is one object per run, here of a thousand segments
+    runs = rows.filter("scorer = 'kiwi'").withColumn("run", F.floor(F.col("line") / 1000).cast("long"))
+    objects = runs.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("line", F.col("score").alias("COMET")))).alias("l"))
+    name = F.concat(F.lit("run-"), F.col("run").cast("string"))
+    objects.select(
+        "run", F.to_json(F.create_map(name, F.transform("l", lambda s: F.struct(s["COMET"].alias("COMET"))))).alias("value")
+    ).write.partitionBy("run").text(f"{root}/kiwi")
     return R.read_segment_scores(spark, f"{root}/comet", "comet").unionByName(
         R.read_segment_scores_json(spark, f"{root}/kiwi", "kiwi")
     )

@@ -1 +1,67 @@
-"""Filled in later."""
+"""Streaming forms over the given tables as file streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import streams as W
+from . import fixtures as X
+from .fixtures import arr, encoded_ctes, joined, uniform_sql, with_ctes
+from .mixing import LANGS, PROBS, interleave_ctes
+from .registry import query
+
+S = X.SPECIALS
+
+
+def documents(spark, sf):
+    return W.stream_source(spark, "web", sf, name_filter="documents.parquet")
+
+
+@query("SELECT doc_id, lang, text FROM documents")
+def stream_source(spark, sf):
+    return spark.read.parquet(W.run_to_table(documents(spark, sf), "stream-source"))
+
+
+@query(with_ctes("vocab", f"""
+SELECT d.doc_id, d.lang, {arr(f'list_concat(list_concat([{S.bos}], e.ids), [{S.eos}])')} AS input_ids
+FROM documents d JOIN enc e ON e.doc_id = d.doc_id""", encoded_ctes("enc", "documents", "doc_id", X.strip_sql("text"))))
+def stream_prepare(spark, sf):
+    prepared = W.stream_prepare(documents(spark, sf), X.vocabulary(spark, sf))
+    rows = spark.read.parquet(W.run_to_table(prepared, "stream-prepare"))
+    return rows.select("doc_id", "lang", joined("input_ids").alias("input_ids"))
+
+
+@query()
+def stream_pack(spark, sf):
+    prepared = W.stream_prepare(documents(spark, sf), X.vocabulary(spark, sf))
+    blocks = W.stream_pack(prepared, "input_ids", "doc_id", 512, ("lang",), shards=4)
+    rows = spark.read.parquet(W.run_to_table(blocks, "stream-pack"))
+    return rows.select("lang", "shard", "block_no", joined("input_ids").alias("input_ids"))
+
+
+@query(f"""SELECT 0 AS batch_id, doc_id, lang, text, row_number() OVER (ORDER BY {uniform_sql('doc_id')}, doc_id) - 1 AS pos FROM documents""")
+def stream_shuffle(spark, sf):
+    return spark.read.parquet(W.stream_shuffle(documents(spark, sf), "doc_id", X.SEED))
+
+
+@query(with_ctes("", "SELECT 0 AS batch_id, m.draw, m.source AS lang, m.doc_id, d.text FROM mix m JOIN documents d ON d.doc_id = m.doc_id",
+    interleave_ctes("mix", "documents", "lang", "doc_id", LANGS, PROBS)))
+def stream_mix(spark, sf):
+    path = W.stream_mix(documents(spark, sf), "doc_id", LANGS, PROBS, X.SEED, "lang")
+    return spark.read.parquet(path).select("batch_id", "draw", "lang", "doc_id", "text")
+
+
+@query("""
+SELECT CASE WHEN user_id % 2 = 0 THEN 'train' ELSE 'eval' END AS phase, event_id // 1000 AS log_window, event_type AS metric,
+       avg(value)::FLOAT AS mean, count(*) AS records FROM events GROUP BY ALL""")
+def stream_log(spark, sf):
+    schema = "event_id long, user_id long, event_type string, value double"
+    events = W.stream_source(spark, "web", sf, schema, name_filter="events.parquet").select(
+        F.when(F.col("user_id") % 2 == 0, F.lit("train")).otherwise(F.lit("eval")).alias("phase"),
+        F.floor(F.col("event_id") / 1000).cast("long").alias("log_window"),
+        F.col("event_type").alias("metric"),
+        "value",
+    )
+    by = ["phase", "log_window", "metric"]
+    rows = W.latest_log(spark, W.stream_log(events, by, F.col("value")), by)
+    return rows.withColumn("mean", F.col("mean").cast("float"))
