@@ -51,9 +51,13 @@ def tokenize_zh(c: Column) -> Column:
     return _rules(F.regexp_replace(py_strip(c), f"([{CJK}])", " $1 "))
 
 
+# Fixed value: the tokenizer of Japanese targets, a morphological one that is not available.
+NO_TOKENIZER = "ja-mecab"
+
+
 def tokenizer_for(target: Column) -> Column:
-    """Tokenizer name of a target language; Japanese needs a morphological one, which is not available."""
-    return F.when(target == "zh", F.lit("zh")).when(target == "ja", F.lit("ja-mecab")).otherwise(F.lit("13a"))
+    """Tokenizer name of a target language."""
+    return F.when(target == "zh", F.lit("zh")).when(target == "ja", F.lit(NO_TOKENIZER)).otherwise(F.lit("13a"))
 
 
 def tokenize(c: Column, target: Column) -> Column:

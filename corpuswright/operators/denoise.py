@@ -220,11 +220,9 @@ def denoise(
     rows = df.withColumn("task", assign_task(F.col(key), seed, config)).withColumn(
         "__pad", A.first_index(F.col("input_ids"), pad)
     )
-    empty = A.repeat(0, length)
-    mask = (
-        F.when(F.col("task") == "R", r_mask(length, first, seed, F.col(key), config))
-        .when(F.col("task") == "X", x_mask(length, first, seed, F.col(key), config))
-        .otherwise(empty)
+    # sequential rows have no mask: all that is derived from it stays NULL and costs nothing
+    mask = F.when(F.col("task") == "R", r_mask(length, first, seed, F.col(key), config)).when(
+        F.col("task") == "X", x_mask(length, first, seed, F.col(key), config)
     )
     rows = span_denoise(rows.withColumn("__m", mask), "__m", vocab_len, pad)
     sequential = F.col("task") == "S"

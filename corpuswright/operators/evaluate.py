@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.let import let
-from ..functions.mt_tokens import tokenize, tokenizer_for
+from ..functions.let import let, let_all
+from ..functions.mt_tokens import NO_TOKENIZER, tokenize, tokenizer_for
 from ..functions.text import py_strip
 
 # Highest n-gram order, decimals of the report.
@@ -32,52 +32,76 @@ def tokenize_aligned(df: DataFrame) -> DataFrame:
     )
 
 
-def _grams(tokens: Column, weight: Column) -> Column:
-    """All n-grams up to ORDER as struct(n, gram, h, r)."""
+def _orders(tokens: Column) -> Column:
+    """struct(g1 … g4): the n-grams of every order, each built from the next lower one."""
 
-    def of_order(t: Column, n: int) -> Column:
-        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(
-            starts,
-            lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, n), " ").alias("gram"), weight.alias("w")),
+    def longer(t: Column, grams: Column, n: int) -> Column:
+        kept = F.slice(grams, 1, F.greatest(F.size(grams) - 1, F.lit(0)))
+        return F.transform(kept, lambda g, i: F.concat(g, F.lit(" "), F.get(t, i + (n - 1))))
+
+    def build(s: Column, n: int, names: list[str]) -> Column:
+        if n > ORDER:
+            return F.struct(*[s[g].alias(g) for g in names])
+        grams = longer(s["g1"], s[names[-1]], n)
+        values = {g: s[g] for g in names} | {f"g{n}": grams}
+        return let_all(values, lambda x: build(x, n + 1, [*names, f"g{n}"]))
+
+    return let_all({"g1": tokens}, lambda s: build(s, 2, ["g1"]))
+
+
+def _occurrences(grams: Column) -> Column:
+    """The k-th copy of an element (k > 1) renamed to element + chr(1) + k, which makes a multiset a set."""
+
+    def rename(s: Column) -> Column:
+        ends = F.concat(F.slice(s["starts"], 2, F.size(s["starts"])), F.array(F.size(s["sorted"])))
+        copies = lambda a, b: F.transform(
+            F.sequence(F.lit(1), b - a),
+            lambda k: F.when(k == 1, F.get(s["sorted"], a)).otherwise(
+                F.concat(F.get(s["sorted"], a), F.lit("\u0001"), k.cast("string"))
+            ),
         )
+        return F.flatten(F.zip_with(s["starts"], ends, copies))
+
+    def runs(s: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), first)
+        return F.when(F.size(s) == 0, s).otherwise(let_all({"sorted": s, "starts": starts}, rename))
+
+    return let(F.sort_array(grams), runs)
 
-    return let(tokens, lambda t: F.concat(*[of_order(t, n) for n in range(1, ORDER + 1)]))
+
+def _clipped(hyp: Column, ref: Column) -> Column:
+    """Size of the multiset intersection: a set intersection once copies are numbered.
+
+    When either side has no copies, the plain set intersection is the same number.
+    """
+
+    def match(s: Column) -> Column:
+        plain = F.size(F.array_distinct(s["h"])) == F.size(s["h"])
+        numbered = F.array_intersect(_occurrences(s["h"]), _occurrences(s["r"]))
+        return F.when(plain, F.size(F.array_intersect(s["h"], s["r"]))).otherwise(F.size(numbered))
+
+    return let_all({"h": hyp, "r": ref}, match)
 
 
 def ngram_stats(tokens: DataFrame, keys: list[str] = SEGMENT) -> DataFrame:
     """Per segment: lengths, and for n = 1..4 clipped matches and totals.
 
-    Texts are shuffled by segment before they are taken apart: both aggregations then run inside that
-    partitioning, and the n-grams, many times the size of the text, never move. A hot system or direction is
-    spread over its segments. Segments without any n-gram keep their row.
+    A segment is finished inside its row: n-grams are neither exploded nor shuffled, and only the sums per
+    system and direction move. Rows without an available tokenizer are left out.
     """
-    grams = F.concat(_grams(F.col("hyp_tokens"), F.lit(1)), _grams(F.col("ref_tokens"), F.lit(0)))
-    # the extra (0, '') row carries the lengths, so that empty segments are not lost
-    lengths = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"), F.lit(0).alias("w")))
-    rows = tokens.filter(F.col("hyp_tokens").isNotNull()).repartition(*keys).select(
+    rows = tokens.filter(F.col("tokenizer") != NO_TOKENIZER).select(
         *keys,
-        F.size("hyp_tokens").alias("hyp_len"),
-        F.size("ref_tokens").alias("ref_len"),
-        F.inline(F.concat(lengths, grams)),
-    )
-    counts = rows.groupBy(*keys, "n", "gram").agg(
-        F.sum("w").alias("h"),
-        F.sum(1 - F.col("w")).alias("r"),
-        F.max(F.when(F.col("n") == 0, F.col("hyp_len"))).alias("hyp_len"),
-        F.max(F.when(F.col("n") == 0, F.col("ref_len"))).alias("ref_len"),
+        F.size("hyp_tokens").cast("long").alias("hyp_len"),
+        F.size("ref_tokens").cast("long").alias("ref_len"),
+        _orders(F.col("hyp_tokens")).alias("__h"),
+        _orders(F.col("ref_tokens")).alias("__r"),
     )
-    match = F.least("h", "r")
     per_n = []
     for n in range(1, ORDER + 1):
-        this = F.col("n") == n
-        per_n.append(F.coalesce(F.sum(F.when(this, match)), F.lit(0)).cast("long").alias(f"match{n}"))
-        per_n.append(F.coalesce(F.sum(F.when(this, F.col("h"))), F.lit(0)).cast("long").alias(f"total{n}"))
-    return counts.groupBy(*keys).agg(
-        F.max("hyp_len").cast("long").alias("hyp_len"), F.max("ref_len").cast("long").alias("ref_len"), *per_n
-    )
+        hyp, ref = F.col(f"__h.g{n}"), F.col(f"__r.g{n}")
+        per_n += [_clipped(hyp, ref).cast("long").alias(f"match{n}"), F.size(hyp).cast("long").alias(f"total{n}")]
+    return rows.select(*keys, "hyp_len", "ref_len", *per_n)
 
 
 def corpus_bleu(stats: DataFrame, by: list[str] = ["system", "direction"]) -> DataFrame:  # noqa: B006

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rand import pick, uniform
+from ..session import cut_lineage
 from .ordering import key_block, uniform_block, with_key_position, with_position
 
 # Up to here `row_number() <= n` is pruned to n rows per group in every task before it shuffles, which keeps
@@ -98,10 +99,15 @@ def interleave(
 def mix_nested(
     mono: DataFrame, web: DataFrame, key: str, seed: int, out: str = "draw"
 ) -> DataFrame:
-    """Two finished mixtures, numbered by `key` from 0, drawn half and half and shuffled."""
+    """Two finished mixtures, numbered by `key` from 0, drawn half and half and shuffled.
+
+    Pass the row keys of the mixtures and join the texts to the result. The keys are written once, because the
+    outer mixture reads them several times.
+    """
     both = mono.withColumn("mixture", F.lit("mono")).unionByName(
         web.withColumn("mixture", F.lit("web")), allowMissingColumns=True
     )
+    both = cut_lineage(both, "mixtures")
     mixed = interleave(both, key, ["mono", "web"], [0.5, 0.5], seed, "mixture", out="__draw")
     return shuffle_position(mixed, seed, "__draw", out).drop("__draw")
 

@@ -121,11 +121,13 @@ def build_preferences(aligned: DataFrame, scores: DataFrame, systems: tuple[str,
     return pivot.agg(F.max("hypothesis").alias("text"), F.max("score").alias("score"))
 
 
-def split_answer(vocab: Vocabulary, prompt: Column, answer: Column) -> Column:
+def split_answer(vocab: Vocabulary, prompt: Column, answer: Column, own: Column | None = None) -> Column:
     """struct(prompt_ids, answer_ids): the ids of prompt + answer, cut at the length of the prompt's own ids.
 
-    When the last prompt token merged with the answer, the cut moves one token to the left.
+    When the last prompt token merged with the answer, the cut moves one token to the left. `own` are the
+    prompt's ids where they are at hand.
     """
+    own = vocab.encode(prompt) if own is None else own
 
     def cut(s: Column) -> Column:
         n = F.size(s["own"])
@@ -136,7 +138,7 @@ def split_answer(vocab: Vocabulary, prompt: Column, answer: Column) -> Column:
             F.slice(s["full"], n + 1, F.size(s["full"])).alias("answer_ids"),
         )
 
-    return let_all({"full": vocab.encode(F.concat(prompt, answer)), "own": vocab.encode(prompt)}, cut)
+    return let_all({"full": vocab.encode(F.concat(prompt, answer)), "own": own}, cut)
 
 
 def encode_preference(
@@ -150,11 +152,9 @@ def encode_preference(
     if mode not in ("keep_start", "keep_end"):
         raise ValueError(f"Unknown truncation mode: {mode}")
     s = vocab.specials
-    rows = (
-        df.withColumn("__c", split_answer(vocab, F.col("prompt"), F.col("chosen")))
-        .withColumn("__r", split_answer(vocab, F.col("prompt"), F.col("rejected")))
-        .withColumn("__p", vocab.encode(F.col("prompt")))
-    )
+    rows = df.withColumn("__p", vocab.encode(F.col("prompt")))
+    for name, answer in (("__c", "chosen"), ("__r", "rejected")):
+        rows = rows.withColumn(name, split_answer(vocab, F.col("prompt"), F.col(answer), F.col("__p")))
     pc, pr = F.col("__c.prompt_ids"), F.col("__r.prompt_ids")
     n_c, n_r = F.size(pc), F.size(pr)
     shared = F.least(n_c, n_r)

@@ -88,11 +88,16 @@ def mix_nested(spark, sf):
     from ..operators.filters import join_sides_random
 
     names, probs = M.sort_mixture(LANGS, PROBS)
-    mono = M.interleave(X.mono(spark, sf), "doc_id", names, probs, X.SEED, "lang", out="place")
-    web = join_sides_random(X.parallel(spark, sf), X.SEED)
-    web = M.interleave(web, "seq", ["de", "es", "fr"], None, X.SEED, "lang_a", out="place")
-    mixed = M.mix_nested(mono.select("place", "raw_text"), web.select("place", "raw_text"), "place", X.SEED, "pos")
-    return mixed.select("pos", "mixture", "place", "raw_text")
+    docs, pairs = X.mono(spark, sf), join_sides_random(X.parallel(spark, sf), X.SEED)
+    mono = M.interleave(docs.select("lang", "doc_id"), "doc_id", names, probs, X.SEED, "lang", out="place")
+    web = M.interleave(pairs.select("lang_a", "seq"), "seq", ["de", "es", "fr"], None, X.SEED, "lang_a", out="place")
+    keys = M.mix_nested(
+        mono.select("place", F.col("doc_id").alias("row")), web.select("place", F.col("seq").alias("row")), "place", X.SEED, "pos"
+    )
+    texts = docs.select(F.lit("mono").alias("mixture"), F.col("doc_id").alias("row"), "raw_text").unionByName(
+        pairs.select(F.lit("web").alias("mixture"), F.col("seq").alias("row"), "raw_text")
+    )
+    return keys.join(texts, ["mixture", "row"]).select("pos", "mixture", "place", "raw_text")
 
 
 @query(f"SELECT doc_id, text AS raw_text, row_number() OVER (ORDER BY {uniform_sql('doc_id')}, doc_id) - 1 AS pos FROM documents")

@@ -14,7 +14,9 @@ S = X.SPECIALS
 
 
 def documents(spark, sf):
-    return W.stream_source(spark, "web", sf, name_filter="documents.parquet")
+    # one file is one task: spread its rows over the cores
+    rows = W.stream_source(spark, "web", sf, name_filter="documents.parquet")
+    return rows.repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 @query("SELECT doc_id, lang, text FROM documents")
