@@ -38,7 +38,7 @@ def iso3_codes(directions: str | list[str]) -> list[str]:
 
 
 def filter_language(df: DataFrame, directions: str | list[str], col: str = "language_code") -> DataFrame:
-    """Instruction rows in a requested language. At most 51 codes: an IN list reaches the scan."""
+    """Instruction rows in a requested language. At most 50 codes: an IN list reaches the scan."""
     return df.filter(F.col(col).isin(iso3_codes(directions)))
 
 

@@ -1,4 +1,4 @@
-"""The language dimension: 51 rows, fixed, therefore safe to broadcast."""
+"""The language dimension: 50 rows, fixed, therefore safe to broadcast."""
 
 from __future__ import annotations
 
