@@ -17,7 +17,7 @@ from .vocab import Vocabulary
 CANDIDATES = ("ref", "sys1", "sys2")
 
 
-def expand_preferences(df: DataFrame, directions: str | list[str]) -> DataFrame:
+def expand_preferences(df: DataFrame, directions: str | list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Wide preference rows to one example per requested direction, forward first.
 
     In: lang_x, text_x, sys1_x, sys2_x, {ref,sys1,sys2}_score_x for x in a, b; delta; required_direction.
@@ -38,7 +38,7 @@ def expand_preferences(df: DataFrame, directions: str | list[str]) -> DataFrame:
     both = F.filter(
         F.array(side(0, "a", "b"), side(1, "b", "a")), lambda x: F.concat_ws("-", x["src"], x["tgt"]).isin(wanted)
     )
-    passed = [c for c in ("seq", "delta", "required_direction") if c in df.columns]
+    passed = [c for c in (*keep, "seq", "delta", "required_direction") if c in df.columns]
     return df.select(*passed, F.inline(both)).withColumn("direction", F.concat_ws("-", "src", "tgt"))
 
 
@@ -88,9 +88,10 @@ def preference_triples(
     max_len: int = 256,
     mode: str = "reference",
     template: ChatTemplate | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """prompt, chosen, rejected for every requested direction of wide preference rows."""
-    rows = filter_required_direction(expand_preferences(df, directions))
+    rows = filter_required_direction(expand_preferences(df, directions, keep))
     rows = render_prompt(rows)
     if template:
         rows = rows.withColumn("prompt", template.prompt(F.col("prompt")))

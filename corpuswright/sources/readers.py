@@ -89,19 +89,24 @@ def read_source_text(spark: SparkSession, path: str, directions: str | list[str]
     return with_line_number(rows, (), "seq")
 
 
-def read_mono_json(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _numbered(raw: DataFrame, columns: list[Column | str], numbered: bool, by: tuple[str, ...] = ()) -> DataFrame:
+    """The columns alone, or with `seq`, the row's place in its group; numbering costs a shuffle."""
+    if not numbered:
+        return raw.select(*columns)
+    return with_line_number(with_file_columns(raw).select(*columns, "__file", "__offset", "__order"), by, "seq")
+
+
+def read_mono_json(spark: SparkSession, paths: list[str], numbered: bool = False) -> DataFrame:
     """Translation structs whose two sides are used as monolingual texts."""
-    return spark.read.schema(TRANSLATION).json(paths).select(*_sides(F.col("translation")))
+    return _numbered(spark.read.schema(TRANSLATION).json(paths), _sides(F.col("translation")), numbered)
 
 
-def read_web_mono(spark: SparkSession, path: str, langs: list[str], fmt: str = "parquet") -> DataFrame:
+def read_web_mono(
+    spark: SparkSession, path: str, langs: list[str], fmt: str = "parquet", numbered: bool = False
+) -> DataFrame:
     """(lang, raw_text) of web corpora partitioned by language; all other columns are pruned."""
-    schema = "text string, lang string"
-    return (
-        spark.read.format(fmt).schema(schema).load(path)
-        .filter(F.col("lang").isin(langs))
-        .select("lang", F.col("text").alias("raw_text"))
-    )
+    raw = spark.read.format(fmt).schema("text string, lang string").load(path).filter(F.col("lang").isin(langs))
+    return _numbered(raw, ["lang", F.col("text").alias("raw_text")], numbered, ("lang",))
 
 
 # Fixed value: the language whose web pairs come from another corpus.
@@ -138,10 +143,16 @@ def read_web_parallel(
 
 
 def read_instructions(
-    spark: SparkSession, path: str, directions: str | list[str], test: bool = False, fmt: str = "json"
+    spark: SparkSession,
+    path: str,
+    directions: str | list[str],
+    test: bool = False,
+    fmt: str = "json",
+    numbered: bool = False,
 ) -> DataFrame:
     """Instruction rows in the requested languages; test rows also carry `lang`, the two-letter code."""
-    rows = filter_language(spark.read.format(fmt).schema(INSTRUCTION).load(path), directions)
+    raw = filter_language(spark.read.format(fmt).schema(INSTRUCTION).load(path), directions)
+    rows = _numbered(raw, [*[c.split()[0] for c in INSTRUCTION.split(", ")]], numbered, ("language_code",))
     if not test:
         return rows
     dim = lang_dim(spark).select(F.col("iso3").alias("language_code"), "lang")
@@ -154,6 +165,7 @@ def read_preferences(
     directions: str | list[str],
     scorer: str = "xcomet_kiwi",
     systems: tuple[str, str] = ("sys1", "sys2"),
+    numbered: bool = False,
 ) -> DataFrame:
     """Wide preference rows of `<path>/lang_pair=xx-en/`, each unordered pair read once.
 
@@ -176,11 +188,8 @@ def read_preferences(
         for name, prefix in zip(("ref", "sys1", "sys2"), ("ref", *systems)):
             key = F.concat(F.lit(f"{prefix}_"), lang, F.lit(f"_{scorer}"))
             out.append(get(key).cast("double").alias(f"{name}_score_{side}"))
-    return rows.select(
-        *columns, *out,
-        get("Delta").cast("double").alias("delta"),
-        get("required_directions").alias("required_direction"),
-    )
+    human = [get("Delta").cast("double").alias("delta"), get("required_directions").alias("required_direction")]
+    return _numbered(rows, [*columns, *out, *human], numbered, ("lang_pair",))
 
 
 def read_shots(spark: SparkSession, folder: str, directions: str | list[str]) -> DataFrame:
