@@ -141,8 +141,8 @@ def report(bleu_scores: DataFrame, system_scores: DataFrame, directions: DataFra
     """
     wide = system_scores.groupBy("system", "direction").pivot("scorer", scorers).agg(F.max("score"))
     metrics = bleu_scores.join(wide, ["system", "direction"], "full")
-    request = F.broadcast(directions.select("position", "direction"))
-    return metrics.join(request, "direction", "right").select("position", "direction", "system", "bleu", *scorers)
+    request = directions.select("position", "direction")
+    return request.join(metrics, "direction", "left").select("position", "direction", "system", "bleu", *scorers)
 
 
 def report_long(report_rows: DataFrame, metrics: list[str]) -> DataFrame:

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import pick, uniform
 from ..session import cut_lineage
-from .ordering import key_block, uniform_block, with_key_position, with_position
+from .ordering import BLOCK_KEYS, key_block, uniform_block, with_key_position, with_position
 
 # Up to here `row_number() <= n` is pruned to n rows per group in every task before it shuffles, which keeps
 # the last task small; beyond it positions are counted by block instead.
 WINDOW_LIMIT = 1_000
 
+# Partners a join key of a mixture may have before its source is salted.
+REPEATS = 1_000
+
 
 def uniform_probs(n: int) -> list[float]:
     return [1.0 / n] * n
@@ -27,20 +30,44 @@ def sort_mixture(names: list[str], probs: list[float]) -> tuple[list[str], list[
     return [names[i] for i in order], [probs[i] for i in order]
 
 
-def draw_sources(spark: SparkSession, n: int, names: list[str], probs: list[float], seed: int) -> DataFrame:
-    """n draws: (draw, source)."""
+def draw_sources(
+    spark: SparkSession, n: int, names: list[str], probs: list[float], seed: int, first: int = 0
+) -> DataFrame:
+    """Draws first … n − 1: (draw, source)."""
     u = uniform(seed, F.col("id"))
-    return spark.range(n).select(F.col("id").alias("draw"), pick(u, names, probs).alias("source"))
+    return spark.range(first, n).select(F.col("id").alias("draw"), pick(u, names, probs).alias("source"))
+
+
+def _finishing_draws(
+    spark: SparkSession, n: int, sizes: dict[str, int], names: list[str], probs: list[float], seed: int
+) -> dict[str, int]:
+    """For every source that n draws finish: the draw that reads its last row for the first time.
+
+    Draws are counted per block; only the one block that holds the sought draw is looked into.
+    """
+    counts = draw_sources(spark, n, names, probs, seed).groupBy("source", key_block("draw").alias("blk")).count()
+    before = W.partitionBy("source").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
+    rank = F.lit(-1)
+    for s in names:
+        rank = F.when(F.col("source") == s, F.lit(sizes[s] - 1)).otherwise(rank)
+    placed = counts.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    hit = placed.filter((F.col("start") <= rank) & (rank < F.col("start") + F.col("count"))).collect()
+    found = {}
+    for row in hit:
+        lo, hi = row.blk * BLOCK_KEYS, min((row.blk + 1) * BLOCK_KEYS, n)
+        inside = draw_sources(spark, hi, names, probs, seed, lo).filter(F.col("source") == row.source)
+        upto = inside.orderBy("draw").limit(sizes[row.source] - row.start)
+        found[row.source] = upto.agg(F.max("draw")).first()[0]
+    return found
 
 
 def mixture_schedule(
     spark: SparkSession, sizes: dict[str, int], names: list[str], probs: list[float], seed: int
 ) -> DataFrame:
-    """The draws of an all-exhausted mixture: (draw, source, row), row cycling through the source.
+    """The draws of an all-exhausted mixture: (draw, source, row, cycle), row cycling through the source.
 
-    Drawing stops with the draw that finishes the last unfinished source. Enough draws exist when every
-    source was drawn at least as often as it has rows; the number starts at twice the expectation and
-    doubles until that holds, checked on counts only.
+    Drawing stops with the draw that finishes the last unfinished source. The number of draws tried starts at
+    twice the expectation and doubles until every source is finished.
     """
     empty = [s for s in names if sizes.get(s, 0) == 0]
     if empty:
@@ -49,20 +76,17 @@ def mixture_schedule(
         raise ValueError("an all-exhausted mixture needs positive probabilities")
     total = float(sum(probs))
     n = max(int(2 * max(sizes[s] * total / p for s, p in zip(names, probs))), 16)
-    while True:
-        draws = draw_sources(spark, n, names, probs, seed)
-        drawn = {r["source"]: r["count"] for r in draws.groupBy("source").count().collect()}
-        if all(drawn.get(s, 0) >= sizes[s] for s in names):
-            break
+    finished = _finishing_draws(spark, n, sizes, names, probs, seed)
+    while len(finished) < len(names):
         n *= 2
+        finished = _finishing_draws(spark, n, sizes, names, probs, seed)
+    draws = draw_sources(spark, max(finished.values()) + 1, names, probs, seed)
     size = F.coalesce(*[F.when(F.col("source") == s, F.lit(sizes[s]).cast("long")) for s in names])
-    numbered = with_key_position(draws, "draw", ("source",), "k").withColumn("__size", size)
-    cut = numbered.filter(F.col("k") == F.col("__size") - 1).agg(F.max("draw")).first()[0]
-    # the literal bound is pushed below the numbering, whose prefix counts it does not change
     return (
-        with_key_position(draws.filter(F.col("draw") <= cut), "draw", ("source",), "k")
+        with_key_position(draws, "draw", ("source",), "k")
         .withColumn("row", F.col("k") % size)
-        .select("draw", "source", "row")
+        .withColumn("cycle", F.floor(F.col("k") / size).cast("long"))
+        .select("draw", "source", "row", "cycle")
     )
 
 
@@ -76,12 +100,16 @@ def interleave(
     order_by: list[str] | None = None,
     block: Column | None = None,
     out: str = "draw",
+    repeats: int = REPEATS,
 ) -> DataFrame:
     """Draw rows of several sources by probability, oversampling until every source was read once.
 
     `df` holds all sources with a `source` column and a unique integer `key`; a source is read in key
     order, or in `order_by` order (with its `block`) when it was shuffled before. Schedule and positions are
     computed on (source, key) alone; texts move once, in the last join on (source, key).
+
+    Rows of a small source that is drawn often are join keys with many partners: such a source is copied
+    under several salts, one per `repeats` cycles, so that no key has more partners than that.
     """
     spark = df.sparkSession
     probs = probs or uniform_probs(len(names))
@@ -92,8 +120,18 @@ def interleave(
     numbered = with_position(
         narrow, order_by or [key], key_block(key) if block is None else block, (source,), "row"
     ).select(source, key, "row")
-    placed = schedule.join(numbered, [source, "row"]).select(source, key, F.col("draw").alias(out))
-    return placed.join(rows, [source, key])
+    join_on = [source]
+    # expected cycles of every source over the whole schedule
+    draws = max(sizes[s] * sum(probs) / p for s, p in zip(names, probs))
+    salts = {s: int(draws * p / sum(probs) / sizes[s] / repeats) + 1 for s, p in zip(names, probs)}
+    if max(salts.values()) > 1:
+        n_salts = F.coalesce(*[F.when(F.col(source) == s, F.lit(n)) for s, n in salts.items()])
+        copies = F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("__salt")
+        schedule = schedule.withColumn("__salt", (F.floor(F.col("cycle") / repeats) % n_salts).cast("int"))
+        numbered, rows = numbered.select("*", copies), rows.select("*", copies)
+        join_on = [source, "__salt"]
+    placed = schedule.join(numbered, [*join_on, "row"]).select(*join_on, key, F.col("draw").alias(out))
+    return placed.join(rows, [*join_on, key]).drop("__salt")
 
 
 def mix_nested(

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Keys per block. With unique integer keys no block can hold more rows than this, however skewed the data.
-BLOCK_KEYS = 1 << 20
-# Blocks for keys uniform in [0, 1).
-UNIFORM_BLOCKS = 1 << 12
+# Keys per block. With unique integer keys no block can hold more rows than this, however skewed the data. For
+# sparse keys (say, hashes) pass a `width` of about this many times the mean gap between keys.
+BLOCK_KEYS = 1 << 16
+# Blocks for keys uniform in [0, 1): the bound of the block table per group.
+UNIFORM_BLOCKS = 1 << 20
 
 
 def key_block(key: str, width: int = BLOCK_KEYS) -> Column:

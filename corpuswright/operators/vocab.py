@@ -22,7 +22,7 @@ from ..functions.arrays import IGNORE, int_lit, truncate
 from ..functions.text import py_strip, words
 from ..session import local_table
 
-LITERAL_LIMIT = 200_000
+LITERAL_LIMIT = 65_536
 
 
 @dataclass(frozen=True)

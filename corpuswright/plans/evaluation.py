@@ -13,6 +13,7 @@ from ..operators import inference as G
 from ..operators import outputs as O
 from ..operators import prompts as P
 from ..operators.directions import direction_dim
+from ..session import broadcast_if_small
 from .options import Options
 from .training import TEMPLATE, prompts_to_translate
 
@@ -36,7 +37,7 @@ def translate(
         from ..sources.readers import read_shots
 
         counts = read_shots(spark, opts.shots, opts.directions).select("direction", (F.size("shots") + 1).alias("__k"))
-        suffixed, k = suffixed.join(counts, "direction"), F.col("__k")
+        suffixed, k = suffixed.join(broadcast_if_small(counts, P.MAX_DIRECTIONS), "direction"), F.col("__k")
     cleaned = O.clean_output(py_strip(F.col("output")), F.col("suffix"), k)
     return suffixed.select("direction", "seg_id", cleaned.alias("output"))
 

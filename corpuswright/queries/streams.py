@@ -33,7 +33,19 @@ def stream_prepare(spark, sf):
     return rows.select("doc_id", "lang", joined("input_ids").alias("input_ids"))
 
 
-@query()
+# one micro-batch holds the whole table, so a shard is packed like one batch
+STREAM_PACK = {
+    **encoded_ctes("enc", "documents", "doc_id", X.strip_sql("text")),
+    "items": f"""SELECT d.lang, floor(('0x'||substr(md5('0:'||d.doc_id),1,8))::BIGINT/4294967296.0::DOUBLE * 4)::INT AS shard, d.doc_id,
+        list_concat(list_concat([{S.bos}], e.ids), [{S.eos}]) AS ids FROM enc e JOIN documents d ON d.doc_id = e.doc_id""",
+    "toks": "SELECT lang, shard, doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS ix FROM items",
+    "numbered": "SELECT *, row_number() OVER (PARTITION BY lang, shard ORDER BY doc_id, ix) - 1 AS p FROM toks",
+}
+
+
+@query(with_ctes("vocab", """
+SELECT lang, shard, p // 512 AS block_no, array_to_string(list(id ORDER BY p), ',') AS input_ids FROM numbered
+GROUP BY ALL HAVING count(*) = 512""", STREAM_PACK))
 def stream_pack(spark, sf):
     prepared = W.stream_prepare(documents(spark, sf), X.vocabulary(spark, sf))
     blocks = W.stream_pack(prepared, "input_ids", "doc_id", 512, ("lang",), shards=4)

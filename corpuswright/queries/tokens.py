@@ -134,6 +134,27 @@ def labels_ignore_pad(spark, sf):
     return token_rows(spark, sf).select("row_id", joined(A.ignore_value(F.col("input_ids"), S.pad)).alias("labels"))
 
 
+@query(with_ctes("vocab", f"""
+SELECT row_id, {arr(f'[CASE WHEN i <= n OR x = {S.pad} THEN -100 ELSE x END for x, i in ids]')} AS right_labels,
+       {arr(f'[CASE WHEN i > first AND i <= first + n OR x = {S.pad} THEN -100 ELSE x END for x, i in lids]')} AS left_labels,
+       {arr(ones_zeros_sql(WIDTH, 'n'))} AS prefix_mask
+FROM (SELECT row_id, ids, len(raw) // 3 AS n, {WIDTH} - len(raw) AS first, {pad_sql('raw', WIDTH, S.pad, 'left')} AS lids FROM rows)""", ROW_CTES))
+def labels_ignore_prompt(spark, sf):
+    """The first third of a row is its prompt, in right-padded and in left-padded rows."""
+    raw = F.filter("input_ids", lambda x: x != S.pad)
+    rows = token_rows(spark, sf).withColumn("raw", raw).withColumn("n", F.floor(F.size("raw") / 3).cast("int"))
+    rows = rows.withColumn("right", A.ignore_value(F.col("input_ids"), S.pad)).withColumn(
+        "left", A.ignore_value(A.pad_to(F.col("raw"), WIDTH, S.pad, "left"), S.pad)
+    )
+    start = A.first_index_not(F.col("left"), A.IGNORE)
+    return rows.select(
+        "row_id",
+        joined(A.ignore_span(F.col("right"), F.lit(0), F.col("n"))).alias("right_labels"),
+        joined(A.ignore_span(F.col("left"), start, F.col("n"))).alias("left_labels"),
+        joined(A.leading_ones(F.lit(WIDTH), F.col("n"))).alias("prefix_mask"),
+    )
+
+
 SHIFT = f"list_concat([{S.bos}], [CASE WHEN x = {S.pad} THEN -100 ELSE x END for x in ids][1:{WIDTH - 1}])"
 
 

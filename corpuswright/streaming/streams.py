@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.rand import uniform
 from ..operators.mixing import interleave, shuffle_position
 from ..operators.packing import mono_ids
 from ..operators.vocab import Vocabulary
@@ -90,7 +91,8 @@ def stream_pack(
     """
     keys = [*by, "shard"]
     names = [*by, "shard", "block_no", "input_ids"]
-    rows = stream.withColumn("shard", F.pmod(F.xxhash64(order), F.lit(shards)).cast("int")).select(*keys, order, ids)
+    shard = F.floor(uniform(0, F.col(order)) * shards).cast("int")
+    rows = stream.withColumn("shard", shard).select(*keys, order, ids)
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out_schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", block_no long, input_ids array<int>"
 

@@ -167,7 +167,39 @@ def naive_interleave(sizes, probs, seed):
 def test_interleave_equals_simulation(spark):
     sizes, probs = {"a": 45, "b": 29, "c": 6}, [0.2, 0.3, 0.5]
     got = M.mixture_schedule(spark, sizes, list(sizes), probs, 42).orderBy("draw").collect()
-    assert [tuple(r) for r in got] == naive_interleave(sizes, probs, 42)
+    assert [tuple(r)[:3] for r in got] == naive_interleave(sizes, probs, 42)
+
+
+def test_small_hot_source_is_salted(spark):
+    """Two rows that make up nine tenths of the draws, under many salts."""
+    rows = spark.range(202).select("id", F.when(F.col("id") < 2, "tiny").otherwise("large").alias("source"))
+    want = naive_interleave({"tiny": 2, "large": 200}, [0.9, 0.1], 5)
+    for repeats in (1, 7, 10_000):
+        mixed = M.interleave(rows, "id", ["tiny", "large"], [0.9, 0.1], 5, repeats=repeats).orderBy("draw").collect()
+        assert [(r.draw, r.source, r.id - (0 if r.source == "tiny" else 2)) for r in mixed] == want
+
+
+def test_streamed_packing_carries_tails(spark):
+    """Several micro-batches lose less than a block per shard, and nothing else."""
+    from corpuswright.session import work_dir
+    from corpuswright.streaming import streams as S
+
+    path = work_dir(spark, "packstream")
+    data = spark.range(300).select("id", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: (F.col("id") * 10 + i).cast("int")).alias("ids"))
+    data.repartition(6).write.parquet(path)
+    stream = S.stream_source(spark, "web", path, "id long, ids array<int>", files_per_trigger=2)
+    out = spark.read.parquet(S.run_to_table(S.stream_pack(stream, "ids", "id", 32, (), 2), "packed")).collect()
+    assert all(len(r.input_ids) == 32 for r in out)
+    ids = [x for r in out for x in r.input_ids]
+    assert len(ids) == len(set(ids)) and 1500 - len(ids) < 2 * 32
+    assert len({(r.shard, r.block_no) for r in out}) == len(out)
+
+
+def test_streams_refuse_instructions(spark):
+    from corpuswright.streaming import streams as S
+
+    with pytest.raises(ValueError):
+        S.stream_source(spark, "instructions", "/nowhere")
 
 
 def naive_pack(rows, batch, block):
