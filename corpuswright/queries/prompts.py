@@ -60,7 +60,7 @@ def prompt_length_by_direction(spark, sf):
     )
 
 
-# Spanish has no localized prompt, so the request here is German only
+# Spanish has no localized prompt and would be an error, so it is not requested here
 @query(with_ctes("prompted local", """
 SELECT seq, direction, CASE WHEN tgt = 'en' THEN prompt ELSE prefix||src_text||suffix END AS prompt
 FROM prompted p JOIN local l ON l.lang = p.tgt WHERE direction <> 'en-es'"""))
@@ -132,7 +132,6 @@ def full_text(spark, sf):
     return P.full_text(P.render_prompt(expanded(spark, sf))).select("seq", "direction", "full_text")
 
 
-# a document whose first line is blank gives an empty side
 @query(with_ctes("parallel", """
 SELECT seq, 0 AS side, lang_a AS lang, text_a AS text FROM parallel WHERE text_a <> ''
 UNION ALL SELECT seq, 1, lang_b, text_b FROM parallel WHERE text_b <> ''"""))
