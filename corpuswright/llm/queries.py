@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .decontaminate import contamination
+from .langmodel import score_texts
 from .linededup import drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix_plan
+from .rules import judge_quality
 from .samples import held_out
-from .toxicity import fit, toxicity_score
+from .secrets import scan_secrets
+from .urlfilter import judge_urls, rule_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -180,8 +184,68 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learnt from the rows whose crc32(doc_id) mod 3 is not 1."""
     docs = _table(spark, sf_dir, "documents")
-    net = fit(docs, _table(spark, sf_dir, "labels"))
-    score = toxicity_score(F.col("text"), net, spark)
+    net = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    score = toxicity.toxicity_score(F.col("text"), net, spark)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.7).cast("int")
     )
+
+
+@register()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the rows whose crc32(doc_id) mod 3 is not 1."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    score = quality.quality_score(F.col("text"), model, spark)
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
+
+
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+_URL_SQL = rf"""
+WITH p AS (
+    SELECT page_id, coalesce({_LOW.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), r (r_host, r_path, r_verdict) AS (
+    VALUES {', '.join(str(r) for r in RULES)}
+), hits AS (
+    SELECT page_id, r_host || r_path AS rule, r_verdict,
+        row_number() OVER (PARTITION BY page_id ORDER BY length(r_host || r_path) DESC, length(r_host) DESC) AS nth
+    FROM p JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+)
+SELECT p.page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM p LEFT JOIN hits ON hits.page_id = p.page_id AND nth = 1
+"""
+
+
+@register(_URL_SQL)
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that each page's URL falls under, and its verdict."""
+    return judge_urls(_table(spark, sf_dir, "pages"), rule_table(spark, RULES))
+
+
+@register()
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether it is kept."""
+    return judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@register()
+def op3_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all texts under a bigram model learnt from those that are not held out."""
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
+@register()
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of secrets in all documents with the forest's verdict; the values themselves stay out of the result."""
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_no", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "secret")

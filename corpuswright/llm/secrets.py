@@ -1,0 +1,154 @@
+"""Secret scan: candidates by form, false positives removed by a random forest, with DataFrame functions only.
+
+A candidate is a word that ends in a run of `LEAST_LENGTH` or more letters, digits and `_+/-` with a digit in it (and up
+to two `=` behind). The forest sees the run's length, its shares of character classes and their transitions, how much of
+it dictionary words cover, whether it lies in a path or an address, and the words around it. It is trained from labelled
+findings: a table of findings with a verdict. Where a user has none, `weak_labels` makes them from the formats that
+issuers publish; the forest never sees the formats, only the features.
+
+The dictionary holds the `DICTIONARY` most frequent words of the whole corpus. The training sample is bounded by
+`SAMPLE` findings of each kind. Everything else covers every whole text.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.let import let
+from ..session import cut_lineage
+from .rules import word_list
+from .samples import learnable
+
+LEAST_LENGTH = 12
+DICTIONARY = 400
+SAMPLE = 4_000
+TREES, DEPTH, SEED = 20, 6, 17
+
+#: fixed values: names of secrets as they stand in front of one, and the published form of access key ids
+_NAMES = r"(?i)(passw|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
+_KEY_ID = r"^(AKIA|ASIA)[0-9A-Z]{16}$"
+
+_RUN = rf"([A-Za-z0-9_+/\-]{{{LEAST_LENGTH},}}={{0,2}})[^A-Za-z0-9=]*$"
+_CLASSES = (("digits", "[0-9]"), ("upper", "[A-Z]"), ("lower", "[a-z]"))
+FEATURES = (
+    "length", "digits", "upper", "lower", "hex", "transitions", "variety", "covered", "path", "address", "named", "assigned", "quoted", "word_before", "word_after",
+)
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
+    """One row per candidate: doc_id, digest (of the text), word_no (from 0), value, lead (the word in front of the value), before, after, path.
+
+    Null and empty texts have none; repeated rows give their candidates as often.
+    """
+    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
+
+    def found(words: Column) -> Column:
+        marked = F.transform(
+            words,
+            lambda w, i: F.when(
+                (F.length(w) >= LEAST_LENGTH) & w.rlike("[0-9]") & w.rlike(_RUN),
+                F.struct(
+                    i.cast("long").alias("word_no"), w.alias("word"),
+                    F.coalesce(F.get(words, i - 1), F.lit("")).alias("before"), F.coalesce(F.get(words, i - 2), F.lit("")).alias("before2"),
+                    F.coalesce(F.get(words, i + 1), F.lit("")).alias("after"),
+                ),
+            ),
+        )
+        return F.filter(marked, lambda c: c.isNotNull())
+
+    each = docs.select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), path.alias("path"), F.explode(let(word_list(F.col(text_col)), found)).alias("c")
+    )
+    value = F.regexp_extract("c.word", _RUN, 1)
+    return (
+        each.withColumn("value", value)
+        .where(F.col("value").rlike("[0-9]"))
+        .select(
+            "doc_id", "digest", F.col("c.word_no").alias("word_no"), "value",
+            F.expr("substring(c.word, 1, locate(value, c.word) - 1)").alias("lead"),
+            F.concat_ws(" ", "c.before2", "c.before").alias("before"), F.col("c.after").alias("after"), "path",
+        )
+    )
+
+
+def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:
+    """The most frequent words of three or more letters, lower-cased: a report of bounded length over all texts."""
+    words = docs.select(F.explode(word_list(F.col(text_col))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    plain = words.select(F.regexp_replace(F.lower("w"), r"^[^\p{L}]+|[^\p{L}]+$", "").alias("w"), "n").where(r"w rlike '^\\p{L}{3,}$'")
+    best = plain.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(size).collect()
+    return [r["w"] for r in best]
+
+
+def with_features(found: DataFrame, words: list[str]) -> DataFrame:
+    value, lead = F.col("value"), F.col("lead")
+    size = F.length(value).cast("double")
+    share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / size
+    changes = F.regexp_count(value, F.lit("(?<=[0-9])(?![0-9]|$)|(?<=[A-Z])(?![A-Z]|$)|(?<=[a-z])(?![a-z]|$)"))
+    chars = F.size(F.array_distinct(F.split(value, "")))
+    if words:
+        hit = F.aggregate(
+            F.split(F.lit(" ".join(words)), " "), F.lit(0), lambda n, w: n + F.when(F.contains(F.lower(value), w), F.length(w)).otherwise(0)
+        )
+        covered = F.least(F.lit(1.0), hit / size)
+    else:
+        covered = F.lit(0.0)
+    flag = lambda c: c.cast("double")
+    context = F.concat_ws(" ", "before", "lead")
+    columns = {
+        "length": size,
+        **{name: share(pattern) for name, pattern in _CLASSES},
+        "hex": flag(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
+        "transitions": changes / size,
+        "variety": chars / size,
+        "covered": covered,
+        "path": flag(F.contains(value, F.lit("/")) | lead.rlike("/$") | F.col("path").rlike(r"(?i)(test|example|sample|fixture)")),
+        "address": flag(lead.rlike("(@|://|[.])")),
+        "named": flag(context.rlike(_NAMES)),
+        "assigned": flag(lead.rlike("[=:]['\"]?$") | F.col("before").rlike("[=:]$")),
+        "quoted": flag(lead.rlike("['\"]$")),
+        "word_before": flag(F.col("before").rlike(r"^[\p{L} ,.]+$")),
+        "word_after": flag(F.col("after").rlike(r"^[\p{L},.]+$")),
+    }
+    return found.withColumns({f"f_{k}": v.cast("double") for k, v in columns.items()})
+
+
+def weak_labels(found: DataFrame) -> DataFrame:
+    """Labelled findings from published forms: key ids of their form, and values assigned to a secret's name, are secrets."""
+    context = F.concat_ws(" ", "before", "lead")
+    key = F.col("value").rlike(_KEY_ID)
+    given = context.rlike(_NAMES) & (F.col("lead").rlike("[=:]['\"]?$") | F.col("before").rlike("[=:]$"))
+    return found.withColumn("secret", (key | given).cast("int"))
+
+
+def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
+    """One row per candidate: doc_id, word_no, value, score (share of the forest's votes), secret.
+
+    `labelled` has value, lead, before, after, path and secret (0 or 1); without it findings are labelled by form, on
+    the rows whose crc32 of the id is not 1 mod 3. If the sample lacks one of the two kinds, every candidate of the
+    corpus gets the verdict of the other kind, and no candidates give no rows. Repeated rows repeat their findings.
+    """
+    found = cut_lineage(candidates(docs, id_col, text_col, path_col), "secrets-found")
+    words = dictionary(docs, text_col)
+    seen = with_features(found, words)
+    if labelled is None:
+        labelled = weak_labels(found.where(learnable(F.col("doc_id"))))
+    pool = with_features(labelled.where("secret in (0, 1) and value is not null"), words)
+    counts = {r["secret"]: r["n"] for r in pool.groupBy("secret").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        only = float(next(iter(counts), 0))
+        return seen.select("doc_id", "word_no", "value", F.lit(only).alias("score"), F.lit(only > 0.5).alias("secret"))
+    # a bounded share of each kind, by a digest of the finding
+    place = F.xxhash64("value", "lead", "before", "after").bitwiseAND(F.lit((1 << 30) - 1))
+    limit = F.when(F.col("secret") == 1, int(min(1.0, SAMPLE / counts[1]) * (1 << 30))).otherwise(int(min(1.0, SAMPLE / counts[0]) * (1 << 30)))
+    sample = cut_lineage(pool.where(place < limit).select(*(f"f_{k}" for k in FEATURES), F.col("secret").cast("double").alias("label")), "secrets-sample")
+    assemble = VectorAssembler(inputCols=[f"f_{k}" for k in FEATURES], outputCol="features")
+    # one partition of a bounded sample, in one order: reruns grow the same trees
+    ordered = assemble.transform(sample.coalesce(1).sortWithinPartitions("label", *(f"f_{k}" for k in FEATURES)))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(ordered)
+    votes = vector_to_array(F.col("probability"))[1]
+    scored = forest.transform(assemble.transform(seen)).withColumn("score", F.round(votes, 6))
+    return scored.select("doc_id", "word_no", "value", "score", (F.col("score") >= 0.5).alias("secret"))
