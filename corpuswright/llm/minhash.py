@@ -7,8 +7,8 @@ on the full sets:
 1. every bucket tests its members against one centre (linear in the bucket);
 2. members that already belong to one component need no further test;
 3. for the rest, a pair inside a bucket is tested unless it cannot be a link: the sizes, together with the number of
-   shingles that only one candidate has, bound the similarity from above, and a sketch of the signature must agree
-   within `SKETCH_SIGMAS` standard deviations.
+   shingles that only one candidate has, bound the similarity from above, and sketches of minima and maxima (two bits of
+   the signature in step 1, one bit of 2 * `WIDE` values here) must agree within `SKETCH_SIGMAS` standard deviations.
 
 Nothing is capped. The chance that a pair at the threshold shares no band is at most `MISS`.
 """
@@ -29,12 +29,15 @@ from .components import components
 from .texts import LOWER, Words, chain, mix, words
 
 SHINGLE = 5
-PERMUTATIONS = 96  # each gives two signature values
+PERMUTATIONS = 76  # each gives two signature values
 MISS = 1e-5
 SKETCH_SIGMAS = 5.0
-SIZE_STEP = 1.02  # ratio of neighbouring size bins
+SIZE_STEP = 1.05  # ratio of neighbouring size bins
+WIDE = 512  # permutations of the longer sketch that candidates of step 3 get
 
 _ROUND = 1 << 18  # shingles hashed at a time
+_PLANE = -(-2 * PERMUTATIONS // 64)
+_MAP_BYTES = 3  # of a fingerprint; the bit map of candidates has 2 ** 24 bits whatever the corpus
 
 
 def band_rows(percent: int, values: int = 2 * PERMUTATIONS, miss: float = MISS) -> int:
@@ -56,15 +59,15 @@ def shingle_sets(piece: Words, n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return seeds[:PERMUTATIONS] | np.uint64(1), seeds[PERMUTATIONS:]
+def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = mix(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return seeds[::2] | np.uint64(1), seeds[1::2]
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], count: int = PERMUTATIONS) -> np.ndarray:
     """Minimum and maximum of each set under each permutation, one row per set; no set may be empty."""
-    factors, shifts = _permutations()
-    out = np.empty((len(sets), 2 * PERMUTATIONS), np.uint64)
+    factors, shifts = _permutations(count)
+    out = np.empty((len(sets), 2 * count), np.uint64)
     sizes = np.array([len(s) for s in sets])
     row = 0
     while row < len(sets):
@@ -75,11 +78,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         flat = np.concatenate(sets[row:end])
         at = np.concatenate(([0], np.cumsum(sizes[row : end - 1]))).astype(np.int64)
         value = np.empty_like(flat)
-        for p in range(PERMUTATIONS):
+        for p in range(count):
             np.multiply(flat, factors[p], out=value)
             np.add(value, shifts[p], out=value)
             out[row:end, p] = np.minimum.reduceat(value, at)
-            out[row:end, PERMUTATIONS + p] = np.maximum.reduceat(value, at)
+            out[row:end, count + p] = np.maximum.reduceat(value, at)
         row = end
     return out
 
@@ -89,8 +92,12 @@ def _fingerprint(s: np.ndarray) -> bytes:
 
 
 def _sketch(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each signature value in two planes of 64-bit words."""
-    planes = [np.packbits(((sig >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), axis=1).view(">u8").astype(np.int64) for k in (13, 29)]
+    """Two bits of each signature value in two planes of 64-bit words; the bits left over are 0 in all."""
+    bits = np.zeros((len(sig), 64 * _PLANE), np.uint8)
+    planes = []
+    for k in (13, 29):
+        bits[:, : sig.shape[1]] = (sig >> np.uint64(k)) & np.uint64(1)
+        planes.append(np.packbits(bits, axis=1).view(">u8").astype(np.int64))
     return np.concatenate(planes, axis=1)
 
 
@@ -135,37 +142,73 @@ def _sign(rows: int):
     return run
 
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _expand(shared):
+    """Sets of the texts whose fingerprint's first bytes are marked, each once per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked, seen = shared.value, set()
+        for batch in batches:
+            for piece in words(batch.column(0), LOWER):
+                names, sets = [], []
+                for s in shingle_sets(piece):
+                    name = _fingerprint(s) if len(s) else None
+                    if name and name not in seen and marked[int.from_bytes(name[:_MAP_BYTES], "big")]:
+                        seen.add(name)
+                        names.append(name)
+                        sets.append(s)
+                at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))],
+                    names=["fp", "shingles"],
+                )
+
+    return run
+
+
+def _marks(fps: DataFrame) -> np.ndarray:
+    """Which first bytes of a fingerprint occur: a map of fixed size, gathered in at most 2 ** 18 words."""
+    place = F.conv(F.hex(F.substring("fp", 1, _MAP_BYTES)), 16, 10).cast("long")
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    rows = fps.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    words_ = np.zeros(1 << (8 * _MAP_BYTES - 6), np.int64)
+    for r in rows:
+        words_[r["word"]] = r["bits"]
+    return np.unpackbits(words_.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bit of each of 2 * WIDE extremes of given sets."""
     for batch in batches:
-        for piece in words(batch.column(0), LOWER):
-            sets = [s for s in shingle_sets(piece) if len(s)]
-            at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))],
-                names=["fp", "shingles"],
-            )
+        lists = batch.column(1)
+        flat, at = np.asarray(lists.flatten()).view(np.uint64), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
+        sig = signatures([flat[a:b] for a, b in zip(at[:-1], at[1:])], WIDE) if len(batch) else np.zeros((0, 2 * WIDE), np.uint64)
+        bits = np.packbits(((sig >> np.uint64(17)) & np.uint64(1)).astype(np.uint8), axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bits.view(">u8").astype(np.int64))], names=["c", "wide"])
 
 
-def sketch_floor(percent: int) -> int:
-    """How many of the signature values must agree in the sketch for a pair to be tested."""
-    s, n = percent / 100, 2 * PERMUTATIONS
-    p = 0.25 + 0.75 * s
-    return math.floor(n * p - SKETCH_SIGMAS * math.sqrt(n * p * (1 - p)))
+def _floor(values: int, chance: float, percent: int) -> int:
+    """How many of the sketched values agree at least, if unlike values agree by `chance`."""
+    p = chance + (1 - chance) * percent / 100
+    return math.floor(values * p - SKETCH_SIGMAS * math.sqrt(values * p * (1 - p)))
 
 
 def _agrees(a: str, b: str, percent: int):
-    planes = 2 * PERMUTATIONS // 64
     apart = sum(
-        F.bit_count(F.expr(f"({a}[{k}] ^ {b}[{k}]) | ({a}[{k + planes}] ^ {b}[{k + planes}])")) for k in range(planes)
+        F.bit_count(F.expr(f"({a}[{k}] ^ {b}[{k}]) | ({a}[{k + _PLANE}] ^ {b}[{k + _PLANE}])")) for k in range(_PLANE)
     )
-    return F.lit(2 * PERMUTATIONS) - apart >= sketch_floor(percent)
+    return F.lit(2 * PERMUTATIONS) - apart >= _floor(2 * PERMUTATIONS, 0.25, percent)
+
+
+def _agrees_wide(a: str, b: str, percent: int):
+    apart = sum(F.bit_count(F.expr(f"{a}[{k}] ^ {b}[{k}]")) for k in range(2 * WIDE // 64))
+    return F.lit(2 * WIDE) - apart >= _floor(2 * WIDE, 0.5, percent)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; a joins first, so that a common b moves last."""
-    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return (
         pairs.join(left, "a").join(right, "b")
@@ -193,26 +236,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     id_type = source.schema["id"].dataType.simpleString()
     signed = cut_lineage(source.mapInArrow(_sign(rows), f"id {id_type}, {_SIGNED}"), "minhash-signed")
 
+    # a class gets a number when it is written; what follows moves numbers and not fingerprints
     classes = cut_lineage(
         signed.where("fp is not null")
         .groupBy("fp")
-        .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        .agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .withColumn("c", F.monotonically_increasing_id()),
         "minhash-classes",
     )
-    keyed = classes.select("fp", F.explode("bands").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("fp").alias("centre")).where("members > 1").drop("members")
+    keyed = classes.select("c", F.explode("bands").alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
     members = cut_lineage(keyed.join(crowded, "key"), "minhash-members")
-
-    candidates = members.select("fp").distinct()
-    slim = cut_lineage(classes.join(candidates, "fp", "left_semi").select("fp", "id", "n", "sketch"), "minhash-candidates")
-    wanted = slim.select("id").distinct()
-    texts = source.join(wanted, source["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_expand, "fp binary, shingles array<long>").join(slim.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    # the centre of a bucket is the member with the most neighbours in all its buckets, such as the text that copies come from
+    known = members.groupBy("c").agg(F.sum("crowd").alias("known"))
+    slim = cut_lineage(classes.join(known, "c").select("c", "fp", "id", "n", "sketch", "known"), "minhash-candidates")
+    centres = members.join(slim.select("c", "known"), "c").groupBy("key").agg(F.max_by("c", F.struct("known", -F.col("c"))).alias("centre"))
+    members = cut_lineage(members.select("key", "c").join(centres, "key"), "minhash-centres")
+
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(slim))
+    sets = source.select("text").mapInArrow(_expand(shared), "fp binary, shingles array<long>")
+    sets = sets.groupBy("fp").agg(F.first("shingles").alias("shingles")).join(slim.select("fp", "c"), "fp").select("c", "shingles")
     sets = cut_lineage(sets, "minhash-sets")
 
-    look = slim.select("fp", "n", "sketch")
+    look = slim.select("c", "n", "sketch")
     star = (
-        members.where("fp <> centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
+        members.where("c <> centre").select(F.col("c").alias("a"), F.col("centre").alias("b")).distinct()
         .join(look.toDF("a", "na", "ska"), "a")
         .join(look.toDF("b", "nb", "skb"), "b")
         .where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & _agrees("ska", "skb", percent))
@@ -221,41 +269,35 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     links = cut_lineage(_confirm(star, sets, percent), "minhash-star")
     roots = cut_lineage(components(links), "minhash-roots")
 
-    rest = members.join(roots.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rest = members.join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     torn = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = cut_lineage(rest.join(torn, "key", "left_semi").where("fp <> centre"), "minhash-rest")
-    left = rest.select("fp").distinct()
+    rest = cut_lineage(rest.join(torn, "key", "left_semi").where("c <> centre"), "minhash-rest")
+    left = rest.select("c").distinct()
     alone = (
-        sets.join(left, "fp", "left_semi")
-        .select("fp", F.explode("shingles").alias("shingle"))
-        .groupBy("shingle").agg(F.count("*").alias("df"), F.min("fp").alias("fp"))
+        sets.join(left, "c", "left_semi")
+        .select("c", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle").agg(F.count("*").alias("df"), F.min("c").alias("c"))
         .where("df = 1")
-        .groupBy("fp").agg(F.count("*").alias("own"))
+        .groupBy("c").agg(F.count("*").alias("own"))
     )
+    wide = sets.join(left, "c", "left_semi").mapInArrow(_widen, "c long, wide array<long>")
     bounds = cut_lineage(
-        look.join(left, "fp", "left_semi").join(alone, "fp", "left")
-        .select("fp", "n", "sketch", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m")),
+        slim.select("c", "n").join(wide, "c").join(alone, "c", "left")
+        .select("c", "n", "wide", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m")),
         "minhash-bounds",
     )
-    # b, of size s, is similar to a, of size n with m shared shingles, only if t * n <= s <= m * (1 + 1 / t) - n
+    # b, of size s >= n, is similar to a, of size n with m shared shingles, only if s <= m * (1 + 1 / t) - n
     most = F.floor(F.col("m") * (1 + 1 / t) - F.col("n") + 1e-6)
-    wide = bounds.withColumn("least", F.greatest(F.lit(1), F.floor(F.col("n") * t - 1e-6))).withColumn("most", most).where("most >= least")
-    asks = (
-        rest.join(wide, "fp")
-        .select("key", F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("sketch").alias("ska"),
-                F.explode(F.sequence(_bin(F.col("least")), _bin(F.col("most")))).alias("bin"))
-    )
-    gives = (
-        rest.join(bounds, "fp")
-        .select("key", F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("sketch").alias("skb"),
-                _bin(F.col("n")).alias("bin"))
-    )
+    member = lambda x: [F.col("key"), F.col("c").alias(x), *(F.col(k).alias(k[0] + x) for k in ("root", "n", "m", "wide"))]
+    askers = bounds.withColumn("most", most).where("most >= n")
+    asks = rest.join(askers, "c").select(*member("a"), F.explode(F.sequence(_bin(F.col("n")), _bin(F.col("most")))).alias("bin"))
+    gives = rest.join(bounds, "c").select(*member("b"), _bin(F.col("n")).alias("bin"))
     top = F.least("ma", "mb")
     pairs = (
         asks.join(gives, ["key", "bin"])
         .where(
-            (F.col("na") <= F.col("nb")) & (F.col("ra") != F.col("rb")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-            & (top * 100 >= (F.col("na") + F.col("nb") - top) * percent) & _agrees("ska", "skb", percent)
+            (F.col("ra") != F.col("rb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+            & (top * 100 >= (F.col("na") + F.col("nb") - top) * percent) & _agrees_wide("wa", "wb", percent)
         )
         .select("a", "b").distinct()
     )
@@ -267,13 +309,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
     )
     outer = components(joined).toDF("root", "top")
-    final = roots.toDF("fp", "root").join(outer, "root", "full").select(
-        F.coalesce("fp", "root").alias("fp"), F.coalesce("top", "root").alias("top")
-    ).distinct()
-    label = (
-        classes.select("fp", "id").join(final, "fp", "left")
-        .select("fp", "id", F.coalesce("top", "fp").alias("top"))
-    )
+    final = roots.toDF("c", "root").join(outer, "root", "full").select(F.coalesce("c", "root").alias("c"), F.coalesce("top", "root").alias("top")).distinct()
+    label = classes.select("fp", "id", "c").join(final, "c", "left").select("fp", "id", F.coalesce("top", "c").alias("top"))
     least = label.groupBy("top").agg(F.min("id").alias("component_id"))
     label = label.join(least, "top").select("fp", "top", "component_id")
     return (
