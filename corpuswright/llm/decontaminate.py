@@ -32,7 +32,7 @@ class Phrases:
     """The windows of one block of benchmark items as rows of word numbers, by length."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        names, rows = [name for name, _ in items], defaultdict(list)
+        self.names, rows = [name for name, _ in items], defaultdict(list)
         hashes = []
         for piece in words(pa.array([text for _, text in items], pa.string()), ALNUM):
             hashes += [piece.hashes[a:b] for a, b in zip(piece.bounds[:-1], piece.bounds[1:])]
@@ -44,7 +44,6 @@ class Phrases:
             size = min(window, len(ids))
             for cut in np.lib.stride_tricks.sliding_window_view(ids, size):
                 rows[size].append((k, cut))
-        self.names = np.array(names, dtype=object)
         # equal windows are searched once; owners[size][w] are the items of window w
         self.patterns, self.owners = {}, {}
         for size, found in rows.items():
@@ -119,7 +118,7 @@ def search_shard(column: pa.Array, phrases: Phrases) -> pa.Array:
         [
             pa.array(sizes),
             pa.array([[{"lo": a, "hi": b} for a, b in m] for m in merged], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-            pa.array([sorted(phrases.names[list(i)].tolist()) for i in items], pa.list_(pa.string())),
+            pa.array([sorted({phrases.names[k] for k in i}) for i in items], pa.list_(pa.string())),
         ],
         names=["n_words", "spans", "items"],
     )

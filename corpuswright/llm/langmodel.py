@@ -344,10 +344,10 @@ def score_texts(docs: DataFrame, held_out=held_out_rows, id_col: str = "doc_id",
 
 
 def _levels(counts_shared):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         sent = table.filter(pa.compute.invert(table["head"]))
         trie, _, _ = _Shard.of(sent["block"].to_pylist(), [x.as_py() for x in sent["data"]]).trie(counts_shared.value)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in trie.levels().items()})
+        return pa.table({"shard": table["shard"].combine_chunks()[:1]} | {k: pa.array([v], pa.binary()) for k, v in trie.levels().items()})
 
     return run
 

@@ -49,8 +49,8 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def components(rows: list[tuple], percent: int) -> list[int | None]:
-    """The component label of each row, by comparing all pairs."""
+def groups(rows: list[tuple], percent: int) -> list[list[int]]:
+    """The components as lists of row numbers, by comparing all pairs."""
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -66,14 +66,30 @@ def components(rows: list[tuple], percent: int) -> list[int | None]:
     members = defaultdict(list)
     for k in range(len(rows)):
         members[find(k)].append(k)
+    return list(members.values())
+
+
+def components(rows: list[tuple], percent: int) -> list[int | None]:
+    """The component label of each row."""
     out: list[int | None] = [None] * len(rows)
-    for group in members.values():
+    for group in groups(rows, percent):
         ids = [rows[k][0] for k in group if rows[k][0] is not None]
         for k in group:
             out[k] = min(ids, default=None)
     return out
 
 
+def one_of_each(rows: list[tuple], percent: int) -> list[int]:
+    """The rows that stay: of each component that of the smallest id, and all rows without a word."""
+    out = []
+    for group in groups(rows, percent):
+        worded = [k for k in group if shingles(rows[k][1])]
+        out += [k for k in group if k not in worded]
+        if worded:
+            out.append(min(worded, key=lambda k: (rows[k][0] is None, rows[k][0] or 0)))
+    return out
+
+
 def contaminated(text: str | None, items: list[tuple[str, str | None]], window: int = 10) -> tuple[int, set[int], list[str]]:
     doc, hit, names = words(text, ALNUM_WORD), set(), set()
     for name, item in items:
