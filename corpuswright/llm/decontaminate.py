@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
+from .shared import restore, share
 from .texts import ALNUM, column_udf, words
 
 WINDOW = 10
@@ -154,8 +155,8 @@ def contamination(text, benchmark: DataFrame, item_col: str = "item_id", text_co
     """
     found = []
     for block in _blocks(benchmark, item_col, text_col, block_items):
-        shared = benchmark.sparkSession.sparkContext.broadcast(Phrases(block, window))
-        found.append(column_udf(lambda t, shared=shared: search_shard(t, shared.value), _FOUND)(text))
+        shared = share(benchmark.sparkSession, Phrases(block, window))
+        found.append(column_udf(lambda t, shared=shared: search_shard(t, restore(Phrases, shared)), _FOUND)(text))
     if not found:
         none = Phrases([], window)
         found.append(column_udf(lambda t: search_shard(t, none), _FOUND)(text))

@@ -30,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..session import cut_lineage
 from .eliasfano import Trie
 from .samples import crc_of
+from .shared import restore, share
 from .texts import LOWER, Words, mix, words
 
 TOP = 1 << 16
@@ -156,7 +157,7 @@ def _send(counts_shared):
     """Per block: one row of ids, and for each shard the pairs it owns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, done = counts_shared.value, 0
+        counts, done = restore(Counts, counts_shared), 0
         for batch in batches:
             held = np.asarray(batch.column(1))
             for piece in words(batch.column(2), LOWER, BLOCK_BYTES):
@@ -265,7 +266,7 @@ _RETURNED = "block string, head boolean, data binary"
 
 def _score(counts_shared):
     def run(table: pa.Table) -> pa.Table:
-        counts = counts_shared.value
+        counts = restore(Counts, counts_shared)
         heads = table.filter(table["head"]).select(["block", "head", "data"])
         sent = table.filter(pa.compute.invert(table["head"]))
         shard = _Shard.of(sent["block"].to_pylist(), [x.as_py() for x in sent["data"]])
@@ -296,7 +297,7 @@ def _score(counts_shared):
 
 def _gather(counts_shared, id_type: pa.DataType):
     def run(table: pa.Table) -> pa.Table:
-        counts = counts_shared.value
+        counts = restore(Counts, counts_shared)
         head = next(d for d, h in zip(table["data"], table["head"]) if h.as_py()).as_py()
         ids = pa.ipc.open_stream(head).read_all()
         n_tokens = ids["n_tokens"].to_numpy()
@@ -321,7 +322,7 @@ def _gather(counts_shared, id_type: pa.DataType):
 def _exchange(docs: DataFrame, held_out, id_col: str, text_col: str, shard_tokens: int, top: int):
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     counts = word_counts(source, shard_tokens, top)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = share(docs.sparkSession, counts)
     return source, shared, source.mapInArrow(_send(shared), _SENT)
 
 
@@ -346,7 +347,7 @@ def score_texts(docs: DataFrame, held_out=held_out_rows, id_col: str = "doc_id",
 def _levels(counts_shared):
     def run(table: pa.Table) -> pa.Table:
         sent = table.filter(pa.compute.invert(table["head"]))
-        trie, _, _ = _Shard.of(sent["block"].to_pylist(), [x.as_py() for x in sent["data"]]).trie(counts_shared.value)
+        trie, _, _ = _Shard.of(sent["block"].to_pylist(), [x.as_py() for x in sent["data"]]).trie(restore(Counts, counts_shared))
         return pa.table({"shard": table["shard"].combine_chunks()[:1]} | {k: pa.array([v], pa.binary()) for k, v in trie.levels().items()})
 
     return run

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .samples import labelled_sample, learnable
+from .shared import restore, share
 from .texts import PLAIN, Words, chain, column_udf, mix, words
 
 BUCKETS = 1 << 18
@@ -160,12 +161,12 @@ def score_piece(piece: Words, model: Model) -> np.ndarray:
 
 def quality_score(text, model: Model, spark):
     """A column of scores in (0, 1), higher for label 1; null and empty texts have no features."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     def score(column: pa.Array) -> pa.Array:
-        out = np.zeros(len(column))
+        model, out = restore(Model, shared), np.zeros(len(column))
         for piece in words(column, PLAIN, 1 << 20):
-            out[piece.first : piece.first + piece.rows] = score_piece(piece, shared.value)
-        return pa.array(shared.value.probability(out))
+            out[piece.first : piece.first + piece.rows] = score_piece(piece, model)
+        return pa.array(model.probability(out))
 
     return column_udf(score, "double")(text)

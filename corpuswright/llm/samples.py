@@ -21,20 +21,21 @@ def learnable(column):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, text, y) of about `per_class` documents of each class at most, chosen by a digest of the id.
+    """(key, text, y, weight) of about `per_class` documents of each class at most, chosen by a digest of the id.
 
     `learn` is a condition on the id column that says which rows may be learnt from. The share of each class that is
     kept follows from its count, so the sample is bounded whatever the input; the bound holds in expectation, and a
-    class smaller than `per_class` is kept whole. Rows without a label or without an id teach nothing.
+    class smaller than `per_class` is kept whole. `weight` is the number of labelled rows that a row stands for. Rows without a label or without an id teach nothing.
     """
     named = labels.select(F.col(id_col).alias("__cw_id"), F.col(label).cast("int").alias("y")).where("__cw_id is not null and y in (0, 1)")
     allowed = named.where(learn(F.col("__cw_id"))).dropDuplicates(["__cw_id"])
     counts = {row["y"]: row["n"] for row in allowed.groupBy("y").agg(F.count("*").alias("n")).collect()}
     place = F.xxhash64(F.col("__cw_id"), F.lit(label)).bitwiseAND(F.lit((1 << 30) - 1))
-    limit = F.lit(0)
+    limit, weight = F.lit(0), F.lit(1.0)
     for y, n in counts.items():
         limit = F.when(F.col("y") == y, F.lit(int(min(1.0, per_class / n) * (1 << 30)))).otherwise(limit)
-    chosen = allowed.where(place < limit)
+        weight = F.when(F.col("y") == y, F.lit(max(1.0, n / per_class))).otherwise(weight)
+    chosen = allowed.where(place < limit).withColumn("weight", weight)
     texts = docs.select(F.col(id_col).alias("__cw_id"), F.col(text_col).alias("text"))
     # one row per id; the sample's size is bounded by the parameter, so it may be broadcast
-    return texts.join(F.broadcast(chosen), "__cw_id").select(F.col("__cw_id").alias("key"), "text", "y")
+    return texts.join(F.broadcast(chosen), "__cw_id").select(F.col("__cw_id").alias("key"), "text", "y", "weight")
