@@ -38,10 +38,11 @@ def assign_task(key: Column, seed: int, config: DenoiseConfig = DenoiseConfig())
 def noise_counts(length: Column, mean: Column, density: Column) -> tuple[Column, Column]:
     """(noise tokens, spans). Rounding is half-even; at least one token of either kind, at least one span.
 
-    Spans are also held to the tokens of either kind, without which no segmentation exists.
+    Spans are also held to the tokens of either kind, without which no segmentation exists. A mean of 0, that of a
+    row without any token, gives one span.
     """
     noise = F.least(F.greatest(F.rint(length * density), F.lit(1.0)), length - 1).cast("int")
-    spans = F.greatest(F.rint(noise / mean), F.lit(1.0))
+    spans = F.coalesce(F.greatest(F.rint(F.try_divide(noise.cast("double"), mean)), F.lit(1.0)), F.lit(1.0))
     return noise, F.least(spans, noise, length - noise).cast("int")
 
 

@@ -33,11 +33,11 @@ def tokenize_aligned(df: DataFrame) -> DataFrame:
 
 
 def _orders(tokens: Column) -> Column:
-    """struct(g1 … g4): the n-grams of every order, each built from the next lower one."""
+    """struct(g1 … g4): the n-grams of every order as 64-bit hashes, each built from the next lower one."""
 
     def longer(t: Column, grams: Column, n: int) -> Column:
         kept = F.slice(grams, 1, F.greatest(F.size(grams) - 1, F.lit(0)))
-        return F.transform(kept, lambda g, i: F.concat(g, F.lit(" "), F.get(t, i + (n - 1))))
+        return F.transform(kept, lambda g, i: F.xxhash64(g, F.get(t, i + (n - 1))))
 
     def build(s: Column, n: int, names: list[str]) -> Column:
         if n > ORDER:
@@ -46,62 +46,77 @@ def _orders(tokens: Column) -> Column:
         values = {g: s[g] for g in names} | {f"g{n}": grams}
         return let_all(values, lambda x: build(x, n + 1, [*names, f"g{n}"]))
 
-    return let_all({"g1": tokens}, lambda s: build(s, 2, ["g1"]))
+    return let_all({"g1": F.transform(tokens, lambda t: F.xxhash64(t))}, lambda s: build(s, 2, ["g1"]))
 
 
-def _occurrences(grams: Column) -> Column:
-    """The k-th copy of an element (k > 1) renamed to element + chr(1) + k, which makes a multiset a set."""
+def _numbered(grams: Column) -> Column:
+    """The multiset as a set: the k-th copy of an n-gram, from the second on, gets a hash of its own.
+
+    Texts without copies, the most of higher orders, pass as they are.
+    """
 
     def rename(s: Column) -> Column:
         ends = F.concat(F.slice(s["starts"], 2, F.size(s["starts"])), F.array(F.size(s["sorted"])))
         copies = lambda a, b: F.transform(
             F.sequence(F.lit(1), b - a),
-            lambda k: F.when(k == 1, F.get(s["sorted"], a)).otherwise(
-                F.concat(F.get(s["sorted"], a), F.lit("\u0001"), k.cast("string"))
-            ),
+            lambda k: F.when(k == 1, F.get(s["sorted"], a)).otherwise(F.xxhash64(F.get(s["sorted"], a), k)),
         )
         return F.flatten(F.zip_with(s["starts"], ends, copies))
 
     def runs(s: Column) -> Column:
         first = lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
         starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), first)
-        return F.when(F.size(s) == 0, s).otherwise(let_all({"sorted": s, "starts": starts}, rename))
+        return let_all({"sorted": s, "starts": starts}, rename)
 
-    return let(F.sort_array(grams), runs)
+    def copies_only(s: Column) -> Column:
+        return F.when(F.size(F.array_distinct(s)) == F.size(s), s).otherwise(let(F.sort_array(s), runs))
 
+    return let(grams, copies_only)
 
-def _clipped(hyp: Column, ref: Column) -> Column:
-    """Size of the multiset intersection: a set intersection once copies are numbered.
 
-    When either side has no copies, the plain set intersection is the same number.
-    """
+def _statistics(hyp_tokens: Column, ref: Column) -> Column:
+    """Lengths, clipped matches and totals of one hypothesis; `ref` holds the reference's length and numbered n-grams."""
+
+    def count(g: Column) -> Column:
+        per_n = []
+        for n in range(1, ORDER + 1):
+            both = F.array_intersect(_numbered(g[f"g{n}"]), ref[f"r{n}"])
+            per_n += [F.size(both).cast("long").alias(f"match{n}"), F.size(g[f"g{n}"]).cast("long").alias(f"total{n}")]
+        return F.struct(F.size(g["g1"]).cast("long").alias("hyp_len"), ref["ref_len"].alias("ref_len"), *per_n)
 
-    def match(s: Column) -> Column:
-        plain = F.size(F.array_distinct(s["h"])) == F.size(s["h"])
-        numbered = F.array_intersect(_occurrences(s["h"]), _occurrences(s["r"]))
-        return F.when(plain, F.size(F.array_intersect(s["h"], s["r"]))).otherwise(F.size(numbered))
+    return let(_orders(hyp_tokens), count)
 
-    return let_all({"h": hyp, "r": ref}, match)
 
+def _reference(tokens: Column) -> Column:
+    def number(g: Column) -> Column:
+        parts = [_numbered(g[f"g{n}"]).alias(f"r{n}") for n in range(1, ORDER + 1)]
+        return F.struct(F.size(g["g1"]).cast("long").alias("ref_len"), *parts)
 
-def ngram_stats(tokens: DataFrame, keys: list[str] = SEGMENT) -> DataFrame:
-    """Per segment: lengths, and for n = 1..4 clipped matches and totals.
+    return let(_orders(tokens), number)
 
-    A segment is finished inside its row: n-grams are neither exploded nor shuffled, and only the sums per
-    system and direction move. Rows without an available tokenizer are left out.
+
+def ngram_stats(aligned: DataFrame) -> DataFrame:
+    """Per system and segment: lengths, and for n = 1..4 clipped matches and totals.
+
+    All outputs of a segment meet its reference once: the reference is tokenized and its n-grams are built and numbered
+    for all systems together. A segment has as many outputs as there are systems. N-grams never leave their row; only
+    sums per system and direction move. A missing output (NULL) counts as an empty one, so it costs its reference's
+    length; a segment without a reference, or whose target has no tokenizer here, is left out.
     """
-    rows = tokens.filter(F.col("tokenizer") != NO_TOKENIZER).select(
-        *keys,
-        F.size("hyp_tokens").cast("long").alias("hyp_len"),
-        F.size("ref_tokens").cast("long").alias("ref_len"),
-        _orders(F.col("hyp_tokens")).alias("__h"),
-        _orders(F.col("ref_tokens")).alias("__r"),
+    target = target_of(F.col("direction"))
+    usable = aligned.filter(F.col("reference").isNotNull() & (tokenizer_for(target) != NO_TOKENIZER))
+    segments = usable.groupBy("direction", "seg_id").agg(
+        F.any_value("reference").alias("reference"),
+        F.collect_list(F.struct("system", F.coalesce("hypothesis", F.lit("")).alias("text"))).alias("outputs"),
     )
-    per_n = []
-    for n in range(1, ORDER + 1):
-        hyp, ref = F.col(f"__h.g{n}"), F.col(f"__r.g{n}")
-        per_n += [_clipped(hyp, ref).cast("long").alias(f"match{n}"), F.size(hyp).cast("long").alias(f"total{n}")]
-    return rows.select(*keys, "hyp_len", "ref_len", *per_n)
+
+    def per_output(ref: Column) -> Column:
+        return F.transform(
+            F.col("outputs"), lambda o: F.struct(o["system"].alias("system"), _statistics(tokenize(o["text"], target), ref).alias("s"))
+        )
+
+    rows = segments.select("direction", "seg_id", F.inline(let(_reference(tokenize(F.col("reference"), target)), per_output)))
+    return rows.select("system", "direction", "seg_id", "s.*")
 
 
 def corpus_bleu(stats: DataFrame, by: list[str] = ["system", "direction"]) -> DataFrame:  # noqa: B006
@@ -126,7 +141,7 @@ def corpus_bleu(stats: DataFrame, by: list[str] = ["system", "direction"]) -> Da
 
 def bleu(aligned: DataFrame) -> DataFrame:
     """(system, direction, bleu); unsupported tokenizers are left out (see `tokenize_aligned`)."""
-    return corpus_bleu(ngram_stats(tokenize_aligned(aligned))).select("system", "direction", "bleu")
+    return corpus_bleu(ngram_stats(aligned)).select("system", "direction", "bleu")
 
 
 def system_score(scores: DataFrame, by: tuple[str, ...] = ("system", "direction", "scorer")) -> DataFrame:
@@ -156,29 +171,41 @@ def leaderboard(long_report: DataFrame) -> DataFrame:
     return long_report.filter(F.col("system").isNotNull()).withColumn("rank", F.rank().over(over))
 
 
-def alignment_audit(source: DataFrame, reference: DataFrame, output: DataFrame) -> DataFrame:
+def alignment_audit(source: DataFrame, reference: DataFrame, output: DataFrame, systems: list[str]) -> DataFrame:
     """Per system and direction: line counts of the three sides, lines missing from each, blank outputs.
 
-    Inputs are (direction, seg_id, text), the output also has `system`. A direction without any output of a
-    system shows up with zero output lines.
+    Inputs are (direction, seg_id, text), the output also has `system`. The three sides are one table of narrow rows,
+    grouped once per segment. A direction without any output of one of the given systems shows zero output lines for it;
+    a segment that only outputs have counts as their line.
     """
-    key = ["direction", "seg_id"]
-    sides = source.select(*key, F.lit(1).alias("src")).join(
-        reference.select(*key, F.lit(1).alias("ref")), key, "full"
+    none = F.lit(None).cast("string")
+    blank = (py_strip(F.col("text")) == "").alias("blank")
+    no = F.lit(None).cast("boolean").alias("blank")
+    sides = (
+        source.select("direction", "seg_id", F.lit("src").alias("role"), none.alias("system"), no)
+        .unionByName(reference.select("direction", "seg_id", F.lit("ref").alias("role"), none.alias("system"), no))
+        .unionByName(output.select("direction", "seg_id", F.lit("out").alias("role"), "system", blank))
+    )
+    of_system = [
+        F.struct(
+            F.lit(s).alias("system"),
+            F.count_if(F.col("system") == s).alias("n"),
+            F.count_if((F.col("system") == s) & F.col("blank")).alias("blanks"),
+        )
+        for s in systems
+    ]
+    segments = sides.groupBy("direction", "seg_id").agg(
+        F.count_if(F.col("role") == "src").alias("src"), F.count_if(F.col("role") == "ref").alias("ref"), F.array(*of_system).alias("o")
     )
-    # a handful of systems, collected as a literal list: every line expects one output of each
-    systems = [r[0] for r in output.select("system").distinct().collect()]
-    expected = sides.withColumn("system", F.explode(F.array(*[F.lit(s) for s in sorted(systems)])))
-    got = output.select("system", *key, F.lit(1).alias("out"), (py_strip(F.col("text")) == "").alias("blank"))
-    rows = expected.join(got, ["system", *key], "full")
-    has = lambda c: F.count_if(F.col(c).isNotNull())
+    rows = segments.select("direction", "src", "ref", F.inline("o"))
+    has = lambda c: F.sum(c).cast("long")
     return rows.groupBy("system", "direction").agg(
         has("src").alias("source_lines"),
         has("ref").alias("reference_lines"),
-        has("out").alias("output_lines"),
-        F.count_if(F.col("src").isNotNull() & F.col("ref").isNull()).alias("missing_reference"),
-        F.count_if(F.col("src").isNotNull() & F.col("out").isNull()).alias("missing_output"),
-        F.count_if(F.col("blank")).alias("blank_outputs"),
+        has("n").alias("output_lines"),
+        F.count_if((F.col("src") > 0) & (F.col("ref") == 0)).alias("missing_reference"),
+        F.count_if((F.col("src") > 0) & (F.col("n") == 0)).alias("missing_output"),
+        has("blanks").alias("blank_outputs"),
     )
 
 

@@ -115,7 +115,7 @@ def preference_loss(
 ) -> DataFrame:
     """Loss of a pair from its margin."""
     if loss_type not in LOSS_TYPES:
-        raise ValueError(f"Unknown loss type: {loss_type}. Should be one of {list(LOSS_TYPES)}")
+        raise ValueError(f"no such loss: {loss_type} (there are {', '.join(LOSS_TYPES)})")
     margin = F.col("margin")
     if loss_type == "hinge":
         loss = F.greatest(1 - beta * margin, F.lit(0.0))

@@ -10,13 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import pick, uniform
 from ..session import cut_lineage
-from .ordering import BLOCK_KEYS, key_block, uniform_block, with_key_position, with_position
+from .ordering import DENSE_KEYS, dense_block, uniform_block, with_key_position, with_position
 
-# Up to here `row_number() <= n` is pruned to n rows per group in every task before it shuffles, which keeps
-# the last task small; beyond it positions are counted by block instead.
-WINDOW_LIMIT = 1_000
-
-# Partners a join key of a mixture may have before its source is salted.
+# Partners that one join key of a mixture has at most: a source drawn more often than this is joined under several salts.
 REPEATS = 1_000
 
 
@@ -45,7 +41,7 @@ def _finishing_draws(
 
     Draws are counted per block; only the one block that holds the sought draw is looked into.
     """
-    counts = draw_sources(spark, n, names, probs, seed).groupBy("source", key_block("draw").alias("blk")).count()
+    counts = draw_sources(spark, n, names, probs, seed).groupBy("source", dense_block("draw").alias("blk")).count()
     before = W.partitionBy("source").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
     rank = F.lit(-1)
     for s in names:
@@ -54,7 +50,7 @@ def _finishing_draws(
     hit = placed.filter((F.col("start") <= rank) & (rank < F.col("start") + F.col("count"))).collect()
     found = {}
     for row in hit:
-        lo, hi = row.blk * BLOCK_KEYS, min((row.blk + 1) * BLOCK_KEYS, n)
+        lo, hi = row.blk * DENSE_KEYS, min((row.blk + 1) * DENSE_KEYS, n)
         inside = draw_sources(spark, hi, names, probs, seed, lo).filter(F.col("source") == row.source)
         upto = inside.orderBy("draw").limit(sizes[row.source] - row.start)
         found[row.source] = upto.agg(F.max("draw")).first()[0]
@@ -83,7 +79,7 @@ def mixture_schedule(
     draws = draw_sources(spark, max(finished.values()) + 1, names, probs, seed)
     size = F.coalesce(*[F.when(F.col("source") == s, F.lit(sizes[s]).cast("long")) for s in names])
     return (
-        with_key_position(draws, "draw", ("source",), "k")
+        with_position(draws, ["draw"], dense_block("draw"), ("source",), "k")
         .withColumn("row", F.col("k") % size)
         .withColumn("cycle", F.floor(F.col("k") / size).cast("long"))
         .select("draw", "source", "row", "cycle")
@@ -117,19 +113,19 @@ def interleave(
     sizes = {r[source]: r["count"] for r in rows.groupBy(source).count().collect()}
     schedule = mixture_schedule(spark, sizes, names, probs, seed).withColumnRenamed("source", source)
     narrow = rows.select(*dict.fromkeys([source, key, *(order_by or [])]))
-    numbered = with_position(
-        narrow, order_by or [key], key_block(key) if block is None else block, (source,), "row"
-    ).select(source, key, "row")
-    join_on = [source]
-    # expected cycles of every source over the whole schedule
+    if block is None:
+        numbered = with_key_position(narrow, key, (source,), "row")
+    else:
+        numbered = with_position(narrow, order_by or [key], block, (source,), "row")
+    numbered = numbered.select(source, key, "row")
+    # expected cycles of every source over the whole schedule; one salt, the common case, adds a constant column
     draws = max(sizes[s] * sum(probs) / p for s, p in zip(names, probs))
     salts = {s: int(draws * p / sum(probs) / sizes[s] / repeats) + 1 for s, p in zip(names, probs)}
-    if max(salts.values()) > 1:
-        n_salts = F.coalesce(*[F.when(F.col(source) == s, F.lit(n)) for s, n in salts.items()])
-        copies = F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("__salt")
-        schedule = schedule.withColumn("__salt", (F.floor(F.col("cycle") / repeats) % n_salts).cast("int"))
-        numbered, rows = numbered.select("*", copies), rows.select("*", copies)
-        join_on = [source, "__salt"]
+    n_salts = F.coalesce(*[F.when(F.col(source) == s, F.lit(n)) for s, n in salts.items()])
+    copies = F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("__salt")
+    schedule = schedule.withColumn("__salt", (F.floor(F.col("cycle") / repeats) % n_salts).cast("int"))
+    numbered, rows = numbered.select("*", copies), rows.select("*", copies)
+    join_on = [source, "__salt"]
     placed = schedule.join(numbered, [*join_on, "row"]).select(*join_on, key, F.col("draw").alias(out))
     return placed.join(rows, [*join_on, key]).drop("__salt")
 
@@ -162,12 +158,9 @@ def shuffle_position(df: DataFrame, seed: int, key: str, out: str = "pos") -> Da
 
 
 def take_first(df: DataFrame, n: int | None, key: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """First n rows in key order of every source."""
+    """First n rows in key order (NULL first) of every source; one way for every n and every orderable key."""
     if n is None:
         return df
-    if n <= WINDOW_LIMIT:
-        first = W.partitionBy(*(by or [F.lit(0)])).orderBy(key)
-        return df.withColumn("__rn", F.row_number().over(first)).filter(F.col("__rn") <= n).drop("__rn")
     return with_key_position(df, key, by, "__pos").filter(F.col("__pos") < n).drop("__pos")
 
 

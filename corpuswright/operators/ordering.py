@@ -1,8 +1,8 @@
 """Global positions without a global sort in one task.
 
 A row's position is (rows in earlier blocks) + (position inside its block). Blocks are a monotone function
-of the order key, so the block table is an ordinary aggregation and only that small table sees an ordered
-prefix sum. The block is a pure function of the row: unlike partition numbers it survives retries, adaptive
+of the order key, their number is bounded, so the block table is an ordinary aggregation and only that small table
+sees an ordered prefix sum. The block is a pure function of the row: unlike partition numbers it survives retries, adaptive
 re-planning and a different number of executors.
 """
 
@@ -11,16 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-# Keys per block. With unique integer keys no block can hold more rows than this, however skewed the data. For
-# sparse keys (say, hashes) pass a `width` of about this many times the mean gap between keys.
-BLOCK_KEYS = 1 << 16
+from ..functions.let import let
+
+# Blocks of a group are its quantiles, as many as this; a power of two.
+QUANTILES = 1 << 10
 # Blocks for keys uniform in [0, 1): the bound of the block table per group.
-UNIFORM_BLOCKS = 1 << 20
+UNIFORM_BLOCKS = 1 << 12
+# Keys per block where keys are known to be dense, such as those of `range`.
+DENSE_KEYS = 1 << 16
 
 
-def key_block(key: str, width: int = BLOCK_KEYS) -> Column:
-    """Block of an integer key."""
+def dense_block(key: str, width: int = DENSE_KEYS) -> Column:
+    """Block of a dense integer key."""
     return F.floor(F.col(key) / F.lit(width)).cast("long")
 
 
@@ -29,6 +33,36 @@ def uniform_block(u: Column, blocks: int = UNIFORM_BLOCKS) -> Column:
     return F.floor(u * F.lit(blocks)).cast("long")
 
 
+def with_key_block(df: DataFrame, key: str, by: tuple[str, ...] = (), out: str = "__blk") -> DataFrame:
+    """Add the block of a key, taken from the quantiles of its group: even blocks for dense, sparse and hashed keys alike.
+
+    Quantiles are approximate, which changes the size of a block but not the order. A NULL key is its own block, in
+    front. Keys that are no numbers are blocked by their first two characters. The number of groups should be that
+    of sources, as each has its list of quantiles.
+    """
+    if not isinstance(df.schema[key].dataType, NumericType):
+        return df.withColumn(out, F.substring(F.col(key).cast("string"), 1, 2))
+    cuts = F.percentile_approx(key, [i / QUANTILES for i in range(1, QUANTILES)], F.lit(4 * QUANTILES))
+    per_group = df.groupBy(*by).agg(cuts.alias("__cuts"))
+    steps = F.array(*[F.lit(1 << b) for b in range(QUANTILES.bit_length() - 2, -1, -1)])
+
+    def search(cuts: Column) -> Column:
+        # the number of quantiles up to the key, by halving
+        return F.aggregate(steps, F.lit(0), lambda n, s: n + F.when(F.get(cuts, n + s - 1) <= F.col(key), s).otherwise(0))
+
+    block = F.when(F.col(key).isNotNull(), let(F.col("__cuts"), search))
+    return join_groups(df, per_group, by).withColumn(out, block.cast("long")).drop("__cuts")
+
+
+def join_groups(df: DataFrame, table: DataFrame, by: list[str] | tuple[str, ...]) -> DataFrame:
+    """Inner join on the columns `by` in which NULL equals NULL; no columns join the one row of `table`."""
+    names = {c: f"__g_{c}" for c in by}
+    right = table.withColumnsRenamed(names) if by else table.withColumn("__g_", F.lit(1))
+    left = df if by else df.withColumn("__one", F.lit(1))
+    on = [left[c].eqNullSafe(right[n]) for c, n in names.items()] if by else [left["__one"] == right["__g_"]]
+    return left.join(right, on).drop(*names.values(), "__g_", "__one")
+
+
 def with_position(
     df: DataFrame,
     order_by: list[str | Column],
@@ -38,12 +72,14 @@ def with_position(
 ) -> DataFrame:
     """0-based position in `order_by` order inside each `by` group.
 
-    `order_by` must be unique inside a group and `block` non-decreasing along it. Rows shuffle once, by
-    (group, block): a group with a third of all rows is spread over all its blocks. The second read of the
-    input counts rows per block and needs the key columns only.
+    `order_by` must be unique inside a group and `block` non-decreasing along it (NULL first in both). Rows shuffle
+    once, by (group, block): a group with a third of all rows is spread over all its blocks. The second read of the
+    input counts rows per block and needs the key columns only. NULL groups, keys and blocks are numbered like others.
     """
-    by = list(by)
-    keyed = df.withColumn("__blk", block)
+    return _number(df.withColumn("__blk", block), order_by, list(by), out)
+
+
+def _number(keyed: DataFrame, order_by: list[str | Column], by: list[str], out: str) -> DataFrame:
     sizes = keyed.groupBy(*by, "__blk").agg(F.count(F.lit(1)).alias("__n"))
     # an ordered prefix sum over blocks, not rows
     before = W.partitionBy(*(by or [F.lit(0)])).orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
@@ -53,19 +89,24 @@ def with_position(
     inside = W.partitionBy(*by, "__blk").orderBy(*order_by)
     numbered = keyed.withColumn("__in", F.row_number().over(inside).cast("long"))
     return (
-        numbered.join(starts, [*by, "__blk"])
+        join_groups(numbered, starts, [*by, "__blk"])
         .withColumn(out, F.col("__start") + F.col("__in") - 1)
         .drop("__blk", "__start", "__in")
     )
 
 
-def with_key_position(
-    df: DataFrame, key: str, by: tuple[str, ...] = (), out: str = "pos", width: int = BLOCK_KEYS
-) -> DataFrame:
-    """`with_position` for a unique integer key."""
-    return with_position(df, [key], key_block(key, width), by, out)
+def with_key_position(df: DataFrame, key: str, by: tuple[str, ...] = (), out: str = "pos") -> DataFrame:
+    """`with_position` for a unique key of any spread."""
+    return _number(with_key_block(df, key, by), [key], list(by), out)
 
 
 def align_by_position(left: DataFrame, right: DataFrame, by: tuple[str, ...] = (), out: str = "pos") -> DataFrame:
-    """Rows of two numbered tables that hold the same place."""
-    return left.join(right, [*by, out])
+    """Rows of two numbered tables that hold the same place; a place that only one of them has keeps its row.
+
+    `by` may hold NULL. The columns of the side that lacks the place are NULL.
+    """
+    marked = right.withColumnsRenamed({c: f"__r_{c}" for c in (*by, out)})
+    on = [left[c].eqNullSafe(marked[f"__r_{c}"]) for c in (*by, out)]
+    both = left.join(marked, on, "full")
+    named = {c: F.coalesce(F.col(c), F.col(f"__r_{c}")) for c in (*by, out)}
+    return both.withColumns(named).drop(*(f"__r_{c}" for c in named))

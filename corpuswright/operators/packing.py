@@ -1,8 +1,9 @@
-"""Packing token lists into full blocks, batch by batch.
+"""Packing token lists into full blocks.
 
-A batch is `batch_rows` consecutive rows of a source; its ids are concatenated, cut into blocks, and the rest
-of the batch is dropped. Offsets are running sums inside a batch, so the largest unit of work is one batch,
-whatever the size of a source; ids are cut with `slice`, never exploded one by one.
+The ids of a source are concatenated in key order and cut into blocks; what is left at the end of a source and fills
+no block is dropped. Offsets are running sums over blocks of rows, as in `with_position`, so no task holds a source.
+In batch mode the same is done for every `batch_rows` consecutive rows, and the rest of each batch is dropped. Ids are
+cut with `slice`, never exploded one by one.
 """
 
 from __future__ import annotations
@@ -13,20 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import repeat
 from ..functions.text import py_strip
-from .ordering import BLOCK_KEYS, with_key_position
-from .vocab import Vocabulary
+from .ordering import join_groups, with_key_block, with_key_position
+from .vocab import Encoder
 
-# Ids kept of one text, rows of one batch.
-MAX_TEXT_TOKENS = 4096
-BATCH_ROWS = 1000
 
-
-def mono_ids(vocab: Vocabulary, text: Column, max_tokens: int | None = MAX_TEXT_TOKENS, strip: bool = True) -> Column:
-    """BOS + text + EOS of one text."""
+def mono_ids(vocab: Encoder, text: Column, max_tokens: int | None = None, strip: bool = True) -> Column:
+    """BOS + text + EOS of one text, whole unless `max_tokens` is given."""
     return vocab.encode(py_strip(text) if strip else text, max_tokens, bos=True, eos=True)
 
 
-def two_sided_ids(vocab: Vocabulary, sides: list[Column], max_tokens: int | None = MAX_TEXT_TOKENS) -> Column:
+def two_sided_ids(vocab: Encoder, sides: list[Column], max_tokens: int | None = None) -> Column:
     """The sides of a parallel row as separate texts one after the other; exactly empty sides are skipped."""
     none = F.array().cast("array<int>")
     return F.concat(
@@ -34,26 +31,34 @@ def two_sided_ids(vocab: Vocabulary, sides: list[Column], max_tokens: int | None
     )
 
 
+def _offsets(df: DataFrame, ids: str, key: str, by: tuple[str, ...], batch_rows: int | None) -> DataFrame:
+    """Rows with `batch` and `__start`, the number of ids in front of the row in its batch (a source, without batches)."""
+    sized = df.withColumn("__size", F.size(ids).cast("long"))
+    if batch_rows is not None:
+        batched = with_key_position(sized, key, by, "__pos").withColumn("batch", F.floor(F.col("__pos") / batch_rows).cast("long"))
+        before = W.partitionBy(*by, "batch").orderBy("__pos").rowsBetween(W.unboundedPreceding, -1)
+        return batched.withColumn("__start", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    keyed = with_key_block(sized, key, by).withColumn("batch", F.lit(0).cast("long"))
+    sums = keyed.groupBy(*by, "__blk").agg(F.sum("__size").alias("__ids"))
+    before = W.partitionBy(*(by or [F.lit(0)])).orderBy("__blk").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*by, "__blk", F.coalesce(F.sum("__ids").over(before), F.lit(0)).alias("__ahead"))
+    inside = W.partitionBy(*by, "__blk").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    placed = keyed.withColumn("__in", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    return join_groups(placed, starts, [*by, "__blk"]).withColumn("__start", F.col("__ahead") + F.col("__in"))
+
+
 def pack_blocks(
     df: DataFrame,
     ids: str,
     key: str,
     block: int,
     by: tuple[str, ...] = (),
-    batch_rows: int = BATCH_ROWS,
+    batch_rows: int | None = None,
     prefix_mask: bool = False,
-    width: int = BLOCK_KEYS,
 ) -> DataFrame:
-    """Blocks of exactly `block` ids per (source, batch): input_ids, attention_mask, labels."""
-    rows = df.select(*by, key, ids)
-    batched = with_key_position(rows, key, by, "__pos", width).withColumn(
-        "batch", F.floor(F.col("__pos") / batch_rows).cast("long")
-    )
+    """Blocks of exactly `block` ids per source (batch 0) or per (source, batch): input_ids, attention_mask, labels."""
     batch = [*by, "batch"]
-    before = W.partitionBy(*batch).orderBy("__pos").rowsBetween(W.unboundedPreceding, -1)
-    placed = batched.withColumn(
-        "__start", F.coalesce(F.sum(F.size(ids)).over(before), F.lit(0)).cast("long")
-    ).filter(F.size(ids) > 0)
+    placed = _offsets(df.select(*by, key, ids), ids, key, by, batch_rows).filter(F.size(ids) > 0)
     start, end = F.col("__start"), F.col("__start") + F.size(ids)
     touched = F.sequence(F.floor(start / block).cast("long"), F.floor((end - 1) / block).cast("long"))
 
@@ -67,7 +72,7 @@ def pack_blocks(
         )
 
     pieces = placed.select(*batch, F.inline(F.transform(touched, piece)))
-    # one group holds the ids of one block, hence at most `block` pieces; partitioned by batch already
+    # one group holds the ids of one block, hence at most `block` pieces
     joined = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]))
     blocks = pieces.groupBy(*batch, "block_no").agg(joined.alias("input_ids")).filter(F.size("input_ids") == block)
     out = blocks.withColumn("attention_mask", repeat(1, F.lit(block))).withColumn("labels", F.col("input_ids"))

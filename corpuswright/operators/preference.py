@@ -11,7 +11,7 @@ from ..functions.let import let_all
 from .directions import parse_directions
 from .filters import filter_prompt_len, filter_required_direction
 from .prompts import ChatTemplate, render_prompt
-from .vocab import Vocabulary
+from .vocab import Encoder
 
 # Order of the candidates, which decides ties.
 CANDIDATES = ("ref", "sys1", "sys2")
@@ -84,7 +84,7 @@ def select_scorer(scores: DataFrame, scorer: str) -> DataFrame:
 def preference_triples(
     df: DataFrame,
     directions: str | list[str],
-    vocab: Vocabulary,
+    vocab: Encoder,
     max_len: int = 256,
     mode: str = "reference",
     template: ChatTemplate | None = None,
@@ -102,7 +102,7 @@ def preference_triples(
 
 
 def instruction_triples(
-    df: DataFrame, vocab: Vocabulary, max_len: int = 256, template: ChatTemplate | None = ChatTemplate()
+    df: DataFrame, vocab: Encoder, max_len: int = 256, template: ChatTemplate | None = ChatTemplate()
 ) -> DataFrame:
     """Given prompt/chosen/rejected rows, chat-wrapped; prompts of max_len tokens or more are dropped."""
     rows = df.withColumn("prompt", template.prompt(F.col("prompt"))) if template else df
@@ -122,7 +122,7 @@ def build_preferences(aligned: DataFrame, scores: DataFrame, systems: tuple[str,
     return pivot.agg(F.max("hypothesis").alias("text"), F.max("score").alias("score"))
 
 
-def split_answer(vocab: Vocabulary, prompt: Column, answer: Column, own: Column | None = None) -> Column:
+def split_answer(vocab: Encoder, prompt: Column, answer: Column, own: Column | None = None) -> Column:
     """struct(prompt_ids, answer_ids): the ids of prompt + answer, cut at the length of the prompt's own ids.
 
     When the last prompt token merged with the answer, the cut moves one token to the left. `own` are the
@@ -131,9 +131,10 @@ def split_answer(vocab: Vocabulary, prompt: Column, answer: Column, own: Column
     own = vocab.encode(prompt) if own is None else own
 
     def cut(s: Column) -> Column:
-        n = F.size(s["own"])
-        n = F.when(s["own"] == F.slice(s["full"], 1, n), n).otherwise(n - 1)
-        n = F.when(F.size(s["full"]) < n, F.raise_error(F.lit("prompt is longer than prompt and answer"))).otherwise(n)
+        own = F.size(s["own"])
+        short = F.size(s["full"]) < own
+        n = F.when(s["own"] == F.slice(s["full"], 1, own), own).otherwise(own - 1)
+        n = F.when(short, F.raise_error(F.lit("a prompt has more ids than itself with its answer"))).otherwise(n)
         return F.struct(
             F.slice(s["full"], 1, n).alias("prompt_ids"),
             F.slice(s["full"], n + 1, F.size(s["full"])).alias("answer_ids"),
@@ -144,14 +145,14 @@ def split_answer(vocab: Vocabulary, prompt: Column, answer: Column, own: Column
 
 def encode_preference(
     df: DataFrame,
-    vocab: Vocabulary,
+    vocab: Encoder,
     max_length: int = 512,
     max_prompt: int = 256,
     mode: str = "keep_end",
 ) -> DataFrame:
     """prompt/chosen/rejected texts to token lists with labels; the prompt is ignored in the loss."""
     if mode not in ("keep_start", "keep_end"):
-        raise ValueError(f"Unknown truncation mode: {mode}")
+        raise ValueError(f"a prompt is cut by keep_start or keep_end, not by {mode}")
     s = vocab.specials
     rows = df.withColumn("__p", vocab.encode(F.col("prompt")))
     for name, answer in (("__c", "chosen"), ("__r", "rejected")):
@@ -202,7 +203,7 @@ def encode_preference(
 
 
 def encode_preference_encdec(
-    df: DataFrame, vocab: Vocabulary, max_prompt: int = 256, max_target: int = 256
+    df: DataFrame, vocab: Encoder, max_prompt: int = 256, max_target: int = 256
 ) -> DataFrame:
     """Three independent encodings, each cut to its own length."""
     prompt = vocab.encode(F.col("prompt"), max_prompt, bos=True)

@@ -7,14 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
 from ..sources.lang import local_parts, required, with_lang
 
 
-# All ordered pairs of the language dimension.
-MAX_DIRECTIONS = 50 * 49
-
-
 @dataclass(frozen=True)
 class ChatTemplate:
     """The turns of a chat tokenizer as text. The default is the [INST] form."""
@@ -79,8 +74,8 @@ def render_prompt_local(df: DataFrame, out: str = "prompt") -> DataFrame:
 
 def render_few_shot(df: DataFrame, shots: DataFrame, out: str = "prompt") -> DataFrame:
     """Header, every shot, then the query. `shots(direction, shots array<struct<source,target>>)` has one
-    row per requested direction; once that is checked it is broadcast, so a hot direction is not shuffled."""
-    shots = broadcast_if_small(shots.select("direction", F.col("shots").alias("__shots")), MAX_DIRECTIONS)
+    row per requested direction; the optimizer broadcasts it by its measured bytes, or splits a hot direction."""
+    shots = shots.select("direction", F.col("shots").alias("__shots"))
     named = with_names(df).join(shots, "direction", "left")
     src_label = F.concat(F.lit("\n"), F.col("src_name"), F.lit(": "))
     tgt_label = F.concat(F.lit("\n"), F.col("tgt_name"), F.lit(":"))

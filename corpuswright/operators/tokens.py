@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.let import let
 from .prompts import ChatTemplate
-from .vocab import Vocabulary
+from .vocab import Encoder
 
 
 def encode_train_left(
     df: DataFrame,
-    vocab: Vocabulary,
+    vocab: Encoder,
     src_len: int = 256,
     new_len: int = 256,
     ignore_pad: bool = True,
@@ -49,7 +49,7 @@ def encode_train_left(
 
 def encode_train_right(
     df: DataFrame,
-    vocab: Vocabulary,
+    vocab: Encoder,
     src_len: int = 256,
     new_len: int = 256,
     ignore_pad: bool = True,
@@ -82,7 +82,7 @@ def encode_train_right(
 
 
 def encode_pair(
-    df: DataFrame, vocab: Vocabulary, src_len: int = 256, new_len: int = 256, prompt: str = "prompt",
+    df: DataFrame, vocab: Encoder, src_len: int = 256, new_len: int = 256, prompt: str = "prompt",
     target: str = "tgt_text",
 ) -> DataFrame:
     """Encoder-decoder examples: input and target apart, left-padded to their own lengths."""
@@ -99,7 +99,7 @@ def encode_pair(
 
 
 def encode_instruction(
-    df: DataFrame, vocab: Vocabulary, template: ChatTemplate = ChatTemplate(), src_len: int = 256, new_len: int = 256,
+    df: DataFrame, vocab: Encoder, template: ChatTemplate = ChatTemplate(), src_len: int = 256, new_len: int = 256,
     ignore_prompt: bool = True,
 ) -> DataFrame:
     """Instruction rows (inputs, targets) as chat examples with the same masks as `encode_train_left`."""
@@ -110,7 +110,7 @@ def encode_instruction(
 
 
 def encode_test(
-    df: DataFrame, vocab: Vocabulary, src_len: int | str = 256, chat: bool = False, prefix_lm: bool = False,
+    df: DataFrame, vocab: Encoder, src_len: int | str = 256, chat: bool = False, prefix_lm: bool = False,
     prompt: str = "prompt",
 ) -> DataFrame:
     """Prompt only, always left-padded, no labels. `src_len` may name a column of per-row limits."""
@@ -125,7 +125,7 @@ def encode_test(
 
 
 def encode_instruction_test(
-    df: DataFrame, vocab: Vocabulary, template: ChatTemplate | None = ChatTemplate(), src_len: int = 256
+    df: DataFrame, vocab: Encoder, template: ChatTemplate | None = ChatTemplate(), src_len: int = 256
 ) -> DataFrame:
     """Instruction inputs as test prompts, chat-wrapped when there is a template."""
     prompt = template.prompt(F.col("inputs")) if template else F.col("inputs")

@@ -3,15 +3,20 @@
 The vocabulary is bounded by its `size` parameter, so it may live on the driver. It is shipped as one
 literal: a table of hash buckets. Looking a word up is `bucket[xxhash64(word) mod n]` plus a comparison
 inside a bucket of about one entry, all JVM-side; encoding therefore needs no token-level explode, no join and
-no shuffle, and one row may be encoded several times (prompt, prompt + answer) in one pass. Vocabularies above
-`LITERAL_LIMIT` entries use `encode_by_join`.
+no shuffle, and one row may be encoded several times (prompt, prompt + answer) in one pass.
+
+An `Encoder` is what the plans take: `Vocabulary` (the literal), `SharedVocabulary` (a dictionary sent once to every
+executor, for vocabularies too long for a plan), or `TokenizerEncoder` (any tokenizer, as an Arrow function). They
+give the same ids for the same words. `encode_by_join` serves a vocabulary that no executor can hold.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +27,6 @@ from ..functions.arrays import IGNORE, int_lit, truncate
 from ..functions.text import py_strip, words
 from ..session import local_table
 
-LITERAL_LIMIT = 65_536
-
 
 @dataclass(frozen=True)
 class Specials:
@@ -53,6 +56,27 @@ def build_vocab(df: DataFrame, col: str, size: int, specials: Specials = Special
     return top.select("token", "n", (rank + F.lit(specials.first_word - 1)).cast("int").alias("id"))
 
 
+class Encoder(Protocol):
+    """Turns a text column into ids inside a projection."""
+
+    specials: Specials
+
+    def __len__(self) -> int: ...
+
+    def encode(self, text: Column, max_len: int | Column | None = None, bos: bool = False, eos: bool = False) -> Column: ...
+
+
+def _framed(ids: Column, specials: Specials, max_len: int | Column | None, bos: bool, eos: bool) -> Column:
+    """Optional BOS, cut to `max_len` (which counts the BOS but not the EOS), optional EOS."""
+    if bos:
+        ids = F.concat(F.array(int_lit(specials.bos)), ids)
+    if max_len is not None:
+        ids = truncate(ids, max_len)
+    if eos:
+        ids = F.concat(ids, F.array(int_lit(specials.eos)))
+    return ids
+
+
 @dataclass
 class Vocabulary:
     """A vocabulary held on the driver, usable in column expressions."""
@@ -69,9 +93,7 @@ class Vocabulary:
     def from_table(cls, vocab: DataFrame, specials: Specials = Specials()) -> Vocabulary:
         """Collect a vocabulary table (bounded by its size) together with Spark's own hash of each word."""
         hashed = vocab.select("token", "id", F.xxhash64("token").alias("hash"))
-        rows = hashed.limit(LITERAL_LIMIT + 1).collect()
-        if len(rows) > LITERAL_LIMIT:
-            raise ValueError(f"more than {LITERAL_LIMIT} words are too many for a literal; use encode_by_join")
+        rows = hashed.collect()
         buckets: list[list[tuple[str, int]]] = [[] for _ in range(max(len(rows), 1))]
         for r in rows:
             buckets[r.hash % len(buckets)].append((r.token, r.id))
@@ -95,14 +117,7 @@ class Vocabulary:
             bucket = F.get(table, F.pmod(F.xxhash64(word), F.lit(n)).cast("int"))
             return F.coalesce(F.get(F.filter(bucket, lambda e: e["t"] == word), F.lit(0))["i"], unk)
 
-        ids = F.transform(words(text), lookup)
-        if bos:
-            ids = F.concat(F.array(int_lit(self.specials.bos)), ids)
-        if max_len is not None:
-            ids = truncate(ids, max_len)
-        if eos:
-            ids = F.concat(ids, F.array(int_lit(self.specials.eos)))
-        return ids
+        return _framed(F.transform(words(text), lookup), self.specials, max_len, bos, eos)
 
     def decode(self, ids: Column) -> Column:
         """Ids → text: ignored labels count as padding, special ids are dropped, ends are stripped."""
@@ -163,3 +178,38 @@ def vocabulary_of(spark: SparkSession, tokens: list[str], specials: Specials = S
     """A vocabulary from a given word list, ids in list order."""
     rows = [(t, 0, specials.first_word + i) for i, t in enumerate(tokens)]
     return Vocabulary.from_table(local_table(spark, rows, "token string, n long, id int"), specials)
+
+
+@dataclass
+class TokenizerEncoder:
+    """An `Encoder` around any tokenizer; `size` is its number of ids, special ones included.
+
+    `make_tokenizer` runs once per Python worker and gives ids without special ones; NULL texts reach it as empty ones.
+    """
+
+    make_tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]]
+    size: int
+    specials: Specials = field(default_factory=Specials)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def encode(self, text: Column, max_len: int | Column | None = None, bos: bool = False, eos: bool = False) -> Column:
+        ids = F.when(text.isNotNull(), encode_with(self.make_tokenizer)(F.coalesce(text, F.lit(""))))
+        return _framed(ids, self.specials, max_len, bos, eos)
+
+
+def shared_vocabulary(vocab: DataFrame, specials: Specials = Specials()) -> TokenizerEncoder:
+    """A vocabulary table (token, id) as an `Encoder` that looks words up in a dictionary on every executor.
+
+    The dictionary is as long as the vocabulary was asked to be; it is sent once per executor and not once per plan.
+    """
+    table = {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}
+    shared = vocab.sparkSession.sparkContext.broadcast(table)
+    unk = specials.unk
+
+    def make() -> Callable[[list[str]], list[list[int]]]:
+        ids, blanks = shared.value, re.compile("[ \\n\\t\\r]+")
+        return lambda texts: [[ids.get(w, unk) for w in blanks.split(t) if w] for t in texts]
+
+    return TokenizerEncoder(make, specials.first_word + len(table), specials)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from ..operators.denoise import DenoiseConfig
+
 
 @dataclass(frozen=True)
 class Options:
@@ -43,7 +45,11 @@ class Options:
     chat: bool = False
     local_prompts: bool = False
     encdec: str | None = None
-    batch_rows: int = 1000
+    # packing: ids kept of one text (None: whole texts) and rows after which a remainder is dropped (None: per source)
+    max_text_tokens: int | None = None
+    batch_rows: int | None = None
+    # denoising of packed rows: None leaves them as they are
+    denoise: DenoiseConfig | None = None
     # preference encoding
     max_length: int = 512
     max_prompt: int = 256

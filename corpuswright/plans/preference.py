@@ -10,12 +10,12 @@ from ..operators import preference as P
 from ..operators.ordering import uniform_block, with_position
 from ..functions.rand import uniform
 from ..operators.prompts import ChatTemplate
-from ..operators.vocab import Vocabulary
+from ..operators.vocab import Encoder
 from ..sources import readers as R
 from .options import Options
 
 
-def prepare_triples(spark: SparkSession, opts: Options, vocab: Vocabulary) -> DataFrame:
+def prepare_triples(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     """(pos, prompt, chosen, rejected), shuffled; the row limit applies per language pair before rendering."""
     raw = R.read_preferences(spark, opts.preferences, opts.directions, opts.scorer, opts.systems, numbered=True)
     rows = M.take_first(raw, opts.max_train, "seq", ("lang_pair",))
@@ -28,7 +28,7 @@ def prepare_triples(spark: SparkSession, opts: Options, vocab: Vocabulary) -> Da
     return with_position(keyed.withColumn("__u", u), ["__u", "row_key"], uniform_block(F.col("__u"))).drop("__u")
 
 
-def prepare_preferences(spark: SparkSession, opts: Options, vocab: Vocabulary) -> DataFrame:
+def prepare_preferences(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     """Encoded chosen and rejected answers of the triples."""
     triples = prepare_triples(spark, opts, vocab)
     if opts.encdec:

@@ -9,12 +9,13 @@ from ..functions.rand import uniform
 from ..operators import mixing as M
 from ..operators import prompts as P
 from ..operators import tokens as T
+from ..operators.denoise import denoise
 from ..operators.directions import expand_directions, parse_directions
 from ..operators.filters import MODEL_COLUMNS, join_sides_random
 from ..operators.ordering import uniform_block
 from ..operators.packing import mono_ids, pack_blocks, two_sided_ids
 from ..operators.prompts import ChatTemplate
-from ..operators.vocab import Vocabulary
+from ..operators.vocab import Encoder
 from ..sources import readers as R
 from .options import Options
 
@@ -27,7 +28,7 @@ def _model_rows(df: DataFrame, source: str, *key: str) -> DataFrame:
     return df.select(row_key.alias("row_key"), *[c for c in MODEL_COLUMNS if c in df.columns])
 
 
-def encode_parallel(rows: DataFrame, opts: Options, vocab: Vocabulary) -> DataFrame:
+def encode_parallel(rows: DataFrame, opts: Options, vocab: Encoder) -> DataFrame:
     """Parallel rows → examples per requested direction → model columns."""
     examples = expand_directions(rows, opts.directions)
     if opts.encdec:
@@ -84,32 +85,35 @@ def _shuffled_mixture(rows: DataFrame, source: str, names: list[str], probs: lis
     return mixed.select("place", F.col(source).alias("part"), "seq")
 
 
-def prepare_training(spark: SparkSession, opts: Options, vocab: Vocabulary) -> DataFrame:
-    """(pos, model columns): all sources processed, concatenated and shuffled."""
+def prepare_training(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
+    """(pos, model columns): all sources processed, concatenated, denoised if asked for, and shuffled."""
     parts: list[DataFrame] = []
     if opts.parallel_root:
         rows = R.read_parallel(spark, opts.parallel_root, opts.directions, ("train",), opts.parallel_suffix)
         rows = M.take_first(rows, opts.max_train, "seq", ("pair",))
         parts.append(_model_rows(encode_parallel(rows, opts, vocab), "parallel", "pair", "seq", "ord"))
     if opts.instructions:
-        rows = R.read_instructions(spark, opts.instructions, opts.directions, numbered=True)
+        rows = R.read_instructions(spark, opts.instructions, opts.directions, numbered=True, per_language=False)
         rows = M.take_first(rows, opts.max_train, "seq")
         encoded = T.encode_instruction(rows, vocab, TEMPLATE, opts.src_len, opts.new_len, opts.ignore_prompt)
         parts.append(_model_rows(encoded, "instruction", "language_code", "seq"))
     if opts.mono:
         rows = M.take_first(R.read_mono_json(spark, opts.mono, numbered=True), opts.max_train, "seq")
-        ids = two_sided_ids(vocab, [F.col("text_a"), F.col("text_b")])
+        ids = two_sided_ids(vocab, [F.col("text_a"), F.col("text_b")], opts.max_text_tokens)
         parts.append(_model_rows(_pack(rows.select("seq", ids.alias("ids")), "seq", opts), "mono", "batch", "block_no"))
     web = web_mixture(spark, opts)
     if web is not None:
-        ids = mono_ids(vocab, F.col("raw_text"))
+        ids = mono_ids(vocab, F.col("raw_text"), opts.max_text_tokens)
         parts.append(_model_rows(_pack(web.select("pos", ids.alias("ids")), "pos", opts), "web", "batch", "block_no"))
     if not parts:
         raise ValueError("no training source given")
-    return M.shuffle_position(M.concat_sources(parts), opts.seed, "row_key")
+    rows = M.concat_sources(parts)
+    if opts.denoise:
+        rows = denoise(rows, "row_key", opts.seed, len(vocab), vocab.specials.pad, config=opts.denoise).drop("task")
+    return M.shuffle_position(rows, opts.seed, "row_key")
 
 
-def prepare_eval(spark: SparkSession, opts: Options, vocab: Vocabulary) -> DataFrame:
+def prepare_eval(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     """Validation rows with the training chain."""
     rows = R.read_parallel(spark, opts.parallel_root, opts.directions, ("valid",))
     rows = M.take_first(rows, opts.max_eval, "seq", ("pair",))
@@ -153,12 +157,12 @@ def prompts_to_translate(spark: SparkSession, opts: Options) -> DataFrame:
     return prompted.withColumn("prompt", TEMPLATE.prompt(F.col("prompt"))) if opts.chat else prompted
 
 
-def prepare_test(spark: SparkSession, opts: Options, vocab: Vocabulary) -> DataFrame:
+def prepare_test(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     """Left-padded test prompts."""
     return T.encode_test(prompts_to_translate(spark, opts), vocab, opts.src_len, opts.chat, opts.prefix_lm)
 
 
-def prepare_instruction_test(spark: SparkSession, opts: Options, vocab: Vocabulary) -> DataFrame:
+def prepare_instruction_test(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     """Instruction test prompts per language."""
     rows = R.read_instructions(spark, opts.instructions, opts.directions, test=True, numbered=True)
     rows = M.take_first(rows, opts.max_test, "seq", ("lang",))

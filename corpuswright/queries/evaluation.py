@@ -90,7 +90,7 @@ SYS = {"means": "SELECT system, direction, scorer, avg(score) AS score, count(*)
 
 @query(with_ctes("aligned", "SELECT * FROM stats", STATS))
 def ngram_stats(spark, sf):
-    return E.ngram_stats(E.tokenize_aligned(X.aligned(spark, sf)))
+    return E.ngram_stats(X.aligned(spark, sf))
 
 
 @query(with_ctes("aligned", "SELECT system, direction, bleu FROM bleu", BLEU))
@@ -158,7 +158,7 @@ def alignment_audit(spark, sf):
     )
     source = seg.select("direction", "seg_id", F.col("text_a").alias("text"))
     reference = seg.select("direction", "seg_id", F.col("text_b").alias("text"))
-    return E.alignment_audit(source, reference, outputs)
+    return E.alignment_audit(source, reference, outputs, list(X.SYSTEMS))
 
 
 @query(with_ctes("scores", """

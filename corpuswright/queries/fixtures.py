@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.rand import uniform
 from ..functions.text import PY_SPACE
 from ..operators.vocab import Specials, Vocabulary, load_vocabulary
-from ..session import spread
 from ..sources.lang import LOCAL_PREFIX, LOCAL_SUFFIX, lang_rows
 
 SEED = 42
@@ -28,12 +27,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def mono(spark: SparkSession, sf: str) -> DataFrame:
     """Monolingual texts: every document."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("raw_text"))
-    return spread(docs, "doc_id")
+    # one row group is one task: the texts of a small file are dealt out for the work on them
+    return docs.repartition("doc_id")
 
 
 def parallel(spark: SparkSession, sf: str) -> DataFrame:
     """Parallel rows xx-en: neighbouring documents of which exactly one is English, whole texts."""
-    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text").repartition("doc_id")
     a = docs.select(F.col("doc_id").alias("seq"), F.col("lang").alias("la"), F.col("text").alias("ta"))
     b = docs.select((F.col("doc_id") - 1).alias("seq"), F.col("lang").alias("lb"), F.col("text").alias("tb"))
     pairs = a.join(b, "seq").filter((F.col("la") == "en") != (F.col("lb") == "en"))

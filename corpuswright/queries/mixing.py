@@ -113,7 +113,7 @@ def take_first(spark, sf):
 
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 2000")
 def take_first_by_position(spark, sf):
-    """A limit above the window bound, counted by block."""
+    """A limit beyond most groups."""
     return M.take_first(X.mono(spark, sf).select("doc_id", "lang"), 2000, "doc_id", ("lang",))
 
 
@@ -139,10 +139,47 @@ def row_position(spark, sf):
     return with_key_position(X.mono(spark, sf).select("lang", "doc_id"), "doc_id", ("lang",))
 
 
+SPARSE = "('0x'||substr(md5(doc_id::VARCHAR),1,15))::BIGINT"
+SPARSE_LANG = "CASE WHEN doc_id % 5 <> 0 THEN lang END"
+
+
+def sparse_rows(spark, sf):
+    """Hashed keys, one of them NULL, and no language for every fifth row."""
+    key = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long")
+    return X.mono(spark, sf).select(
+        "doc_id", F.when(F.col("doc_id") != 7, key).alias("key"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("lang")
+    )
+
+
+SPARSE_ROWS = f"SELECT doc_id, CASE WHEN doc_id <> 7 THEN {SPARSE} END AS key, {SPARSE_LANG} AS lang FROM documents"
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY lang ORDER BY key NULLS FIRST) - 1 AS pos FROM ({SPARSE_ROWS})")
+def row_position_sparse(spark, sf):
+    return with_key_position(sparse_rows(spark, sf), "key", ("lang",))
+
+
+@query(f"""SELECT doc_id, key, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY key NULLS FIRST) AS rn FROM ({SPARSE_ROWS}))
+WHERE rn <= 30""")
+def take_first_sparse(spark, sf):
+    return M.take_first(sparse_rows(spark, sf), 30, "key", ("lang",))
+
+
+@query(f"""SELECT doc_id, key, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY key NULLS FIRST) AS rn FROM
+    (SELECT doc_id, md5(doc_id::VARCHAR) AS key, {SPARSE_LANG} AS lang FROM documents)) WHERE rn <= 300""")
+def take_first_text_keys(spark, sf):
+    rows = sparse_rows(spark, sf).withColumn("key", F.md5(F.col("doc_id").cast("string")))
+    return M.take_first(rows, 300, "key", ("lang",))
+
+
 @query("""
 WITH n AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM documents)
 SELECT a.lang AS lang, a.pos, a.doc_id AS doc_a, b.doc_id AS doc_b, a.text AS text_a, b.text AS text_b
-FROM n a JOIN n b ON b.pos = a.pos AND b.lang = 'en' WHERE a.lang <> 'en'"""
+FROM n a JOIN n b ON b.pos = a.pos AND b.lang = 'en' WHERE a.lang <> 'en'
+UNION ALL SELECT NULL, pos, NULL, doc_id, NULL, text FROM n
+    WHERE lang = 'en' AND pos NOT IN (SELECT pos FROM n WHERE lang <> 'en')
+UNION ALL SELECT lang, pos, doc_id, NULL, text, NULL FROM n
+    WHERE lang <> 'en' AND pos NOT IN (SELECT pos FROM n WHERE lang = 'en')"""
 )
 def align_by_position_rows(spark, sf):
     """Rows of two languages that hold the same place in their corpus."""

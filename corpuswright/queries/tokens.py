@@ -313,11 +313,12 @@ def encode_instruction_test(spark, sf):
 BLOCK, BATCH = 512, 100
 
 
-def pack_sql(src: dict[str, str], by: str, key: str) -> dict[str, str]:
-    """Token-level packing: number the tokens of a batch, cut by position."""
+def pack_sql(src: dict[str, str], by: str, key: str, batch: int | None = None) -> dict[str, str]:
+    """Token-level packing: number the tokens of a source or batch, cut by position."""
+    number = f"(row_number() OVER (PARTITION BY {by} ORDER BY {key}) - 1) // {batch}" if batch else "0::BIGINT"
     return {
         **src,
-        "batched": f"SELECT *, (row_number() OVER (PARTITION BY {by} ORDER BY {key}) - 1) // {BATCH} AS batch FROM items",
+        "batched": f"SELECT *, {number} AS batch FROM items",
         "toks": f"SELECT {by}, batch, {key}, unnest(ids) AS id, generate_subscripts(ids, 1) AS ix FROM batched",
         "numbered": f"SELECT *, row_number() OVER (PARTITION BY {by}, batch ORDER BY {key}, ix) - 1 AS p FROM toks",
         "blocks": f"""SELECT {by}, batch, p // {BLOCK} AS block_no, list(id ORDER BY p) AS ids FROM numbered
@@ -335,22 +336,48 @@ def mono_items(cap: int | None) -> dict[str, str]:
         FROM enc e JOIN documents d ON d.doc_id = e.doc_id"""}
 
 
-def packed(spark, sf, cap):
+def packed(spark, sf, cap=None, batch=None):
     v = X.vocabulary(spark, sf)
     ids = X.mono(spark, sf).select("lang", "doc_id", mono_ids(v, F.col("raw_text"), cap).alias("ids"))
-    blocks = pack_blocks(ids, "ids", "doc_id", BLOCK, ("lang",), BATCH)
+    blocks = pack_blocks(ids, "ids", "doc_id", BLOCK, ("lang",), batch)
     return blocks.select("lang", "batch", "block_no", joined("input_ids").alias("input_ids"))
 
 
 @query(with_ctes("vocab", PACK_OUT, pack_sql(mono_items(None), "lang", "doc_id")))
-def pack_mono_whole_texts(spark, sf):
-    return packed(spark, sf, None)
+def pack_mono(spark, sf):
+    """Whole texts, one remainder per language."""
+    return packed(spark, sf)
 
 
-@query(with_ctes("vocab", PACK_OUT, pack_sql(mono_items(4096), "lang", "doc_id")))
-def pack_mono(spark, sf):
-    """With the token limit that the operator itself sets for one text."""
-    return packed(spark, sf, 4096)
+@query(with_ctes("vocab", PACK_OUT, pack_sql(mono_items(None), "lang", "doc_id", BATCH)))
+def pack_mono_batches(spark, sf):
+    """Whole texts, a remainder per batch of rows."""
+    return packed(spark, sf, None, BATCH)
+
+
+@query(with_ctes("vocab", PACK_OUT, pack_sql(mono_items(64), "lang", "doc_id", BATCH)))
+def pack_mono_limit(spark, sf):
+    """The token limit per text is the feature here."""
+    return packed(spark, sf, 64, BATCH)
+
+
+SPARSE = "('0x'||substr(md5(doc_id::VARCHAR),1,15))::BIGINT"
+SPARSE_ITEMS = {**STRIPPED, "items": f"""SELECT CASE WHEN d.doc_id % 5 <> 0 THEN d.lang END AS lang, {SPARSE.replace('doc_id', 'd.doc_id')} AS key,
+    list_concat(list_concat([{S.bos}], e.ids), [{S.eos}]) AS ids FROM enc e JOIN documents d ON d.doc_id = e.doc_id"""}
+
+
+def sparse(df):
+    """Hashed keys, and no language for every fifth row."""
+    key = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long")
+    return df.withColumn("key", key).withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+
+
+@query(with_ctes("vocab", PACK_OUT, pack_sql(SPARSE_ITEMS, "lang", "key")))
+def pack_sparse_keys(spark, sf):
+    v = X.vocabulary(spark, sf)
+    rows = sparse(X.mono(spark, sf)).select("lang", "key", mono_ids(v, F.col("raw_text")).alias("ids"))
+    blocks = pack_blocks(rows, "ids", "key", BLOCK, ("lang",))
+    return blocks.select("lang", "batch", "block_no", joined("input_ids").alias("input_ids"))
 
 
 @query(with_ctes("parallel vocab", f"""
@@ -359,15 +386,15 @@ SELECT lang_a, batch, block_no, {arr('ids')} AS input_ids, {arr(f"list_transform
         **encoded_ctes("ea", "parallel", "seq", "text_a"),
         **encoded_ctes("eb", "parallel", "seq", "text_b"),
         "items": f"""SELECT p.lang_a, p.seq, list_concat(
-            CASE WHEN p.text_a = '' THEN [] ELSE list_concat(list_concat([{S.bos}], ea.ids)[1:4096], [{S.eos}]) END,
-            CASE WHEN p.text_b = '' THEN [] ELSE list_concat(list_concat([{S.bos}], eb.ids)[1:4096], [{S.eos}]) END) AS ids
+            CASE WHEN p.text_a = '' THEN [] ELSE list_concat(list_concat([{S.bos}], ea.ids), [{S.eos}]) END,
+            CASE WHEN p.text_b = '' THEN [] ELSE list_concat(list_concat([{S.bos}], eb.ids), [{S.eos}]) END) AS ids
             FROM parallel p JOIN ea ON ea.seq = p.seq JOIN eb ON eb.seq = p.seq""",
     }, "lang_a", "seq")))
 def pack_two_sided(spark, sf):
     v = X.vocabulary(spark, sf)
     ids = two_sided_ids(v, [F.col("text_a"), F.col("text_b")])
     rows = X.parallel(spark, sf).select("lang_a", "seq", ids.alias("ids"))
-    blocks = pack_blocks(rows, "ids", "seq", BLOCK, ("lang_a",), BATCH, prefix_mask=True)
+    blocks = pack_blocks(rows, "ids", "seq", BLOCK, ("lang_a",), prefix_mask=True)
     return blocks.select("lang_a", "batch", "block_no", joined("input_ids").alias("input_ids"), joined("prefix_mask").alias("prefix_mask"))
 
 
@@ -376,12 +403,12 @@ def pack_two_sided(spark, sf):
         "combined": f"""SELECT lang_a, seq, CASE WHEN {X.uniform_sql('seq')} < 0.5 THEN text_a||' '||text_b
             ELSE text_b||' '||text_a END AS raw_text FROM parallel""",
         **encoded_ctes("enc", "combined", "seq", X.strip_sql("raw_text")),
-        "items": f"""SELECT c.lang_a, c.seq, list_concat(list_concat([{S.bos}], e.ids)[1:4096], [{S.eos}]) AS ids
+        "items": f"""SELECT c.lang_a, c.seq, list_concat(list_concat([{S.bos}], e.ids), [{S.eos}]) AS ids
             FROM combined c JOIN enc e ON e.seq = c.seq""",
     }, "lang_a", "seq")))
 def pack_web_parallel(spark, sf):
     v = X.vocabulary(spark, sf)
     rows = R.join_sides_random(X.parallel(spark, sf), X.SEED)
     ids = rows.select("lang_a", "seq", mono_ids(v, F.col("raw_text")).alias("ids"))
-    blocks = pack_blocks(ids, "ids", "seq", BLOCK, ("lang_a",), BATCH)
+    blocks = pack_blocks(ids, "ids", "seq", BLOCK, ("lang_a",))
     return blocks.select("lang_a", "batch", "block_no", joined("input_ids").alias("input_ids"))

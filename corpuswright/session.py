@@ -1,4 +1,4 @@
-"""Session defaults, the shared work folder, and the checked broadcast."""
+"""Session defaults and the shared work folder."""
 
 from __future__ import annotations
 
@@ -8,13 +8,9 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# Rows a side may have before `broadcast_if_small` leaves the choice to the optimizer.
-BROADCAST_ROWS = 200_000
-
 _local_dir: str | None = None
 
 
@@ -60,22 +56,6 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting (at most max_rows + 1 rows are read for the check)."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for CPU-heavy steps over a small input: one row group is otherwise one task.
-
-    A large input has more splits than the cluster has cores and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed table as a local relation: no job and no Python worker when it is broadcast."""
     fields = T._parse_datatype_string(schema)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.directions import canonical, parse_directions
 from ..operators.filters import filter_language, iso3_codes
-from ..session import local_table
 from .files import existing, path_exists, with_file_columns, with_line_number
 from .lang import lang_dim, lang_rows
 
@@ -134,12 +135,14 @@ def read_web_parallel(
     found = {d: p for d, p in paths.items() if path_exists(spark, p)}
     if not found:
         raise FileNotFoundError(f"no web parallel corpus under {path}")
-    raw = with_file_columns(spark.read.schema(TRANSLATION).json(list(dict.fromkeys(found.values()))))
-    folder = F.regexp_extract("__file", r"/([^/]+)/[^/]+$", 1)
-    wanted = local_table(spark, [(d, p.rstrip("/").split("/")[-1]) for d, p in found.items()], "direction string, __folder string")
-    rows = raw.withColumn("__folder", folder).join(F.broadcast(wanted), "__folder")
-    sided = rows.select("direction", *_sides(F.col("translation")), "__file", "__offset", "__order")
-    return with_line_number(sided, ("direction",), "seq")
+
+    # a scan per source: its name is a constant and not read out of a path
+    def source(direction: str, folder: str) -> DataFrame:
+        raw = with_file_columns(spark.read.schema(TRANSLATION).json(folder))
+        rows = raw.select(F.lit(direction).alias("direction"), *_sides(F.col("translation")), "__file", "__offset", "__order")
+        return with_line_number(rows, ("direction",), "seq")
+
+    return reduce(DataFrame.unionByName, [source(d, p) for d, p in found.items()])
 
 
 def read_instructions(
@@ -149,10 +152,14 @@ def read_instructions(
     test: bool = False,
     fmt: str = "json",
     numbered: bool = False,
+    per_language: bool = True,
 ) -> DataFrame:
-    """Instruction rows in the requested languages; test rows also carry `lang`, the two-letter code."""
+    """Instruction rows in the requested languages; test rows also carry `lang`, the two-letter code.
+
+    `numbered` adds `seq`, the row's place among the chosen rows of its language, or among all of them.
+    """
     raw = filter_language(spark.read.format(fmt).schema(INSTRUCTION).load(path), directions)
-    rows = _numbered(raw, [*[c.split()[0] for c in INSTRUCTION.split(", ")]], numbered, ("language_code",))
+    rows = _numbered(raw, [*[c.split()[0] for c in INSTRUCTION.split(", ")]], numbered, ("language_code",) if per_language else ())
     if not test:
         return rows
     dim = lang_dim(spark).select(F.col("iso3").alias("language_code"), "lang")
@@ -210,24 +217,23 @@ def read_shots(spark: SparkSession, folder: str, directions: str | list[str]) ->
     )
 
 
-ALIGNED_NAME = r"([^/]+)/[a-z]+/test\.([a-z]+)-([a-z]+)\.([a-z]+)(?:/|$)"
+ALIGNED_NAME = r"/test\.([a-z]+)-([a-z]+)\.([a-z]+)(?:/|$)"
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(folder, direction, lang, seg_id, text) of `<folder>/<srctgt>/test.<src>-<tgt>.<lang>` files.
+    """(direction, lang, seg_id, text) of `test.<src>-<tgt>.<lang>` files of one root; no paths give no rows.
 
-    Only a line feed ends a line, blank lines count.
+    Only a line feed ends a line, blank lines count. Nothing but the file's own name is read out of a path, so folders
+    may be called anything.
     """
+    if not paths:
+        return spark.createDataFrame([], "direction string, lang string, seg_id long, text string")
     raw = with_file_columns(spark.read.option("lineSep", "\n").text(paths))
     part = lambda i: F.regexp_extract("__file", ALIGNED_NAME, i)
     rows = raw.select(
-        part(1).alias("folder"),
-        F.concat_ws("-", part(2), part(3)).alias("direction"),
-        part(4).alias("lang"),
-        F.col("value").alias("text"),
-        "__file", "__offset", "__order",
+        F.concat_ws("-", part(1), part(2)).alias("direction"), part(3).alias("lang"), F.col("value").alias("text"), "__file", "__offset", "__order"
     )
-    return with_line_number(rows, ("folder", "direction", "lang"), "seg_id")
+    return with_line_number(rows, ("direction", "lang"), "seg_id")
 
 
 def aligned_path(root: str, direction: str, lang: str) -> str:
@@ -239,28 +245,25 @@ def read_aligned(
 ) -> DataFrame:
     """(system, direction, seg_id, source, reference, hypothesis), paired by line number.
 
-    `outputs` maps a system name to its folder. All files are one scan; the three roles meet in two joins on
-    (direction, seg_id), of which the second reuses the partitioning of the first. Lines without a partner
-    keep NULL on the missing side (see `alignment_audit`).
+    `outputs` maps a system's name to its folder; each root is a scan of its own, so equal folder names do not meet.
+    Every line of the test set stands once per named system, with a NULL hypothesis where that system has no such line
+    (a shorter file, or none at all). Lines that a system has beyond the test set stay, with NULL source and reference.
     """
     wanted = parse_directions(directions)
-    source, reference, hyps = [], [], []
-    for d in wanted:
-        src, tgt = d.split("-")
-        source.append(aligned_path(testset, d, src))
-        reference.append(aligned_path(testset, d, tgt))
-        hyps += [aligned_path(root, d, tgt) for root in outputs.values()]
+    paths = lambda root, side: existing(spark, [aligned_path(root, d, d.split("-")[side]) for d in wanted])
     key = ["direction", "seg_id"]
-    sources = read_lines(spark, existing(spark, source)).select(*key, F.col("text").alias("source"))
-    references = read_lines(spark, existing(spark, reference)).select(*key, F.col("text").alias("reference"))
-    names = local_table(
-        spark, [(name, root.rstrip("/").split("/")[-1]) for name, root in outputs.items()], "system string, folder string"
-    )
-    hypotheses = read_lines(spark, existing(spark, hyps)).join(F.broadcast(names), "folder")
+    sources = read_lines(spark, paths(testset, 0)).select(*key, F.col("text").alias("source"))
+    references = read_lines(spark, paths(testset, 1)).select(*key, F.col("text").alias("reference"))
     sides = sources.join(references, key, "full")
-    return hypotheses.select("system", *key, F.col("text").alias("hypothesis")).join(sides, key, "full").select(
-        "system", *key, "source", "reference", "hypothesis"
+    expected = sides.withColumn("system", F.explode(F.array(*[F.lit(s) for s in outputs])))
+    hypotheses = reduce(
+        DataFrame.unionByName,
+        [
+            read_lines(spark, paths(root, 1)).select(F.lit(name).alias("system"), *key, F.col("text").alias("hypothesis"))
+            for name, root in outputs.items()
+        ],
     )
+    return expected.join(hypotheses, ["system", *key], "full").select("system", *key, "source", "reference", "hypothesis")
 
 
 SCORE_LINE = r"^(.*)\tSegment (\d+)\tscore: (\S+)$"

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.rand import uniform
 from ..operators.mixing import interleave, shuffle_position
 from ..operators.packing import mono_ids
-from ..operators.vocab import Vocabulary
+from ..operators.vocab import Encoder
 from ..session import work_dir
 from ..sources.readers import TRANSLATION, _sides
 
@@ -76,7 +76,7 @@ def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame, int, s
     return f"{out}/data"
 
 
-def stream_prepare(stream: DataFrame, vocab: Vocabulary, text: str = "text", max_tokens: int | None = None) -> DataFrame:
+def stream_prepare(stream: DataFrame, vocab: Encoder, text: str = "text", max_tokens: int | None = None) -> DataFrame:
     """Row-local preparation, the same expressions as for a finite table."""
     return stream.withColumn("input_ids", mono_ids(vocab, F.col(text), max_tokens)).drop(text)
 

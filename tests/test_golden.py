@@ -358,6 +358,11 @@ def test_bleu_extremes(spark):
     assert score([("de-en", same, "")]) == [0.0]
     assert score([("de-en", same, "the cat")]) == [0.0]
     assert score([("en-ja", same, same)]) == []
+    # a missing output is an empty one: the brevity penalty sees it
+    both = score([("de-en", same, same), ("de-en", same, None)])
+    assert both == score([("de-en", same, same), ("de-en", same, "")]) and 0 < both[0] < 60
+    # a line without a reference is no segment
+    assert score([("de-en", same, same), ("de-en", None, "more")]) == [100.0]
 
 
 def test_audit_reports_gaps(spark):
@@ -365,6 +370,6 @@ def test_audit_reports_gaps(spark):
     src = line([("a-b", 0, "x"), ("a-b", 1, "y"), ("c-d", 0, "z")])
     ref = line([("a-b", 0, "x"), ("a-b", 1, "y")])
     out = spark.createDataFrame([("s", "a-b", 0, " ")], "system string, direction string, seg_id long, text string")
-    got = {r.direction: r for r in E.alignment_audit(src, ref, out).collect()}
+    got = {r.direction: r for r in E.alignment_audit(src, ref, out, ["s"]).collect()}
     assert (got["a-b"].output_lines, got["a-b"].missing_output, got["a-b"].blank_outputs) == (1, 1, 1)
     assert (got["c-d"].missing_reference, got["c-d"].output_lines, got["c-d"].missing_output) == (1, 0, 1)

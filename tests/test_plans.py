@@ -7,7 +7,7 @@ from corpuswright.functions import arrays as A
 from corpuswright.operators import denoise as U
 from corpuswright.operators import evaluate as E
 from corpuswright.operators import mixing as M
-from corpuswright.operators.ordering import with_key_position
+from corpuswright.operators.ordering import QUANTILES, with_key_block, with_key_position
 from corpuswright.operators.packing import pack_blocks
 from corpuswright.operators.vocab import vocabulary_of
 from corpuswright.plans import evaluation as PE
@@ -210,19 +210,21 @@ def naive_pack(rows, batch, block):
     return out
 
 
-@pytest.mark.parametrize("width", [7, 1 << 20])
-def test_pack_equals_simulation(spark, width):
+@pytest.mark.parametrize("step", [3, 10**12 + 7])
+def test_pack_equals_simulation(spark, step):
     data = [list(range(100 * i, 100 * i + (i * 7) % 23)) for i in range(95)]
-    df = spark.createDataFrame([(i * 3, d) for i, d in enumerate(data)], "k long, ids array<int>").repartition(5)
-    got = pack_blocks(df, "ids", "k", 16, (), 10, width=width).orderBy("batch", "block_no").collect()
+    df = spark.createDataFrame([(i * step, d) for i, d in enumerate(data)], "k long, ids array<int>").repartition(5)
+    got = pack_blocks(df, "ids", "k", 16, (), 10).orderBy("batch", "block_no").collect()
     assert [(r.batch, r.block_no, r.input_ids) for r in got] == naive_pack(data, 10, 16)
+    whole = pack_blocks(df, "ids", "k", 16).orderBy("block_no").collect()
+    assert [(r.batch, r.block_no, r.input_ids) for r in whole] == naive_pack(data, len(data), 16)
 
 
 def test_results_do_not_depend_on_partitioning(spark, sf):
     rows = X.mono(spark, sf).select("doc_id", "lang")
     for f in (
         lambda d: M.shuffle_position(d, 1, "doc_id"),
-        lambda d: with_key_position(d, "doc_id", ("lang",), width=13),
+        lambda d: with_key_position(d, "doc_id", ("lang",)),
         lambda d: M.random_rows(d, 9, 1, "doc_id"),
         lambda d: M.interleave(d, "doc_id", ["de", "en"], [0.4, 0.6], 1, "lang"),
     ):
@@ -230,9 +232,31 @@ def test_results_do_not_depend_on_partitioning(spark, sf):
         assert one == many
 
 
+@pytest.mark.parametrize("key", ["id", "xxhash64(id)", "CASE WHEN id < 9 THEN id * 1000000000000 ELSE id END", "CASE WHEN id > 0 THEN id END", "md5(string(id))"])
+def test_blocks_are_even_and_bounded(spark, key):
+    rows = spark.range(20_000).select(F.expr(key).alias("k"), F.when(F.col("id") % 3 == 0, F.lit("a")).alias("g"))
+    blocks = with_key_block(rows, "k", ("g",)).groupBy("g", "__blk").count().collect()
+    assert len(blocks) <= 2 * (QUANTILES + 1) and max(r["count"] for r in blocks) < 800
+    got = with_key_position(rows, "k", ("g",)).collect()
+    for g in ("a", None):
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.pos)
+        assert [r.pos for r in own] == list(range(len(own)))
+        keys = [r.k for r in own]
+        assert None not in keys[1:] and keys[1:] == sorted(keys[1:])
+
+
+def test_take_first_is_one_way_for_all_keys(spark):
+    for keys in ([None, 1, 2], [None, "b", "a"]):
+        kind = "long" if 1 in keys else "string"
+        df = spark.createDataFrame([(k,) for k in keys], f"k {kind}")
+        order = [None, *sorted(k for k in keys if k is not None)]
+        for n in (1, 3, 2000):
+            assert [r.k for r in M.take_first(df, n, "k").orderBy("k").collect()] == order[:n]
+
+
 def test_hot_group_is_numbered_by_block(spark):
-    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("g"))
-    hot = with_key_position(rows, "id", ("g",), width=100).filter("g = 'hot'").orderBy("id").collect()
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("g"))
+    hot = with_key_position(rows, "id", ("g",)).filter("g = 'hot'").orderBy("id").collect()
     assert [r.pos for r in hot] == list(range(len(hot)))
 
 
@@ -277,7 +301,7 @@ def naive_bleu_stats(hyp, ref):
 def test_ngram_stats_equal_counters(spark, sf):
     rows = E.tokenize_aligned(X.aligned(spark, sf))
     tokens = {(r.system, r.seg_id): (r.hyp_tokens, r.ref_tokens) for r in rows.collect()}
-    for r in E.ngram_stats(rows).collect():
+    for r in E.ngram_stats(X.aligned(spark, sf)).collect():
         got = [r[f"{k}{n}"] for n in range(1, 5) for k in ("match", "total")]
         assert got == naive_bleu_stats(*tokens[(r.system, r.seg_id)])
 
