@@ -15,7 +15,11 @@ from ..sources.lang import with_lang
 
 
 class Backend(Protocol):
-    """Translates prompts; `settings` holds the generation options, one forced target code per prompt."""
+    """Translates prompts; `settings` holds the generation options, one forced target code per prompt.
+
+    Options that go by row are lists, one entry per prompt: `max_source_length` (ids of a prompt that the backend
+    reads, it cuts the rest) and `max_new_tokens`.
+    """
 
     def __call__(self, prompts: list[str], settings: dict, target_codes: list[str | None]) -> list[str]: ...
 
@@ -36,7 +40,7 @@ class GenerationSettings:
     batch_size: int = 4
 
     def options(self) -> dict:
-        return {"max_new_tokens": self.max_new_tokens, "num_beams": self.num_beams}
+        return {"num_beams": self.num_beams}
 
 
 def batch_translate(
@@ -49,10 +53,14 @@ def batch_translate(
     """(keys…, output): prompts of all directions in one job.
 
     The backend is built once per task, not per batch. With `force_target` each prompt comes with the long
-    code of its target language.
+    code of its target language. Rows that have `source_limit` and `new_limit` (see `with_limits`) are translated under
+    their own limits, others under those of the settings.
     """
+    for name, value in (("source_limit", settings.max_source_length), ("new_limit", settings.max_new_tokens)):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(value))
     rows = with_lang(df, "tgt", "nllb", "__code") if force_target else df.withColumn("__code", F.lit(None).cast("string"))
-    rows = rows.select(*keys, "prompt", "__code")
+    rows = rows.select(*keys, "prompt", "__code", "source_limit", "new_limit")
     schema = rows.select(*keys).withColumn("output", F.lit("")).schema
     options, size = settings.options(), settings.batch_size
     names = list(keys)
@@ -63,7 +71,8 @@ def batch_translate(
             outputs: list[str] = []
             for i in range(0, len(frame), size):
                 part = frame.iloc[i : i + size]
-                outputs += backend(part["prompt"].tolist(), options, part["__code"].tolist())
+                own = {"max_source_length": part["source_limit"].tolist(), "max_new_tokens": part["new_limit"].tolist()}
+                outputs += backend(part["prompt"].tolist(), options | own, part["__code"].tolist())
             yield frame[names].assign(output=outputs)
 
     return rows.mapInPandas(run, schema)

@@ -20,6 +20,8 @@ class ChatTemplate:
     answer_prefix: str = " "
     answer_suffix: str = "</s>"
     generation: str = ""
+    system_prefix: str = "<<SYS>>\n"
+    system_suffix: str = "\n<</SYS>>\n\n"
 
     def prompt(self, user: Column) -> Column:
         """A user turn, ready for generation."""
@@ -37,11 +39,36 @@ class ChatTemplate:
             F.lit(self.answer_suffix),
         )
 
+    def conversation(self, turns: Column) -> Column:
+        """All turns of array<struct<role, text>> in order. A system turn stands in front of the next user turn, inside
+        its marks; turns of other roles and NULL texts are left out."""
+
+        def step(state: Column, t: Column) -> Column:
+            said = F.coalesce(t["text"], F.lit(""))
+            user = F.concat(state["text"], F.lit(self.start + self.user_prefix), state["system"], said, F.lit(self.user_suffix))
+            answer = F.concat(state["text"], F.lit(self.answer_prefix), said, F.lit(self.answer_suffix))
+            text = F.when(t["role"] == "user", user).when(t["role"] == "assistant", answer).otherwise(state["text"])
+            system = (
+                F.when(t["role"] == "system", F.concat(F.lit(self.system_prefix), said, F.lit(self.system_suffix)))
+                .when(t["role"] == "user", F.lit("")).otherwise(state["system"])
+            )
+            return F.struct(text.alias("text"), system.alias("system"))
+
+        kept = F.filter(turns, lambda t: t["text"].isNotNull())
+        return F.aggregate(kept, F.struct(F.lit("").alias("text"), F.lit("").alias("system")), step, lambda s: s["text"])
+
     def affixes(self) -> tuple[str, str]:
         """Text before (stripped) and after (not stripped) a user sentence, special tokens left out."""
         return self.user_prefix.strip(), self.user_suffix + self.generation
 
 
+def render_conversations(turns: DataFrame, template: ChatTemplate = ChatTemplate(), out: str = "chat") -> DataFrame:
+    """(conv_id, turns, chat) from turn rows (conv_id, turn, role, text); a conversation is as long as its turns."""
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    per = turns.groupBy("conv_id").agg(ordered.alias("__t"))
+    return per.select("conv_id", F.size("__t").alias("turns"), template.conversation(F.col("__t")).alias(out))
+
+
 def with_names(df: DataFrame) -> DataFrame:
     """Add the English language names src_name and tgt_name."""
     return with_lang(with_lang(df, "src", "name", "src_name"), "tgt", "name", "tgt_name")

@@ -133,7 +133,7 @@ def encode_instruction_test(
 
 
 def token_windows(df: DataFrame, ids: str, width: int, pad: int, key: str, out_key: str = "row_id") -> DataFrame:
-    """Whole texts as right-padded rows of `width` ids; a full row has no padding."""
+    """Whole texts as right-padded rows of `width` ids, keyed `key:window`; a full row has no padding."""
 
     def windows(x: Column) -> Column:
         last = F.floor((F.size(x) - 1) / F.lit(width)).cast("int")
@@ -143,7 +143,7 @@ def token_windows(df: DataFrame, ids: str, width: int, pad: int, key: str, out_k
     passed = [c for c in df.columns if c != ids]
     return (
         df.withColumn("__w", F.explode(let(F.col(ids), windows)))
-        .withColumn(out_key, F.col(key) * F.lit(1_000_000) + F.col("__w.i"))
+        .withColumn(out_key, F.concat_ws(":", F.col(key).cast("string"), F.col("__w.i").cast("string")))
         .withColumn("attention_mask", A.pad_mask(F.col("__w.ids"), width))
         .withColumn("input_ids", A.pad_to(F.col("__w.ids"), width, pad))
         .select(*passed, out_key, "input_ids", "attention_mask")

@@ -162,6 +162,23 @@ def prepare_test(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFram
     return T.encode_test(prompts_to_translate(spark, opts), vocab, opts.src_len, opts.chat, opts.prefix_lm)
 
 
+def instruction_prompts(spark: SparkSession, opts: Options) -> DataFrame:
+    """(lang, seq, inputs, prompt): instruction test rows per language, chat-wrapped if asked for."""
+    rows = R.read_instructions(spark, opts.instructions, opts.directions, test=True, numbered=True)
+    rows = M.take_first(rows, opts.max_test, "seq", ("lang",))
+    return rows.select("lang", "seq", "inputs", (TEMPLATE.prompt(F.col("inputs")) if opts.chat else F.col("inputs")).alias("prompt"))
+
+
+def prepare_stream(spark: SparkSession, opts: Options, vocab: Encoder, shards: int, last: str | None = None) -> DataFrame:
+    """The training rows of the web source as an unbounded stream: prepared row by row, packed per language and shard."""
+    from ..streaming.streams import MONO, stream_pack, stream_prepare, stream_source
+
+    schema = MONO + (f", {last} boolean" if last else "")
+    texts = stream_source(spark, "web", opts.web_mono, schema, opts.web_format).filter(F.col("lang").isin(opts.web_langs))
+    prepared = stream_prepare(texts, vocab, max_tokens=opts.max_text_tokens)
+    return stream_pack(prepared, "input_ids", "doc_id", opts.src_len + opts.new_len, ("lang",), shards=shards, last=last)
+
+
 def prepare_instruction_test(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     """Instruction test prompts per language."""
     rows = R.read_instructions(spark, opts.instructions, opts.directions, test=True, numbered=True)

@@ -271,6 +271,7 @@ def cache_prepared(spark, sf):
     path = work_dir(spark, "prepared")
     v = X.vocabulary(spark, sf)
     prepared = X.mono(spark, sf).select("doc_id", v.encode(F.col("raw_text")).alias("ids"))
-    K.cache_prepared(prepared, path)
-    again = K.cache_prepared(prepared.withColumn("ids", F.raise_error(F.lit("prepared twice")).cast("array<int>")), path)
+    key = K.fingerprint("ids", sf, v.tokens)
+    K.cache_prepared(prepared, path, key)
+    again = K.cache_prepared(prepared.withColumn("ids", F.raise_error(F.lit("prepared twice")).cast("array<int>")), path, key)
     return again.select("doc_id", X.joined("ids").alias("ids"))

@@ -90,6 +90,24 @@ def batch_translate(spark, sf):
     return G.batch_translate(rows, EchoBackend, force_target=True)
 
 
+class LimitBackend:
+    """A stand-in translator that says which limits it was given."""
+
+    def __call__(self, prompts, settings, target_codes):
+        return [f"{s}/{n}" for s, n in zip(settings["max_source_length"], settings["max_new_tokens"])]
+
+
+@query(with_ctes("expanded", """
+SELECT direction, seq AS seg_id, CASE WHEN direction = 'fr-en' THEN 2 ELSE 1 END AS run_id,
+       CASE WHEN direction = 'fr-en' THEN '512/384' ELSE '256/256' END AS output FROM expanded"""))
+def translate_with_limits(spark, sf):
+    """Every direction once, one again under longer limits; the backend echoes the limits of the run that counts."""
+    rows = P.render_prompt(expanded(spark, sf)).withColumnRenamed("seq", "seg_id")
+    first = G.with_limits(rows, {}).withColumn("run_id", F.lit(1))
+    again = G.with_limits(rows.filter("direction = 'fr-en'"), {"fr-en": (512, 384)}).withColumn("run_id", F.lit(2))
+    return G.latest_run(G.batch_translate(first.unionByName(again), LimitBackend, keys=("direction", "seg_id", "run_id")))
+
+
 @query(with_ctes("prompted aligned", """
 SELECT p.direction, p.seq AS seg_id, p.prompt, a.hypothesis AS output FROM prompted p
 LEFT JOIN aligned a ON a.direction = p.direction AND a.seg_id = p.seq AND a.system = 'sysA'"""))

@@ -204,3 +204,18 @@ FROM parallel p JOIN langs l ON l.lang = p.lang_a"""))
 def web_pair_key(spark, sf):
     rows = L.with_lang(L.with_lang(X.parallel(spark, sf), "lang_a", "nllb", "code_a"), "lang_b", "nllb", "code_b")
     return rows.select("seq", L.nllb_pair_key(F.col("code_a"), F.col("code_b")).alias("config"))
+
+
+@query("""
+WITH t AS (
+    SELECT conv_id, turn, role, text, max(CASE WHEN role = 'user' THEN turn END) OVER (
+        PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user FROM conversations
+), s AS (
+    SELECT t.*, (SELECT arg_max(c.text, c.turn) FROM conversations c WHERE c.conv_id = t.conv_id AND c.role = 'system'
+        AND c.turn < t.turn AND c.turn > coalesce(t.last_user, -1)) AS sys FROM t
+)
+SELECT conv_id, count(*)::INT AS turns, coalesce(string_agg(CASE role
+    WHEN 'user' THEN '<s>[INST] '||CASE WHEN sys IS NULL THEN '' ELSE '<<SYS>>'||chr(10)||sys||chr(10)||'<</SYS>>'||chr(10)||chr(10) END||text||' [/INST]'
+    WHEN 'assistant' THEN ' '||text||'</s>' ELSE '' END, '' ORDER BY turn), '') AS chat FROM s GROUP BY conv_id""")
+def render_conversations(spark, sf):
+    return P.render_conversations(X.table(spark, sf, "conversations"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import work_dir
 from ..streaming import streams as W
 from . import fixtures as X
 from .fixtures import arr, encoded_ctes, joined, uniform_sql, with_ctes
@@ -33,7 +34,17 @@ def stream_prepare(spark, sf):
     return rows.select("doc_id", "lang", joined("input_ids").alias("input_ids"))
 
 
-# one micro-batch holds the whole table, so a shard is packed like one batch
+def in_batches(spark, sf, table, key, schema, parts=3):
+    """The table as a file stream of `parts` micro-batches, each a file of rows in key order."""
+    path = work_dir(spark, f"stream-{table}")
+    rows = spark.read.parquet(f"{sf}/{table}.parquet")
+    high = rows.agg(F.max(key)).first()[0]
+    for i in range(parts):
+        cut = rows.filter((F.col(key) * parts >= i * (high + 1)) & (F.col(key) * parts < (i + 1) * (high + 1)))
+        cut.coalesce(1).write.mode("append").parquet(path)
+    return W.stream_source(spark, "web", path, schema, files_per_trigger=1)
+
+
 STREAM_PACK = {
     **encoded_ctes("enc", "documents", "doc_id", X.strip_sql("text")),
     "items": f"""SELECT d.lang, floor(('0x'||substr(md5('0:'||d.doc_id),1,8))::BIGINT/4294967296.0::DOUBLE * 4)::INT AS shard, d.doc_id,
@@ -41,18 +52,33 @@ STREAM_PACK = {
     "toks": "SELECT lang, shard, doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS ix FROM items",
     "numbered": "SELECT *, row_number() OVER (PARTITION BY lang, shard ORDER BY doc_id, ix) - 1 AS p FROM toks",
 }
+PACKED = """SELECT lang, shard, p // 512 AS block_no, array_to_string(list(id ORDER BY p), ',') AS input_ids FROM numbered GROUP BY ALL"""
 
 
-@query(with_ctes("vocab", """
-SELECT lang, shard, p // 512 AS block_no, array_to_string(list(id ORDER BY p), ',') AS input_ids FROM numbered
-GROUP BY ALL HAVING count(*) = 512""", STREAM_PACK))
+@query(with_ctes("vocab", PACKED + " HAVING count(*) = 512", STREAM_PACK))
 def stream_pack(spark, sf):
-    prepared = W.stream_prepare(documents(spark, sf), X.vocabulary(spark, sf))
+    """Three micro-batches; tails wait in the state."""
+    prepared = W.stream_prepare(in_batches(spark, sf, "documents", "doc_id", W.MONO), X.vocabulary(spark, sf))
     blocks = W.stream_pack(prepared, "input_ids", "doc_id", 512, ("lang",), shards=4)
     rows = spark.read.parquet(W.run_to_table(blocks, "stream-pack"))
     return rows.select("lang", "shard", "block_no", joined("input_ids").alias("input_ids"))
 
 
+@query(with_ctes("vocab", PACKED, STREAM_PACK))
+def stream_pack_flush(spark, sf):
+    """The end of every language is marked, so that the tails are written too."""
+    path = work_dir(spark, "stream-ends")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text", F.lit(False).alias("last"))
+    docs.coalesce(1).write.mode("append").parquet(path)
+    ends = docs.groupBy("lang").agg(F.max("doc_id").alias("doc_id")).select("doc_id", "lang", F.lit("").alias("text"), F.lit(True).alias("last"))
+    ends.coalesce(1).write.mode("append").parquet(path)
+    stream = W.stream_source(spark, "web", path, f"{W.MONO}, last boolean", files_per_trigger=1)
+    prepared = W.stream_prepare(stream, X.vocabulary(spark, sf))
+    blocks = W.stream_pack(prepared, "input_ids", "doc_id", 512, ("lang",), shards=4, last="last")
+    rows = spark.read.parquet(W.run_to_table(blocks, "stream-pack"))
+    return rows.select("lang", "shard", "block_no", joined("input_ids").alias("input_ids"))
+
+
 @query(f"""SELECT 0 AS batch_id, doc_id, lang, text, row_number() OVER (ORDER BY {uniform_sql('doc_id')}, doc_id) - 1 AS pos FROM documents""")
 def stream_shuffle(spark, sf):
     return spark.read.parquet(W.stream_shuffle(documents(spark, sf), "doc_id", X.SEED))
@@ -70,7 +96,7 @@ SELECT CASE WHEN user_id % 2 = 0 THEN 'train' ELSE 'eval' END AS phase, event_id
        avg(value)::FLOAT AS mean, count(*) AS records FROM events GROUP BY ALL""")
 def stream_log(spark, sf):
     schema = "event_id long, user_id long, event_type string, value double"
-    events = W.stream_source(spark, "web", sf, schema, name_filter="events.parquet").select(
+    events = in_batches(spark, sf, "events", "event_id", schema).select(
         F.when(F.col("user_id") % 2 == 0, F.lit("train")).otherwise(F.lit("eval")).alias("phase"),
         F.floor(F.col("event_id") / 1000).cast("long").alias("log_window"),
         F.col("event_type").alias("metric"),

@@ -60,7 +60,7 @@ ROW_CTES = {
     **DOC_IDS,
     "chunks": f"""SELECT doc_id, unnest(list_transform(range((len(ids) + {WIDTH - 1}) // {WIDTH}),
         lambda i: {{'i': i, 'ids': ids[i * {WIDTH} + 1 : (i + 1) * {WIDTH}]}})) AS w FROM enc""",
-    "rows": f"""SELECT doc_id * 1000000 + w.i AS row_id, w.ids AS raw, {pad_sql('w.ids', WIDTH, S.pad)} AS ids,
+    "rows": f"""SELECT doc_id||':'||w.i AS row_id, w.ids AS raw, {pad_sql('w.ids', WIDTH, S.pad)} AS ids,
         {pad_mask_sql('w.ids', WIDTH)} AS mask FROM chunks""",
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,9 +50,19 @@ def preview(df: DataFrame, n: int = 10, by: str = "direction", order: str = "seg
     return df.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= n)
 
 
-def cache_prepared(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
-    """Prepared data from `path` if a finished write is there, else written first."""
+def fingerprint(*parts: object) -> str:
+    """A name for prepared data from all that it depends on: options, vocabulary, input paths, and the like."""
+    return hashlib.sha256("\x1f".join(repr(p) for p in parts).encode()).hexdigest()[:32]
+
+
+def cache_prepared(df: DataFrame, path: str, key: str, overwrite: bool = False) -> DataFrame:
+    """Prepared data from `path`/`key` if a finished write is there, else written first.
+
+    `key` is the `fingerprint` of what `df` was prepared from, so that other options, inputs or vocabularies never meet
+    an old result. The schema must be the same too: it is part of the folder's name.
+    """
     spark = df.sparkSession
-    if overwrite or not path_exists(spark, f"{path}/_SUCCESS"):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{path}/{key}-{fingerprint(df.schema.simpleString())[:8]}"
+    if overwrite or not path_exists(spark, f"{folder}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

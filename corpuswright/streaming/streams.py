@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,36 +83,49 @@ def stream_prepare(stream: DataFrame, vocab: Encoder, text: str = "text", max_to
 
 
 def stream_pack(
-    stream: DataFrame, ids: str, order: str, block: int, by: tuple[str, ...] = (), shards: int = 64
+    stream: DataFrame, ids: str, order: str, block: int, by: tuple[str, ...] = (), *, shards: int, last: str | None = None
 ) -> DataFrame:
     """Full blocks from an unbounded source; what is left of a batch starts the next one.
 
-    Rows are packed per (source, shard), shard being a hash of the row key, so a hot source is spread over all
-    shards. State is the tail of a shard, fewer ids than a block. At most one block per shard stays unwritten.
+    Rows are packed per (source, shard), shard being a hash of the row key, so a hot source is spread over `shards`
+    groups: as many as tasks should share a source. Rows of a shard are packed in order of arrival, and in `order` inside
+    a micro-batch; if files arrive in key order, blocks do not depend on how the stream is cut. State is the tail of a
+    shard, fewer ids than a block.
+
+    `last` names a boolean column that marks the end of a source. A marked row has no ids of its own; it reaches all
+    shards, which then write their tails as shorter blocks and start anew. Without it the tails, less than a block per
+    shard, stay in the state.
     """
     keys = [*by, "shard"]
     names = [*by, "shard", "block_no", "input_ids"]
-    shard = F.floor(uniform(0, F.col(order)) * shards).cast("int")
-    rows = stream.withColumn("shard", shard).select(*keys, order, ids)
+    own = F.array(F.floor(uniform(0, F.col(order)) * shards).cast("int"))
+    end = F.coalesce(F.col(last), F.lit(False)) if last else F.lit(False)
+    every = F.sequence(F.lit(0), F.lit(shards - 1))
+    rows = stream.withColumn("__end", end).withColumn("shard", F.explode(F.when(F.col("__end"), every).otherwise(own)))
+    rows = rows.select(*keys, order, ids, "__end")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out_schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", block_no long, input_ids array<int>"
 
     def pack(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, done = ([], 0) if not state.exists else (list(state.get[0]), state.get[1])
-        for frame in frames:
-            blocks = []
-            for row in frame.sort_values(order)[ids]:
-                tail.extend(int(x) for x in row)
-                full = len(tail) // block
-                blocks += [tail[i * block : (i + 1) * block] for i in range(full)]
-                del tail[: full * block]
-            if blocks:
-                out = pd.DataFrame({"block_no": range(done, done + len(blocks)), "input_ids": blocks})
-                for name, value in zip(keys, key):
-                    out[name] = value
-                done += len(blocks)
-                yield out[names]
-        state.update((tail, done))
+        tail, done = (np.zeros(0, np.int32), 0) if not state.exists else (np.asarray(state.get[0], np.int32), state.get[1])
+        # a key's rows of one micro-batch may come in several frames: the order holds over all of them
+        rows_ = pd.concat(list(frames), ignore_index=True).sort_values(["__end", order], kind="stable")
+        ended = bool(rows_["__end"].any())
+        parts = [np.asarray(x, np.int32) for x in rows_.loc[~rows_["__end"], ids] if x is not None]
+        stretch = np.concatenate([tail, *parts])
+        full = len(stretch) // block
+        blocks = [stretch[i * block : (i + 1) * block] for i in range(full)]
+        tail = stretch[full * block :]
+        if ended and len(tail):
+            blocks.append(tail)
+        if ended:
+            tail = tail[:0]
+        state.update((tail.tolist(), done + len(blocks)))
+        if blocks:
+            out = pd.DataFrame({"block_no": range(done, done + len(blocks)), "input_ids": blocks})
+            for name, value in zip(keys, key):
+                out[name] = value
+            yield out[names]
 
     return rows.groupBy(*keys).applyInPandasWithState(
         pack, out_schema, "tail array<int>, done long", "append", GroupStateTimeout.NoTimeout
@@ -130,14 +144,18 @@ def stream_shuffle(stream: DataFrame, key: str, seed: int, label: str = "shuffle
 def stream_mix(
     stream: DataFrame, key: str, names: list[str], probs: list[float], seed: int, source: str, label: str = "mix"
 ) -> str:
-    """The mixture of each micro-batch; a batch without all sources is mixed from those it has."""
+    """Each micro-batch mixed by itself, which is another operator than `interleave` over the whole stream.
+
+    A micro-batch is read until each of its own sources is exhausted; sources it lacks take no part, so shares hold
+    only over batches that have all sources. Use it for streams whose batches are cut to hold all of them.
+    """
 
     def each(batch: DataFrame, i: int, out: str) -> None:
         # read the batch from disk for its several passes
         staged = f"{out}-staged/batch_id={i}"
         batch.write.mode("overwrite").parquet(staged)
         rows = batch.sparkSession.read.schema(batch.schema).parquet(staged)
-        present = {r[0] for r in rows.select(source).distinct().collect()}
+        present = {r[0] for r in rows.filter(F.col(source).isin(names)).groupBy(source).count().collect()}
         kept = [(n, p) for n, p in zip(names, probs) if n in present]
         if kept:
             mixed = interleave(rows, key, [n for n, _ in kept], [p for _, p in kept], seed, source)

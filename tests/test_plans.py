@@ -135,9 +135,12 @@ def test_line_numbers_over_many_splits(spark):
 
 def test_cached_data_is_reused_unless_overwritten(spark):
     path = work_dir(spark, "cache")
-    assert K.cache_prepared(spark.range(3), path).count() == 3
-    assert K.cache_prepared(spark.range(5), path).count() == 3
-    assert K.cache_prepared(spark.range(5), path, overwrite=True).count() == 5
+    one, other = K.fingerprint(Options("de-en"), ["a"]), K.fingerprint(Options("de-en", seed=1), ["a"])
+    assert one != other and one == K.fingerprint(Options("de-en"), ["a"])
+    assert K.cache_prepared(spark.range(3), path, one).count() == 3
+    assert K.cache_prepared(spark.range(5), path, one).count() == 3
+    assert K.cache_prepared(spark.range(4), path, other).count() == 4
+    assert K.cache_prepared(spark.range(5), path, one, overwrite=True).count() == 5
 
 
 # --- properties -------------------------------------------------------------------------------------------
@@ -188,7 +191,7 @@ def test_streamed_packing_carries_tails(spark):
     data = spark.range(300).select("id", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: (F.col("id") * 10 + i).cast("int")).alias("ids"))
     data.repartition(6).write.parquet(path)
     stream = S.stream_source(spark, "web", path, "id long, ids array<int>", files_per_trigger=2)
-    out = spark.read.parquet(S.run_to_table(S.stream_pack(stream, "ids", "id", 32, (), 2), "packed")).collect()
+    out = spark.read.parquet(S.run_to_table(S.stream_pack(stream, "ids", "id", 32, (), shards=2), "packed")).collect()
     assert all(len(r.input_ids) == 32 for r in out)
     ids = [x for r in out for x in r.input_ids]
     assert len(ids) == len(set(ids)) and 1500 - len(ids) < 2 * 32
