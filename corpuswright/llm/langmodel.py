@@ -1,8 +1,8 @@
 """Language-model scoring with an Elias-Fano n-gram trie that is spread over shards by context.
 
 The model is a bigram model with Witten-Bell smoothing: p(w | v) = (1 - L(v)) c(v w) / c(v) + L(v) p0(w), where
-L(v) = t(v) / (t(v) + c(v)) and t(v) is the number of different successors of v. p0 gives each of the `TOP` most
-frequent words its share and spreads the rest evenly over all other words and one unknown word. A context so frequent
+L(v) = t(v) / (t(v) + c(v)) and t(v) is the number of different successors of v. p0 gives each of the most frequent
+words, `TOP` at most, its share and spreads the rest evenly over all other words and one unknown word. A context so frequent
 that it would fill a shard is split by its successor; its L is `HOT_BACKOFF`. Training and scoring are one flow:
 
 1. the exact count of every training word, shuffled as one row per block and word, gives N, V, p0 and the hot contexts;
@@ -89,8 +89,15 @@ def word_counts(source: DataFrame, shard_tokens: int = SHARD_TOKENS, top: int =
     counted = cut_lineage(counted, "lm-words")
     types, tokens = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-tokens // shard_tokens))
-    # at most `top` rows
-    best = counted.orderBy(F.desc("n"), "h").limit(top).collect()
+    # frequencies in eighths of an octave; the least bin from which on no more than `top` words are found
+    bin_ = F.floor(F.log2("n") * 8).cast("int")
+    rest, least = top, 0
+    for r in sorted(counted.groupBy(bin_.alias("bin")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["bin"]):
+        rest -= r["words"]
+        if rest < 0:
+            least = r["bin"] + 1
+            break
+    best = counted.where(bin_ >= least).collect()
     hashes = np.array([r["h"] for r in best], np.int64).view(np.uint64)
     n = np.array([r["n"] for r in best], np.float64)
     ends = counted.where(F.col("h") == int(np.array(END, np.uint64).view(np.int64))).first()
