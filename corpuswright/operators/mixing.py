@@ -133,7 +133,7 @@ def interleave(
 def mix_nested(
     mono: DataFrame, web: DataFrame, key: str, seed: int, out: str = "draw"
 ) -> DataFrame:
-    """Two finished mixtures, numbered by `key` from 0, drawn half and half and shuffled.
+    """Two finished mixtures, numbered by `key` from 0 without gaps, drawn half and half and shuffled.
 
     Pass the row keys of the mixtures and join the texts to the result. The keys are written once, because the
     outer mixture reads them several times.
@@ -142,7 +142,7 @@ def mix_nested(
         web.withColumn("mixture", F.lit("web")), allowMissingColumns=True
     )
     both = cut_lineage(both, "mixtures")
-    mixed = interleave(both, key, ["mono", "web"], [0.5, 0.5], seed, "mixture", out="__draw")
+    mixed = interleave(both, key, ["mono", "web"], [0.5, 0.5], seed, "mixture", block=dense_block(key), out="__draw")
     return shuffle_position(mixed, seed, "__draw", out).drop("__draw")
 
 
