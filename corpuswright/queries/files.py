@@ -186,6 +186,26 @@ def read_aligned(spark, sf):
     return R.read_aligned(spark, f"{root}/testset", {s: f"{root}/{s}" for s in ("sysA", "sysB")}, XX_EN)
 
 
+@query(with_ctes("aligned", """
+SELECT n.system, c.direction, c.seg_id, c.source, c.reference,
+       CASE WHEN n.system = 'first' THEN a.hypothesis WHEN c.direction <> 'fr-en' AND c.seg_id < 20 THEN b.hypothesis END AS hypothesis
+FROM segs c CROSS JOIN (VALUES ('first'), ('second')) n(system)
+JOIN segs a ON a.system = 'sysA' AND a.direction = c.direction AND a.seg_id = c.seg_id
+JOIN segs b ON b.system = 'sysB' AND b.direction = c.direction AND b.seg_id = c.seg_id WHERE c.system = 'sysC'""", SEGMENTS))
+def read_aligned_ragged(spark, sf):
+    """Two roots whose last folders have one name, one of them with a space; one system stops early and lacks a direction."""
+    root = work_dir(spark, "ragged")
+    rows = segments(spark, sf).drop("seg_id").withColumnRenamed("line", "seg_id")
+    outputs = {"first": f"{root}/one/out", "second": f"{root}/an other/out"}
+    for d in XX_EN:
+        K.write_aligned(rows.filter("system = 'sysC'"), f"{root}/testset", d, d[:2], "source")
+        K.write_aligned(rows.filter("system = 'sysC'"), f"{root}/testset", d, "en", "reference")
+        K.write_aligned(rows.filter("system = 'sysA'"), outputs["first"], d, "en", "hypothesis")
+        if d != "fr-en":
+            K.write_aligned(rows.filter("system = 'sysB' AND seg_id < 20"), outputs["second"], d, "en", "hypothesis")
+    return R.read_aligned(spark, f"{root}/testset", outputs, XX_EN)
+
+
 @query(with_ctes("scores", """
 SELECT scorer, CASE scorer WHEN 'comet' THEN 'run' ELSE 'run-'||(line // 1000) END AS output,
        CASE scorer WHEN 'comet' THEN line ELSE line % 1000 END AS seg_id, score

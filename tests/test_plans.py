@@ -9,7 +9,8 @@ from corpuswright.operators import evaluate as E
 from corpuswright.operators import mixing as M
 from corpuswright.operators.ordering import QUANTILES, with_key_block, with_key_position
 from corpuswright.operators.packing import pack_blocks
-from corpuswright.operators.vocab import vocabulary_of
+from corpuswright.operators.denoise import DenoiseConfig
+from corpuswright.operators.vocab import TokenizerEncoder, Vocabulary, build_vocab, shared_vocabulary, vocabulary_of
 from corpuswright.plans import evaluation as PE
 from corpuswright.plans import preference as PP
 from corpuswright.plans import training as PT
@@ -58,6 +59,47 @@ def test_training_plan(spark, sf, vocab, root):
     assert rows.select("row_key").distinct().count() == positions[3]
 
 
+def test_plans_take_any_encoder(spark, sf, root):
+    """Literal vocabulary, shared vocabulary and external tokenizer give the same rows."""
+    table = build_vocab(X.mono(spark, sf), "raw_text", 300)
+    literal, shared = Vocabulary.from_table(table), shared_vocabulary(table)
+    ids = dict(zip(literal.tokens, range(literal.specials.first_word, len(literal))))
+
+    def tokenizer():
+        return lambda texts: [[ids.get(w, 3) for w in t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if w] for t in texts]
+
+    outside = TokenizerEncoder(tokenizer, len(literal))
+    opts = Options("de-en,en-de", parallel_root=root, mono=[f"{root}/mono.json"], max_train=4, max_test=4, src_len=32, new_len=32)
+    for prepare, key in ((PT.prepare_training, "row_key"), (PT.prepare_test, "seg_id")):
+        results = []
+        for encoder in (literal, shared, outside):
+            rows = prepare(spark, opts, encoder)
+            results.append(sorted((str(r[key]), r.input_ids, r.attention_mask) for r in rows.select(key, "input_ids", "attention_mask").collect()))
+        assert results[0] and results[0] == results[1] == results[2]
+
+
+def test_long_vocabularies_are_shared(spark):
+    table = spark.range(200_000).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") + 4).cast("int").alias("id"))
+    df = spark.createDataFrame([("w0 w199999 other",), (None,)], "t string")
+    got = df.select(shared_vocabulary(table).encode(F.col("t"), bos=True).alias("v")).collect()
+    assert [r.v for r in got] == [[1, 4, 200_003, 3], None]
+
+
+def test_limits_reach_the_backend(spark, root):
+    class Limits:
+        def __call__(self, prompts, settings, codes):
+            return [f"{p} {s}/{n}" for p, s, n in zip(prompts, settings["max_source_length"], settings["max_new_tokens"])]
+
+    out = PE.translate(spark, Options("de-en", parallel_root=root, max_test=3), Limits, retry={"de-en": (512, 384)})
+    assert [r.output for r in out.collect()] == ["512/384"] * 3
+
+
+def test_denoising_is_part_of_the_training_plan(spark, vocab, root):
+    opts = Options("de-en", mono=[f"{root}/mono.json"], max_train=40, src_len=32, new_len=32, denoise=DenoiseConfig())
+    rows = PT.prepare_training(spark, opts, vocab)
+    assert "prefix_mask" in rows.columns and rows.count() > 0
+
+
 def test_eval_and_test_plans(spark, vocab, root):
     opts = Options("de-en,en-de", parallel_root=root, max_eval=5, max_test=7, src_len=32, new_len=32)
     assert PT.prepare_eval(spark, opts, vocab).count() == 10
