@@ -31,9 +31,9 @@ from .texts import LOWER, Words, chain, mix, words
 SHINGLE = 5
 PERMUTATIONS = 76  # each gives two signature values
 MISS = 1e-5
-SKETCH_SIGMAS = 5.0
+SKETCH_SIGMAS = 4.5
 SIZE_STEP = 1.05  # ratio of neighbouring size bins
-WIDE = 512  # permutations of the longer sketch that candidates of step 3 get
+WIDE = 1024  # permutations of the longer sketch that candidates of step 3 get
 
 _ROUND = 1 << 18  # shingles hashed at a time
 _PLANE = -(-2 * PERMUTATIONS // 64)
