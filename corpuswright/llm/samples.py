@@ -25,10 +25,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     `learn` is a condition on the id column that says which rows may be learnt from. The share of each class that is
     kept follows from its count, so the sample is bounded whatever the input; the bound holds in expectation, and a
-    class smaller than `per_class` is kept whole. `weight` is the number of labelled rows that a row stands for. Rows without a label or without an id teach nothing.
+    class smaller than `per_class` is kept whole. `weight` is the number of labelled rows that a row stands for.
+    Rows without a label or without an id teach nothing; of several labels of one id the smaller counts.
     """
     named = labels.select(F.col(id_col).alias("__cw_id"), F.col(label).cast("int").alias("y")).where("__cw_id is not null and y in (0, 1)")
-    allowed = named.where(learn(F.col("__cw_id"))).dropDuplicates(["__cw_id"])
+    allowed = named.where(learn(F.col("__cw_id"))).groupBy("__cw_id").agg(F.min("y").alias("y"))
     counts = {row["y"]: row["n"] for row in allowed.groupBy("y").agg(F.count("*").alias("n")).collect()}
     place = F.xxhash64(F.col("__cw_id"), F.lit(label)).bitwiseAND(F.lit((1 << 30) - 1))
     limit, weight = F.lit(0), F.lit(1.0)
