@@ -3,9 +3,11 @@
 The model is a bigram model with Witten-Bell smoothing: p(w | v) = (1 - L(v)) c(v w) / c(v) + L(v) p0(w), where
 L(v) = t(v) / (t(v) + c(v)) and t(v) is the number of different successors of v. p0 gives each of the most frequent
 words, `TOP` at most, its share and spreads the rest evenly over all other words and one unknown word. A context so frequent
-that it would fill a shard is split by its successor; its L is `HOT_BACKOFF`. Training and scoring are one flow:
+that it would fill a shard is hot: it is split by its successor, and its counts are added up over all shards first, so that
+its L is that of any context. Training and scoring are one flow:
 
 1. the exact count of every training word, shuffled as one row per block and word, gives N, V, p0 and the hot contexts;
+   if there are any, the distinct pairs of these, counted by shard, give t(v) of each;
 2. every block of documents sends to each shard the distinct pairs (context, successor) that belong there, with the
    documents they occur in;
 3. a shard adds up the counts, builds its trie, queries it for all pairs, and returns sums per document;
@@ -34,7 +36,6 @@ from .shared import restore, share
 from .texts import LOWER, Words, mix, words
 
 TOP = 1 << 16
-HOT_BACKOFF = 0.5
 BLOCK_BYTES = 6 << 20
 SHARD_TOKENS = 2_000_000
 
@@ -56,6 +57,7 @@ class Counts:
     rest_log: float  # log10 of p0 of any other word
     hot: np.ndarray  # context hashes (62 bits), ascending
     hot_count: np.ndarray
+    hot_types: np.ndarray  # different successors of each
     shards: int
 
 
@@ -105,14 +107,15 @@ def word_counts(source: DataFrame, shard_tokens: int = SHARD_TOKENS, top: int =
     order = np.argsort(short)
     rest = (tokens - n.sum() + 1) / (types - len(best) + 1)
     texts = ends["n"] if ends else 0
-    hot = n * 4 * shards > max(1, tokens)  # fewer than 4 * shards words
+    # fewer than 4 * shards words; an end is no context
+    hot = (n * 4 * shards > max(1, tokens)) & (hashes != np.uint64(END))
     ids, hot_n = hashes[hot] & _CONTEXT, n[hot]
     if texts * 4 * shards > max(1, tokens):  # the border in front of a text is a context too
         ids, hot_n = np.append(ids, np.uint64(BEGIN) & _CONTEXT), np.append(hot_n, texts)
     by = np.argsort(ids)
     return Counts(
         tokens, types, texts, short[order].astype(np.int64), np.log10(n[order] / (tokens + 1)) if len(n) else n,
-        float(np.log10(rest / (tokens + 1))), ids[by].astype(np.int64), hot_n[by].astype(np.int64), shards,
+        float(np.log10(rest / (tokens + 1))), ids[by].astype(np.int64), hot_n[by].astype(np.int64), np.zeros(len(ids), np.int64), shards,
     )
 
 
@@ -157,6 +160,74 @@ def _widen(planes: np.ndarray, width: int) -> np.ndarray:
     return out.view("<i8").reshape(-1)
 
 
+def _contexts(piece: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, successor, row of each token, bounds)."""
+    tokens, bounds, row = _sequence(piece)
+    context = np.empty_like(tokens)
+    context[1:] = tokens[:-1]
+    context[bounds[:-1]] = BEGIN
+    return (context & _CONTEXT).astype(np.int64), (tokens & _WORD).astype(np.int64), row, bounds
+
+
+def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, sorted."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+_ASKED = "shard int, data binary"
+
+
+def _ask(counts_shared):
+    """Per block and shard: the distinct learnt pairs of hot contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = restore(Counts, counts_shared)
+        for batch in batches:
+            held = np.asarray(batch.column(0))
+            for piece in words(batch.column(1), LOWER, BLOCK_BYTES):
+                context, successor, row, _ = _contexts(piece)
+                use = ~held[piece.first : piece.first + piece.rows][row] & (_place(counts.hot, context) >= 0)
+                context, successor = _distinct(context[use], successor[use])
+                shard = _shard_of(context, successor, counts)
+                rows = np.unique(shard)
+                data = []
+                for k in rows.tolist():
+                    own = shard == k
+                    data.append(_zip(_place(counts.hot, context[own]).astype(np.uint32), _narrow(successor[own], 6)))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(data, pa.binary())], names=["shard", "data"])
+
+    return run
+
+
+_ANSWERED = "context long, types long"
+
+
+def _answer(counts_shared):
+    def run(table: pa.Table) -> pa.Table:
+        counts = restore(Counts, counts_shared)
+        parts = [_unzip(d.as_py()) for d in table["data"]]
+        hot, _ = _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([_widen(p[1], 6) for p in parts]))
+        at, types = np.unique(hot, return_counts=True)
+        return pa.table({"context": pa.array(counts.hot[at]), "types": pa.array(types.astype(np.int64))})
+
+    return run
+
+
+def count_types(source: DataFrame, counts: Counts) -> None:
+    """Set `hot_types`: a pair lies in one shard, so the shards' counts add up."""
+    if not len(counts.hot):
+        return
+    shared = share(source.sparkSession, counts)
+    asked = source.select("held_out", "text").mapInArrow(_ask(shared), _ASKED)
+    answered = asked.groupBy("shard").applyInArrow(_answer(shared), _ANSWERED)
+    for r in answered.groupBy("context").agg(F.sum("types").alias("types")).collect():
+        counts.hot_types[np.searchsorted(counts.hot, r["context"])] = r["types"]
+
+
 _SENT = "shard int, block string, head boolean, data binary"
 
 
@@ -171,12 +242,8 @@ def _send(counts_shared):
                 # the same rows get the same name if the task runs again
                 block = f"{TaskContext.get().partitionId()}-{done}"
                 done += 1
-                tokens, bounds, row = _sequence(piece)
+                context, successor, row, bounds = _contexts(piece)
                 part = held[piece.first : piece.first + piece.rows]
-                context = np.empty_like(tokens)
-                context[1:] = tokens[:-1]
-                context[bounds[:-1]] = BEGIN
-                context, successor = (context & _CONTEXT).astype(np.int64), (tokens & _WORD).astype(np.int64)
                 row = row * 2 + part[row]  # the last bit says that the text is held out
                 order = np.lexsort((row, successor, context))
                 context, successor, row = context[order], successor[order], row[order]
@@ -250,14 +317,17 @@ class _Shard:
         total = np.add.reduceat(n, heads) if len(heads) else n
         c, s = c[heads], s[heads]
         starts = np.flatnonzero(new_c[heads]) if len(heads) else heads
-        nodes = c[starts]
-        types = np.diff(np.append(starts, len(c)))
-        size = np.add.reduceat(total, starts) if len(starts) else total
+        own = np.diff(np.append(starts, len(c)))
+        # a shard knows every hot context, be it without a pair of it
+        nodes = np.union1d(c[starts], counts.hot)
+        types, size = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+        at = np.searchsorted(nodes, c[starts])
+        types[at] = own
+        size[at] = np.add.reduceat(total, starts) if len(starts) else total
+        hot = np.searchsorted(nodes, counts.hot)
+        types[hot], size[hot] = counts.hot_types, counts.hot_count
         lam = types / np.maximum(1, types + size)
-        hot = _place(counts.hot, nodes)
-        size = np.where(hot >= 0, counts.hot_count[np.maximum(hot, 0)] if len(counts.hot) else 0, size)
-        lam = np.where(hot >= 0, HOT_BACKOFF, lam)
-        node = np.repeat(np.arange(len(nodes)), types)
+        node = np.repeat(at, own)
         p = (1 - lam[node]) * total / size[node] + lam[node] * 10 ** plain_log(s, counts)
         return Trie.build(c, s, np.log10(p), nodes, np.log10(lam)), nodes, size
 
@@ -285,9 +355,7 @@ def _score(counts_shared):
             known, pair, log = trie.query(c, s)
             log = np.where(pair, log, log + plain_log(s, counts))
             at = _place(nodes, c)
-            hot = _place(counts.hot, c)
             n = np.where(at >= 0, size[np.maximum(at, 0)] if len(size) else 0, 0)
-            n = np.where(hot >= 0, counts.hot_count[np.maximum(hot, 0)] if len(counts.hot) else 0, n)
             # a context is a token of the text, unless it is the border in front
             token = c != int(np.uint64(BEGIN) & _CONTEXT)
             per = lambda x: np.bincount(row, np.repeat(x, uses))
@@ -329,6 +397,7 @@ def _gather(counts_shared, id_type: pa.DataType):
 def _exchange(docs: DataFrame, held_out, id_col: str, text_col: str, shard_tokens: int, top: int):
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     counts = word_counts(source, shard_tokens, top)
+    count_types(source, counts)
     shared = share(docs.sparkSession, counts)
     return source, shared, source.mapInArrow(_send(shared), _SENT)
 

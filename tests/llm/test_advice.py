@@ -1,0 +1,68 @@
+"""Findings of a review: cases that came out cut or wrong before."""
+
+from __future__ import annotations
+
+import math
+import os
+import random
+import sys
+from collections import Counter
+
+import pytest
+from pyspark import cloudpickle
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import fixtures as fx  # noqa: E402
+
+import corpuswright  # noqa: E402
+from corpuswright.llm import langmodel  # noqa: E402
+
+cloudpickle.register_pickle_by_value(corpuswright)
+
+
+# 3: language model ---------------------------------------------------------------------------------------------------
+
+
+def skewed_texts(n=300, seed=5):
+    """A few words make most of the tokens, and many occur a few times."""
+    rng = random.Random(seed)
+    return [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(5, 60))) for _ in range(n)]
+
+
+def plain_scores(texts_, learn):
+    """Witten-Bell bigrams over the exact share of every word."""
+    uni, bi = Counter(), Counter()
+    for t, use in zip(texts_, learn):
+        if use:
+            seq = [*fx.words(t), "<end>"]
+            uni.update(seq)
+            bi.update(zip(["<begin>", *seq], seq))
+    n, context, types = sum(uni.values()), Counter(), Counter()
+    for (a, _), c in bi.items():
+        context[a] += c
+        types[a] += 1
+
+    def score(t):
+        seq, out = [*fx.words(t), "<end>"], 0.0
+        for a, b in zip(["<begin>", *seq], seq):
+            lam = types[a] / (types[a] + context[a]) if context[a] else 1.0
+            p = lam * (uni[b] or 1) / (n + 1) + ((1 - lam) * bi[(a, b)] / context[a] if context[a] else 0.0)
+            out += math.log10(p)
+        return out
+
+    return [score(t) for t in texts_]
+
+
+def lm_scores(spark, texts_, **options):
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in langmodel.score_texts(docs, **options).collect()}
+    return [not got[k]["held_out"] for k in range(len(texts_))], [got[k]["score"] for k in range(len(texts_))]
+
+
+@pytest.mark.parametrize("shard_tokens", [200, 2000, 1 << 20])
+def test_language_model_scores_are_the_same_for_every_shard_size(spark, shard_tokens):
+    texts_ = skewed_texts()
+    learn, got = lm_scores(spark, texts_, shard_tokens=shard_tokens)
+    assert not all(learn)
+    assert got == pytest.approx(plain_scores(texts_, learn), rel=0.01, abs=0.05)  # 256 levels
