@@ -1,20 +1,23 @@
 """Language-model scoring with an Elias-Fano n-gram trie that is spread over shards by context.
 
 The model is a bigram model with Witten-Bell smoothing: p(w | v) = (1 - L(v)) c(v w) / c(v) + L(v) p0(w), where
-L(v) = t(v) / (t(v) + c(v)) and t(v) is the number of different successors of v. p0 gives each of the most frequent
-words, `TOP` at most, its share and spreads the rest evenly over all other words and one unknown word. A context so frequent
+L(v) = t(v) / (t(v) + c(v)) and t(v) is the number of different successors of v. p0(w) = c(w) / (N + 1), with
+c(w) = 1 for one unknown word. A context so frequent
 that it would fill a shard is hot: it is split by its successor, and its counts are added up over all shards first, so that
 its L is that of any context. Training and scoring are one flow:
 
-1. the exact count of every training word, shuffled as one row per block and word, gives N, V, p0 and the hot contexts;
-   if there are any, the distinct pairs of these, counted by shard, give t(v) of each;
-2. every block of documents sends to each shard the distinct pairs (context, successor) that belong there, with the
+1. the exact count of every training word, shuffled as one row per block and word, gives N, V, the hot contexts and the `TOP` most
+   frequent words, which all tasks know;
+2. every block asks for the counts of its other words: it sends each word with its count and the shards it is needed in to the
+   shard of the word, which answers these shards. The distinct pairs of hot contexts go the same way and give t(v) of each;
+3. every block of documents sends to each shard the distinct pairs (context, successor) that belong there, with the
    documents they occur in;
-3. a shard adds up the counts, builds its trie, queries it for all pairs, and returns sums per document;
-4. the sums of a block meet in one small group, next to the block's ids.
+4. a shard adds up the counts, builds its trie, queries it for all pairs, and returns sums per document;
+5. the sums of a block meet in one small group, next to the block's ids.
 
 A block is at most `BLOCK_BYTES` of text (or one longer text). A shard holds about `SHARD_TOKENS` tokens, so the
-number of shards follows the corpus. Nothing but p0 and the hot contexts, both of bounded size, is sent to all tasks.
+number of shards follows the corpus. Nothing but the most frequent words and the hot contexts, both of bounded size, is
+sent to all tasks; which words these are changes the way of a count, not the count.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ class Counts:
     texts: int
     top: np.ndarray  # word hashes (48 bits), ascending
     top_log: np.ndarray  # log10 of p0 of these
-    rest_log: float  # log10 of p0 of any other word
+    once_log: float  # log10 of p0 of a word that occurs once or never
     hot: np.ndarray  # context hashes (62 bits), ascending
     hot_count: np.ndarray
     hot_types: np.ndarray  # different successors of each
@@ -105,7 +108,6 @@ def word_counts(source: DataFrame, shard_tokens: int = SHARD_TOKENS, top: int =
     ends = counted.where(F.col("h") == int(np.array(END, np.uint64).view(np.int64))).first()
     short = hashes & _WORD
     order = np.argsort(short)
-    rest = (tokens - n.sum() + 1) / (types - len(best) + 1)
     texts = ends["n"] if ends else 0
     # fewer than 4 * shards words; an end is no context
     hot = (n * 4 * shards > max(1, tokens)) & (hashes != np.uint64(END))
@@ -115,7 +117,7 @@ def word_counts(source: DataFrame, shard_tokens: int = SHARD_TOKENS, top: int =
     by = np.argsort(ids)
     return Counts(
         tokens, types, texts, short[order].astype(np.int64), np.log10(n[order] / (tokens + 1)) if len(n) else n,
-        float(np.log10(rest / (tokens + 1))), ids[by].astype(np.int64), hot_n[by].astype(np.int64), np.zeros(len(ids), np.int64), shards,
+        float(-np.log10(tokens + 1)), ids[by].astype(np.int64), hot_n[by].astype(np.int64), np.zeros(len(ids), np.int64), shards,
     )
 
 
@@ -178,11 +180,18 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     return a[new], b[new]
 
 
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination starts in sorted arrays, and the end."""
+    new = np.ones(len(keys[0]) + 1, bool)
+    new[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new) if len(keys[0]) else np.zeros(1, np.int64)
+
+
 _ASKED = "shard int, data binary"
 
 
 def _ask(counts_shared):
-    """Per block and shard: the distinct learnt pairs of hot contexts."""
+    """Per block and shard: the distinct learnt pairs of hot contexts, and words with their counts and the shards that need them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = restore(Counts, counts_shared)
@@ -190,42 +199,77 @@ def _ask(counts_shared):
             held = np.asarray(batch.column(0))
             for piece in words(batch.column(1), LOWER, BLOCK_BYTES):
                 context, successor, row, _ = _contexts(piece)
-                use = ~held[piece.first : piece.first + piece.rows][row] & (_place(counts.hot, context) >= 0)
-                context, successor = _distinct(context[use], successor[use])
-                shard = _shard_of(context, successor, counts)
-                rows = np.unique(shard)
+                learn = ~held[piece.first : piece.first + piece.rows][row]
+                use = learn & (_place(counts.hot, context) >= 0)
+                pair, follows = _distinct(context[use], successor[use])
+                pair_shard = _shard_of(pair, follows, counts)
+                use = _place(counts.top, successor) < 0
+                word, learn, target = successor[use], learn[use], _shard_of(context[use], successor[use], counts)
+                home = _home(word, counts)
+                order = np.lexsort((target, word, home))
+                word, learn, target, home = word[order], learn[order], target[order], home[order]
+                by = np.argsort(pair_shard, kind="stable")
+                pair, follows, pair_shard = _place(counts.hot, pair[by]).astype(np.uint32), follows[by], pair_shard[by]
+                rows = np.union1d(pair_shard, home)
+                left, right = (np.searchsorted(x, rows, side="left").tolist() for x in (pair_shard, home))
+                left_end, right_end = (np.searchsorted(x, rows, side="right").tolist() for x in (pair_shard, home))
                 data = []
-                for k in rows.tolist():
-                    own = shard == k
-                    data.append(_zip(_place(counts.hot, context[own]).astype(np.uint32), _narrow(successor[own], 6)))
+                for a, b, c, d in zip(left, left_end, right, right_end):
+                    w, t = word[c:d], target[c:d]
+                    cells, heads = _groups(w, t), _groups(w)
+                    learnt = np.add.reduceat(learn[c:d].astype(np.int64), heads[:-1]) if d > c else np.zeros(0, np.int64)
+                    data.append(_zip(
+                        pair[a:b], _narrow(follows[a:b], 6), _narrow(w[heads[:-1]], 6), learnt.astype(np.uint32),
+                        np.diff(np.searchsorted(cells, heads)).astype(np.uint32), t[cells[:-1]].astype(np.uint32),
+                    ))
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(data, pa.binary())], names=["shard", "data"])
 
     return run
 
 
-_ANSWERED = "context long, types long"
+_ANSWERED = "context long, types long, shard int, data binary"
 
 
 def _answer(counts_shared):
+    """Different successors of hot contexts, and for each shard the counts it asked for; a word without an answer occurs once or never."""
+
     def run(table: pa.Table) -> pa.Table:
         counts = restore(Counts, counts_shared)
         parts = [_unzip(d.as_py()) for d in table["data"]]
         hot, _ = _distinct(np.concatenate([p[0] for p in parts]), np.concatenate([_widen(p[1], 6) for p in parts]))
         at, types = np.unique(hot, return_counts=True)
-        return pa.table({"context": pa.array(counts.hot[at]), "types": pa.array(types.astype(np.int64))})
+        word = np.concatenate([_widen(p[2], 6) for p in parts])
+        known, own = np.unique(word, return_inverse=True)
+        n = np.bincount(own, np.concatenate([p[3] for p in parts]), len(known)).astype(np.int64)
+        asker = np.repeat(own, np.concatenate([p[4] for p in parts]))
+        target = np.concatenate([p[5] for p in parts])
+        often = n[asker] > 1
+        target, asker = _distinct(target[often], asker[often])
+        cuts = _groups(target).tolist()
+        data = [_zip(_narrow(known[asker[a:b]], 6), n[asker[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+        none = len(at)
+        return pa.table({
+            "context": pa.array([*counts.hot[at].tolist(), *[None] * len(data)], pa.int64()), "types": pa.array([*types.tolist(), *[None] * len(data)], pa.int64()),
+            "shard": pa.array([*[None] * none, *target[cuts[:-1]].tolist()], pa.int32()), "data": pa.array([*[None] * none, *data], pa.binary()),
+        })
 
     return run
 
 
-def count_types(source: DataFrame, counts: Counts) -> None:
-    """Set `hot_types`: a pair lies in one shard, so the shards' counts add up."""
-    if not len(counts.hot):
-        return
+def _home(word: np.ndarray, counts: Counts) -> np.ndarray:
+    """The shard that adds up a word's count."""
+    return (mix(word.astype(np.uint64)) % np.uint64(counts.shards)).astype(np.int32)
+
+
+def count_words(source: DataFrame, counts: Counts) -> DataFrame:
+    """(shard, data): the counts of words that a shard needs and that are not in `top`. Sets `hot_types`; a pair lies in one shard, so the shards' counts add up."""
     shared = share(source.sparkSession, counts)
     asked = source.select("held_out", "text").mapInArrow(_ask(shared), _ASKED)
-    answered = asked.groupBy("shard").applyInArrow(_answer(shared), _ANSWERED)
-    for r in answered.groupBy("context").agg(F.sum("types").alias("types")).collect():
-        counts.hot_types[np.searchsorted(counts.hot, r["context"])] = r["types"]
+    answered = cut_lineage(asked.groupBy("shard").applyInArrow(_answer(shared), _ANSWERED), "lm-answers")
+    if len(counts.hot):
+        for r in answered.where("context is not null").groupBy("context").agg(F.sum("types").alias("types")).collect():
+            counts.hot_types[np.searchsorted(counts.hot, r["context"])] = r["types"]
+    return answered.where("shard is not null").select("shard", "data")
 
 
 _SENT = "shard int, block string, head boolean, data binary"
@@ -282,7 +326,7 @@ def _send(counts_shared):
 
 @dataclass
 class _Shard:
-    """What one shard received, pairs of all blocks end to end."""
+    """What one shard received, pairs of all blocks end to end, and the counts of words that it asked for."""
 
     blocks: list[str]
     context: np.ndarray
@@ -291,9 +335,14 @@ class _Shard:
     learnt: np.ndarray  # training uses of each pair of each block
     at: np.ndarray  # pairs of block k: at[k] .. at[k + 1]
     rows: list[np.ndarray]
+    words: np.ndarray
+    word_log: np.ndarray  # log10 of p0 of these
 
     @staticmethod
-    def of(blocks: list[str], data: list[bytes]) -> _Shard:
+    def of(table: pa.Table, counts: Counts) -> _Shard:
+        answers = table.filter(pa.compute.is_null(table["block"]))
+        table = table.filter(pa.compute.and_(pa.compute.is_valid(table["block"]), pa.compute.invert(table["head"])))
+        blocks, data = table["block"].to_pylist(), [x.as_py() for x in table["data"]]
         contexts, successors, uses, learnt, rows = [], [], [], [], []
         for d in data:
             c, pairs, s, u, row = _unzip(d)
@@ -305,7 +354,19 @@ class _Shard:
             rows.append(row >> 1)
         at = np.concatenate(([0], np.cumsum([len(u) for u in uses]))).astype(np.int64)
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return _Shard(blocks, join(contexts), join(successors), join(uses), join(learnt), at, rows)
+        told = [_unzip(x.as_py()) for x in answers["data"]]
+        known, n = join([_widen(w, 6) for w, _ in told]), join([n for _, n in told])
+        order = np.argsort(known)
+        log = np.log10(n[order] / (counts.tokens + 1))
+        return _Shard(blocks, join(contexts), join(successors), join(uses), join(learnt), at, rows, known[order], log)
+
+    def plain_log(self, successor: np.ndarray, counts: Counts) -> np.ndarray:
+        """log10 of p0."""
+        log = np.full(len(successor), counts.once_log)
+        for known, logs in ((self.words, self.word_log), (counts.top, counts.top_log)):
+            at = _place(known, successor)
+            log[at >= 0] = logs[at[at >= 0]]
+        return log
 
     def trie(self, counts: Counts) -> tuple[Trie, np.ndarray, np.ndarray]:
         """The trie of this shard, its contexts and their counts."""
@@ -328,16 +389,10 @@ class _Shard:
         types[hot], size[hot] = counts.hot_types, counts.hot_count
         lam = types / np.maximum(1, types + size)
         node = np.repeat(at, own)
-        p = (1 - lam[node]) * total / size[node] + lam[node] * 10 ** plain_log(s, counts)
+        p = (1 - lam[node]) * total / size[node] + lam[node] * 10 ** self.plain_log(s, counts)
         return Trie.build(c, s, np.log10(p), nodes, np.log10(lam)), nodes, size
 
 
-def plain_log(successor: np.ndarray, counts: Counts) -> np.ndarray:
-    """log10 of p0."""
-    at = _place(counts.top, successor)
-    return np.where(at >= 0, counts.top_log[np.maximum(at, 0)] if len(counts.top) else 0.0, counts.rest_log)
-
-
 _RETURNED = "block string, head boolean, data binary"
 
 
@@ -345,15 +400,14 @@ def _score(counts_shared):
     def run(table: pa.Table) -> pa.Table:
         counts = restore(Counts, counts_shared)
         heads = table.filter(table["head"]).select(["block", "head", "data"])
-        sent = table.filter(pa.compute.invert(table["head"]))
-        shard = _Shard.of(sent["block"].to_pylist(), [x.as_py() for x in sent["data"]])
+        shard = _Shard.of(table, counts)
         trie, nodes, size = shard.trie(counts)
         blocks, data = [], []
         for k, block in enumerate(shard.blocks):
             span = slice(shard.at[k], shard.at[k + 1])
             c, s, uses, row = shard.context[span], shard.successor[span], shard.uses[span], shard.rows[k]
             known, pair, log = trie.query(c, s)
-            log = np.where(pair, log, log + plain_log(s, counts))
+            log = np.where(pair, log, log + shard.plain_log(s, counts))
             at = _place(nodes, c)
             n = np.where(at >= 0, size[np.maximum(at, 0)] if len(size) else 0, 0)
             # a context is a token of the text, unless it is the border in front
@@ -397,9 +451,9 @@ def _gather(counts_shared, id_type: pa.DataType):
 def _exchange(docs: DataFrame, held_out, id_col: str, text_col: str, shard_tokens: int, top: int):
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     counts = word_counts(source, shard_tokens, top)
-    count_types(source, counts)
+    answers = count_words(source, counts).select("shard", F.lit(None).cast("string").alias("block"), F.lit(False).alias("head"), "data")
     shared = share(docs.sparkSession, counts)
-    return source, shared, source.mapInArrow(_send(shared), _SENT)
+    return source, shared, source.mapInArrow(_send(shared), _SENT).unionByName(answers)
 
 
 def score_texts(docs: DataFrame, held_out=held_out_rows, id_col: str = "doc_id", text_col: str = "text",
@@ -422,8 +476,8 @@ def score_texts(docs: DataFrame, held_out=held_out_rows, id_col: str = "doc_id",
 
 def _levels(counts_shared):
     def run(table: pa.Table) -> pa.Table:
-        sent = table.filter(pa.compute.invert(table["head"]))
-        trie, _, _ = _Shard.of(sent["block"].to_pylist(), [x.as_py() for x in sent["data"]]).trie(restore(Counts, counts_shared))
+        counts = restore(Counts, counts_shared)
+        trie, _, _ = _Shard.of(table, counts).trie(counts)
         return pa.table({"shard": table["shard"].combine_chunks()[:1]} | {k: pa.array([v], pa.binary()) for k, v in trie.levels().items()})
 
     return run

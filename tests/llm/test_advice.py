@@ -66,3 +66,11 @@ def test_language_model_scores_are_the_same_for_every_shard_size(spark, shard_to
     learn, got = lm_scores(spark, texts_, shard_tokens=shard_tokens)
     assert not all(learn)
     assert got == pytest.approx(plain_scores(texts_, learn), rel=0.01, abs=0.05)  # 256 levels
+
+
+@pytest.mark.parametrize("top", [0, 20, 1 << 16])
+def test_language_model_counts_every_word_beyond_the_most_frequent(spark, top):
+    texts_ = skewed_texts()
+    learn, got = lm_scores(spark, texts_, shard_tokens=500, top=top)
+    assert len({w for t in texts_ for w in fx.words(t)}) > 20
+    assert got == pytest.approx(plain_scores(texts_, learn), rel=0.01, abs=0.05)
