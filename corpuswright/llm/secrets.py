@@ -1,7 +1,7 @@
 """Secret scan: candidates by form, false positives removed by a random forest, with DataFrame functions only.
 
-A candidate is a word that ends in a run of `LEAST_LENGTH` or more letters, digits and `_+/-` with a digit in it (and up
-to two `=` behind). The forest sees the run's length, its shares of character classes and their transitions, how much of
+A candidate is a run of `LEAST_LENGTH` or more letters, digits and `_+/-` with a digit in it (and up to two `=` behind, if
+nothing more of a run follows). A word may hold any number of them, at any place. The forest sees the run's length, its shares of character classes and their transitions, how much of
 it dictionary words cover, whether it lies in a path or an address, and the words around it. It is trained from labelled
 findings: a table of findings with a verdict. Where a user has none, `weak_labels` makes them from the formats that
 issuers publish; the forest never sees the formats, only the features.
@@ -32,7 +32,13 @@ TREES, DEPTH, SEED = 20, 6, 17
 _NAMES = r"(?i)(passw|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
 _KEY_ID = r"^(AKIA|ASIA)[0-9A-Z]{16}$"
 
-_RUN = rf"([A-Za-z0-9_+/\-]{{{LEAST_LENGTH},}}={{0,2}})[^A-Za-z0-9=]*$"
+_CHAR = r"A-Za-z0-9_+/\-"
+_START = rf"(?<![{_CHAR}])(?=[A-Za-z_+/\-]*[0-9])"
+_HAS_RUN = rf"{_START}[{_CHAR}]{{{LEAST_LENGTH}}}"
+#: groups: what stands in front of the run in its word (all, or 32 characters or more), the run, and 64 characters behind it
+_RUN = rf"(?s){_START}(?=[{_CHAR}]{{{LEAST_LENGTH}}})(?<=(^.{{0,63}}|.{{32,64}}))([{_CHAR}]{{{LEAST_LENGTH},}}(?:={{1,2}}(?![{_CHAR}=]))?)(?=(.{{0,64}}))"
+#: characters of a neighbouring word that count
+NEIGHBOUR = 64
 _CLASSES = (("digits", "[0-9]"), ("upper", "[A-Z]"), ("lower", "[a-z]"))
 FEATURES = (
     "length", "digits", "upper", "lower", "hex", "transitions", "variety", "covered", "path", "address", "named", "assigned", "quoted", "word_before", "word_after",
@@ -40,21 +46,25 @@ FEATURES = (
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """One row per candidate: doc_id, digest (of the text), word_no (from 0), value, lead (the word in front of the value), before, after, path.
+    """One row per candidate: doc_id, digest (of the text), word_no (from 0), value, lead (what stands in front of it in
+    the word), before, after, path. One word may give several rows. `after` is the rest of the word, or the next word if no letter or
+    digit is left. A long word gives each of its runs its near surroundings only, so that the work follows the length.
 
     Null and empty texts have none; repeated rows give their candidates as often.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
 
+    def near(words: Column, i: Column, end) -> Column:
+        return F.coalesce(end(F.get(words, i), F.lit(NEIGHBOUR)), F.lit(""))
+
     def found(words: Column) -> Column:
         marked = F.transform(
             words,
             lambda w, i: F.when(
-                (F.length(w) >= LEAST_LENGTH) & w.rlike("[0-9]") & w.rlike(_RUN),
+                (F.length(w) >= LEAST_LENGTH) & w.rlike("[0-9]") & w.rlike(_HAS_RUN),
                 F.struct(
                     i.cast("long").alias("word_no"), w.alias("word"),
-                    F.coalesce(F.get(words, i - 1), F.lit("")).alias("before"), F.coalesce(F.get(words, i - 2), F.lit("")).alias("before2"),
-                    F.coalesce(F.get(words, i + 1), F.lit("")).alias("after"),
+                    near(words, i - 1, F.right).alias("before"), near(words, i - 2, F.right).alias("before2"), near(words, i + 1, F.left).alias("after"),
                 ),
             ),
         )
@@ -63,15 +73,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("digest"), path.alias("path"), F.explode(let(word_list(F.col(text_col)), found)).alias("c")
     )
-    value = F.regexp_extract("c.word", _RUN, 1)
-    return (
-        each.withColumn("value", value)
-        .where(F.col("value").rlike("[0-9]"))
-        .select(
-            "doc_id", "digest", F.col("c.word_no").alias("word_no"), "value",
-            F.expr("substring(c.word, 1, locate(value, c.word) - 1)").alias("lead"),
-            F.concat_ws(" ", "c.before2", "c.before").alias("before"), F.col("c.after").alias("after"), "path",
-        )
+    runs = F.arrays_zip(*(F.regexp_extract_all("c.word", F.lit(_RUN), k).alias(name) for k, name in ((1, "lead"), (2, "value"), (3, "rest"))))
+    return each.select("doc_id", "digest", "c", "path", F.explode(runs).alias("r")).select(
+        "doc_id", "digest", F.col("c.word_no").alias("word_no"), F.col("r.value").alias("value"), F.col("r.lead").alias("lead"),
+        F.concat_ws(" ", "c.before2", "c.before").alias("before"),
+        F.when(F.col("r.rest").rlike(r"[\p{L}\p{N}]"), F.col("r.rest")).otherwise(F.col("c.after")).alias("after"), "path",
     )
 
 
