@@ -6,6 +6,7 @@ import math
 import os
 import random
 import sys
+import zlib
 from collections import Counter
 
 import pytest
@@ -109,3 +110,52 @@ def test_a_long_minified_line_keeps_all_its_runs(spark):
     got = secrets.candidates(spark.createDataFrame([(1, line)], "doc_id long, text string")).select("value", "lead", "after").collect()
     assert [r["value"] for r in got] == [f"{n:016x}" for n in range(20_000)]
     assert max(len(r["lead"]) for r in got) <= 64 and max(len(r["after"]) for r in got) <= 64
+
+
+def token(rng, n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+    return "".join(rng.choice(chars) for _ in range(n - 2)) + "7q"
+
+
+def forms(rng):
+    """(text, is a secret) of one document of each kind."""
+    digits, hexa = "0123456789", "0123456789abcdef"
+    return [
+        ("ghp_" + token(rng, 36), True), ("xoxb-" + token(rng, 12, digits) + "-" + token(rng, 24), True), ("sk_live_" + token(rng, 24), True),
+        ("AIza" + token(rng, 35), True), ("eyJ" + token(rng, 30) + ".eyJ" + token(rng, 40) + "." + token(rng, 43), True),
+        ("password=" + token(rng, 20), True),
+        ("-".join(token(rng, n, hexa).replace("q", "a") for n in (8, 4, 4, 4, 12)), False), ("/objects/" + token(rng, 40, hexa).replace("q", "a"), False),
+        ("+49-" + token(rng, 12, digits).replace("q", "1"), False), ("release-2024-" + token(rng, 7, digits).replace("q", "1"), False),
+    ]
+
+
+def test_issued_forms_are_secrets_and_known_harmless_forms_are_not(spark):
+    rng, rows, truth = random.Random(4), [], {}
+    for _ in range(60):
+        for value, secret in forms(rng):
+            truth[len(rows)] = secret
+            rows.append((len(rows), f"{fx.sentence(len(rows), 12)} {value} {fx.sentence(len(rows) + 10**6, 12)}"))
+    for _ in range(12):  # a name and an assignment do not make a secret
+        truth[len(rows)] = False
+        rows.append((len(rows), f"the token = release-2024-{rng.randrange(10**6, 10**7)} is a version"))
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {k: False for k in truth}
+    for r in got:
+        found[r["doc_id"]] |= r["secret"]
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % 3 == 1]
+    wrong = [rows[k][1] for k in held if found[k] != truth[k]]
+    assert len(wrong) <= len(held) // 50, wrong
+    assert not any(found[k] for k in range(len(rows) - 12, len(rows)))
+
+
+def test_weak_labels_need_no_forest_if_one_kind_is_missing(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, f"see ghp_{token(rng, 36)} and q1w2e3r4t5y6u7") for k in range(9)], "doc_id long, text string")
+    assert {(r["value"][:4] == "ghp_", r["secret"]) for r in secrets.scan_secrets(docs).collect()} == {(True, True), (False, False)}
+
+
+def test_dictionary_holds_running_text(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words_ = sorted({"".join(rng.choice(letters) for _ in range(6)) for _ in range(3000)})
+    docs = spark.createDataFrame([(1, " ".join(words_ * 2))], "doc_id long, text string")
+    assert secrets.dictionary(docs) == words_ and secrets.dictionary(docs, size=10) == []
