@@ -19,7 +19,10 @@ def _pack(values: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class EliasFano:
-    """A monotone sequence: low bits packed, high parts as unary gaps; `zeros` is the directory of the unary part."""
+    """A monotone sequence: low bits packed, high parts as unary gaps, read from the packed bits.
+
+    The directory holds the ones and the zeros in front of every 64 bits of the unary part: one bit per bit.
+    """
 
     size: int
     bits: int
@@ -32,16 +35,41 @@ class EliasFano:
         n = len(values)
         bits = max(0, min(48, (max(1, universe) // max(1, n)).bit_length() - 1))
         high = (values >> bits).astype(np.int64)
-        unary = np.zeros(int(high[-1]) + n + 1 if n else 1, np.uint8)
+        length = int(high[-1]) + n + 1 if n else 1
+        unary = np.zeros(-(-length // 64) * 64, np.uint8)
         unary[high + np.arange(n)] = 1
         return EliasFano(n, bits, _pack(values, bits), np.packbits(unary, bitorder="little"))
 
     def __post_init__(self):
-        unary = np.unpackbits(self.high, bitorder="little")
-        ones = np.flatnonzero(unary)[: self.size]
-        self._tops = ones - np.arange(len(ones))  # high part of each value
-        buckets = int(self._tops[-1]) + 1 if len(ones) else 0
-        self._starts = np.searchsorted(self._tops, np.arange(buckets + 1))
+        self._words = np.ndarray((len(self.high) // 8,), dtype="<u8", buffer=self.high)
+        ones = np.cumsum(np.bitwise_count(self._words), dtype=np.uint32)
+        self._ones = np.concatenate((np.zeros(1, np.uint32), ones[:-1]))
+        self._zeros = (np.arange(len(self._words), dtype=np.int64) * 64 - self._ones).astype(np.uint32)
+        self._buckets = int(self.tops(np.array([self.size - 1]))[0]) + 1 if self.size else 0
+
+    def _select(self, rank: np.ndarray, ones: bool) -> np.ndarray:
+        """Place of the one (or zero) that has `rank` others in front of it."""
+        before = self._ones if ones else self._zeros
+        at = np.searchsorted(before, rank.astype(np.uint32), side="right") - 1
+        word = self._words[at] if ones else ~self._words[at]
+        rest = rank - before[at]
+        place = at * 64
+        for width in (32, 16, 8, 4, 2, 1):  # halve the word
+            count = np.bitwise_count(word & np.uint64((1 << width) - 1))
+            up = rest >= count
+            rest = rest - np.where(up, count, 0)
+            place += np.where(up, width, 0)
+            word = np.where(up, word >> np.uint64(width), word)
+        return place
+
+    def tops(self, at: np.ndarray) -> np.ndarray:
+        """High part of each value."""
+        return self._select(at, True) - at
+
+    def starts(self, top: np.ndarray) -> np.ndarray:
+        """Index of the first element whose high part is no less than each of `top`, which are `_buckets` at most."""
+        before = np.maximum(top - 1, 0)
+        return np.where(top > 0, self._select(before, False) - before, 0)
 
     def lows(self, at: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -52,16 +80,16 @@ class EliasFano:
         return (got & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def access(self, at: np.ndarray) -> np.ndarray:
-        return (self._tops[at] << self.bits) | self.lows(at)
+        return (self.tops(at) << self.bits) | self.lows(at)
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """Index of the first element that is no less than each value; `size` if there is none."""
         top = values >> self.bits
-        buckets = len(self._starts) - 1
+        buckets = self._buckets
         inside = np.minimum(top, max(0, buckets - 1))
         if not buckets:
             return np.zeros(len(values), np.int64)
-        lo, hi = self._starts[inside].copy(), self._starts[inside + 1].copy()
+        lo, hi = self.starts(inside), self.starts(inside + 1)
         lo[top >= buckets] = hi[top >= buckets] = self.size
         want = values & ((1 << self.bits) - 1)
         open_ = np.flatnonzero(lo < hi)
@@ -164,7 +192,7 @@ class Trie:
 
     @staticmethod
     def view(levels: dict) -> Trie:
-        """A trie over given buffers, be they bytes or memory maps; nothing is copied."""
+        """A trie over given buffers, be they bytes or memory maps; only the directories are made anew."""
 
         def sequence(raw) -> EliasFano:
             size, bits, low = np.frombuffer(raw, "<i8", 3).tolist()

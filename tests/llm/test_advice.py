@@ -9,6 +9,7 @@ import sys
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 
@@ -18,6 +19,7 @@ import fixtures as fx  # noqa: E402
 
 import corpuswright  # noqa: E402
 from corpuswright.llm import langmodel, secrets  # noqa: E402
+from corpuswright.llm.eliasfano import EliasFano  # noqa: E402
 
 cloudpickle.register_pickle_by_value(corpuswright)
 
@@ -159,3 +161,18 @@ def test_dictionary_holds_running_text(spark):
     words_ = sorted({"".join(rng.choice(letters) for _ in range(6)) for _ in range(3000)})
     docs = spark.createDataFrame([(1, " ".join(words_ * 2))], "doc_id long, text string")
     assert secrets.dictionary(docs) == words_ and secrets.dictionary(docs, size=10) == []
+
+
+# Elias-Fano ----------------------------------------------------------------------------------------------------------
+
+
+def test_elias_fano_keeps_no_array_per_element():
+    rng = np.random.default_rng(3)
+    for top in (20_000, 1 << 40):
+        values = np.sort(rng.integers(0, top, 20_000))
+        ef = EliasFano.of(values, top)
+        held = sum(x.nbytes for x in vars(ef).values() if isinstance(x, np.ndarray) and x.base is None)
+        assert held * 8 < len(values) * (ef.bits + 7) + 2000  # low bits, at most 3 bits of unary part, as many of directory
+        assert (ef.access(np.arange(len(values))) == values).all()
+        ask = rng.integers(0, top + top // 4, 5000)
+        assert (ef.successor(ask) == np.searchsorted(values, ask)).all()
