@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import langid, quality, toxicity
+from .conversations import damage, repair_conversations
 from .decontaminate import contamination
 from .langmodel import score_texts
 from .linededup import drop_repeated_lines
 from .minhash import near_duplicates
 from .mixing import mix_plan
 from .rules import judge_quality
-from .samples import held_out
+from .samples import crc_of, held_out
+from .search import rank_documents
 from .secrets import scan_secrets
 from .urlfilter import judge_urls, rule_table
 
@@ -249,3 +251,107 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of secrets in all documents with the forest's verdict; the values themselves stay out of the result."""
     found = scan_secrets(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "word_no", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
+# CRC-32, polynomial 0xEDB88320, of the ASCII text `conv_id:turn`
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+    lambda x: ascii(x)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))))"""
+
+# the integers' order is that of (cost, letters), which a pair of columns says as well
+_REPAIR_SQL = rf"""
+WITH RECURSIVE given AS (
+    SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_CRC} % 20 AS kind
+    FROM conversations
+), damaged AS (
+    SELECT c, turn, role AS by_role, md5(text) AS by_text, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM given
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, by_role, by_text, copy) AS i,
+        regexp_replace(text, '[\x20\x09-\x0D]+\z', '') AS body FROM damaged
+), faults AS (
+    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY c, role, text) THEN 'duplicate'
+        WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed
+), r AS (
+    SELECT c, i, turn, role, text, left(role, 1) AS initial, fault, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS broken,
+        i > 1 AND lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS bad FROM faults
+), step (state, follow, named) AS (
+    VALUES ('-', 'u', 'user:'), ('s', 'u', 'user:'), ('u', 'a', 'assistant:'), ('a', 'u', 'user:')
+), way AS (
+    SELECT c, 0::BIGINT AS i, '-' AS state, 0::BIGINT AS cost, '' AS audit, NULL::VARCHAR AS body FROM (SELECT DISTINCT c FROM given)
+    UNION ALL
+    SELECT c, i, state, cost, audit, body FROM (
+        SELECT *, row_number() OVER (PARTITION BY c, state ORDER BY cost, audit) AS nth FROM (
+            SELECT p.c, r.i, unnest(CASE
+                    WHEN gone THEN [{{'state': p.state, 'cost': p.cost + 2, 'audit': p.audit || 'D', 'body': p.body}}]
+                    ELSE [
+                        {{'state': p.state, 'cost': p.cost + 2, 'audit': p.audit || 'D', 'body': p.body}},
+                        {{'state': n.follow, 'cost': p.cost + 1 + broken, 'audit': p.audit || 'R', 'body': coalesce(p.body || chr(10), '') || named || text}},
+                        {{'state': CASE WHEN initial = n.follow THEN n.follow WHEN initial = 's' AND p.state = '-' THEN 's' END, 'cost': p.cost + broken,
+                         'audit': p.audit || 'K', 'body': coalesce(p.body || chr(10), '') || role || ':' || text}}
+                    ] END, recursive := true)
+            FROM (
+                SELECT c, i, state, cost, audit, body FROM way
+                UNION ALL
+                SELECT c, i, follow, cost + 5, audit || 'I', coalesce(body || chr(10), '') || named FROM way JOIN step USING (state)
+            ) p JOIN r ON r.c = p.c AND r.i = p.i + 1 JOIN step n ON n.state = p.state
+        ) WHERE state IS NOT NULL
+    ) WHERE nth = 1
+), n AS (
+    SELECT g.c, any_value(g.conv_id) AS conv_id, coalesce(max(r.i), 0) AS n FROM (SELECT DISTINCT c, conv_id FROM given) g LEFT JOIN r USING (c) GROUP BY g.c
+), best AS (
+    SELECT w.c, row_number() OVER (PARTITION BY w.c ORDER BY cost + CASE state WHEN 's' THEN 10 WHEN 'u' THEN 5 ELSE 0 END, audit || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END) AS nth,
+        cost + CASE state WHEN 's' THEN 10 WHEN 'u' THEN 5 ELSE 0 END AS cost, audit || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit,
+        body || CASE state WHEN 's' THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 'u' THEN chr(10) || 'assistant:' ELSE '' END AS body
+    FROM way w JOIN n ON n.c = w.c AND n.n = w.i
+), facts AS (
+    SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM r GROUP BY c
+)
+SELECT n.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, best.cost, best.audit, sha256(coalesce(best.body, '')) AS repaired_sha256
+FROM n JOIN best ON best.c = n.c AND best.nth = 1 LEFT JOIN facts ON facts.c = n.c
+"""
+
+
+@register(_REPAIR_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return repair_conversations(_table(spark, sf_dir, "conversations"), damage)
+
+
+@register()
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learnt from the rows whose crc32(doc_id) mod 5 is not 0."""
+    docs = _table(spark, sf_dir, "documents")
+    net = langid.fit(docs)
+    found = docs.select("doc_id", (crc_of(F.col("doc_id")) % 5 == 0).alias("held_out"), langid.predict_language(F.col("text"), net, spark).alias("f"))
+    return found.select("doc_id", "held_out", "f.lang_pred", "f.score")
+
+
+_RANK_SQL = rf"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all({_LOW.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), size AS (
+    SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d
+), tf AS (
+    SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL
+), weight AS (
+    SELECT term, floor(1000 * ln((2 * size.n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY term, size.n
+), q AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOW.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), s AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * tf.n * size.n) // size.l))))::BIGINT AS score
+    FROM q JOIN weight USING (term) JOIN tf USING (term), size GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@register(_RANK_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
