@@ -26,7 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     `learn` is a condition on the id column that says which rows may be learnt from. The share of each class that is
     kept follows from its count, so the sample is bounded whatever the input; the bound holds in expectation, and a
     class smaller than `per_class` is kept whole. `weight` is the number of labelled rows that a row stands for.
-    Rows without a label or without an id teach nothing; of several labels of one id the smaller counts.
+    Rows without a label or without an id teach nothing; of several labels of one id the smaller counts, and of several texts that
+    of the least digest.
     """
     named = labels.select(F.col(id_col).alias("__cw_id"), F.col(label).cast("int").alias("y")).where("__cw_id is not null and y in (0, 1)")
     allowed = named.where(learn(F.col("__cw_id"))).groupBy("__cw_id").agg(F.min("y").alias("y"))
@@ -38,5 +39,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         weight = F.when(F.col("y") == y, F.lit(max(1.0, n / per_class))).otherwise(weight)
     chosen = allowed.where(place < limit).withColumn("weight", weight)
     texts = docs.select(F.col(id_col).alias("__cw_id"), F.col(text_col).alias("text"))
-    # one row per id; the sample's size is bounded by the parameter, so it may be broadcast
-    return texts.join(F.broadcast(chosen), "__cw_id").select(F.col("__cw_id").alias("key"), "text", "y", "weight")
+    # the sample's size is bounded by the parameter, so it may be broadcast
+    own = texts.join(F.broadcast(chosen), "__cw_id").groupBy("__cw_id", "y", "weight").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return own.select(F.col("__cw_id").alias("key"), F.col("t.text").alias("text"), "y", "weight")

@@ -1,15 +1,20 @@
 """Toxicity by a convolutional text classifier: hashed word embeddings, filters of several widths, max pooling.
 
-A word is two entries of one embedding table, its own hash and the hash of its first letters, summed. Filters of the
-widths 1, 2 and 3 slide over the words of the whole text; the maximum of each filter feeds a logistic output. The
-network is trained in numpy on a bounded sample. In scoring, embedding and filter are one table lookup per word and
-offset, so a text of any length costs a few gathers per word.
+A word is the sum of a few entries of one embedding table: of its own hash and of the hashes of its first letters, so that words
+of one stem share what is learnt. Filters of the widths 1, 2 and 3 slide over the words of the whole text; the maximum of each
+filter feeds a logistic output. The network is trained in numpy on a bounded sample. The first coordinate of an entry starts as the
+shrunken log odds of the class among the sample's texts that hold it; entries held by fewer than `LEAST_TEXTS` texts stay
+zero, so that words of a single text cannot be learnt by heart.
+
+Scale and thresholds come from texts that the network did not see: `FOLDS` networks each leave a part of the sample out. The
+logit is shifted so that the cut which separates these best is the score `DEFAULT_THRESHOLD`, and stretched as a ridge-bound
+logistic fit asks. Each language has a cut of its own, shrunk towards the common one as if `SHRINK` texts spoke for that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +26,26 @@ from .shared import restore, share
 from .texts import LOWER, Words, column_udf, hash_spans, words
 
 BUCKETS = 1 << 16
-PREFIX_BYTES = 5
+PREFIX_BYTES = (4, 6, 8)
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIM = 12
-EPOCHS = 8
+EPOCHS = 3
 RATE = 0.02
-#: bound of the training sample: about so many labelled documents of each class
-SAMPLE_PER_CLASS = 5000
-#: languages with fewer labelled documents of either class keep the threshold fitted over all languages
-LEAST_CALIBRATION = 20
+FOLDS = 2
+#: how many times as much as precision recall weighs where a cut is chosen
+RECALL = 2.0
+#: texts whose loss has a smaller slope than this teach nothing in an epoch
+SETTLED = 0.1
+DROPPED = 0.2
+LEAST_TEXTS = 3
+#: texts that the common share of a class counts for in an entry's first coordinate
+PRIOR_TEXTS = 8.0
+#: bounds of the training sample: about so many labelled documents of each class, of at most so many words
+SAMPLE_PER_CLASS = 2000
+LONGEST = 20_000
+#: labelled documents of the rarer class that the common threshold counts for in a language's own
+SHRINK = 50.0
 DEFAULT_THRESHOLD = 0.7
 
 _PUNCT = np.zeros(256, bool)
@@ -38,25 +53,27 @@ _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 
 
 def word_ids(piece: Words) -> np.ndarray:
-    """(words, 2) table entries: of the word without a mark behind it, and of its first bytes. Entry 0 is for none."""
-    starts, ends = piece.starts, piece.ends
-    marked = _PUNCT[piece.buffer[np.maximum(ends - 1, 0)]] & (ends - starts > 1) if len(starts) else np.zeros(0, bool)
-    whole = hash_spans(piece.buffer, starts, ends - marked)
-    head = hash_spans(piece.buffer, starts, np.minimum(ends - marked, starts + PREFIX_BYTES)) * np.uint64(0x9E3779B97F4A7C15)
-    size = np.uint64(BUCKETS - 1)
-    return np.stack(((whole >> np.uint64(20)) % size + np.uint64(1), (head >> np.uint64(20)) % size + np.uint64(1)), axis=1).astype(np.int32)
+    """(words, entries) table places: of the word without marks behind it, and of its first bytes. Place 0 is for none."""
+    starts, ends = piece.starts, piece.ends.copy()
+    for _ in range(3):
+        marked = _PUNCT[piece.buffer[np.maximum(ends - 1, 0)]] & (ends - starts > 1) if len(starts) else np.zeros(0, bool)
+        ends -= marked
+    out = np.empty((len(starts), 1 + len(PREFIX_BYTES)), np.uint16)
+    for k, size in enumerate((None, *PREFIX_BYTES)):
+        hashes = hash_spans(piece.buffer, starts, ends if size is None else np.minimum(ends, starts + size)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+        out[:, k] = (hashes >> np.uint64(20)) % np.uint64(BUCKETS - 1) + np.uint64(1)
+    return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in words(batch.column(1), LOWER):
             ids = word_ids(piece)
-            packed = [np.ascontiguousarray(ids[a:b]).tobytes() for a, b in zip(piece.bounds[:-1], piece.bounds[1:])]
+            short = np.flatnonzero(piece.counts() <= LONGEST)
+            packed = [np.ascontiguousarray(ids[piece.bounds[k] : piece.bounds[k + 1]]).tobytes() for k in short]
+            rows = pa.array(short + piece.first)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(piece.first, piece.rows), pa.array(packed, pa.binary()),
-                    batch.column(2).slice(piece.first, piece.rows), batch.column(3).slice(piece.first, piece.rows),
-                ],
+                [batch.column(0).take(rows), pa.array(packed, pa.binary()), batch.column(2).take(rows), batch.column(3).take(rows)],
                 names=["key", "ids", "y", "weight"],
             )
 
@@ -71,22 +88,45 @@ class Network:
     thresholds: dict[str, float] = field(default_factory=dict)
     default: float = DEFAULT_THRESHOLD
 
+    scale: float = 1.0
+
     @staticmethod
-    def fresh(seed: int = 7) -> Network:
+    def fresh(texts: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Network:
+        """An untrained network whose table knows the log odds of the entries of these texts."""
         rng = np.random.default_rng(seed)
-        table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-        table[0] = 0
-        filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-        return Network(table, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32), 0.0)
+        held = np.zeros((2, BUCKETS))
+        for ids, label in zip(texts, y):
+            held[label, np.unique(ids)] += 1
+        total = held.sum(axis=0)
+        share = max(1, int(y.sum())) / max(2, len(y))
+        known = total >= LEAST_TEXTS
+        known[0] = False
+        table = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
+        odds = lambda p: np.log(p) - np.log1p(-p)
+        table[:, 0] = odds((held[1] + PRIOR_TEXTS * share) / (total + PRIOR_TEXTS)) - odds(np.float64(share))
+        table[~known] = 0
+        filters = [rng.normal(0, 0.2, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+        for f in filters:
+            f[:, 0] = 0.5 / len(f)
+        out = np.full(len(WIDTHS) * FILTERS, 1.0 / (len(WIDTHS) * FILTERS), np.float32)
+        return Network(table, filters, [np.zeros(FILTERS, np.float32) for _ in WIDTHS], out, -1.0)
+
+    def known(self) -> np.ndarray:
+        return self.table.any(axis=1)
 
     def pool(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Pooled activations of one text, where each maximum stands, and the padded word vectors."""
         pad = max(WIDTHS) - 1
         vectors = np.zeros((len(ids) + pad, DIM), np.float32)
-        vectors[: len(ids)] = self.table[ids[:, 0]] + self.table[ids[:, 1]]
-        pooled, at = [], []
-        for w, f, b in zip(WIDTHS, self.filters, self.bias):
-            z = sum(vectors[k : k + len(ids)] @ f[k] for k in range(w)) + b
+        for column in ids.T:
+            vectors[: len(ids)] += self.table[column]
+        pooled, at, column = [], [], 0
+        parts = vectors @ np.concatenate([f[k] for f in self.filters for k in range(len(f))], axis=1)
+        for f, b in zip(self.filters, self.bias):
+            z = parts[: len(ids), column : column + FILTERS] + b
+            for k in range(1, len(f)):
+                z += parts[k : k + len(ids), column + k * FILTERS : column + (k + 1) * FILTERS]
+            column += len(f) * FILTERS
             top = z.argmax(axis=0)
             at.append(top)
             pooled.append(z[top, np.arange(FILTERS)])
@@ -101,16 +141,20 @@ class Network:
         g_table = np.full(BUCKETS, eps, np.float32)
         g_filters, g_bias = [np.full_like(f, eps) for f in self.filters], [np.full_like(b, eps) for b in self.bias]
         g_out, g_shift = np.full_like(self.out, eps), eps
+        known = self.known()
+        # entries that too few texts hold are none, in training as in scoring
+        texts = [np.where(known[t], t, 0).astype(np.uint16) for t in texts]
         for _ in range(epochs):
             for t in rng.permutation(len(texts)):
                 ids = texts[t]
                 if not len(ids):
                     continue
+                ids = np.where(rng.random(len(ids))[:, None] < DROPPED, 0, ids).astype(np.int64)
                 z, at, vectors = self.pool(ids)
                 h = np.maximum(z, 0)
                 p = 1 / (1 + np.exp(-np.clip(h @ self.out + self.shift, -30, 30)))
                 d = np.float32((p - y[t]) * weight[t])
-                if abs(d) < 1e-3:
+                if abs(d) < SETTLED:
                     continue
                 dz = d * self.out * (z > 0)
                 grad = d * h
@@ -127,80 +171,110 @@ class Network:
                         place = at[k] + o
                         inside = place < len(ids)
                         step = (self.filters[k][o] * part).T  # FILTERS x DIM
-                        for column in (0, 1):
-                            rows.append(ids[place[inside], column])
+                        for column in ids.T:
+                            rows.append(column[place[inside]])
                             values.append(step[inside])
                         grad = vectors[place].T * part
                         g_filters[k][o] += grad * grad
                         self.filters[k][o] -= RATE * grad / np.sqrt(g_filters[k][o])
                 rows, values = np.concatenate(rows), np.concatenate(values)
+                values = values[rows > 0]
+                rows = rows[rows > 0]
                 np.add.at(g_table, rows, (values * values).mean(axis=1))
                 np.add.at(self.table, rows, -RATE * values / np.sqrt(g_table[rows])[:, None])
 
-    def tables(self) -> list[list[np.ndarray]]:
-        """Per width and offset, the table times the filter: what a word adds to each filter there."""
-        return [[np.ascontiguousarray(self.table @ f[k]) for k in range(f.shape[0])] for f in self.filters]
-
-    def logits(self, piece: Words, tables: list[list[np.ndarray]]) -> np.ndarray:
+    def calibrate(self, z: np.ndarray, y: np.ndarray, weight: np.ndarray, lang: list) -> None:
+        """Shift, scale and thresholds from logits of texts that were not learnt from."""
+        common = best_cut(z, y, weight, 0.0)
+        goal = np.log(DEFAULT_THRESHOLD / (1 - DEFAULT_THRESHOLD))
+        # the slope a of sigmoid(a (z − cut) + goal), by Newton steps on the log loss with a ridge that pulls it to 1
+        balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+        away, a = z - common, 1.0
+        for _ in range(20):
+            p = _sigmoid(a * away + goal)
+            slope = (balance * (p - y) * away).sum() + (a - 1)
+            bend = (balance * p * (1 - p) * away * away).sum() + 1
+            a = float(np.clip(a - slope / bend, 0.2, 5.0))
+        self.scale = a
+        self.shift += float(goal / a - common)
+        self.default = DEFAULT_THRESHOLD
+        for name in sorted({x for x in lang if x is not None}):
+            own = np.array([x == name for x in lang])
+            rare = float(min((y[own] == 1).sum(), (y[own] == 0).sum()))
+            cut = (rare * best_cut(z[own], y[own], weight[own], common) + SHRINK * common) / (rare + SHRINK)
+            self.thresholds[name] = float(_sigmoid(np.array(a * (cut - common) + goal)))
+
+    def logits(self, piece: Words) -> np.ndarray:
         """Scores before the sigmoid of every row of a piece."""
         counts = piece.counts()
         full = np.flatnonzero(counts)
         score = np.full(len(counts), self.shift, np.float64)
-        if not len(full):
-            return score
-        ids = word_ids(piece)
-        at = piece.bounds[full]
-        # words left in the row from each word on: beyond them a filter sees padding
-        left = np.repeat(piece.bounds[1:][full], counts[full]) - np.arange(len(ids))
-        for k, (w, parts) in enumerate(zip(WIDTHS, tables)):
-            z = np.zeros((len(ids), FILTERS), np.float32)
-            for o in range(w):
-                n = len(ids) - o
-                step = parts[o][ids[o:, 0]] + parts[o][ids[o:, 1]]
-                if o:
-                    step[left[:n] <= o] = 0
-                z[:n] += step
-            top = np.maximum(np.maximum.reduceat(z, at, axis=0) + self.bias[k], 0)
-            score[full] += top @ self.out[k * FILTERS : (k + 1) * FILTERS].astype(np.float64)
-        return score
+        if len(full):
+            ids = word_ids(piece)
+            vectors = self.table[ids[:, 0]]
+            for column in ids.T[1:]:
+                vectors += self.table[column]
+            at = piece.bounds[full]
+            # words left in the row from each word on: beyond them a filter sees padding
+            left = np.repeat(piece.bounds[1:][full], counts[full]) - np.arange(len(ids))
+            for k, f in enumerate(self.filters):
+                z = np.zeros((len(ids), FILTERS), np.float32)
+                for o in range(len(f)):
+                    step = vectors[o:] @ f[o]
+                    if o:
+                        step[left[: len(step)] <= o] = 0
+                    z[: len(step)] += step
+                top = np.maximum(np.maximum.reduceat(z, at, axis=0) + self.bias[k], 0)
+                score[full] += top @ self.out[k * FILTERS : (k + 1) * FILTERS].astype(np.float64)
+        return score * self.scale
+
+
+def trained(texts: list[np.ndarray], y: np.ndarray) -> Network:
+    net = Network.fresh(texts, y)
+    net.train(texts, y)
+    return net
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", lang_col: str = "lang", per_class: int = SAMPLE_PER_CLASS,
         learn=learnable, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """Train on a bounded sample of labelled rows, and calibrate one threshold per language on a fifth held back.
+    """Train on a bounded sample of labelled rows, with score and thresholds calibrated on texts left out in turn.
 
-    The bound is `per_class` documents of each class. Without rows of both classes the network stays untrained and
-    scores everything by one constant below the default threshold.
+    The bound is `per_class` documents of each class, one text of each id, of at most `LONGEST` words. Without rows of both classes
+    the network stays untrained and scores everything by one constant below the default threshold.
     """
-    langs = docs.select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("lang")) if lang_col in docs.columns else None
     sample = labelled_sample(docs, labels, label, per_class, learn, id_col, text_col)
     id_type = sample.schema["key"].dataType.simpleString()
     coded = sample.mapInArrow(_features, f"key {id_type}, ids binary, y int, weight double")
-    if langs is not None:
+    if lang_col in docs.columns:
+        langs = docs.select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("lang"))
         ids = coded.select("key").distinct()
         coded = coded.join(langs.join(F.broadcast(ids), "key").groupBy("key").agg(F.min("lang").alias("lang")), "key", "left")
     else:
         coded = coded.withColumn("lang", F.lit(None).cast("string"))
-    rows = sorted(coded.collect(), key=lambda r: (str(r["key"]), bytes(r["ids"])))
-    net = Network.fresh()
-    y = np.array([r["y"] for r in rows], np.int64)
+    rows = coded.toArrow()
+    order = np.array(sorted(range(len(rows)), key=[str(k) for k in rows["key"].to_pylist()].__getitem__), np.int64)
+    rows = rows.take(pa.array(order)).combine_chunks()
+    y = rows["y"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
+        net = Network.fresh([], np.zeros(0, np.int64))
         net.out[:] = 0
-        net.shift = -1.0
         return net
-    texts = [np.frombuffer(r["ids"], np.int32).reshape(-1, 2) for r in rows]
-    held = np.arange(len(rows)) % 5 == 0
-    net.train([t for t, h in zip(texts, held) if not h], y[~held])
-    # scale the logit on the held-back part, then a threshold per language where its two kinds of error balance
-    z = np.array([_logit(net, t) for t, h in zip(texts, held) if h])
-    lang = [r["lang"] for r, h in zip(rows, held) if h]
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    weight = np.array([r["weight"] for r, h in zip(rows, held) if h])
-    net.default = _threshold(p, y[held], weight, DEFAULT_THRESHOLD)
-    for name in sorted({x for x in lang if x is not None}):
-        own = np.array([x == name for x in lang])
-        if min((y[held][own] == 1).sum(), (y[held][own] == 0).sum()) >= LEAST_CALIBRATION:
-            net.thresholds[name] = _threshold(p[own], y[held][own], weight[own], net.default)
+    raw, at = rows["ids"].combine_chunks().buffers()[2], rows["ids"].combine_chunks().buffers()[1]
+    ends = np.frombuffer(at, np.int32)[: len(rows) + 1]
+    texts = [np.frombuffer(raw, np.uint16, (b - a) // 2, a).reshape(-1, 1 + len(PREFIX_BYTES)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    net = trained(texts, y)
+    # a network that has not seen a text says what new texts will look like
+    fold = np.zeros(len(y), np.int64)
+    for c in (0, 1):
+        fold[y == c] = np.arange((y == c).sum()) % FOLDS
+    z = np.zeros(len(y))
+    for k in range(FOLDS):
+        rest = fold != k
+        if len(set(y[rest].tolist())) == 2:
+            other = trained([t for t, r in zip(texts, rest) if r], y[rest])
+            z[~rest] = [_logit(other, t) for t, r in zip(texts, rest) if not r]
+    weight, lang = rows["weight"].to_numpy(), rows["lang"].to_pylist()
+    net.calibrate(z, y, weight, lang)
     return net
 
 
@@ -208,38 +282,41 @@ def _logit(net: Network, ids: np.ndarray) -> float:
     return float(np.maximum(net.pool(ids)[0], 0) @ net.out + net.shift) if len(ids) else net.shift
 
 
-def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray, fallback: float) -> float:
-    """Where F1 is best, in the middle of the widest such gap between scores; the fallback if it is as good.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def best_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray, fallback: float) -> float:
+    """The cut of the best F measure, in the middle of the widest such gap between logits; the fallback if it is as good.
 
     `weight` gives clean documents their real share, which the sample does not have.
     """
     if not y.any():
         return fallback
-
-    def f1(t: float) -> float:
-        hit = p >= t
-        return 2 * weight[hit & (y == 1)].sum() / max(1e-9, weight[hit].sum() + weight[y == 1].sum())
-
-    cuts = np.unique(np.concatenate(([0.0], p, [1.0])))
-    middles = (cuts[1:] + cuts[:-1]) / 2
-    value = np.array([f1(m) for m in middles])
-    if f1(fallback) >= value.max():
+    order = np.argsort(-z, kind="stable")
+    hit, all_hit = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
+    f = (1 + RECALL**2) * hit / (all_hit + RECALL**2 * (weight * y).sum())
+    ordered = z[order]
+    # a cut lies below the last of equal logits
+    below = np.append(ordered[1:], ordered[-1] - 1)
+    places = np.flatnonzero(ordered > below)
+    at_fallback = np.flatnonzero(ordered >= fallback)
+    if len(at_fallback) and f[at_fallback[-1]] >= f[places].max():
         return fallback
-    good = np.flatnonzero(value >= value.max())
-    return float(middles[good[np.argmax((cuts[1:] - cuts[:-1])[good])]])
+    good = places[f[places] >= f[places].max()]
+    best = good[np.argmax(ordered[good] - below[good])]
+    return float((ordered[best] + below[best]) / 2)
 
 
 def toxicity_score(text, net: Network, spark):
     """A column of scores in (0, 1); null and empty texts get the score of a text without words."""
-    # the embedding itself is in the tables
-    shared = share(spark, replace(net, table=net.table[:0]))
-    tables = spark.sparkContext.broadcast(net.tables())
+    shared = share(spark, net)
 
     def score(column: pa.Array) -> pa.Array:
         net, out = restore(Network, shared), np.zeros(len(column))
         for piece in words(column, LOWER, 1 << 20):
-            out[piece.first : piece.first + piece.rows] = net.logits(piece, tables.value)
-        return pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
+            out[piece.first : piece.first + piece.rows] = net.logits(piece)
+        return pa.array(_sigmoid(out))
 
     return column_udf(score, "double")(text)
 

@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import fixtures as fx  # noqa: E402
 
 import corpuswright  # noqa: E402
-from corpuswright.llm import langmodel, linededup, minhash, mixing, quality, rules, secrets, texts, toxicity, urlfilter  # noqa: E402
+from corpuswright.llm import langmodel, linededup, minhash, mixing, quality, queries, rules, samples, secrets, texts, toxicity, urlfilter  # noqa: E402
 from corpuswright.llm.components import components  # noqa: E402
 from corpuswright.llm.decontaminate import contamination, remove_contamination  # noqa: E402
 from corpuswright.llm.eliasfano import EliasFano, Trie  # noqa: E402
@@ -398,14 +398,58 @@ def test_classifiers_hard_rows(spark, hard, empty):
     assert toxicity.drop_toxic(empty, toxicity.fit(empty, no_labels)).count() == 0
 
 
-def test_network_scores_alike_in_training_and_scoring(spark):
+def plain_toxicity(net, text):
+    """The network's score of a text, word by word."""
+    entries = []
+    for w in fx.words(text):
+        raw = w.encode()
+        for _ in range(3):
+            if len(raw) > 1 and raw[-1] < 128 and raw[-1] > 0x20 and not chr(raw[-1]).isalnum() and raw[-1] != 0x7F:
+                raw = raw[:-1]
+        forms = [raw, *(raw[:n] for n in toxicity.PREFIX_BYTES)]
+        hashes = texts.byte_hash(forms)
+        places = [((int(h) * (0x9E3779B97F4A7C15 + 2 * k)) % 2**64 >> 20) % (toxicity.BUCKETS - 1) + 1 for k, h in enumerate(hashes)]
+        entries.append(sum(net.table[k].astype(float) for k in places))
+    logit = float(net.shift)
+    for k, (f, bias) in enumerate(zip(net.filters, net.bias)):
+        for j in range(toxicity.FILTERS):
+            at = [sum(entries[i + o] @ f[o, :, j] for o in range(len(f)) if i + o < len(entries)) + bias[j] for i in range(len(entries))]
+            if at:
+                logit += max(0.0, max(at)) * float(net.out[k * toxicity.FILTERS + j])
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit * net.scale))))
+
+
+def test_toxicity_is_the_plain_forward_pass(spark, hard):
     docs, labels = graded(spark, 120)
     net = toxicity.fit(docs, labels)
-    values = [t for _, t in ROWS]
-    for piece in texts.words(pa.array(values), texts.LOWER):
-        ids = toxicity.word_ids(piece)
-        want = [toxicity._logit(net, ids[a:b]) for a, b in zip(piece.bounds[:-1], piece.bounds[1:])]
-        assert net.logits(piece, net.tables()) == pytest.approx(want, abs=1e-4)
+    rows = hard.where("length(text) < 5000").unionByName(docs.limit(20), allowMissingColumns=True)
+    for r in rows.select("text", toxicity.toxicity_score(F.col("text"), net, spark).alias("s")).collect():
+        assert r["s"] == pytest.approx(plain_toxicity(net, r["text"]), abs=1e-4)
+
+
+def test_the_best_cut():
+    z, y, w = np.array([5.0, 4.0, 4.0, 1.0, -1.0, -1.0]), np.array([1, 1, 1, 0, 0, 0]), np.ones(6)
+    assert toxicity.best_cut(z, y, w, 0.0) == 2.5 and toxicity.best_cut(z, y, w, 2.0) == 2.0
+    assert toxicity.best_cut(z, np.zeros(6, int), w, 0.3) == 0.3 and toxicity.best_cut(z, np.ones(6, int), w, 9.0) < -1
+
+
+@pytest.mark.parametrize("scale,least,most,auc", [("sf0.1", 0.9, 0.02, 0.95), ("sf0.01", 0.7, 0.05, 0.9)])
+def test_toxicity_of_held_out_documents(spark, scale, least, most, auc):
+    sf = f"/root/testdata/{scale}"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = queries.op6_toxicity(spark, sf).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    toxic, clean = ([r for r in rows if r["toxic"] == k] for k in (1, 0))
+    assert np.mean([r["predicted"] for r in toxic]) >= least
+    assert np.mean([r["predicted"] for r in clean]) <= most
+    good, bad = (np.array([r["score"] for r in rows]) for rows in (clean, toxic))
+    assert np.mean((bad[:, None] > good) + 0.5 * (bad[:, None] == good)) >= auc
+
+
+def test_one_text_of_an_id_teaches(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "b"), (2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1)], "doc_id long, y int")
+    got = sorted((r["key"], r["y"]) for r in samples.labelled_sample(docs, labels, "y", 10, lambda c: F.lit(True)).collect())
+    assert got == [(1, 1), (2, 0), (3, 0)]
 
 
 def test_rules_hard_rows(spark, hard, empty):

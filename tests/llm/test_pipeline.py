@@ -71,7 +71,7 @@ def test_stages_against_plain_versions(spark, folder):
 
             def score(text):
                 piece = next(texts.words(pa.array([text], pa.string()), texts.LOWER))
-                return 1 / (1 + np.exp(-net.logits(piece, net.tables())[0]))
+                return 1 / (1 + np.exp(-net.logits(piece)[0]))
 
             assert after == Counter(r for r in before if score(r[1]) < net.thresholds.get(r[2], net.default))
             gone = {r[0] for r in before} - {r[0] for r in as_rows(out)}
