@@ -6,8 +6,9 @@ pairs of word shapes (letters and digits folded to a, A and 0, marks kept). A do
 n-grams of log(trusted share / raw share); it is kept if the score reaches `THRESHOLD` and no base rule fails. Scores and
 verdicts cover every whole text.
 
-Counting shuffles at most `BUCKETS` partial sums per task. The table of ratios has `BUCKETS` numbers whatever the corpus
-and stands in the plan as a constant; a text is cut, hashed and looked up inside its row.
+A text's words are cut and hashed once; pairs and windows are made of these hashes, side by side with themselves shifted, and
+serve the score and the base counts alike. Counting shuffles at most `BUCKETS` partial sums per task. The table of ratios has
+`BUCKETS` numbers whatever the corpus and stands in the plan as a constant; a text is looked up inside its row.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ REPEAT_PERCENT = 50
 #: bound of the trusted sample in documents
 TRUSTED = 10_000
 
-_BLANKS = r"[\x20\x09-\x0D]+"
+_BLANKS = "\t\n\x0b\x0c\r"
 
 
 def word_list(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` as an array; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _BLANKS, -1), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _BLANKS, " " * len(_BLANKS)), " ", -1), "")
 
 
 def _shape(text: Column) -> Column:
@@ -42,67 +43,74 @@ def _shape(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(folded, "[A-Z]+", "A"), "[0-9]+", "0")
 
 
-def _grams(hashes: Column, n: int, kind: int) -> Column:
-    """Buckets of all n-grams of a bound array of word hashes."""
-    bucket = lambda *parts: F.pmod(F.xxhash64(F.lit(kind), *parts), F.lit(BUCKETS)).cast("int")
-    if n == 1:
-        return F.transform(hashes, lambda h: bucket(h))
-    places = F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: bucket(*(F.get(hashes, i + k) for k in range(n))))
-
-
 def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def buckets(text: Column) -> Column:
-    """The hashed n-grams of a text: words, word pairs, shape pairs."""
-    own = let(_hashes(word_list(text)), lambda h: F.concat(_grams(h, 1, 1), _grams(h, 2, 2)))
-    return F.concat(own, let(_hashes(word_list(_shape(text))), lambda h: _grams(h, 2, 3)))
+def _joined(left: Column, right: Column, skip: int) -> Column:
+    """A hash of each entry of `left` with the entry of `right` that stands `skip` places on, for bound arrays."""
+    room = F.greatest(F.size(right) - skip, F.lit(0))
+    return F.zip_with(F.slice(left, F.lit(1), room), F.slice(right, F.lit(1 + skip), room), lambda a, b: F.xxhash64(a, b))
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words that lie in 3-word windows found twice or more, the first included, from a bound array of word hashes.
+def _buckets(hashes: Column) -> Column:
+    return F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
 
-    Windows are numbered by place and sorted by a 64-bit hash of their words, so that equal ones stand side by side.
-    """
-    places = F.sequence(F.lit(0), F.size(hashes) - 3)
-    keyed = F.transform(
-        places,
-        lambda p: F.struct(F.xxhash64(F.get(hashes, p), F.get(hashes, p + 1), F.get(hashes, p + 2)).alias("h"), p.alias("p")),
-    )
 
-    def spread(windows: Column) -> Column:
-        twice = F.filter(
-            windows, lambda x, k: F.coalesce(x["h"] == F.get(windows, k + 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(windows, k - 1)["h"], F.lit(False))
-        )
-        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2)))))
+def cut(text: Column) -> Column:
+    """Struct of a text's words, their hashes, the hashes of word pairs and those of shape pairs, to be bound."""
+    whole = let(word_list(text), lambda w: F.struct(w.alias("words"), _hashes(w).alias("hashes")))
+    shapes = let(_hashes(word_list(_shape(text))), lambda s: _joined(s, s, 1))
+    return let(whole, lambda x: F.struct(
+        x["words"].alias("words"), x["hashes"].alias("hashes"), _joined(x["hashes"], x["hashes"], 1).alias("pairs"), shapes.alias("shapes")))
 
-    return F.when(F.size(hashes) >= 3, let(F.sort_array(keyed), spread)).otherwise(F.lit(0)).cast("long")
 
+def buckets(parts: Column) -> Column:
+    """The hashed n-grams of a cut text: words, word pairs, shape pairs."""
+    return _buckets(F.concat(parts["hashes"], parts["pairs"], parts["shapes"]))
 
-def base_counts(text: Column) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text; zeros for null and empty texts."""
-    whole = F.coalesce(text, F.lit(""))
 
-    def counts(words: Column) -> Column:
-        lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-        return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-            let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-            let(_hashes(words), repeated_words).alias("n_repeat_words"),
-        )
+def repeated_words(pairs: Column, hashes: Column) -> Column:
+    """Words that lie in 3-word windows found twice or more, the first included, from bound hashes of pairs and words.
+
+    Many texts end with the first question, whether any window occurs twice. For the others windows are sorted by hash, with
+    their places, so that equal ones stand side by side, and the places of these are put in order: each covers three words, or
+    as many as there are up to the next.
+    """
 
-    return let(word_list(text), counts)
+    def covered(windows: Column) -> Column:
+        ordered = F.sort_array(F.arrays_zip(windows.alias("h"), F.sequence(F.lit(0), F.size(windows) - 1).alias("p")))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(ordered, spread))
+
+    def spread(ordered: Column) -> Column:
+        after = F.zip_with(ordered["h"], F.slice(ordered["h"], F.lit(2), F.size(ordered)), lambda a, b: a.eqNullSafe(b))
+        return let(after, lambda same: let(
+            F.array_sort(F.filter(
+                F.zip_with(ordered["p"], F.zip_with(same, F.concat(F.array(F.lit(False)), F.slice(same, F.lit(1), F.size(same) - 1)), lambda a, b: a | b),
+                           lambda p, twice: F.when(twice, p)), lambda p: p.isNotNull())),
+            lambda p: F.aggregate(F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))), F.lit(0), lambda n, k: n + k)))
+
+    return F.when(F.size(hashes) >= 3, let(_joined(pairs, hashes, 2), covered)).otherwise(F.lit(0)).cast("long")
+
+
+def base_counts(text: Column, parts: Column) -> Column:
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text and its bound parts."""
+    whole = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.struct(
+        F.size(parts["words"]).cast("long").alias("n_words"),
+        F.char_length(F.array_join(parts["words"], "")).cast("long").alias("word_chars"),
+        F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+        repeated_words(parts["pairs"], parts["hashes"]).alias("n_repeat_words"),
+    )
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> list[float]:
     """log(trusted share / raw share) of each bucket, both shares smoothed by `PRIOR`."""
 
     def count(texts: DataFrame) -> dict[int, int]:
-        rows = texts.select(F.explode(buckets(F.col(text_col))).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()
+        rows = texts.select(F.explode(let(cut(F.col(text_col)), buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()
         return {r["b"]: r["n"] for r in rows}  # at most BUCKETS rows
 
     raw, good = count(docs), count(trusted)
@@ -110,8 +118,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> l
     return [math.log((good.get(b, 0) + PRIOR) / n_good) - math.log((raw.get(b, 0) + PRIOR) / n_raw) for b in range(BUCKETS)]
 
 
-def ratio_score(text: Column, ratios: list[float]) -> Column:
-    """Mean log ratio of the n-grams of a text; 0 for a text without any."""
+def ratio_score(parts: Column, ratios: list[float]) -> Column:
+    """Mean log ratio of the n-grams of a cut text; 0 for a text without any."""
     # one string that the optimizer folds to a constant array
     table = F.split(F.lit(",".join(f"{r:.6f}" for r in ratios)), ",").cast("array<double>")
 
@@ -119,7 +127,7 @@ def ratio_score(text: Column, ratios: list[float]) -> Column:
         total = F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(table, b))
         return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(F.lit(0.0))
 
-    return let(buckets(text), mean)
+    return let(buckets(parts), mean)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", trusted: int = TRUSTED, threshold: float = THRESHOLD,
@@ -127,17 +135,18 @@ def judge_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", tr
     """One row per row of `docs`: doc_id, the base counts, base_failed, score, kept.
 
     Trusted are about `trusted` documents of label 1 at most, among the rows that may be learnt from. Without any, all
-    scores are 0 or follow the prior alone and only the base rules speak. Null and empty texts fail the base rules.
+    scores are 0 or follow the prior alone and only the base rules speak. Null and empty texts fail the base rules. Repeated rows are
+    judged row by row.
     """
     good = labelled_sample(docs, labels.where(F.col(label) == 1), label, trusted, learn, id_col, text_col).select(F.col("text").alias(text_col))
     ratios = log_ratios(docs.select(text_col), good, text_col)
     if not any(ratios):
         ratios = [0.0] * BUCKETS
     text = F.col(text_col)
-    out = docs.select(F.col(id_col).alias("doc_id"), base_counts(text).alias("c"), ratio_score(text, ratios).alias("score"))
+    judged = let(cut(text), lambda x: F.struct(base_counts(text, x).alias("c"), ratio_score(x, ratios).alias("score")))
+    out = docs.select(F.col(id_col).alias("doc_id"), judged.alias("j")).select("doc_id", "j.c.*", "j.score")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
     return (
-        out.select("doc_id", "c.*", "score")
-        .withColumn("base_failed", failed)
+        out.withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     )

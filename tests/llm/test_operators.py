@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import re
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -467,6 +469,41 @@ def test_rules_hard_rows(spark, hard, empty):
     assert rules.judge_quality(empty, labels).count() == 0
 
 
+def plain_buckets(text):
+    """The hashed n-grams of a text, by the public XXH64."""
+
+    def chained(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v, seed=seed)
+        return seed
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    raw = lambda h: h.to_bytes(8, "little")
+    words_ = fx.words(text, lower=False)
+    shapes = [re.sub("[0-9]+", "0", re.sub("[A-Z]+", "A", re.sub("[a-z\x80-\U0010FFFF]+", "a", w))) for w in words_]
+    h, s = ([chained(w.encode()) for w in own] for own in (words_, shapes))
+    out = h + [chained(raw(a), raw(b)) for own in (h, s) for a, b in zip(own, own[1:])]
+    return [signed(x) % rules.BUCKETS for x in out]
+
+
+def test_ratio_scores_are_the_plain_ones(spark):
+    docs, labels = graded(spark, 90)
+    hard_docs = spark.createDataFrame([(10**6 + k, t, None, None) for k, (_, t) in enumerate(ROWS)], docs.schema)
+    docs = docs.unionByName(hard_docs)
+    texts_ = {r["doc_id"]: r["text"] for r in docs.collect()}
+    trusted = {r["doc_id"] for r in labels.where("quality = 1").collect() if r["doc_id"] in texts_ and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    raw = Counter(b for t in texts_.values() for b in plain_buckets(t))
+    good = Counter(b for k in trusted for b in plain_buckets(texts_[k]))
+    total, own = sum(raw.values()) + rules.BUCKETS, sum(good.values()) + rules.BUCKETS
+    ratio = [round(math.log((good[b] + 1) / own) - math.log((raw[b] + 1) / total), 6) for b in range(rules.BUCKETS)]
+    for r in rules.judge_quality(docs, labels).collect():
+        grams = plain_buckets(texts_[r["doc_id"]])
+        want = sum(ratio[b] for b in grams) / len(grams) if grams else 0.0
+        assert r["score"] == pytest.approx(want, abs=1e-5)
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= rules.THRESHOLD)
+
+
 def test_ratio_keeps_clean_texts_and_drops_junk(spark):
     docs, labels = graded(spark)
     got = {r["doc_id"]: r for r in rules.judge_quality(docs, labels).collect()}
