@@ -27,6 +27,7 @@ PRIOR = 1.0
 THRESHOLD = -0.3
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
+PLACE_BITS = 20
 #: bound of the trusted sample in documents
 TRUSTED = 10_000
 
@@ -73,22 +74,29 @@ def buckets(parts: Column) -> Column:
 def repeated_words(pairs: Column, hashes: Column) -> Column:
     """Words that lie in 3-word windows found twice or more, the first included, from bound hashes of pairs and words.
 
-    Many texts end with the first question, whether any window occurs twice. For the others windows are sorted by hash, with
-    their places, so that equal ones stand side by side, and the places of these are put in order: each covers three words, or
-    as many as there are up to the next.
+    Many texts end with the first question, whether any window occurs twice. For the others windows are sorted with their
+    places behind them, so that equal ones stand side by side, and the places of these are put in order: each covers three words,
+    or as many as there are up to the next. Window and place are one long, 44 bits of the hash above 20 of the place, where the
+    44 bits tell as many windows apart as all 64 do, which is counted, and the text has fewer windows than 2²⁰; else they are two.
     """
+    low = (1 << PLACE_BITS) - 1
+    top = lambda x: F.shiftright(x, PLACE_BITS)
+    follows = lambda names: F.zip_with(names, F.slice(names, F.lit(2), F.size(names)), lambda a, b: a.eqNullSafe(b))
 
     def covered(windows: Column) -> Column:
-        ordered = F.sort_array(F.arrays_zip(windows.alias("h"), F.sequence(F.lit(0), F.size(windows) - 1).alias("p")))
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(let(ordered, spread))
-
-    def spread(ordered: Column) -> Column:
-        after = F.zip_with(ordered["h"], F.slice(ordered["h"], F.lit(2), F.size(ordered)), lambda a, b: a.eqNullSafe(b))
-        return let(after, lambda same: let(
-            F.array_sort(F.filter(
-                F.zip_with(ordered["p"], F.zip_with(same, F.concat(F.array(F.lit(False)), F.slice(same, F.lit(1), F.size(same) - 1)), lambda a, b: a | b),
-                           lambda p, twice: F.when(twice, p)), lambda p: p.isNotNull())),
-            lambda p: F.aggregate(F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))), F.lit(0), lambda n, k: n + k)))
+        distinct = F.size(F.array_distinct(windows))
+        one = (F.size(windows) <= low) & (F.size(F.array_distinct(F.transform(windows, top))) == distinct)
+        packed = F.sort_array(F.transform(windows, lambda h, p: h.bitwiseAND(F.lit(~low)).bitwiseOR(p.cast("long"))))
+        two = F.sort_array(F.arrays_zip(windows.alias("h"), F.sequence(F.lit(0), F.size(windows) - 1).alias("p")))
+        places = F.when(one, let(packed, lambda x: spread(F.transform(x, top), F.transform(x, lambda k: k.bitwiseAND(F.lit(low)).cast("int"))))).otherwise(
+            let(two, lambda x: spread(x["h"], x["p"])))
+        return F.when(distinct == F.size(windows), F.lit(0)).otherwise(places)
+
+    def spread(names: Column, places: Column) -> Column:
+        twice = let(follows(names), lambda same: F.zip_with(
+            places, F.zip_with(same, F.concat(F.array(F.lit(False)), F.slice(same, F.lit(1), F.size(same) - 1)), lambda a, b: a | b), lambda p, t: F.when(t, p)))
+        return let(F.array_sort(F.array_compact(twice)), lambda p: F.aggregate(
+            F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))), F.lit(0), lambda n, k: n + k))
 
     return F.when(F.size(hashes) >= 3, let(_joined(pairs, hashes, 2), covered)).otherwise(F.lit(0)).cast("long")
 

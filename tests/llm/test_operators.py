@@ -469,6 +469,17 @@ def test_rules_hard_rows(spark, hard, empty):
     assert rules.judge_quality(empty, labels).count() == 0
 
 
+def test_repeated_words_by_either_sort(spark, monkeypatch):
+    """Windows and places as one long, and as two where there are too many places for it."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices("abcd", k=rng.randrange(0, 60)))) for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    for bits in (rules.PLACE_BITS, 3):
+        monkeypatch.setattr(rules, "PLACE_BITS", bits)
+        count = rules.let(rules.cut(F.col("text")), lambda x: rules.repeated_words(x["pairs"], x["hashes"]))
+        assert {r["k"]: r["n"] for r in df.select("k", count.alias("n")).collect()} == {k: fx.repeat_words(t.split()) for k, t in rows}
+
+
 def plain_buckets(text):
     """The hashed n-grams of a text, by the public XXH64."""
 
