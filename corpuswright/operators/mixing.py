@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import pick, uniform
 from ..session import cut_lineage
-from .ordering import DENSE_KEYS, dense_block, uniform_block, with_key_position, with_position
+from .ordering import DENSE_KEYS, dense_block, first_rows, uniform_block, with_key_position, with_position
 
 # Partners that one join key of a mixture has at most: a source drawn more often than this is joined under several salts.
 REPEATS = 1_000
@@ -110,15 +110,16 @@ def interleave(
     spark = df.sparkSession
     probs = probs or uniform_probs(len(names))
     rows = df.filter(F.col(source).isin(names))
-    sizes = {r[source]: r["count"] for r in rows.groupBy(source).count().collect()}
+    # counted, cut into blocks and numbered: several reads of a few columns, whatever made the rows
+    narrow = cut_lineage(rows.select(*dict.fromkeys([source, key, *(order_by or [])])), "mixture-keys")
+    sizes = {r[source]: r["count"] for r in narrow.groupBy(source).count().collect()}
     schedule = mixture_schedule(spark, sizes, names, probs, seed).withColumnRenamed("source", source)
-    narrow = rows.select(*dict.fromkeys([source, key, *(order_by or [])]))
     if block is None:
         numbered = with_key_position(narrow, key, (source,), "row")
     else:
         numbered = with_position(narrow, order_by or [key], block, (source,), "row")
     numbered = numbered.select(source, key, "row")
-    # expected cycles of every source over the whole schedule; one salt, the common case, adds a constant column
+    # expected cycles of each source over the whole schedule; one salt, the common case, adds a constant column
     draws = max(sizes[s] * sum(probs) / p for s, p in zip(names, probs))
     salts = {s: int(draws * p / sum(probs) / sizes[s] / repeats) + 1 for s, p in zip(names, probs)}
     n_salts = F.coalesce(*[F.when(F.col(source) == s, F.lit(n)) for s, n in salts.items()])
@@ -159,9 +160,7 @@ def shuffle_position(df: DataFrame, seed: int, key: str, out: str = "pos") -> Da
 
 def take_first(df: DataFrame, n: int | None, key: str, by: tuple[str, ...] = ()) -> DataFrame:
     """First n rows in key order (NULL first) of every source; one way for every n and every orderable key."""
-    if n is None:
-        return df
-    return with_key_position(df, key, by, "__pos").filter(F.col("__pos") < n).drop("__pos")
+    return df if n is None else first_rows(df, n, key, by)
 
 
 def concat_sources(dfs: list[DataFrame], seed: int | None = None, key: str | None = None) -> DataFrame:

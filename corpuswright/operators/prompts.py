@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.lang import local_parts, required, with_lang
 
 
@@ -100,9 +101,9 @@ def render_prompt_local(df: DataFrame, out: str = "prompt") -> DataFrame:
 
 
 def render_few_shot(df: DataFrame, shots: DataFrame, out: str = "prompt") -> DataFrame:
-    """Header, every shot, then the query. `shots(direction, shots array<struct<source,target>>)` has one
-    row per requested direction; the optimizer broadcasts it by its measured bytes, or splits a hot direction."""
-    shots = shots.select("direction", F.col("shots").alias("__shots"))
+    """Header, every shot, then the query. `shots(direction, shots array<struct<source,target>>)` has one row per requested
+    direction; it is written first, so that the planner knows its bytes and sends it to the rows, which do not move."""
+    shots = cut_lineage(shots.select("direction", F.col("shots").alias("__shots")), "shots")
     named = with_names(df).join(shots, "direction", "left")
     src_label = F.concat(F.lit("\n"), F.col("src_name"), F.lit(": "))
     tgt_label = F.concat(F.lit("\n"), F.col("tgt_name"), F.lit(":"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.ordering import with_key_position
-from ..session import work_dir
+from ..session import cut_lineage, work_dir
 from ..sources import readers as R
 from ..sources import sinks as K
 from . import fixtures as X
@@ -161,7 +161,7 @@ FLAT = "replace({}, chr(10), ' ')"
 def segments(spark, sf):
     """Aligned outputs as single lines, numbered per direction."""
     flat = [F.translate(c, "\n", " ").alias(c) for c in ("source", "reference", "hypothesis")]
-    rows = X.aligned(spark, sf).select("system", "direction", "seg_id", *flat)
+    rows = cut_lineage(X.aligned(spark, sf).select("system", "direction", "seg_id", *flat), "segments")
     return with_key_position(rows, "seg_id", ("system", "direction"), "line")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.ordering import with_position
+from ..session import cut_lineage
 
 log = logging.getLogger(__name__)
 
@@ -41,9 +43,25 @@ def with_file_columns(df: DataFrame) -> DataFrame:
 
 
 def with_line_number(df: DataFrame, by: tuple[str, ...] = (), out: str = "seg_id") -> DataFrame:
-    """0-based line number over the files of each `by` group, files in name order.
+    """0-based line number over the files of each `by` group, files in name order; `by` must be the same in all of a file.
 
-    A split of a file is the block of `with_position`, so no task sorts more than one split.
+    The rows of a split are read in one go, so their places are the distances from its first row. A first read counts rows per
+    split; the table of splits is written, and the planner, which then knows its size, joins it to the rows where they are. No row
+    is sorted or shuffled for its number, and a compressed file, which is one split, is nobody's sort.
     """
+    split = F.struct("__file", "__offset")
+    # a read of no data column may count lines that a parser skips
+    data = next(c for c in df.columns if c not in ("__file", "__offset", "__order", *by))
+    counts = df.groupBy(F.struct(*by, F.lit(0).alias("__")).alias("__group"), split.alias("__split")).agg(
+        F.min("__order").alias("__first"), F.count(F.lit(1)).alias("__n"), F.max(F.col(data).isNull()).alias("__parsed"))
+    before = W.partitionBy("__group").orderBy("__split").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("__split", "__parsed", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    starts = cut_lineage(starts, "splits")
+    numbered = df.withColumn("__split", split).join(starts, "__split").withColumn(out, F.col("__order") + F.col("__shift"))
+    return numbered.drop("__split", "__shift", "__parsed", "__file", "__offset", "__order")
+
+
+def with_row_number(df: DataFrame, by: tuple[str, ...], out: str = "seg_id") -> DataFrame:
+    """The same where rows of one file belong to several groups: a split is the block of `with_position`."""
     numbered = with_position(df, ["__order"], F.struct("__file", "__offset"), by, out)
     return numbered.drop("__file", "__offset", "__order")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.directions import canonical, parse_directions
 from ..operators.filters import filter_language, iso3_codes
-from .files import existing, path_exists, with_file_columns, with_line_number
+from .files import existing, path_exists, with_file_columns, with_line_number, with_row_number
 from .lang import lang_dim, lang_rows
 
 TRANSLATION = "translation map<string,string>"
@@ -91,10 +91,11 @@ def read_source_text(spark: SparkSession, path: str, directions: str | list[str]
 
 
 def _numbered(raw: DataFrame, columns: list[Column | str], numbered: bool, by: tuple[str, ...] = ()) -> DataFrame:
-    """The columns alone, or with `seq`, the row's place in its group; numbering costs a shuffle."""
+    """The columns alone, or with `seq`, the row's place in its group, which may change inside a file."""
     if not numbered:
         return raw.select(*columns)
-    return with_line_number(with_file_columns(raw).select(*columns, "__file", "__offset", "__order"), by, "seq")
+    rows = with_file_columns(raw).select(*columns, "__file", "__offset", "__order")
+    return with_row_number(rows, by, "seq") if by else with_line_number(rows, by, "seq")
 
 
 def read_mono_json(spark: SparkSession, paths: list[str], numbered: bool = False) -> DataFrame:
