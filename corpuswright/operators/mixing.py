@@ -34,48 +34,64 @@ def draw_sources(
     return spark.range(first, n).select(F.col("id").alias("draw"), pick(u, names, probs).alias("source"))
 
 
-def _finishing_draws(
-    spark: SparkSession, n: int, sizes: dict[str, int], names: list[str], probs: list[float], seed: int
+def draws_of_ranks(
+    spark: SparkSession, ranks: dict[str, int], names: list[str], probs: list[float], seed: int, first: int = 0, every: bool = False
 ) -> dict[str, int]:
-    """For every source that n draws finish: the draw that reads its last row for the first time.
+    """For each source of `ranks`: its draw number `ranks[source]`, from 0, among the draws from `first` on.
 
-    Draws are counted per block; only the one block that holds the sought draw is looked into.
+    Draws are counted per block; only the one block that holds the sought draw is looked into. The number of draws tried starts
+    at twice the expectation and doubles until one of them is found, or all if `every` is set; the least is always among them.
     """
-    counts = draw_sources(spark, n, names, probs, seed).groupBy("source", dense_block("draw").alias("blk")).count()
-    before = W.partitionBy("source").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
-    rank = F.lit(-1)
-    for s in names:
-        rank = F.when(F.col("source") == s, F.lit(sizes[s] - 1)).otherwise(rank)
-    placed = counts.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    hit = placed.filter((F.col("start") <= rank) & (rank < F.col("start") + F.col("count"))).collect()
+    total = float(sum(probs))
+    share = dict(zip(names, probs))
+    need = [(n + 1) * total / share[s] for s, n in ranks.items()]
+    n = max(int(2 * (max(need) if every else min(need))), 16)
+    while True:
+        counts = draw_sources(spark, first + n, names, probs, seed, first).groupBy("source", dense_block("draw").alias("blk")).count()
+        before = W.partitionBy("source").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
+        rank = F.lit(-1)
+        for s, k in ranks.items():
+            rank = F.when(F.col("source") == s, F.lit(k)).otherwise(rank)
+        placed = counts.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+        hit = placed.filter((F.col("start") <= rank) & (rank < F.col("start") + F.col("count"))).collect()
+        if len(hit) >= (len(ranks) if every else 1):
+            break
+        n *= 2
     found = {}
     for row in hit:
-        lo, hi = row.blk * DENSE_KEYS, min((row.blk + 1) * DENSE_KEYS, n)
+        lo, hi = max(row.blk * DENSE_KEYS, first), min((row.blk + 1) * DENSE_KEYS, first + n)
         inside = draw_sources(spark, hi, names, probs, seed, lo).filter(F.col("source") == row.source)
-        upto = inside.orderBy("draw").limit(sizes[row.source] - row.start)
+        upto = inside.orderBy("draw").limit(ranks[row.source] - row.start + 1)
         found[row.source] = upto.agg(F.max("draw")).first()[0]
     return found
 
 
+def scheduled(
+    spark: SparkSession, first: int, stop: int, drawn: dict[str, int], sizes: dict[str, int], ended: dict[str, bool],
+    names: list[str], probs: list[float], seed: int,
+) -> DataFrame:
+    """Draws first … stop − 1 of a mixture going on: (draw, source, row); sources that ended start over."""
+    of = lambda values: F.coalesce(*[F.when(F.col("source") == s, F.lit(v)) for s, v in values.items()])
+    draws = draw_sources(spark, stop, names, probs, seed, first)
+    numbered = with_position(draws, ["draw"], dense_block("draw"), ("source",), "k")
+    k = F.col("k") + of(drawn).cast("long")
+    size = F.greatest(of(sizes).cast("long"), F.lit(1))
+    return numbered.select("draw", "source", F.when(of(ended), k % size).otherwise(k).alias("row"))
+
+
 def mixture_schedule(
     spark: SparkSession, sizes: dict[str, int], names: list[str], probs: list[float], seed: int
 ) -> DataFrame:
     """The draws of an all-exhausted mixture: (draw, source, row, cycle), row cycling through the source.
 
-    Drawing stops with the draw that finishes the last unfinished source. The number of draws tried starts at
-    twice the expectation and doubles until every source is finished.
+    Drawing stops with the draw that finishes the last unfinished source.
     """
     empty = [s for s in names if sizes.get(s, 0) == 0]
     if empty:
         raise ValueError(f"sources without rows: {empty}")
     if any(p <= 0 for p in probs):
         raise ValueError("an all-exhausted mixture needs positive probabilities")
-    total = float(sum(probs))
-    n = max(int(2 * max(sizes[s] * total / p for s, p in zip(names, probs))), 16)
-    finished = _finishing_draws(spark, n, sizes, names, probs, seed)
-    while len(finished) < len(names):
-        n *= 2
-        finished = _finishing_draws(spark, n, sizes, names, probs, seed)
+    finished = draws_of_ranks(spark, {s: sizes[s] - 1 for s in names}, names, probs, seed, every=True)
     draws = draw_sources(spark, max(finished.values()) + 1, names, probs, seed)
     size = F.coalesce(*[F.when(F.col("source") == s, F.lit(sizes[s]).cast("long")) for s in names])
     return (

@@ -35,14 +35,18 @@ def stream_prepare(spark, sf):
 
 
 def in_batches(spark, sf, table, key, schema, parts=3):
-    """The table as a file stream of `parts` micro-batches, each a file of rows in key order."""
+    """The table as a file stream of `parts` micro-batches, each `FILES` files of rows in key order."""
     path = work_dir(spark, f"stream-{table}")
     rows = spark.read.parquet(f"{sf}/{table}.parquet")
     high = rows.agg(F.max(key)).first()[0]
     for i in range(parts):
         cut = rows.filter((F.col(key) * parts >= i * (high + 1)) & (F.col(key) * parts < (i + 1) * (high + 1)))
-        cut.coalesce(1).write.mode("append").parquet(path)
-    return W.stream_source(spark, "web", path, schema, files_per_trigger=1)
+        cut.repartitionByRange(FILES, key).write.mode("append").parquet(path)
+    return W.stream_source(spark, "web", path, schema, files_per_trigger=FILES)
+
+
+# Files of a micro-batch: its rows are cut by key over as many tasks.
+FILES = 4
 
 
 STREAM_PACK = {
@@ -69,10 +73,10 @@ def stream_pack_flush(spark, sf):
     """The end of every language is marked, so that the tails are written too."""
     path = work_dir(spark, "stream-ends")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text", F.lit(False).alias("last"))
-    docs.coalesce(1).write.mode("append").parquet(path)
+    docs.repartitionByRange(FILES, "doc_id").write.mode("append").parquet(path)
     ends = docs.groupBy("lang").agg(F.max("doc_id").alias("doc_id")).select("doc_id", "lang", F.lit("").alias("text"), F.lit(True).alias("last"))
     ends.coalesce(1).write.mode("append").parquet(path)
-    stream = W.stream_source(spark, "web", path, f"{W.MONO}, last boolean", files_per_trigger=1)
+    stream = W.stream_source(spark, "web", path, f"{W.MONO}, last boolean", files_per_trigger=FILES)
     prepared = W.stream_prepare(stream, X.vocabulary(spark, sf))
     blocks = W.stream_pack(prepared, "input_ids", "doc_id", 512, ("lang",), shards=4, last="last")
     rows = spark.read.parquet(W.run_to_table(blocks, "stream-pack"))
@@ -91,6 +95,58 @@ def stream_mix(spark, sf):
     return spark.read.parquet(path).select("batch_id", "draw", "lang", "doc_id", "text")
 
 
+def uneven(spark, sf, cuts=(0.1, 0.15, 0.7)):
+    """The documents as micro-batches of uneven size, with a last one that holds a marked row per language."""
+    path = work_dir(spark, "stream-uneven")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text", F.lit(False).alias("last"))
+    high = docs.agg(F.max("doc_id")).first()[0] + 1
+    for low, top in zip((0.0, *cuts), (*cuts, 1.0)):
+        part = docs.filter((F.col("doc_id") >= int(low * high)) & (F.col("doc_id") < int(top * high)))
+        part.repartitionByRange(FILES, "doc_id").write.mode("append").parquet(path)
+    ends = docs.groupBy("lang").agg(F.max("doc_id").alias("doc_id")).select("doc_id", "lang", F.lit("").alias("text"), F.lit(True).alias("last"))
+    ends.coalesce(1).write.mode("append").parquet(path)  # one row per language
+    return W.stream_source(spark, "web", path, f"{W.MONO}, last boolean", files_per_trigger=FILES)
+
+
+SHARDS, BUFFER = 3, 32
+_DRAW = f"('0x'||substr(md5({X.SEED}||':{{}}:'||doc_id),1,8))::BIGINT/4294967296.0::DOUBLE"
+
+
+@query(f"""
+WITH a AS (SELECT doc_id, lang, text, floor({_DRAW.format('shard')} * {SHARDS})::INT AS shard, {_DRAW.format('end')} AS turn, floor({_DRAW.format('slot')} * {BUFFER})::INT AS drawn FROM documents),
+t AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS t, count(*) OVER (PARTITION BY shard) AS n FROM a),
+s AS (SELECT *, lead(t) OVER (PARTITION BY shard, CASE WHEN t < {BUFFER} THEN t ELSE drawn END ORDER BY t) AS taken FROM t)
+SELECT shard, doc_id, lang, text, CASE WHEN taken IS NOT NULL THEN taken - {BUFFER}
+    ELSE greatest(n - {BUFFER}, 0) + row_number() OVER (PARTITION BY shard, taken IS NULL ORDER BY turn, doc_id) - 1 END AS place FROM s""")
+def stream_shuffle_buffer(spark, sf):
+    """A buffer in the state, over uneven micro-batches: a row leaves when a later one draws its slot, the rest at the end."""
+    shuffled = W.stream_shuffle_buffer(uneven(spark, sf), "doc_id", ["lang", "text"], X.SEED, BUFFER, shards=SHARDS, last="last")
+    return spark.read.parquet(W.run_to_table(shuffled, "stream-shuffle"))
+
+
+@query(with_ctes("", "SELECT m.draw, m.source AS lang, m.doc_id, d.text FROM mix m JOIN documents d ON d.doc_id = m.doc_id",
+    interleave_ctes("mix", "documents", "lang", "doc_id", LANGS, PROBS)))
+def stream_interleave(spark, sf):
+    """The mixture of the whole stream, over uneven micro-batches: the rows of the finite mixture."""
+    path = W.stream_interleave(uneven(spark, sf), "doc_id", LANGS, PROBS, X.SEED, "lang", "last")
+    return spark.read.parquet(path).select("draw", "lang", "doc_id", "text")
+
+
+@query("""
+WITH e AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'train' ELSE 'eval' END AS phase, event_id, event_type, value FROM events),
+n AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY phase ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS log_no,
+    sum((event_type = 'error')::INT) OVER (PARTITION BY phase)::BIGINT AS logs FROM e)
+SELECT phase, log_no, event_type AS metric, avg(value)::FLOAT AS mean, count(value) AS records FROM n WHERE event_type <> 'error' AND log_no < logs GROUP BY ALL""")
+def stream_metric_log(spark, sf):
+    """Means since the last log of a phase; an error event stands for its log record."""
+    events = in_batches(spark, sf, "events", "event_id", "event_id long, user_id long, event_type string, value double").select(
+        "event_id", F.when(F.col("user_id") % 2 == 0, "train").otherwise("eval").alias("phase"), F.col("event_type").alias("metric"), "value",
+        (F.col("event_type") == "error").alias("logged"),
+    )
+    rows = spark.read.parquet(W.stream_metric_log(events, "event_id", "phase", "metric", "value", "logged"))
+    return rows.select("phase", "log_no", "metric", F.col("mean").cast("float").alias("mean"), "records")
+
+
 @query("""
 SELECT CASE WHEN user_id % 2 = 0 THEN 'train' ELSE 'eval' END AS phase, event_id // 1000 AS log_window, event_type AS metric,
        avg(value)::FLOAT AS mean, count(*) AS records FROM events GROUP BY ALL""")

@@ -7,15 +7,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.rand import uniform
-from ..operators.mixing import interleave, shuffle_position
+from ..operators.mixing import draws_of_ranks, interleave, scheduled, shuffle_position
+from ..operators.ordering import block_starts, with_key_block, with_key_position
 from ..operators.packing import mono_ids
 from ..operators.vocab import Encoder
-from ..session import work_dir
+from ..session import cut_lineage, work_dir
 from ..sources.readers import TRANSLATION, _sides
 
 MONO = "doc_id long, lang string, text string"
@@ -141,6 +143,117 @@ def stream_shuffle(stream: DataFrame, key: str, seed: int, label: str = "shuffle
     return run_batches(stream, label, each)
 
 
+def stream_shuffle_buffer(
+    stream: DataFrame, key: str, columns: list[str], seed: int, buffer: int, *, shards: int, last: str
+) -> DataFrame:
+    """A shuffle that looks ahead `buffer` rows per shard, over all micro-batches: (shard, place, key, columns).
+
+    Rows go to a shard by a hash of their key; as many shards as tasks should share the stream. A shard first fills its
+    buffer. Then each arriving row draws a slot, sends on the row that stands there and takes its place, so rows of different
+    micro-batches meet. A row whose boolean column `last` is true reaches all shards and carries nothing: they send on what they
+    hold in an order drawn anew, and start again. Rows arrive by micro-batch and, inside one, by key. State is the buffer.
+    """
+    kept = [key, *columns]
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    own = F.array(F.floor(uniform(seed, F.lit("shard"), F.col(key)) * shards).cast("int"))
+    end = F.coalesce(F.col(last), F.lit(False))
+    rows = stream.withColumn("__end", end).withColumn("shard", F.explode(F.when(end, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(own)))
+    slot = F.floor(uniform(seed, F.lit("slot"), F.col(key)) * buffer).cast("int")
+    rows = rows.select("shard", *kept, "__end", slot.alias("__slot"), uniform(seed, F.lit("end"), F.col(key)).alias("__turn"))
+    held = [f"{c} array<{types[c]}>" for c in kept]
+
+    def step(shard: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sent = 0
+        standing: list[tuple] = []
+        if state.exists:
+            sent, turns, *cells = state.get
+            standing = list(zip(*cells, turns))
+        arrived = pd.concat(list(frames), ignore_index=True).sort_values(["__end", key], kind="stable")
+        out: list[tuple] = []
+        for *row, at, turn in arrived.loc[~arrived["__end"], [*kept, "__slot", "__turn"]].itertuples(index=False, name=None):
+            if len(standing) < buffer:
+                standing.append((*row, turn))
+            else:
+                out.append(standing[at][:-1])
+                standing[at] = (*row, turn)
+        if arrived["__end"].any():
+            out += [r[:-1] for r in sorted(standing, key=lambda r: (r[-1], r[0]))]
+            standing = []
+        cells = [list(c) for c in zip(*standing)] if standing else [[] for _ in range(len(kept) + 1)]
+        state.update((sent + len(out), cells[-1], *cells[:-1]))
+        if out:
+            frame = pd.DataFrame(out, columns=kept)
+            frame.insert(0, "shard", shard[0])
+            frame.insert(1, "place", range(sent, sent + len(out)))
+            yield frame
+
+    out_schema = ", ".join(["shard int", "place long", *[f"{c} {types[c]}" for c in kept]])
+    return rows.groupBy("shard").applyInPandasWithState(
+        step, out_schema, ", ".join(["sent long", "turns array<double>", *held]), "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def _cursor(spark: SparkSession, folder: str, batch: int, schema: str) -> DataFrame:
+    """What the micro-batch before this one left; nothing before the first."""
+    return spark.read.schema(schema).parquet(f"{folder}/batch_id={batch - 1}") if batch else spark.createDataFrame([], schema)
+
+
+def stream_interleave(
+    stream: DataFrame, key: str, names: list[str], probs: list[float], seed: int, source: str, last: str, label: str = "interleave"
+) -> str:
+    """`interleave` over a whole stream, drawn on as rows arrive: rows with their `draw`; returns the folder.
+
+    Draws go on from where the micro-batch before stopped, up to the first that needs a row which has not arrived. A
+    source ends with a row of it whose boolean column `last` is true; from then on it starts over when its rows are used up, and
+    with the draw that finishes the last source the mixture ends, exactly as that of a finite table. Rows of a source are read in
+    order of arrival, inside a micro-batch by key. Arrived rows are kept, as sources start over; all that is carried between
+    micro-batches is the next draw and, per source, rows arrived, rows drawn, and whether it ended. A repeated micro-batch reads the
+    same cursor and overwrites its own folders.
+    """
+    spark = _session(stream)
+    columns = [c for c in stream.columns if c != last]
+    names, probs = zip(*[(n, p) for n, p in zip(names, probs)])
+    schema = "source string, arrived long, drawn long, ended boolean, next long"
+
+    def each(batch: DataFrame, i: int, out: str) -> None:
+        kept, cursors = f"{out}-rows", f"{out}-cursor"
+        before = {r["source"]: r for r in _cursor(spark, cursors, i, schema).collect()}  # one row per source
+        arrived = {s: before[s]["arrived"] if s in before else 0 for s in names}
+        drawn = {s: before[s]["drawn"] if s in before else 0 for s in names}
+        first = next((r["next"] for r in before.values()), 0)
+        batch.filter(F.col(source).isin(*names)).write.mode("overwrite").parquet(f"{out}-staged/batch_id={i}")
+        staged = spark.read.schema(batch.schema).parquet(f"{out}-staged/batch_id={i}")
+        mark = F.coalesce(F.col(last), F.lit(False))
+        counts = {r[source]: r for r in staged.groupBy(source).agg(F.count_if(~mark).alias("n"), F.max(mark).alias("end")).collect()}
+        ahead = F.coalesce(*[F.when(F.col(source) == s, F.lit(n).cast("long")) for s, n in arrived.items()])
+        rows = with_key_position(staged.filter(~mark), key, (source,), "row").withColumn("row", F.col("row") + ahead)
+        rows.select("row", *columns).write.mode("overwrite").parquet(f"{kept}/batch_id={i}")
+        ended = {s: (s in before and before[s]["ended"]) or (s in counts and counts[s]["end"]) for s in names}
+        for s in names:
+            arrived[s] += counts[s]["n"] if s in counts else 0
+        empty = [s for s in names if ended[s] and not arrived[s]]
+        if empty:
+            raise ValueError(f"sources without rows: {empty}")
+        if all(ended.values()):
+            unread = {s: arrived[s] - 1 - drawn[s] for s in names if arrived[s] > drawn[s]}
+            stop = max(draws_of_ranks(spark, unread, names, probs, seed, first, every=True).values()) + 1 if unread else first
+        else:
+            wanting = {s: arrived[s] - drawn[s] for s in names if not ended[s]}
+            stop = min(draws_of_ranks(spark, wanting, names, probs, seed, first).values())
+        table = spark.read.schema(f"row long, {_ddl(staged, columns)}, batch_id long").parquet(kept).filter(F.col("batch_id") <= i).drop("batch_id")
+        placed = scheduled(spark, first, stop, drawn, arrived, ended, names, probs, seed).withColumnRenamed("source", source)
+        placed.join(table, [source, "row"]).select("draw", *columns).write.mode("overwrite").parquet(f"{out}/batch_id={i}")
+        used = {r[source]: r["n"] for r in placed.groupBy(source).agg(F.count("*").alias("n")).collect()}
+        state = [(s, arrived[s], drawn[s] + used.get(s, 0), bool(ended[s]), stop) for s in names]
+        spark.createDataFrame(state, schema).coalesce(1).write.mode("overwrite").parquet(f"{cursors}/batch_id={i}")
+
+    return run_batches(stream, label, each)
+
+
+def _ddl(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def stream_mix(
     stream: DataFrame, key: str, names: list[str], probs: list[float], seed: int, source: str, label: str = "mix"
 ) -> str:
@@ -164,6 +277,55 @@ def stream_mix(
     return run_batches(stream, label, each)
 
 
+def stream_metric_log(
+    stream: DataFrame, key: str, phase: str, metric: str, value: str, is_log: str, label: str = "metric-log"
+) -> str:
+    """Means of the metrics of a phase since its last log record: (phase, log_no, metric, mean, records), written when a log closes them.
+
+    A log record of a phase closes what its rows gathered, in order of arrival and inside a micro-batch by key, and resets it; it
+    has no metric of its own. A row's log is the number of log records in front of it, a running sum over blocks of keys, so that
+    a phase with all rows is spread over its blocks; sums are made per task before they meet. Between micro-batches the open sums
+    of each phase and metric and the number of logs so far are carried, by batch id, so that a repeated micro-batch changes nothing.
+    """
+    spark = _session(stream)
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    schema = f"{phase} {types[phase]}, log_no long, {metric} {types[metric]}, total double, records long"
+    same = [phase, "log_no", metric]
+
+    def each(batch: DataFrame, i: int, out: str) -> None:
+        staged = f"{out}-staged/batch_id={i}"
+        batch.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(batch.schema).parquet(staged)
+        carried = _cursor(spark, f"{out}-open", i, schema)
+        # a row without metric holds the number of logs of its phase so far
+        logs = carried.filter(F.col(metric).isNull()).select(F.col(phase).alias("__phase"), F.col("log_no").alias("__past"))
+        mark = F.coalesce(F.col(is_log), F.lit(False)).cast("long")
+        keyed = with_key_block(rows.withColumn("__mark", mark), key, (phase,))
+        keyed = keyed.withColumn("__at", F.struct(phase, F.struct("__blk").alias("__blk")))
+        starts = block_starts(keyed, [phase], F.col("__mark"), "__ahead").drop("__sum")
+        inside = F.sum("__mark").over(W.partitionBy("__at").orderBy(key).rowsBetween(W.unboundedPreceding, -1))
+        keyed = keyed.withColumn("__in", F.coalesce(inside, F.lit(0))).join(starts, "__at")
+        keyed = keyed.join(logs, F.col(phase).eqNullSafe(F.col("__phase")), "left")
+        numbered = keyed.withColumn("log_no", F.coalesce("__past", F.lit(0)) + F.col("__ahead") + F.col("__in"))
+        fresh = numbered.filter("__mark = 0").filter(F.col(metric).isNotNull()).groupBy(*same).agg(F.sum(value).cast("double").alias("total"), F.count(value).alias("records"))
+        closed = numbered.filter("__mark = 1").groupBy(phase).agg((F.max("log_no") + 1).alias("log_no"))
+        past = logs.select(F.col("__phase").alias(phase), F.col("__past").alias("log_no"))
+        counted = closed.unionByName(past).groupBy(phase).agg(F.max("log_no").alias("log_no"))
+        open_ = carried.filter(F.col(metric).isNotNull()).unionByName(fresh).groupBy(*same).agg(F.sum("total").alias("total"), F.sum("records").alias("records"))
+        open_ = cut_lineage(open_, "log-sums")
+        counted = cut_lineage(counted, "log-counts")
+        done = open_.join(counted.select(F.col(phase).alias("__phase"), F.col("log_no").alias("__logs")), F.col(phase).eqNullSafe(F.col("__phase")), "left")
+        finished = F.col("log_no") < F.coalesce("__logs", F.lit(0))
+        means = done.filter(finished).select(*same, (F.col("total") / F.col("records")).alias("mean"), "records")
+        means.write.mode("overwrite").parquet(f"{out}/batch_id={i}")
+        left = done.filter(~finished).select(*same, "total", "records")
+        none = F.lit(None)
+        heads = counted.select(phase, "log_no", none.cast(types[metric]).alias(metric), none.cast("double").alias("total"), none.cast("long").alias("records"))
+        left.unionByName(heads).write.mode("overwrite").parquet(f"{out}-open/batch_id={i}")
+
+    return run_batches(stream, label, each)
+
+
 def stream_log(stream: DataFrame, by: list[str], value: Column, label: str = "log") -> str:
     """Running means per log window and metric; every batch writes the windows it changed."""
     means = stream.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("records"))
