@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 LONG_WORD = 256  # bytes; longer words are hashed one by one
 
 _SPACE = 0x20

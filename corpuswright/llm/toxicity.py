@@ -314,7 +314,7 @@ def toxicity_score(text, net: Network, spark):
 
     def score(column: pa.Array) -> pa.Array:
         net, out = restore(Network, shared), np.zeros(len(column))
-        for piece in words(column, LOWER, 1 << 20):
+        for piece in words(column, LOWER, 1 << 19):
             out[piece.first : piece.first + piece.rows] = net.logits(piece)
         return pa.array(_sigmoid(out))
 
