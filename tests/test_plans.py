@@ -7,7 +7,7 @@ from corpuswright.functions import arrays as A
 from corpuswright.operators import denoise as U
 from corpuswright.operators import evaluate as E
 from corpuswright.operators import mixing as M
-from corpuswright.operators.ordering import QUANTILES, with_key_block, with_key_position
+from corpuswright.operators.ordering import MOST_BLOCKS, with_key_block, with_key_position
 from corpuswright.operators.packing import pack_blocks
 from corpuswright.operators.denoise import DenoiseConfig
 from corpuswright.operators.vocab import TokenizerEncoder, Vocabulary, build_vocab, shared_vocabulary, vocabulary_of
@@ -280,8 +280,8 @@ def test_results_do_not_depend_on_partitioning(spark, sf):
 @pytest.mark.parametrize("key", ["id", "xxhash64(id)", "CASE WHEN id < 9 THEN id * 1000000000000 ELSE id END", "CASE WHEN id > 0 THEN id END", "md5(string(id))"])
 def test_blocks_are_even_and_bounded(spark, key):
     rows = spark.range(20_000).select(F.expr(key).alias("k"), F.when(F.col("id") % 3 == 0, F.lit("a")).alias("g"))
-    blocks = with_key_block(rows, "k", ("g",)).groupBy("g", "__blk").count().collect()
-    assert len(blocks) <= 2 * (QUANTILES + 1) and max(r["count"] for r in blocks) < 800
+    blocks = with_key_block(rows, "k", ("g",), block_rows=200).groupBy("g", "__blk").count().collect()
+    assert len(blocks) <= min(MOST_BLOCKS, 20_000 / 200 * 1.5) + 2 and max(r["count"] for r in blocks) < 800
     got = with_key_position(rows, "k", ("g",)).collect()
     for g in ("a", None):
         own = sorted((r for r in got if r.g == g), key=lambda r: r.pos)
