@@ -1,30 +1,37 @@
-"""Benchmark decontamination: every shard of documents gets an FM-index, in which the test phrases are searched.
+"""Benchmark decontamination: shards of documents get an FM-index each, in which the test phrases are searched.
 
-A shard is one Arrow batch of whole texts. Its words are numbered by the benchmark's own words; all others can be in no
-phrase and count as one separator, as do row borders. Stretches between separators that are shorter than the shortest
-phrase can hold no match and are left out. Backward search answers all phrases at once; the occurrences found are
-mapped back to words of documents, and overlapping ones are merged to removal spans.
+A shard is a run of whole texts of one Arrow batch, about `SHARD_WORDS` words of them; a longer text is a shard of its own.
+Its words are numbered by the benchmark's own words; all others can be in no phrase and count as one separator, as do row
+borders. Stretches between separators that are shorter than the shortest phrase can hold no match and are left out.
+Backward search answers all phrases at once; the occurrences found are mapped back to words of documents, and overlapping
+ones are merged to removal spans.
 
-The benchmark is a stated query set and may be long: it is searched in blocks of `BLOCK_ITEMS` items, one pass over the
-documents each. Only one block at a time is sent to the tasks.
+The benchmark is a stated query set and may be long: it is searched in blocks of at most `BLOCK_ITEMS` items and
+`BLOCK_BYTES` of text (a longer item is a block of its own), one pass over the documents each. Every pass but the last is
+written, its spans merged with those before, and its block is dropped before the next one is read: the driver and the
+tasks hold one block at a time.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .fmindex import FMIndex
 from .shared import restore, share
-from .texts import ALNUM, column_udf, words
+from .texts import ALNUM, words
 
 WINDOW = 10
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 4 << 20
+SHARD_WORDS = 1 << 19
 
 _FOUND = "struct<n_words:bigint,spans:array<struct<lo:bigint,hi:bigint>>,items:array<string>>"
 
@@ -33,27 +40,25 @@ class Phrases:
     """The windows of one block of benchmark items as rows of word numbers, by length."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        self.names, rows = [name for name, _ in items], defaultdict(list)
         hashes = []
         for piece in words(pa.array([text for _, text in items], pa.string()), ALNUM):
             hashes += [piece.hashes[a:b] for a, b in zip(piece.bounds[:-1], piece.bounds[1:])]
+        self.names = [name for name, _ in items]
         self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+        cuts, items_of = defaultdict(list), defaultdict(list)
         for k, h in enumerate(hashes):
-            ids = np.searchsorted(self.vocabulary, h) + 1
-            if not len(ids):
-                continue
-            size = min(window, len(ids))
-            for cut in np.lib.stride_tricks.sliding_window_view(ids, size):
-                rows[size].append((k, cut))
-        # equal windows are searched once; owners[size][w] are the items of window w
+            if size := min(window, len(h)):
+                ids = (np.searchsorted(self.vocabulary, h) + 1).astype(np.int32)
+                cuts[size].append(np.lib.stride_tricks.sliding_window_view(ids, size))
+                items_of[size].append(np.full(len(ids) - size + 1, k, np.int32))
+        # equal windows are searched once; the items of window w are owners[size][0][owners[size][1][w] : owners[size][1][w + 1]]
         self.patterns, self.owners = {}, {}
-        for size, found in rows.items():
-            all_ = np.array([cut for _, cut in found])
-            distinct, which = np.unique(all_, axis=0, return_inverse=True)
-            owners = defaultdict(set)
-            for (k, _), w in zip(found, which.reshape(-1).tolist()):
-                owners[w].add(k)
-            self.patterns[size], self.owners[size] = distinct, owners
+        for size, found in cuts.items():
+            distinct, which = np.unique(np.concatenate(found), axis=0, return_inverse=True)
+            which = which.reshape(-1)
+            order = np.argsort(which, kind="stable")
+            starts = np.searchsorted(which[order], np.arange(len(distinct) + 1))
+            self.patterns[size], self.owners[size] = distinct, (np.concatenate(items_of[size])[order], starts)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers from 1; 0 for words of no item."""
@@ -79,50 +84,72 @@ def _stretches(symbols: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.
     return starts[long], ends[long]
 
 
-def search_shard(column: pa.Array, phrases: Phrases) -> pa.Array:
-    """Per text: its number of words, the merged spans of words inside matches, and the matching items, sorted."""
-    n = len(column)
-    sizes = np.zeros(n, np.int64)
-    parts, places, rows = [], [], []  # per stretch kept: symbols, first word in its row, row
+class Found:
+    """What a batch of texts holds: words, merged spans of words inside matches, and the names of the matching items."""
+
+    def __init__(self, n: int):
+        self.sizes = np.zeros(n, np.int64)
+        self.spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        self.items: list[set[str]] = [set() for _ in range(n)]
+
+    def add(self, before: pa.Array) -> None:
+        """Join what earlier blocks have found in the same texts."""
+        for k, old in enumerate(before.to_pylist()):
+            self.spans[k] = merge(self.spans[k] + [(s["lo"], s["hi"]) for s in old["spans"]])
+            self.items[k].update(old["items"])
+
+    def column(self) -> pa.Array:
+        span = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
+        return pa.StructArray.from_arrays(
+            [
+                pa.array(self.sizes),
+                pa.array([[{"lo": a, "hi": b} for a, b in s] for s in self.spans], pa.list_(span)),
+                pa.array([sorted(i) for i in self.items], pa.list_(pa.string())),
+            ],
+            names=["n_words", "spans", "items"],
+        )
+
+
+def search_texts(column: pa.Array, phrases: Phrases, shard_words: int = SHARD_WORDS) -> Found:
+    """Search a batch of texts, shard by shard; the shards' size changes nothing but memory."""
+    found = Found(len(column))
+    stretches, held = [], 0  # symbols, first word in its row, row
     least = min(phrases.patterns, default=1)
-    separator = len(phrases.vocabulary) + 1
     for piece in words(column, ALNUM):
-        sizes[piece.first : piece.first + piece.rows] = piece.counts()
+        found.sizes[piece.first : piece.first + piece.rows] = piece.counts()
         symbols = phrases.number(piece.hashes)
         starts, ends = _stretches(symbols, piece.bounds, least)
         row = np.searchsorted(piece.bounds, starts, side="right") - 1
         for s, e, r in zip(starts.tolist(), ends.tolist(), row.tolist()):
-            parts.append(symbols[s:e])
-            places.append(s - int(piece.bounds[r]))
-            rows.append(piece.first + r)
-    spans = [[] for _ in range(n)]
-    items = [set() for _ in range(n)]
-    if parts and phrases.patterns:
-        length = np.array([len(p) + 1 for p in parts])
-        at = np.concatenate(([0], np.cumsum(length)))
-        text = np.full(at[-1], separator, np.int64)
-        for p, a in zip(parts, at[:-1].tolist()):
-            text[a : a + len(p)] = p
-        index = FMIndex(text)
-        for size, patterns in phrases.patterns.items():
-            lo, hi = index.search(patterns)
-            which = np.repeat(np.arange(len(patterns)), hi - lo)
-            inside = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-            position = index.locate(lo[which] + inside)
-            stretch = np.searchsorted(at, position, side="right") - 1
-            for w, k, offset in zip(which.tolist(), stretch.tolist(), (position - at[stretch]).tolist()):
-                start = places[k] + offset
-                spans[rows[k]].append((start, start + size))
-                items[rows[k]] |= phrases.owners[size][w]
-    merged = [merge(s) for s in spans]
-    return pa.StructArray.from_arrays(
-        [
-            pa.array(sizes),
-            pa.array([[{"lo": a, "hi": b} for a, b in m] for m in merged], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-            pa.array([sorted({phrases.names[k] for k in i}) for i in items], pa.list_(pa.string())),
-        ],
-        names=["n_words", "spans", "items"],
-    )
+            stretches.append((symbols[s:e], s - int(piece.bounds[r]), piece.first + r))
+        held += int((ends - starts).sum())
+        if held >= shard_words:
+            _search_shard(stretches, phrases, found)
+            stretches, held = [], 0
+    _search_shard(stretches, phrases, found)
+    found.spans = [merge(s) for s in found.spans]
+    return found
+
+
+def _search_shard(stretches: list[tuple[np.ndarray, int, int]], phrases: Phrases, found: Found) -> None:
+    if not stretches or not phrases.patterns:
+        return
+    at = np.concatenate(([0], np.cumsum([len(symbols) + 1 for symbols, _, _ in stretches])))
+    text = np.full(at[-1], len(phrases.vocabulary) + 1, np.int64)
+    for (symbols, _, _), a in zip(stretches, at[:-1].tolist()):
+        text[a : a + len(symbols)] = symbols
+    index = FMIndex(text)
+    for size, patterns in phrases.patterns.items():
+        owners, starts = phrases.owners[size]
+        lo, hi = index.search(patterns)
+        which = np.repeat(np.arange(len(patterns)), hi - lo)
+        inside = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        position = index.locate(lo[which] + inside)
+        stretch = np.searchsorted(at, position, side="right") - 1
+        for w, k, offset in zip(which.tolist(), stretch.tolist(), (position - at[stretch]).tolist()):
+            _, place, row = stretches[k]
+            found.spans[row].append((place + offset, place + offset + size))
+            found.items[row].update(phrases.names[i] for i in owners[starts[w] : starts[w + 1]].tolist())
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -135,69 +162,118 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int):
-    """Lists of at most `block_items` (name, text); an item without a name or without text has no phrases."""
-    block = []
-    for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(f"{item_col} is not null and {text_col} is not null").toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == block_items:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_items: int) -> Iterator[list[tuple[str, str]]]:
+    """Lists of (name, text), bounded by items and bytes; an item without a name or without text has no phrases."""
+    block, size = [], 0
+    rows = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).alias("text")).dropna()
+    for name, text in rows.toLocalIterator():
+        more = len(text.encode())
+        if block and (len(block) == block_items or size + more > BLOCK_BYTES):
             yield block
-            block = []
-    if block:
-        yield block
+            block, size = [], 0
+        block.append((name, text))
+        size += more
+    yield block
 
 
-def contamination(text, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_items: int = BLOCK_ITEMS):
-    """A column over `text`: struct of n_words, spans (word positions [lo, hi), merged) and items (ids as sorted strings).
+def _search(text: Column, before: Column | None, shared: Broadcast) -> Column:
+    """The struct of what this block and those before it have found."""
+    if before is None:
 
-    Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A phrase is `window` consecutive words of an
-    item, or a shorter item as a whole. Null and empty texts have no words. Repeated items count by their names.
-    """
-    found = []
-    for block in _blocks(benchmark, item_col, text_col, block_items):
-        shared = share(benchmark.sparkSession, Phrases(block, window))
-        found.append(column_udf(lambda t, shared=shared: search_shard(t, restore(Phrases, shared)), _FOUND)(text))
-    if not found:
-        none = Phrases([], window)
-        found.append(column_udf(lambda t: search_shard(t, none), _FOUND)(text))
-    if len(found) == 1:
-        return found[0]
-    both = F.arrow_udf(_union, _FOUND)
-    return reduce(both, found)
-
-
-def _union(x: pa.Array, y: pa.Array) -> pa.Array:
-    out = []
-    for a, b in zip(x.to_pylist(), y.to_pylist()):
-        spans = merge([(s["lo"], s["hi"]) for s in a["spans"] + b["spans"]])
-        out.append({"n_words": a["n_words"], "spans": [{"lo": p, "hi": q} for p, q in spans], "items": sorted({*a["items"], *b["items"]})})
-    return pa.array(out, x.type)
-
-
-def _remove(text: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    values, cuts = text.to_pylist(), spans.to_pylist()
-    for value, cut in zip(values, cuts):
-        if not cut:
-            out.append(value)
+        def first(t: pa.Array) -> pa.Array:
+            return search_texts(t, restore(Phrases, shared)).column()
+
+        return F.arrow_udf(first, _FOUND)(text)
+
+    def next_(t: pa.Array, b: pa.Array) -> pa.Array:
+        found = search_texts(t, restore(Phrases, shared))
+        found.add(b)
+        return found.column()
+
+    return F.arrow_udf(next_, _FOUND)(text, before)
+
+
+def _clean(text: Column, before: Column | None, shared: Broadcast) -> Column:
+    """The text without the words that this block and those before it have found; null where nothing is to be cut."""
+    if before is None:
+
+        def first(t: pa.Array) -> pa.Array:
+            return _remove(t, search_texts(t, restore(Phrases, shared)).spans)
+
+        return F.arrow_udf(first, "string")(text)
+
+    def next_(t: pa.Array, b: pa.Array) -> pa.Array:
+        found = search_texts(t, restore(Phrases, shared))
+        found.add(b)
+        return _remove(t, found.spans)
+
+    return F.arrow_udf(next_, "string")(text, before)
+
+
+def _remove(column: pa.Array, spans: list[list[tuple[int, int]]]) -> pa.Array:
+    out: list[str | None] = [None] * len(column)
+    for row, cuts in enumerate(spans):
+        if not cuts:
             continue
+        value = column[row].as_py()
         raw = value.encode()
         piece = next(words(pa.array([value], pa.string()), ALNUM, len(raw) + 1))
         kept, at = [], 0
-        for s in cut:
-            kept.append(raw[at : piece.starts[s["lo"]]])
-            at = int(piece.ends[s["hi"] - 1])
+        for lo, hi in cuts:
+            kept.append(raw[at : piece.starts[lo]])
+            at = int(piece.ends[hi - 1])
         kept.append(raw[at:])
-        out.append(b" ".join(k.strip(b" ") for k in kept).strip(b" ").decode())
+        out[row] = b" ".join(k.strip(b" ") for k in kept).strip(b" ").decode()
     return pa.array(out, pa.string())
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kwargs) -> DataFrame:
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in (c.lower() for c in taken):
+        name += "_"
+    return name
+
+
+def _all_but_last(docs: DataFrame, benchmark: DataFrame, text_col: str, name: str, item_col: str, item_text: str, window: int, block_items: int):
+    """The documents after a written pass for each block but the last, the column found so far, and the last block."""
+    before = None
+    blocks = _blocks(benchmark, item_col, item_text, block_items)
+    block = next(blocks)
+    while True:
+        shared = share(benchmark.sparkSession, Phrases(block, window))
+        block = next(blocks, None)
+        if block is None:
+            return docs, before, shared
+        docs = cut_lineage(docs.withColumn(name, _search(F.col(text_col), before, shared)), "leaks")
+        before = F.col(name)
+        shared.destroy()
+
+
+def mark_contamination(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "found", item_col: str = "item_id",
+    item_text: str = "text", window: int = WINDOW, block_items: int = BLOCK_ITEMS,
+) -> DataFrame:
+    """`docs` with `out`: struct of n_words, spans (word positions [lo, hi), merged) and items (ids as sorted strings).
+
+    Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A phrase is `window` consecutive words of an
+    item, or a shorter item as a whole. Null and empty texts have no words. Repeated items count by their names, repeated
+    rows each get the same result. A column that is already called `out` is replaced.
+    """
+    name = _free("__cw_found", [*docs.columns, out])
+    docs_, before, shared = _all_but_last(docs, benchmark, text_col, name, item_col, item_text, window, block_items)
+    found = docs_.withColumn(out, _search(F.col(text_col), before, shared))
+    return found.drop(name)
+
+
+def remove_contamination(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, block_items: int = BLOCK_ITEMS,
+) -> DataFrame:
     """`docs` with the words inside benchmark phrases cut out of `text`; every row and every column stays.
 
-    Rows without a match keep their text byte by byte; null stays null. Repeated rows get the same result.
+    Rows without a match keep their text byte by byte; null stays null. Repeated rows get the same result. The search and
+    the cut are one function, and only texts that change come back from it.
     """
-    marked = docs.withColumn("__cw_found", contamination(F.col(text_col), benchmark, **kwargs))
-    spans = F.col("__cw_found.spans")
-    cut = F.when(F.size(spans) > 0, F.arrow_udf(_remove, "string")(F.col(text_col), spans)).otherwise(F.col(text_col))
-    return marked.select(*(cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    name = _free("__cw_found", docs.columns)
+    docs_, before, shared = _all_but_last(docs, benchmark, text_col, name, item_col, item_text, window, block_items)
+    text = F.coalesce(_clean(F.col(text_col), before, shared), F.col(text_col))
+    return docs_.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

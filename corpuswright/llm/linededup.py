@@ -225,5 +225,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     cut = F.arrow_udf(_cut_text, "string")
     same = docs[id_col].eqNullSafe(runs["__cw_id"]) & (F.xxhash64(docs[text_col]) == runs["__cw_digest"])
     joined = docs.join(runs, same, "left")
-    text = F.when(F.col("__cw_spans").isNull(), docs[text_col]).otherwise(cut(docs[text_col], "__cw_spans"))
+    # only texts with something to cut go to Python
+    changed = F.when(F.col("__cw_spans").isNotNull(), docs[text_col])
+    text = F.when(F.col("__cw_spans").isNull(), docs[text_col]).otherwise(cut(changed, "__cw_spans"))
     return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns), (F.col("__cw_spans").isNotNull()).alias("__cw_cut"))

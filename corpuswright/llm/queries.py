@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import langid, quality, toxicity
 from .conversations import damage, repair_conversations
-from .decontaminate import contamination
+from .decontaminate import mark_contamination
 from .langmodel import score_texts
 from .linededup import drop_repeated_lines
 from .minhash import near_duplicates
@@ -109,7 +109,7 @@ FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside benchmark phrases, and the items they come from."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.select("doc_id", contamination(F.col("text"), _table(spark, sf_dir, "benchmark")).alias("f"))
+    found = mark_contamination(docs, _table(spark, sf_dir, "benchmark"), out="f")
     hit = F.aggregate("f.spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
     out = found.select("doc_id", F.col("f.n_words").alias("n_words"), hit.alias("n_hit"), F.col("f.items").alias("items"))
     return out.select(

@@ -24,7 +24,7 @@ import fixtures as fx  # noqa: E402
 import corpuswright  # noqa: E402
 from corpuswright.llm import langmodel, linededup, minhash, mixing, quality, queries, rules, samples, secrets, texts, toxicity, urlfilter  # noqa: E402
 from corpuswright.llm.components import components  # noqa: E402
-from corpuswright.llm.decontaminate import contamination, remove_contamination  # noqa: E402
+from corpuswright.llm.decontaminate import Phrases, mark_contamination, remove_contamination, search_texts  # noqa: E402
 from corpuswright.llm.eliasfano import EliasFano, Trie  # noqa: E402
 from corpuswright.llm.fmindex import FMIndex  # noqa: E402
 
@@ -184,7 +184,7 @@ BENCH = [("i1", fx.sentence(7, 25)), ("i2", fx.sentence(3, 8)), ("i3", None), ("
 @pytest.mark.parametrize("block", [1, 3, 1000])
 def test_contamination_hard_rows(spark, hard, block):
     bench = spark.createDataFrame(BENCH, "item_id string, text string")
-    got = hard.select("doc_id", "text", contamination(F.col("text"), bench, block_items=block).alias("f")).collect()
+    got = mark_contamination(hard, bench, out="f", block_items=block).collect()
     assert len(got) == len(ROWS)
     for r in got:
         n, hit, names = fx.contaminated(r["text"], BENCH)
@@ -192,9 +192,27 @@ def test_contamination_hard_rows(spark, hard, block):
         assert {k for s in r["f"]["spans"] for k in range(s["lo"], s["hi"])} == hit
 
 
-def test_remove_contamination(spark, hard, empty):
+def test_shards_of_any_size_find_the_same():
+    phrases, column = Phrases([b for b in BENCH if None not in b]), pa.array([t for _, t in ROWS], pa.string())
+    want = search_texts(column, phrases).column()
+    assert any(f["spans"] for f in want.to_pylist())
+    for size in (1, 50, 1000):
+        assert search_texts(column, phrases, size).column().equals(want)
+
+
+def test_columns_of_the_same_name_stay(spark):
+    docs = spark.createDataFrame([(1, fx.sentence(7, 25), "mine"), (2, None, None)], "doc_id long, text string, __cw_found string")
+    bench = spark.createDataFrame(BENCH, "item_id string, text string")
+    for block in (1, 1000):
+        assert sorted(r[:] for r in remove_contamination(docs, bench, block_items=block).collect()) == [(1, "", "mine"), (2, None, None)]
+        marked = mark_contamination(docs, bench, block_items=block)
+        assert marked.columns == [*docs.columns, "found"] and {r["__cw_found"] for r in marked.collect()} == {"mine", None}
+
+
+@pytest.mark.parametrize("block", [1, 1000])
+def test_remove_contamination(spark, hard, empty, block):
     bench = spark.createDataFrame(BENCH, "item_id string, text string")
-    out = remove_contamination(hard, bench)
+    out = remove_contamination(hard, bench, block_items=block)
     assert out.columns == hard.columns and out.count() == len(ROWS)
     before = Counter()
     for _, t in ROWS:
