@@ -119,6 +119,36 @@ def ngram_stats(aligned: DataFrame) -> DataFrame:
     return rows.select("system", "direction", "seg_id", "s.*")
 
 
+def store_reference_stats(references: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """The reference side of BLEU as a table, bucketed by segment, for all systems that come later.
+
+    `references` is (direction, seg_id, reference), one row per segment. Length and numbered n-grams are kept; segments
+    without a reference, or whose target has no tokenizer here, are left out. `buckets` should follow the size of the
+    table, as a bucket is the share of one task.
+    """
+    target = target_of(F.col("direction"))
+    usable = references.filter(F.col("reference").isNotNull() & (tokenizer_for(target) != NO_TOKENIZER))
+    rows = usable.select("direction", "seg_id", _reference(tokenize(F.col("reference"), target)).alias("ref"))
+    # every bucket is written by one task, as one file
+    writer = rows.repartition(buckets, "direction", "seg_id").write.bucketBy(buckets, "direction", "seg_id").sortBy("direction", "seg_id")
+    writer.option("path", path).saveAsTable(table)
+    return references.sparkSession.table(table)
+
+
+def ngram_stats_stored(outputs: DataFrame, stored: DataFrame) -> DataFrame:
+    """`ngram_stats` of (system, direction, seg_id, hypothesis) against stored references: a system costs its own outputs alone.
+
+    The stored side lies in its buckets and does not move; outputs shuffle once, to them. Outputs of unknown segments are left out.
+    """
+    target = target_of(F.col("direction"))
+    met = outputs.select("system", "direction", "seg_id", F.coalesce("hypothesis", F.lit("")).alias("text")).join(
+        stored, ["direction", "seg_id"]
+    )
+    return met.select("system", "direction", "seg_id", _statistics(tokenize(F.col("text"), target), F.col("ref")).alias("s")).select(
+        "system", "direction", "seg_id", "s.*"
+    )
+
+
 def corpus_bleu(stats: DataFrame, by: list[str] = ["system", "direction"]) -> DataFrame:  # noqa: B006
     """Corpus BLEU per system and direction: clipped precisions, exponential smoothing, brevity penalty."""
     parts = [f"{k}{n}" for n in range(1, ORDER + 1) for k in ("match", "total")]

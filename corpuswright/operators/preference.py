@@ -113,13 +113,16 @@ def instruction_triples(
 def build_preferences(aligned: DataFrame, scores: DataFrame, systems: tuple[str, ...]) -> DataFrame:
     """Outputs and scores of several systems to one wide row per (direction, segment).
 
-    The systems are a fixed list, so the pivot is one aggregation without a pass to find them.
+    Outputs and scores meet in one aggregation and not by a join, so a segment keeps its row whatever it lacks: an
+    unscored output has a NULL score, a score without an output a NULL text, and a segment of which only scores are known
+    has no source and no reference. Of repeated outputs or scores of a system the largest counts.
     """
-    joined = aligned.select("direction", "seg_id", "system", "source", "reference", F.col("hypothesis")).join(
-        scores, ["direction", "seg_id", "system"]
+    key = ["direction", "seg_id"]
+    rows = aligned.select(*key, "system", "source", "reference", F.col("hypothesis").alias("text")).unionByName(
+        scores.select(*key, "system", "score"), allowMissingColumns=True
     )
-    pivot = joined.groupBy("direction", "seg_id", "source", "reference").pivot("system", list(systems))
-    return pivot.agg(F.max("hypothesis").alias("text"), F.max("score").alias("score"))
+    of_system = [F.max(F.when(F.col("system") == s, F.col(c))).alias(f"{s}_{c}") for s in systems for c in ("text", "score")]
+    return rows.groupBy(*key).agg(F.max("source").alias("source"), F.max("reference").alias("reference"), *of_system)
 
 
 def split_answer(vocab: Encoder, prompt: Column, answer: Column, own: Column | None = None) -> Column:

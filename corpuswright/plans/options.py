@@ -54,3 +54,8 @@ class Options:
     max_length: int = 512
     max_prompt: int = 256
     truncation: str = "keep_end"
+    # prepared data is kept below this folder and read again; the tag names what options cannot tell: the state of the
+    # input files, and the tokenizer if it is not a `Vocabulary`
+    prepared: str | None = None
+    prepared_tag: str = ""
+    overwrite_prepared: bool = False

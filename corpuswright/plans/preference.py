@@ -13,6 +13,7 @@ from ..operators.prompts import ChatTemplate
 from ..operators.vocab import Encoder
 from ..sources import readers as R
 from .options import Options
+from .prepared import kept
 
 
 def prepare_triples(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
@@ -30,6 +31,10 @@ def prepare_triples(spark: SparkSession, opts: Options, vocab: Encoder) -> DataF
 
 def prepare_preferences(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     """Encoded chosen and rejected answers of the triples."""
+    return kept(spark, "preferences", opts, vocab, lambda: _preference_rows(spark, opts, vocab))
+
+
+def _preference_rows(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     triples = prepare_triples(spark, opts, vocab)
     if opts.encdec:
         return P.encode_preference_encdec(triples, vocab, opts.max_prompt, opts.new_len)

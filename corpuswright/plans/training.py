@@ -18,6 +18,7 @@ from ..operators.prompts import ChatTemplate
 from ..operators.vocab import Encoder
 from ..sources import readers as R
 from .options import Options
+from .prepared import kept
 
 TEMPLATE = ChatTemplate()
 
@@ -87,6 +88,10 @@ def _shuffled_mixture(rows: DataFrame, source: str, names: list[str], probs: lis
 
 def prepare_training(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     """(pos, model columns): all sources processed, concatenated, denoised if asked for, and shuffled."""
+    return kept(spark, "training", opts, vocab, lambda: _training_rows(spark, opts, vocab))
+
+
+def _training_rows(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     parts: list[DataFrame] = []
     if opts.parallel_root:
         rows = R.read_parallel(spark, opts.parallel_root, opts.directions, ("train",), opts.parallel_suffix)
@@ -115,6 +120,10 @@ def prepare_training(spark: SparkSession, opts: Options, vocab: Encoder) -> Data
 
 def prepare_eval(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     """Validation rows with the training chain."""
+    return kept(spark, "eval", opts, vocab, lambda: _eval_rows(spark, opts, vocab))
+
+
+def _eval_rows(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     rows = R.read_parallel(spark, opts.parallel_root, opts.directions, ("valid",))
     rows = M.take_first(rows, opts.max_eval, "seq", ("pair",))
     encoded = _model_rows(encode_parallel(rows, opts, vocab), "valid", "pair", "seq", "ord")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mt_tokens as M
 from ..functions.text import PY_SPACE
 from ..operators import directions as D
 from ..operators import evaluate as E
+from ..session import work_dir
 from . import fixtures as X
 from .fixtures import lit, with_ctes
 from .registry import query
@@ -93,6 +97,16 @@ def ngram_stats(spark, sf):
     return E.ngram_stats(X.aligned(spark, sf))
 
 
+@query(with_ctes("aligned", "SELECT * FROM stats", STATS))
+def ngram_stats_stored(spark, sf):
+    """References stored once; each system is then scored by itself."""
+    rows, path = X.aligned(spark, sf), work_dir(spark, "references")
+    references = rows.filter("system = 'sysA'").select("direction", "seg_id", "reference")
+    stored = E.store_reference_stats(references, path.rsplit("/", 1)[1].replace("-", "_"), path, 8)
+    parts = [E.ngram_stats_stored(rows.filter(F.col("system") == s).drop("reference"), stored) for s in X.SYSTEMS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(with_ctes("aligned", "SELECT system, direction, bleu FROM bleu", BLEU))
 def corpus_bleu(spark, sf):
     return E.bleu(X.aligned(spark, sf))

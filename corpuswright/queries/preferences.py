@@ -87,6 +87,27 @@ def build_preferences(spark, sf):
     return R.build_preferences(X.aligned(spark, sf), scores, ("sysA", "sysB"))
 
 
+GAPS = {
+    "outs": "SELECT * FROM aligned WHERE NOT (system = 'sysB' AND seg_id % 3 = 0) AND seg_id % 7 <> 2",
+    "marks": "SELECT * FROM scores WHERE scorer = 'kiwi' AND NOT (system = 'sysA' AND seg_id % 4 = 1)",
+    "met": """SELECT coalesce(o.direction, m.direction) AS direction, coalesce(o.seg_id, m.seg_id) AS seg_id,
+        coalesce(o.system, m.system) AS system, source, reference, hypothesis, score
+        FROM outs o FULL JOIN marks m ON m.direction = o.direction AND m.seg_id = o.seg_id AND m.system = o.system""",
+}
+
+
+@query(with_ctes("aligned scores", """
+SELECT direction, seg_id, max(source) AS source, max(reference) AS reference,
+       max(hypothesis) FILTER (system = 'sysA') AS "sysA_text", max(score) FILTER (system = 'sysA') AS "sysA_score",
+       max(hypothesis) FILTER (system = 'sysB') AS "sysB_text", max(score) FILTER (system = 'sysB') AS "sysB_score"
+FROM met GROUP BY direction, seg_id""", GAPS))
+def build_preferences_gaps(spark, sf):
+    """One system lacks outputs, the other scores, and some segments have scores alone."""
+    outputs = X.aligned(spark, sf).filter("NOT (system = 'sysB' AND seg_id % 3 = 0) AND seg_id % 7 <> 2")
+    marks = R.select_scorer(X.scores(spark, sf), "kiwi").filter("NOT (system = 'sysA' AND seg_id % 4 = 1)")
+    return R.build_preferences(outputs, marks, ("sysA", "sysB"))
+
+
 def triples(spark, sf, v):
     rows = R.preference_triples(X.preferences(spark, sf), X.DIRECTIONS, v)
     return rows.select("seq", "direction", "prompt", "chosen", "rejected")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,11 +15,43 @@ from ..session import cut_lineage
 log = logging.getLogger(__name__)
 
 
+def _located(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop has them, whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder exists, on whatever file system the path names."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether a file or folder exists."""
+    fs, p = _located(spark, path)
+    return fs.exists(p)
+
+
+def create_file(spark: SparkSession, path: str) -> bool:
+    """An empty file with the folders above it; False if it is there already."""
+    fs, p = _located(spark, path)
+    try:
+        return fs.createNewFile(p)
+    except Py4JJavaError as error:  # of two at once, the second may be told so by an exception
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+
+
+def delete_file(spark: SparkSession, path: str) -> None:
+    fs, p = _located(spark, path)
+    fs.delete(p, False)
+
+
+def modified(spark: SparkSession, path: str) -> int | None:
+    """Milliseconds of the last change; None if nothing is there."""
+    fs, p = _located(spark, path)
+    return fs.getFileStatus(p).getModificationTime() if fs.exists(p) else None
+
+
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _located(spark, path)
+    return [str(s.getPath().toString()) for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
 
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import time
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .files import path_exists
+from .files import child_folders, create_file, delete_file, modified
+
+#: name of the marker of a finished version, and how long another writer is waited for
+READY, WAIT_SECONDS = "_READY", 6 * 3600.0
 
 
 def _ordered(df: DataFrame, *keys: str, single_file: bool = False) -> DataFrame:
@@ -56,13 +62,49 @@ def fingerprint(*parts: object) -> str:
 
 
 def cache_prepared(df: DataFrame, path: str, key: str, overwrite: bool = False) -> DataFrame:
-    """Prepared data from `path`/`key` if a finished write is there, else written first.
+    """Prepared data from `path`/`key` if a finished write is there, else written first (see `prepare_once`).
 
     `key` is the `fingerprint` of what `df` was prepared from, so that other options, inputs or vocabularies never meet
     an old result. The schema must be the same too: it is part of the folder's name.
     """
-    spark = df.sparkSession
     folder = f"{path}/{key}-{fingerprint(df.schema.simpleString())[:8]}"
-    if overwrite or not path_exists(spark, f"{folder}/_SUCCESS"):
-        df.write.mode("overwrite").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return prepare_once(df.sparkSession, lambda: df, folder, overwrite)
+
+
+def prepare_once(
+    spark: SparkSession, make: Callable[[], DataFrame], folder: str, overwrite: bool = False,
+    wait_seconds: float = WAIT_SECONDS, poll_seconds: float = 1.0,
+) -> DataFrame:
+    """The rows of `make()`, written below `folder` by one of all sessions that ask for them and read by the others.
+
+    A version is a folder of its own, which nobody sees before its marker stands beside the finished files. A claim file
+    says that somebody writes; others wait for the marker, and after `wait_seconds` (a writer may have died with its
+    claim) write a version themselves. Of several versions of one generation everybody reads the one finished first, so
+    writers that meet do no harm; `overwrite` starts a new generation. Older versions stay: they may be in use.
+    """
+    versions = finished_versions(spark, folder)
+    wanted = versions[0][0] + (1 if overwrite else 0) if versions else 0
+    claim, deadline = f"{folder}/_claim-{wanted}", time.monotonic() + wait_seconds
+    while True:
+        versions = finished_versions(spark, folder)
+        if versions and versions[0][0] >= wanted:
+            return spark.read.parquet(versions[0][2])
+        if not create_file(spark, claim) and time.monotonic() < deadline:
+            time.sleep(poll_seconds)
+            continue
+        mine = f"{folder}/version-{wanted}-{uuid.uuid4().hex}"
+        try:
+            make().write.parquet(mine)
+            create_file(spark, f"{mine}/{READY}")
+        finally:
+            delete_file(spark, claim)
+
+
+def finished_versions(spark: SparkSession, folder: str) -> list[tuple[int, int, str]]:
+    """(generation, time of completion, path), the one to read first."""
+    found = []
+    for path in child_folders(spark, folder):
+        finished = modified(spark, f"{path}/{READY}")
+        if finished is not None:
+            found.append((int(path.rsplit("/", 1)[1].split("-")[1]), finished, path))
+    return sorted(found, key=lambda v: (-v[0], v[1], v[2]))

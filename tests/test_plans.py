@@ -185,6 +185,87 @@ def test_cached_data_is_reused_unless_overwritten(spark):
     assert K.cache_prepared(spark.range(5), path, one, overwrite=True).count() == 5
 
 
+def test_writers_that_meet_leave_one_result(spark):
+    """Together, one writes and the others wait; without patience all write, and all read the same version."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Event
+
+    for wait in (60.0, 0.0):
+        folder, made, begun, go = work_dir(spark, "once"), [], Event(), Event()
+
+        def make(i, made=made, begun=begun, go=go):
+            made.append(i)
+            begun.set()
+            assert go.wait(60)
+            return spark.range(1000).select("id", F.lit(i).alias("writer"))
+
+        def ask(i, make=make, folder=folder, wait=wait):
+            return K.prepare_once(spark, lambda: make(i), folder, False, wait, 0.05)
+
+        with ThreadPoolExecutor(3) as pool:
+            first = pool.submit(ask, 0)
+            assert begun.wait(60)
+            others = [pool.submit(ask, i) for i in (1, 2)]
+            while not wait and len(made) < 3:
+                Event().wait(0.05)
+            go.set()
+            assert [f.result().count() for f in (first, *others)] == [1000] * 3
+        assert sorted(made) == ([0] if wait else [0, 1, 2])
+        results = {K.prepare_once(spark, lambda: make(9), folder).agg(F.count("*"), F.min("writer"), F.max("writer")).first()[:] for _ in range(3)}
+        (rows, low, high), = results
+        assert rows == 1000 and low == high != 9
+
+
+def test_failed_and_stale_writers_are_replaced(spark):
+    folder = work_dir(spark, "once")
+
+    def broken():
+        return spark.range(5).select(F.raise_error(F.lit("broken")).cast("long").alias("id"))
+
+    with pytest.raises(Exception, match="broken"):
+        K.prepare_once(spark, broken, folder)
+    assert K.finished_versions(spark, folder) == []
+    assert K.create_file(spark, f"{folder}/_claim-0")  # of a writer that died
+    assert K.prepare_once(spark, lambda: spark.range(4), folder, wait_seconds=0.2, poll_seconds=0.05).count() == 4
+    old = K.prepare_once(spark, broken, folder)
+    assert K.prepare_once(spark, lambda: spark.range(6), folder, overwrite=True).count() == 6
+    assert old.count() == 4 and K.prepare_once(spark, broken, folder).count() == 6
+
+
+def test_plans_keep_prepared_data(spark, vocab, root):
+    import os
+    from dataclasses import replace
+
+    where = work_dir(spark, "kept")
+    opts = Options("de-en,en-de", parallel_root=root, max_train=5, max_eval=5, src_len=32, new_len=32, prepared=where)
+    for prepare in (PT.prepare_training, PT.prepare_eval):
+        plain = prepare(spark, replace(opts, prepared=None), vocab)
+        first = prepare(spark, opts, vocab)
+        assert first.columns == plain.columns
+        assert sorted(map(str, first.collect())) == sorted(map(str, plain.collect()))
+        folders = set(os.listdir(where))
+        again = prepare(spark, opts, vocab)
+        assert again.inputFiles() == first.inputFiles() and set(os.listdir(where)) == folders
+    assert prepare(spark, replace(opts, seed=7), vocab).inputFiles() != first.inputFiles()
+    with pytest.raises(ValueError, match="prepared_tag"):
+        PT.prepare_eval(spark, opts, TokenizerEncoder(lambda: None, 9))
+
+
+def test_stored_references_do_not_move(spark, sf):
+    rows, path = X.aligned(spark, sf), work_dir(spark, "refs")
+    refs = rows.filter("system = 'sysA'").select("direction", "seg_id", "reference")
+    stored = E.store_reference_stats(refs, path.rsplit("/", 1)[1].replace("-", "_"), path, 8)
+    outputs = spark.createDataFrame([("s", "de-en", 1, "x"), ("s", "de-xx", -5, None)], "system string, direction string, seg_id long, hypothesis string")
+    known = refs.first()
+    outputs = outputs.union(spark.createDataFrame([("s", known.direction, known.seg_id, None)], outputs.schema))
+    hinted = E.ngram_stats_stored(outputs, stored.hint("merge"))
+    plan = hinted._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan or plan.count("Exchange hashpartitioning") == 1
+    got = {(r.direction, r.seg_id): r for r in hinted.collect()}
+    assert ("de-xx", -5) not in got and got[(known.direction, known.seg_id)].hyp_len == 0
+    assert got[(known.direction, known.seg_id)].ref_len > 0
+
+
 # --- properties -------------------------------------------------------------------------------------------
 
 
