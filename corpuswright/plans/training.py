@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import repeat
 from ..functions.rand import uniform
 from ..operators import mixing as M
 from ..operators import prompts as P
@@ -17,6 +20,7 @@ from ..operators.packing import mono_ids, pack_blocks, two_sided_ids
 from ..operators.prompts import ChatTemplate
 from ..operators.vocab import Encoder
 from ..sources import readers as R
+from ..sources.files import path_exists
 from .options import Options
 from .prepared import kept
 
@@ -188,6 +192,55 @@ def prepare_stream(spark: SparkSession, opts: Options, vocab: Encoder, shards: i
     return stream_pack(prepared, "input_ids", "doc_id", opts.src_len + opts.new_len, ("lang",), shards=shards, last=last)
 
 
+def packable(rows: DataFrame, source: str, ids: Column, *key: str) -> DataFrame:
+    """(source, order, ids) of a finite or streamed source; a stream has no line numbers, so texts order themselves by hash."""
+    return rows.select(F.lit(source).alias("source"), F.xxhash64(*key).alias("order"), ids.alias("ids"))
+
+
+def web_pair_ids(rows: DataFrame, opts: Options, vocab: Encoder) -> DataFrame:
+    """Streamed or finite web pairs, both sides in one text in random order."""
+    joined = join_sides_random(rows.withColumn("__id", F.xxhash64("text_a", "text_b")), opts.seed, "__id")
+    return packable(joined, "web_parallel", mono_ids(vocab, F.col("raw_text"), opts.max_text_tokens), "text_a", "text_b")
+
+
+def prepare_streams(spark: SparkSession, opts: Options, vocab: Encoder, shards: int) -> DataFrame:
+    """All streamable sources of `opts` as one stream of (source, block_no, model columns).
+
+    Parallel rows are the training rows of the finite plan, one by one, with no block number. The other sources are
+    packed per source and shard by one stateful operator; the tail of a shard, less than a block, waits in the state.
+    Sources are neither mixed nor shuffled here (see `stream_interleave` and `stream_shuffle_buffer`), and row limits,
+    which need line numbers, do not apply.
+    """
+    from ..streaming.streams import stream_pack, stream_source
+
+    packed: list[DataFrame] = []
+    for path in opts.mono:
+        rows = stream_source(spark, "mono", path)
+        packed.append(packable(rows, "mono", two_sided_ids(vocab, [F.col("text_a"), F.col("text_b")], opts.max_text_tokens), "text_a", "text_b"))
+    if opts.web_mono:
+        rows = stream_source(spark, "web", opts.web_mono, "lang string, text string", opts.web_format).filter(F.col("lang").isin(opts.web_langs))
+        packed.append(packable(rows, "web", mono_ids(vocab, F.col("text"), opts.max_text_tokens), "lang", "text"))
+    if opts.web_parallel:
+        for folder in R.web_parallel_paths(opts.web_parallel, opts.directions, opts.web_fallback).values():
+            if path_exists(spark, folder):
+                packed.append(web_pair_ids(stream_source(spark, "parallel", folder), opts, vocab))
+    parts: list[DataFrame] = []
+    if packed:
+        block = opts.src_len + opts.new_len
+        blocks = stream_pack(reduce(DataFrame.unionByName, packed), "ids", "order", block, ("source",), shards=shards)
+        full = blocks.withColumn("attention_mask", repeat(1, F.lit(block))).withColumn("labels", F.col("input_ids"))
+        parts.append(full.withColumn("prefix_mask", repeat(0, F.lit(block))) if opts.prefix_lm else full)
+    if opts.parallel_root:
+        names = [p[len(opts.parallel_root) + 1 :] for p in R.parallel_paths(opts.parallel_root, opts.directions, ("train",), opts.parallel_suffix)]
+        # a pattern of exactly the files asked for; those that are not there match nothing
+        rows = stream_source(spark, "parallel", f"{opts.parallel_root}/{{{','.join(names)}}}")
+        encoded = encode_parallel(rows, opts, vocab)
+        parts.append(encoded.select(F.lit("parallel").alias("source"), *[c for c in MODEL_COLUMNS if c in encoded.columns]))
+    if not parts:
+        raise ValueError("no streamable source given")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def prepare_instruction_test(spark: SparkSession, opts: Options, vocab: Encoder) -> DataFrame:
     """Instruction test prompts per language."""
     rows = R.read_instructions(spark, opts.instructions, opts.directions, test=True, numbered=True)

@@ -185,6 +185,32 @@ def test_cached_data_is_reused_unless_overwritten(spark):
     assert K.cache_prepared(spark.range(5), path, one, overwrite=True).count() == 5
 
 
+def test_stream_of_all_sources(spark, vocab, root):
+    """Parallel rows as in the finite plan; packed sources against their texts' ids cut in plain Python."""
+    from corpuswright.streaming.streams import run_to_table
+
+    opts = Options(
+        "de-en,en-de", parallel_root=root, mono=[f"{root}/mono.json"], web_mono=f"{root}/web", web_langs=["de", "en"],
+        web_parallel=f"{root}/pairs", src_len=32, new_len=32,
+    )
+    got = spark.read.parquet(run_to_table(PT.prepare_streams(spark, opts, vocab, 1), "all")).collect()
+    rows = PT.encode_parallel(R.read_parallel(spark, root, opts.directions, ("train",)), opts, vocab).collect()
+    plain = lambda rs: sorted((r.input_ids, r.attention_mask, r.labels) for r in rs)
+    assert rows and plain(r for r in got if r.source == "parallel") == plain(rows)
+    sides = [F.col("text_a"), F.col("text_b")]
+    finite = {
+        "mono": PT.packable(R.read_mono_json(spark, opts.mono), "mono", PT.two_sided_ids(vocab, sides), "text_a", "text_b"),
+        "web": PT.packable(R.read_web_mono(spark, opts.web_mono, opts.web_langs), "web", PT.mono_ids(vocab, F.col("raw_text")), "lang", "raw_text"),
+        "web_parallel": PT.web_pair_ids(R.read_web_parallel(spark, opts.web_parallel, opts.directions), opts, vocab),
+    }
+    for source, texts in finite.items():
+        stretch = [i for r in sorted(texts.collect(), key=lambda r: r.order) for i in r.ids]
+        want = [stretch[i : i + 64] for i in range(0, len(stretch) - 63, 64)]
+        blocks = sorted((r for r in got if r.source == source), key=lambda r: r.block_no)
+        assert want and [r.input_ids for r in blocks] == want
+        assert all(r.labels == r.input_ids and r.attention_mask == [1] * 64 for r in blocks)
+
+
 def test_writers_that_meet_leave_one_result(spark):
     """Together, one writes and the others wait; without patience all write, and all read the same version."""
     from concurrent.futures import ThreadPoolExecutor
