@@ -5,9 +5,10 @@ literal: a table of hash buckets. Looking a word up is `bucket[xxhash64(word) mo
 inside a bucket of about one entry, all JVM-side; encoding therefore needs no token-level explode, no join and
 no shuffle, and one row may be encoded several times (prompt, prompt + answer) in one pass.
 
-An `Encoder` is what the plans take: `Vocabulary` (the literal), `SharedVocabulary` (a dictionary sent once to every
+An `Encoder` is what the plans take: `Vocabulary` (the literal), `shared_vocabulary` (a dictionary sent once to every
 executor, for vocabularies too long for a plan), or `TokenizerEncoder` (any tokenizer, as an Arrow function). They
-give the same ids for the same words. `encode_by_join` serves a vocabulary that no executor can hold.
+give the same ids for the same words. Both tables of words are refused beyond a stated length, before they reach the
+driver whole; `encode_by_join` serves a vocabulary that no executor can hold.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,6 +29,18 @@ from ..functions.text import py_strip, words
 from ..session import local_table
 
 
+#: words that a plan, and a dictionary on every executor, may hold
+LITERAL_WORDS, SHARED_WORDS = 1_000_000, 10_000_000
+
+
+def _bounded(vocab: DataFrame, most: int, instead: str) -> list[Row]:
+    """The rows of a vocabulary table of at most `most` words; no more than one row beyond that comes to the driver."""
+    rows = vocab.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the vocabulary has more than {most} words: use {instead}")
+    return rows
+
+
 @dataclass(frozen=True)
 class Specials:
     """Ids of the special tokens; word ids follow them."""
@@ -90,10 +103,9 @@ class Vocabulary:
         return self.specials.first_word + len(self.tokens)
 
     @classmethod
-    def from_table(cls, vocab: DataFrame, specials: Specials = Specials()) -> Vocabulary:
-        """Collect a vocabulary table (bounded by its size) together with Spark's own hash of each word."""
-        hashed = vocab.select("token", "id", F.xxhash64("token").alias("hash"))
-        rows = hashed.collect()
+    def from_table(cls, vocab: DataFrame, specials: Specials = Specials(), most: int = LITERAL_WORDS) -> Vocabulary:
+        """Collect a vocabulary table of at most `most` words together with Spark's own hash of each word."""
+        rows = _bounded(vocab.select("token", "id", F.xxhash64("token").alias("hash")), most, "shared_vocabulary")
         buckets: list[list[tuple[str, int]]] = [[] for _ in range(max(len(rows), 1))]
         for r in rows:
             buckets[r.hash % len(buckets)].append((r.token, r.id))
@@ -199,12 +211,11 @@ class TokenizerEncoder:
         return _framed(ids, self.specials, max_len, bos, eos)
 
 
-def shared_vocabulary(vocab: DataFrame, specials: Specials = Specials()) -> TokenizerEncoder:
-    """A vocabulary table (token, id) as an `Encoder` that looks words up in a dictionary on every executor.
-
-    The dictionary is as long as the vocabulary was asked to be; it is sent once per executor and not once per plan.
+def shared_vocabulary(vocab: DataFrame, specials: Specials = Specials(), most: int = SHARED_WORDS) -> TokenizerEncoder:
+    """A vocabulary table (token, id) of at most `most` words as an `Encoder` that looks words up in a dictionary on every
+    executor. The dictionary is sent once per executor and not once per plan.
     """
-    table = {r["token"]: r["id"] for r in vocab.select("token", "id").collect()}
+    table = {r["token"]: r["id"] for r in _bounded(vocab.select("token", "id"), most, "encode_by_join")}
     shared = vocab.sparkSession.sparkContext.broadcast(table)
     unk = specials.unk
 

@@ -85,6 +85,14 @@ def test_long_vocabularies_are_shared(spark):
     assert [r.v for r in got] == [[1, 4, 200_003, 3], None]
 
 
+def test_too_long_vocabularies_are_refused(spark):
+    table = spark.range(11).select(F.concat(F.lit("w"), "id").alias("token"), (F.col("id") + 4).cast("int").alias("id"))
+    for make, instead in ((Vocabulary.from_table, "shared_vocabulary"), (shared_vocabulary, "encode_by_join")):
+        assert len(make(table, most=11)) == 15
+        with pytest.raises(ValueError, match=instead):
+            make(table, most=10)
+
+
 def test_limits_reach_the_backend(spark, root):
     class Limits:
         def __call__(self, prompts, settings, codes):
