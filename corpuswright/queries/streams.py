@@ -15,9 +15,10 @@ S = X.SPECIALS
 
 
 def documents(spark, sf):
-    # one file is one task: spread its rows over the cores
-    rows = W.stream_source(spark, "web", sf, name_filter="documents.parquet")
-    return rows.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    # a pattern finds the table both as one file and as a folder of files, where a filter on names sees the files' own
+    rows = W.stream_source(spark, "web", f"{sf}/documents.[p]arquet")
+    # one file is one task: spread its rows
+    return rows.repartition("doc_id")
 
 
 @query("SELECT doc_id, lang, text FROM documents")
