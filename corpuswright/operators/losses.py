@@ -90,13 +90,13 @@ def adaptive_penalty(df: DataFrame, c1: float = RELAX_1, c2: float = RELAX_2, pe
     """Add penalty and margin = chosen − penalty · rejected.
 
     The penalty grows with the per-token distance of the two sides, at most 1; it is negative for close
-    sides. A given constant `penalty` (1 for the plain loss) replaces it.
+    sides. A side without counted labels has no distance, which gives 1. A given constant `penalty` (1 for the plain loss) replaces it.
     """
     if penalty is not None:
         p = F.lit(float(penalty))
     else:
         distance = F.abs(
-            F.col("chosen_logp") / F.col("chosen_tokens") - F.col("rejected_logp") / F.col("rejected_tokens")
+            F.try_divide("chosen_logp", "chosen_tokens") - F.try_divide("rejected_logp", "rejected_tokens")
         )
         p = F.least(c1 * F.exp(c2 * distance) - 1, F.lit(1.0))
     return df.withColumn("penalty", p).withColumn(
@@ -140,8 +140,8 @@ def rewards(df: DataFrame, beta: float = 0.1) -> DataFrame:
 
 
 def nll(pairs: DataFrame, by: list[str], alpha: float = 1.0) -> DataFrame:
-    """Token mean (not mean of means) of the chosen side's cross entropy; 0 without weight."""
-    value = F.lit(0.0) if alpha == 0 else F.sum("nll_sum") / F.sum("nll_n")
+    """Token mean (not mean of means) of the chosen side's cross entropy; 0 without weight, NULL without counted labels."""
+    value = F.lit(0.0) if alpha == 0 else F.try_divide(F.sum("nll_sum"), F.sum("nll_n"))
     return pairs.groupBy(*by).agg(value.alias("nll"))
 
 
@@ -149,7 +149,7 @@ def total_loss(pairs: DataFrame, by: list[str], alpha: float = 1.0, aux: Column
     """Mean pair loss + alpha · nll (+ aux_coef · mean router loss)."""
     value = F.avg("loss")
     if alpha != 0:
-        value = value + alpha * (F.sum("nll_sum") / F.sum("nll_n"))
+        value = value + alpha * F.try_divide(F.sum("nll_sum"), F.sum("nll_n"))
     if aux is not None:
         value = value + aux_coef * F.avg(aux)
     return pairs.groupBy(*by).agg(value.alias("total_loss"))
@@ -157,7 +157,7 @@ def total_loss(pairs: DataFrame, by: list[str], alpha: float = 1.0, aux: Column
 
 def batch_metrics(pairs: DataFrame, by: list[str], phase: str = "phase", alpha: float = 1.0) -> DataFrame:
     """(by…, metric, value): nine means per batch; evaluation metrics carry the prefix eval_."""
-    logits = lambda s: F.sum(f"{s}_logit_sum") / F.sum(f"{s}_logit_n")
+    logits = lambda s: F.try_divide(F.sum(f"{s}_logit_sum"), F.sum(f"{s}_logit_n"))
     metrics = {
         "rewards/chosen": F.avg("chosen_reward"),
         "rewards/rejected": F.avg("rejected_reward"),
@@ -167,7 +167,7 @@ def batch_metrics(pairs: DataFrame, by: list[str], phase: str = "phase", alpha:
         "logps/chosen": F.avg("chosen_logp"),
         "logits/rejected": logits("rejected"),
         "logits/chosen": logits("chosen"),
-        "nll_loss": F.lit(0.0) if alpha == 0 else F.sum("nll_sum") / F.sum("nll_n"),
+        "nll_loss": F.lit(0.0) if alpha == 0 else F.try_divide(F.sum("nll_sum"), F.sum("nll_n")),
     }
     wide = pairs.groupBy(*by).agg(*[v.alias(k) for k, v in metrics.items()])
     long = wide.unpivot(by, list(metrics), "metric", "value")

@@ -136,7 +136,7 @@ SELECT phase, batch, round(avg(loss) + sum(nll_sum) / sum(nll_n), 6) AS total_lo
 def total_loss(spark, sf):
     rows = pairs(spark, sf)
     plain = L.total_loss(rows, ["phase", "batch"])
-    aux = L.total_loss(rows, ["phase", "batch"], aux=F.col("chosen_logit_sum") / F.col("chosen_logit_n"), aux_coef=0.001)
+    aux = L.total_loss(rows, ["phase", "batch"], aux=F.try_divide("chosen_logit_sum", "chosen_logit_n"), aux_coef=0.001)
     return plain.join(aux.withColumnRenamed("total_loss", "with_router"), ["phase", "batch"]).select(
         "phase", "batch", r6(F.col("total_loss")).alias("total_loss"), r6(F.col("with_router")).alias("with_router")
     )
