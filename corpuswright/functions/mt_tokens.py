@@ -30,25 +30,37 @@ def replacement(kind: int, mark: str) -> str:
     return "".join(part if isinstance(part, str) else f"{mark}{part}" for part in REPLACEMENTS[kind])
 
 
+#: the rules without the space in the first one's class: a space more beside a space changes no word, and most matches are spaces
+_SPACED = [(RULES[0][0].replace(" -", "!-"), RULES[0][1]), *RULES[1:]]
+
+
 def _rules(c: Column) -> Column:
-    for pattern, kind in RULES:
+    for pattern, kind in _SPACED:
         c = F.regexp_replace(c, pattern, replacement(kind, "$"))
-    return py_split(c)
+    return c
 
 
-def tokenize_13a(c: Column) -> Column:
-    """Words of the default tokenizer."""
+def _plain_13a(c: Column) -> Column:
     c = F.replace(c, F.lit("<skipped>"), F.lit(""))
     c = F.replace(c, F.lit("-\n"), F.lit(""))
     c = F.replace(c, F.lit("\n"), F.lit(" "))
     for entity, char in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
-    return _rules(F.concat(F.lit(" "), c, F.lit(" ")))
+    return c
+
+
+def tokenize_13a(c: Column) -> Column:
+    """Words of the default tokenizer."""
+    return py_split(_rules(F.concat(F.lit(" "), _plain_13a(c), F.lit(" "))))
+
+
+def _spaced_zh(c: Column) -> Column:
+    return _rules(F.regexp_replace(py_strip(c), f"([{CJK}])", " $1 "))
 
 
 def tokenize_zh(c: Column) -> Column:
     """Chinese characters one by one, the rest by the default rules."""
-    return _rules(F.regexp_replace(py_strip(c), f"([{CJK}])", " $1 "))
+    return py_split(_spaced_zh(c))
 
 
 # Fixed value: the tokenizer of Japanese targets, a morphological one that is not available.
@@ -64,3 +76,12 @@ def tokenize(c: Column, target: Column) -> Column:
     """Tokens by target language; NULL where the tokenizer is not available."""
     return F.when(target == "zh", tokenize_zh(c)).when(target != "ja", tokenize_13a(c))
 
+
+def for_grams(c: Column, target: Column) -> Column:
+    """What `functions/ngrams.py` counts; NULL where the tokenizer is not available. Only Chinese has its rules applied."""
+    return F.when(target == "zh", _spaced_zh(c)).when(target != "ja", _plain_13a(c))
+
+
+def cut_by_grams(target: Column) -> Column:
+    """Whether the 13a rules are left to `functions/ngrams.py`."""
+    return target != "zh"

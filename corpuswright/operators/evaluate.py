@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.let import let, let_all
-from ..functions.mt_tokens import NO_TOKENIZER, tokenize, tokenizer_for
+from ..functions.mt_tokens import NO_TOKENIZER, cut_by_grams, for_grams, tokenize, tokenizer_for
+from ..functions.ngrams import ORDER, reference_grams, statistics, statistics_stored
 from ..functions.text import py_strip
 
-# Highest n-gram order, decimals of the report.
-ORDER, DECIMALS = 4, 2
+# Fixed value: decimals of the report.
+DECIMALS = 2
 SEGMENT = ["system", "direction", "seg_id"]
 
 
@@ -32,73 +32,10 @@ def tokenize_aligned(df: DataFrame) -> DataFrame:
     )
 
 
-def _orders(tokens: Column) -> Column:
-    """struct(g1 … g4): the n-grams of every order as 64-bit hashes, each built from the next lower one."""
-
-    def longer(t: Column, grams: Column, n: int) -> Column:
-        kept = F.slice(grams, 1, F.greatest(F.size(grams) - 1, F.lit(0)))
-        return F.transform(kept, lambda g, i: F.xxhash64(g, F.get(t, i + (n - 1))))
-
-    def build(s: Column, n: int, names: list[str]) -> Column:
-        if n > ORDER:
-            return F.struct(*[s[g].alias(g) for g in names])
-        grams = longer(s["g1"], s[names[-1]], n)
-        values = {g: s[g] for g in names} | {f"g{n}": grams}
-        return let_all(values, lambda x: build(x, n + 1, [*names, f"g{n}"]))
-
-    return let_all({"g1": F.transform(tokens, lambda t: F.xxhash64(t))}, lambda s: build(s, 2, ["g1"]))
-
-
-def _numbered(grams: Column) -> Column:
-    """The multiset as a set: the k-th copy of an n-gram, from the second on, gets a hash of its own.
-
-    Texts without copies, the most of higher orders, pass as they are.
-    """
-
-    def rename(s: Column) -> Column:
-        ends = F.concat(F.slice(s["starts"], 2, F.size(s["starts"])), F.array(F.size(s["sorted"])))
-        copies = lambda a, b: F.transform(
-            F.sequence(F.lit(1), b - a),
-            lambda k: F.when(k == 1, F.get(s["sorted"], a)).otherwise(F.xxhash64(F.get(s["sorted"], a), k)),
-        )
-        return F.flatten(F.zip_with(s["starts"], ends, copies))
-
-    def runs(s: Column) -> Column:
-        first = lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), first)
-        return let_all({"sorted": s, "starts": starts}, rename)
-
-    def copies_only(s: Column) -> Column:
-        return F.when(F.size(F.array_distinct(s)) == F.size(s), s).otherwise(let(F.sort_array(s), runs))
-
-    return let(grams, copies_only)
-
-
-def _statistics(hyp_tokens: Column, ref: Column) -> Column:
-    """Lengths, clipped matches and totals of one hypothesis; `ref` holds the reference's length and numbered n-grams."""
-
-    def count(g: Column) -> Column:
-        per_n = []
-        for n in range(1, ORDER + 1):
-            both = F.array_intersect(_numbered(g[f"g{n}"]), ref[f"r{n}"])
-            per_n += [F.size(both).cast("long").alias(f"match{n}"), F.size(g[f"g{n}"]).cast("long").alias(f"total{n}")]
-        return F.struct(F.size(g["g1"]).cast("long").alias("hyp_len"), ref["ref_len"].alias("ref_len"), *per_n)
-
-    return let(_orders(hyp_tokens), count)
-
-
-def _reference(tokens: Column) -> Column:
-    def number(g: Column) -> Column:
-        parts = [_numbered(g[f"g{n}"]).alias(f"r{n}") for n in range(1, ORDER + 1)]
-        return F.struct(F.size(g["g1"]).cast("long").alias("ref_len"), *parts)
-
-    return let(_orders(tokens), number)
-
-
 def ngram_stats(aligned: DataFrame) -> DataFrame:
     """Per system and segment: lengths, and for n = 1..4 clipped matches and totals.
 
-    All outputs of a segment meet its reference once: the reference is tokenized and its n-grams are built and numbered
+    All outputs of a segment meet its reference once: the reference is tokenized and its n-grams are built
     for all systems together. A segment has as many outputs as there are systems. N-grams never leave their row; only
     sums per system and direction move. A missing output (NULL) counts as an empty one, so it costs its reference's
     length; a segment without a reference, or whose target has no tokenizer here, is left out.
@@ -110,27 +47,34 @@ def ngram_stats(aligned: DataFrame) -> DataFrame:
         F.collect_list(F.struct("system", F.coalesce("hypothesis", F.lit("")).alias("text"))).alias("outputs"),
     )
 
-    def per_output(ref: Column) -> Column:
-        return F.transform(
-            F.col("outputs"), lambda o: F.struct(o["system"].alias("system"), _statistics(tokenize(o["text"], target), ref).alias("s"))
-        )
-
-    rows = segments.select("direction", "seg_id", F.inline(let(_reference(tokenize(F.col("reference"), target)), per_output)))
+    counted = segments.select(
+        "direction", "seg_id", F.col("outputs.system").alias("system"),
+        statistics(for_grams(F.col("reference"), target), F.transform("outputs", lambda o: for_grams(o["text"], target)), cut_by_grams(target)).alias("s"),
+    )
+    rows = counted.select("direction", "seg_id", F.inline(F.arrays_zip("system", "s")))
     return rows.select("system", "direction", "seg_id", "s.*")
 
 
-def store_reference_stats(references: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+#: bytes of text that one bucket should hold, and the least number of buckets; n-grams take some six times as much
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 8
+
+
+def store_reference_stats(references: DataFrame, table: str, path: str, buckets: int | None = None) -> DataFrame:
     """The reference side of BLEU as a table, bucketed by segment, for all systems that come later.
 
-    `references` is (direction, seg_id, reference), one row per segment. Length and numbered n-grams are kept; segments
-    without a reference, or whose target has no tokenizer here, are left out. `buckets` should follow the size of the
-    table, as a bucket is the share of one task.
+    `references` is (direction, seg_id, reference), one row per segment. Length and sorted n-grams are kept; segments
+    without a reference, or whose target has no tokenizer here, are left out. A bucket is the share of one task; unless their
+    number is given, it follows the bytes of the references.
     """
     target = target_of(F.col("direction"))
     usable = references.filter(F.col("reference").isNotNull() & (tokenizer_for(target) != NO_TOKENIZER))
-    rows = usable.select("direction", "seg_id", _reference(tokenize(F.col("reference"), target)).alias("ref"))
-    # every bucket is written by one task, as one file
-    writer = rows.repartition(buckets, "direction", "seg_id").write.bucketBy(buckets, "direction", "seg_id").sortBy("direction", "seg_id")
+    if buckets is None:
+        size = usable.agg(F.sum(F.octet_length("reference"))).first()[0] or 0
+        buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+    # every bucket is written by one task, as one file; texts move, their n-grams do not
+    moved = usable.select("direction", "seg_id", "reference").repartition(buckets, "direction", "seg_id")
+    rows = moved.select("direction", "seg_id", reference_grams(for_grams(F.col("reference"), target), cut_by_grams(target)).alias("ref"))
+    writer = rows.write.bucketBy(buckets, "direction", "seg_id").sortBy("direction", "seg_id")
     writer.option("path", path).saveAsTable(table)
     return references.sparkSession.table(table)
 
@@ -144,7 +88,7 @@ def ngram_stats_stored(outputs: DataFrame, stored: DataFrame) -> DataFrame:
     met = outputs.select("system", "direction", "seg_id", F.coalesce("hypothesis", F.lit("")).alias("text")).join(
         stored, ["direction", "seg_id"]
     )
-    return met.select("system", "direction", "seg_id", _statistics(tokenize(F.col("text"), target), F.col("ref")).alias("s")).select(
+    return met.select("system", "direction", "seg_id", statistics_stored(for_grams(F.col("text"), target), F.col("ref"), cut_by_grams(target)).alias("s")).select(
         "system", "direction", "seg_id", "s.*"
     )
 

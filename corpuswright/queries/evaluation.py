@@ -102,7 +102,7 @@ def ngram_stats_stored(spark, sf):
     """References stored once; each system is then scored by itself."""
     rows, path = X.aligned(spark, sf), work_dir(spark, "references")
     references = rows.filter("system = 'sysA'").select("direction", "seg_id", "reference")
-    stored = E.store_reference_stats(references, path.rsplit("/", 1)[1].replace("-", "_"), path, 8)
+    stored = E.store_reference_stats(references, path.rsplit("/", 1)[1].replace("-", "_"), path)
     parts = [E.ngram_stats_stored(rows.filter(F.col("system") == s).drop("reference"), stored) for s in X.SYSTEMS]
     return reduce(DataFrame.unionByName, parts)
 

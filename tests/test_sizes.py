@@ -37,3 +37,66 @@ def test_streams_read_a_table_that_is_a_folder(spark, folders, name):
 @pytest.mark.parametrize("name", ["adaptive_penalty", "preference_loss", "total_loss", "nll", "batch_metrics", "rewards"])
 def test_losses_of_pairs_without_counted_labels(spark, folders, name):
     assert same(spark, name, folders, ["embeddings"])
+
+
+def test_grams_are_cut_by_the_rules_of_the_tokenizer():
+    """The 13a rules as positions of bytes, against the regular expressions; rows of one piece do not see each other."""
+    import random
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpuswright.functions import mt_tokens as M
+    from corpuswright.functions.bytewords import column_bytes
+    from corpuswright.functions.ngrams import Grams
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("5.,-a' é\u3000\x85/$\n7", k=draw.randrange(0, 14))) for _ in range(20000)]
+    cut = np.array([draw.random() < 0.8 for _ in texts])
+    got = Grams(*column_bytes(pa.array(texts)), cut).lengths
+    for text, n, by_rules in zip(texts, got, cut):
+        text = f" {text} "
+        for pattern, kind in M.RULES if by_rules else ():
+            text = re.sub(pattern, M.replacement(kind, "\\"), text)
+        assert n == len(text.split()), text
+
+
+def test_matches_are_clipped_over_any_pieces(spark, monkeypatch):
+    """Rows with and without outputs, copies, Unicode blanks and empty texts, against counters; one row a piece and all in one."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from corpuswright.functions import ngrams as N
+
+    rows = [(0, "a a b a a b c", ["a a b", "a a a a a a", ""]), (1, "", ["x"]), (2, "x　y z w " * 50, ["x y z w " * 20]), (3, "q", [])]
+    for bound in (1, 1 << 20):
+        monkeypatch.setattr(N, "PIECE_BYTES", bound)
+        df = spark.createDataFrame(rows, "k int, r string, o array<string>").coalesce(1)
+        both = df.select("k", N.statistics(F.col("r"), F.col("o"), F.lit(True)).alias("s"))
+        got = {r.k: [tuple(s) for s in r.s] for r in both.collect()}
+        kept = df.select("k", "r", "o", N.reference_grams(F.col("r"), F.lit(True)).alias("ref")).withColumn("t", F.explode("o"))
+        alone = sorted((r.k, tuple(r.s)) for r in kept.select("k", N.statistics_stored(F.col("t"), F.col("ref"), F.lit(True)).alias("s")).collect())
+        want = {}
+        for k, ref, outputs in rows:
+            want[k] = []
+            grams = lambda t, n: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+            for o in outputs:
+                h, r = o.split(), ref.split()
+                per = [(sum((grams(h, n) & grams(r, n)).values()), max(len(h) - n + 1, 0)) for n in range(1, 5)]
+                want[k].append((len(h), len(r), *[x for p in per for x in p]))
+        assert got == want
+        assert alone == sorted((k, s) for k, ss in want.items() for s in ss)
+
+
+def test_buckets_of_references_follow_their_bytes(spark, monkeypatch):
+    from corpuswright.operators import evaluate as E
+    from corpuswright.session import work_dir
+
+    monkeypatch.setattr(E, "BUCKET_BYTES", 100)
+    rows = spark.range(200).selectExpr("'de-en' AS direction", "id AS seg_id", "'0123456789' AS reference")
+    path = work_dir(spark, "refs")
+    E.store_reference_stats(rows, path.rsplit("/", 1)[1].replace("-", "_"), path)
+    described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {path.rsplit('/', 1)[1].replace('-', '_')}").collect()}
+    assert described["Num Buckets"] == "20"
