@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,23 +152,25 @@ def load_vocabulary(
 def encode_by_join(
     df: DataFrame, key: str, text: str, vocab: DataFrame, specials: Specials = Specials(), out: str = "ids"
 ) -> DataFrame:
-    """The same encoding for a vocabulary of any size: explode, join, regroup by the unique row key.
+    """The same encoding for a vocabulary of any size: the distinct words of a row meet the vocabulary, what is found comes back to the row.
 
-    Word types are joined once per distinct (row, word), so a frequent word costs one lookup per row.
+    A frequent word costs one lookup per row; its places never move, and neither do words that the vocabulary lacks. `key` is unique.
     """
-    toks = df.select(key, F.posexplode(words(F.col(text))).alias("__pos", "token"))
-    per_type = toks.groupBy(key, "token").agg(F.collect_list("__pos").alias("__at"))
-    found = per_type.join(vocab.select("token", "id"), "token", "left").select(
-        key, F.coalesce("id", int_lit(specials.unk)).alias("__id"), F.explode("__at").alias("__pos")
-    )
-    regrouped = found.groupBy(key).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("__pos", "__id"))), lambda s: s["__id"]).alias("__ids")
-    )
-    return (
-        df.join(regrouped, key, "left")
-        .withColumn(out, F.coalesce("__ids", F.array().cast("array<int>")))
-        .drop("__ids")
-    )
+    types = df.select(key, F.explode(F.array_distinct(words(F.col(text)))).alias("token"))
+    found = types.join(vocab.select("token", "id"), "token")
+    per_row = found.groupBy(key).agg(F.collect_list("token").alias("__tokens"), F.collect_list("id").alias("__found"))
+    unk = specials.unk
+
+    @F.arrow_udf("array<int>")
+    def encoded(texts: pa.Array, tokens: pa.Array, ids: pa.Array) -> pa.Array:
+        blanks, out = re.compile("[ \\n\\t\\r]+"), []
+        for text, own, numbers in zip(texts, tokens, ids):
+            known = dict(zip(own.as_py() or (), numbers.as_py() or ()))
+            out.append([known.get(w, unk) for w in blanks.split(text.as_py() or "") if w])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    rows = df.join(per_row, key, "left")
+    return rows.withColumn(out, encoded(F.col(text), "__tokens", "__found")).drop("__tokens", "__found")
 
 
 def encode_with(make_tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]]) -> Callable[[Column], Column]:

@@ -65,7 +65,13 @@ SYSTEMS = ("sysA", "sysB", "sysC")
 
 def aligned(spark: SparkSession, sf: str) -> DataFrame:
     """(system, direction, seg_id, source, reference, hypothesis) with English as the target."""
-    seg = parallel(spark, sf).select(
+    return aligned_of(parallel(spark, sf))
+
+
+def aligned_of(pairs: DataFrame, *more: str) -> DataFrame:
+    """The aligned rows of given parallel rows, with some more of their columns."""
+    seg = pairs.select(
+        *more,
         F.concat(F.col("lang_a"), F.lit("-en")).alias("direction"),
         F.col("seq").alias("seg_id"),
         F.col("text_a").alias("source"),

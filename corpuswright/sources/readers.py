@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from ..operators.directions import canonical, parse_directions
 from ..operators.filters import filter_language, iso3_codes
 from .files import existing, path_exists, with_file_columns, with_line_number, with_row_number
@@ -253,18 +254,25 @@ def read_aligned(
     wanted = parse_directions(directions)
     paths = lambda root, side: existing(spark, [aligned_path(root, d, d.split("-")[side]) for d in wanted])
     key = ["direction", "seg_id"]
-    sources = read_lines(spark, paths(testset, 0)).select(*key, F.col("text").alias("source"))
-    references = read_lines(spark, paths(testset, 1)).select(*key, F.col("text").alias("reference"))
-    sides = sources.join(references, key, "full")
-    expected = sides.withColumn("system", F.explode(F.array(*[F.lit(s) for s in outputs])))
-    hypotheses = reduce(
+    sides = [("source", F.lit(None), testset, 0), ("reference", F.lit(None), testset, 1)]
+    sides += [("hypothesis", F.lit(name), root, 1) for name, root in outputs.items()]
+    # all sides are lines of one table, so that a text moves once, to its place
+    lines = reduce(
         DataFrame.unionByName,
-        [
-            read_lines(spark, paths(root, 1)).select(F.lit(name).alias("system"), *key, F.col("text").alias("hypothesis"))
-            for name, root in outputs.items()
-        ],
+        [read_lines(spark, paths(root, side)).select(F.lit(role).alias("role"), name.cast("string").alias("system"), *key, "text") for role, name, root, side in sides],
     )
-    return expected.join(hypotheses, ["system", *key], "full").select("system", *key, "source", "reference", "hypothesis")
+    of = lambda role: F.any_value(F.when(F.col("role") == role, F.col("text")), F.lit(True)).alias(role)
+    hypothesis = F.when(F.col("role") == "hypothesis", F.struct("system", F.col("text").alias("hypothesis")))
+    places = lines.groupBy(*key).agg(
+        of("source"), of("reference"), F.collect_list(hypothesis).alias("__own"), F.bool_or(F.col("role") != "hypothesis").alias("__expected")
+    )
+
+    def per_system(own: Column) -> Column:
+        line = lambda s: F.get(F.filter(own, lambda o: o["system"] == s), F.lit(0))["hypothesis"]
+        return F.array(*[F.struct(F.lit(s).alias("system"), line(F.lit(s)).alias("hypothesis")) for s in outputs])
+
+    rows = F.when(F.col("__expected"), let(F.col("__own"), per_system)).otherwise(F.col("__own"))
+    return places.select(*key, "source", "reference", F.inline(rows)).select("system", *key, "source", "reference", "hypothesis")
 
 
 SCORE_LINE = r"^(.*)\tSegment (\d+)\tscore: (\S+)$"

@@ -100,3 +100,30 @@ def test_buckets_of_references_follow_their_bytes(spark, monkeypatch):
     E.store_reference_stats(rows, path.rsplit("/", 1)[1].replace("-", "_"), path)
     described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {path.rsplit('/', 1)[1].replace('-', '_')}").collect()}
     assert described["Num Buckets"] == "20"
+
+
+def test_files_are_made_of_tables_written_once(spark, sf, monkeypatch):
+    """Every file of a query would otherwise join the pairs anew."""
+    from corpuswright.queries import files, fixtures
+
+    calls = []
+    whole = fixtures.parallel
+    monkeypatch.setattr(fixtures, "parallel", lambda *a: calls.append(1) or whole(*a))
+    pairs = []
+    monkeypatch.setattr(files, "cut_lineage", lambda df, label, cut=files.cut_lineage: pairs.append(label) or cut(df, label))
+    for name, label in (("override_test", "pairs"), ("read_shots", "shot-table"), ("read_aligned_ragged", "numbered-pairs"), ("read_aligned", "numbered-pairs")):
+        calls.clear()
+        pairs.clear()
+        REGISTRY[name].run(spark, sf)
+        assert pairs == [label] and len(calls) == 1
+
+
+def test_join_encoding_moves_no_places(spark):
+    """A row's words meet the vocabulary once each: what is joined holds no places."""
+    from corpuswright.operators import vocab as V
+
+    docs = spark.createDataFrame([(0, "a b a\tc  a"), (1, ""), (2, None), (3, "x x")], "k int, t string")
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id int")
+    rows = V.encode_by_join(docs, "k", "t", vocab)
+    assert {r.k: r.ids for r in rows.collect()} == {0: [4, 5, 4, 3, 4], 1: [], 2: [], 3: [3, 3]}
+    assert "posexplode" not in rows._jdf.queryExecution().optimizedPlan().toString()
