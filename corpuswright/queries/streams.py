@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import work_dir
+from ..sources.files import path_exists
 from ..streaming import streams as W
 from . import fixtures as X
 from .fixtures import arr, encoded_ctes, joined, uniform_sql, with_ctes
@@ -35,19 +36,28 @@ def stream_prepare(spark, sf):
     return rows.select("doc_id", "lang", joined("input_ids").alias("input_ids"))
 
 
-def in_batches(spark, sf, table, key, schema, parts=3):
-    """The table as a file stream of `parts` micro-batches, each `FILES` files of rows in key order."""
-    path = work_dir(spark, f"stream-{table}")
-    rows = spark.read.parquet(f"{sf}/{table}.parquet")
-    high = rows.agg(F.max(key)).first()[0]
+# Files of a micro-batch: its rows are cut by key over as many tasks.
+FILES = 4
+# Bytes of text that a micro-batch should hold, and the least number of micro-batches: their state function sees a batch at once.
+BATCH_BYTES, PARTS = 128 << 20, 3
+
+
+def arrive(spark, rows, key, path):
+    """Rows as files that arrive in key order, `FILES` for each micro-batch; there are more micro-batches of more rows, no larger ones."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in rows.schema if f.dataType.simpleString() == "string"]
+    size = rows.agg(F.sum(sum(texts, F.lit(0)))).first()[0] or 0
+    parts, stage = max(PARTS, -(-size // BATCH_BYTES)), work_dir(spark, "arrivals")
+    rows.repartitionByRange(parts, key).withColumn("__part", F.spark_partition_id()).write.partitionBy("__part").parquet(stage)
     for i in range(parts):
-        cut = rows.filter((F.col(key) * parts >= i * (high + 1)) & (F.col(key) * parts < (i + 1) * (high + 1)))
-        cut.repartitionByRange(FILES, key).write.mode("append").parquet(path)
-    return W.stream_source(spark, "web", path, schema, files_per_trigger=FILES)
+        if path_exists(spark, f"{stage}/__part={i}"):
+            spark.read.schema(rows.schema).parquet(f"{stage}/__part={i}").repartitionByRange(FILES, key).write.mode("append").parquet(path)
 
 
-# Files of a micro-batch: its rows are cut by key over as many tasks.
-FILES = 4
+def in_batches(spark, sf, table, key, schema):
+    """The table as a file stream of micro-batches in key order."""
+    path = work_dir(spark, f"stream-{table}")
+    arrive(spark, spark.read.parquet(f"{sf}/{table}.parquet"), key, path)
+    return W.stream_source(spark, "web", path, schema, files_per_trigger=FILES)
 
 
 STREAM_PACK = {
@@ -62,7 +72,7 @@ PACKED = """SELECT lang, shard, p // 512 AS block_no, array_to_string(list(id OR
 
 @query(with_ctes("vocab", PACKED + " HAVING count(*) = 512", STREAM_PACK))
 def stream_pack(spark, sf):
-    """Three micro-batches; tails wait in the state."""
+    """Micro-batches of bounded size, three at least; tails wait in the state."""
     prepared = W.stream_prepare(in_batches(spark, sf, "documents", "doc_id", W.MONO), X.vocabulary(spark, sf))
     blocks = W.stream_pack(prepared, "input_ids", "doc_id", 512, ("lang",), shards=4)
     rows = spark.read.parquet(W.run_to_table(blocks, "stream-pack"))
@@ -74,7 +84,7 @@ def stream_pack_flush(spark, sf):
     """The end of every language is marked, so that the tails are written too."""
     path = work_dir(spark, "stream-ends")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text", F.lit(False).alias("last"))
-    docs.repartitionByRange(FILES, "doc_id").write.mode("append").parquet(path)
+    arrive(spark, docs, "doc_id", path)
     ends = docs.groupBy("lang").agg(F.max("doc_id").alias("doc_id")).select("doc_id", "lang", F.lit("").alias("text"), F.lit(True).alias("last"))
     ends.coalesce(1).write.mode("append").parquet(path)
     stream = W.stream_source(spark, "web", path, f"{W.MONO}, last boolean", files_per_trigger=FILES)

@@ -127,3 +127,17 @@ def test_join_encoding_moves_no_places(spark):
     rows = V.encode_by_join(docs, "k", "t", vocab)
     assert {r.k: r.ids for r in rows.collect()} == {0: [4, 5, 4, 3, 4], 1: [], 2: [], 3: [3, 3]}
     assert "posexplode" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_more_rows_are_more_micro_batches(spark, sf, monkeypatch, tmp_path):
+    """A state function holds a micro-batch's rows of its key, so a micro-batch may not grow with the table."""
+    from corpuswright.queries import streams
+
+    monkeypatch.setattr(streams, "BATCH_BYTES", 40_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    size = sum(len(r.text.encode()) for r in docs.collect())
+    path = f"file://{tmp_path}/arrived"
+    streams.arrive(spark, docs, "doc_id", path)
+    files = sorted(tmp_path.glob("arrived/*.parquet"), key=lambda p: p.stat().st_mtime)
+    assert len(files) > streams.PARTS * streams.FILES and len(files) >= size // 40_000
+    assert spark.read.parquet(path).count() == docs.count()
