@@ -91,10 +91,14 @@ def eos_slot(ids: Column, pad: int) -> Column:
 
 
 def put_at(arr: Column, index: Column, value: int) -> Column:
-    return let_all(
-        {"arr": arr, "index": index},
-        lambda s: F.transform(s["arr"], lambda x, i: F.when(i == s["index"], int_lit(value)).otherwise(x)),
-    )
+    """`value` at a 0-based position; a position outside the array, or NULL, changes nothing."""
+
+    def placed(s: Column) -> Column:
+        rest = F.greatest(F.size(s["arr"]) - s["index"] - 1, F.lit(0))
+        new = F.concat(F.slice(s["arr"], 1, s["index"]), F.array(int_lit(value)), F.slice(s["arr"], s["index"] + 2, rest))
+        return F.when((s["index"] >= 0) & (s["index"] < F.size(s["arr"])), new).otherwise(s["arr"])
+
+    return let_all({"arr": arr, "index": index}, placed)
 
 
 def ignore_value(ids: Column, value: int) -> Column:

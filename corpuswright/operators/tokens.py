@@ -33,7 +33,7 @@ def encode_train_left(
     if not chat:
         ids = A.append_eos(ids, s.eos)
     rows = df.withColumn("__ids", ids).withColumn(
-        "__n", F.least(F.size(vocab.encode(F.col(prompt))), F.lit(src_len))
+        "__n", F.size(vocab.encode(F.col(prompt), src_len))
     )
     rows = rows.withColumn("input_ids", A.pad_to(F.col("__ids"), width, s.pad, "left")).withColumn(
         "attention_mask", A.pad_mask(F.col("__ids"), width, "left")
@@ -64,7 +64,7 @@ def encode_train_right(
     s, total = vocab.specials, src_len + new_len
     ids = vocab.encode(F.col(text), total, bos=True)
     rows = df.withColumn("__ids", ids).withColumn(
-        "__n", F.least(F.size(vocab.encode(F.col(prompt))), F.lit(src_len))
+        "__n", F.size(vocab.encode(F.col(prompt), src_len))
     )
     rows = rows.withColumn("__padded", A.pad_to(F.col("__ids"), total, s.pad)).withColumn(
         "__slot", A.eos_slot(F.col("__padded"), s.pad)

@@ -15,23 +15,28 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import IGNORE, int_lit, truncate
+from ..functions.bytewords import pieces
 from ..functions.text import py_strip, words
 from ..session import local_table
 
 
 #: words that a plan, and a dictionary on every executor, may hold
 LITERAL_WORDS, SHARED_WORDS = 1_000_000, 10_000_000
+#: bytes of texts whose words are counted at a time
+COUNTED_BYTES = 1 << 23
+_TO_BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
 
 
 def _bounded(vocab: DataFrame, most: int, instead: str) -> list[Row]:
@@ -62,14 +67,26 @@ class Specials:
 def build_vocab(df: DataFrame, col: str, size: int, specials: Specials = Specials()) -> DataFrame:
     """The `size` most frequent words: (token, n, id), ties by token.
 
-    Counting combines on the map side; the ranking window sees the bounded top-k only.
+    Words are counted in Arrow batches, a piece of the texts at a time, and once more on the map side; the ranking window sees the
+    bounded top-k only.
     """
-    counts = df.select(F.explode(words(F.col(col))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = df.select(F.col(col).cast("string")).mapInArrow(_word_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(size)
     rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token"))
     return top.select("token", "n", (rank + F.lit(specials.first_word - 1)).cast("int").alias("id"))
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n) of the words of `functions.text.words` in each piece of a text column."""
+    for batch in batches:
+        for _, raw, offsets in pieces(batch.column(0), COUNTED_BYTES):
+            blank = pa.py_buffer(raw.tobytes().translate(_TO_BLANKS))
+            texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), blank)
+            token, n = pc.list_flatten(pc.split_pattern(texts, " ")).value_counts().flatten()
+            word = pc.not_equal(token, "")
+            yield pa.RecordBatch.from_arrays([token.filter(word).cast(pa.string()), n.filter(word)], ["token", "n"])
+
+
 class Encoder(Protocol):
     """Turns a text column into ids inside a projection."""
 
@@ -130,7 +147,11 @@ class Vocabulary:
             bucket = F.get(table, F.pmod(F.xxhash64(word), F.lit(n)).cast("int"))
             return F.coalesce(F.get(F.filter(bucket, lambda e: e["t"] == word), F.lit(0))["i"], unk)
 
-        return _framed(F.transform(words(text), lookup), self.specials, max_len, bos, eos)
+        found = words(text)
+        if max_len is not None:
+            # words beyond the limit are not looked up
+            found = truncate(found, max_len)
+        return _framed(F.transform(found, lookup), self.specials, max_len, bos, eos)
 
     def decode(self, ids: Column) -> Column:
         """Ids → text: ignored labels count as padding, special ids are dropped, ends are stripped."""

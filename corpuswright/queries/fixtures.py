@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from ..functions.rand import uniform
 from ..functions.text import PY_SPACE
 from ..operators.vocab import Specials, Vocabulary, load_vocabulary
@@ -139,9 +140,16 @@ def vocabulary_of_specials() -> Vocabulary:
 
 
 def joined(ids: str | Column) -> Column:
-    """An id array as text, the form in which arrays are compared."""
-    c = F.col(ids) if isinstance(ids, str) else ids
-    return F.array_join(c.cast("array<string>"), ",")
+    """An id array as text, the form in which arrays are compared.
+
+    JSON writes numbers without a string of each; what holds a NULL goes the way that leaves NULLs out.
+    """
+    plain = lambda x: F.array_join(x.cast("array<string>"), ",")
+    bare = lambda text: F.substring_index(text, "]", 1).substr(2, 2**31 - 1)
+    return let(
+        F.col(ids) if isinstance(ids, str) else ids,
+        lambda x: let(F.to_json(x), lambda text: F.when(text.contains("null"), plain(x)).otherwise(bare(text))),
+    )
 
 
 # --- SQL side ---------------------------------------------------------------------------------------------
