@@ -10,6 +10,7 @@ from ..operators import prompts as P
 from ..operators import tokens as T
 from ..operators import vocab as V
 from ..operators.packing import mono_ids, pack_blocks, two_sided_ids
+from ..session import cut_lineage
 from . import fixtures as X
 from .fixtures import arr, encoded_ctes, joined, ones_zeros_sql, pad_mask_sql, pad_sql, with_ctes
 from .prompts import expanded
@@ -173,9 +174,9 @@ def shift_right(spark, sf):
 @query(with_ctes("vocab", f"""
 SELECT doc_id, {arr(pad_sql('ids', '(SELECT max(len(ids)) FROM enc)', S.pad))} AS ids FROM enc""", DOC_IDS))
 def pad_to_max(spark, sf):
-    """Right-padded to the longest row: the length is one aggregate, read back as a number."""
+    """Right-padded to the longest row: texts are encoded once, and the length is one aggregate, read back as a number."""
     v = X.vocabulary(spark, sf)
-    rows = X.mono(spark, sf).select("doc_id", v.encode(F.col("raw_text")).alias("ids"))
+    rows = cut_lineage(X.mono(spark, sf).select("doc_id", v.encode(F.col("raw_text")).alias("ids")), "pad-to-max")
     longest = rows.agg(F.max(F.size("ids"))).first()[0]
     return rows.select("doc_id", joined(A.pad_to(F.col("ids"), longest, S.pad)).alias("ids"))
 

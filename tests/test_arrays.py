@@ -58,3 +58,13 @@ def test_joined_is_the_text_of_an_id_array(spark):
     for a in (F.col("a"), F.transform("a", lambda x: x + 1)):
         for r in df.select(joined(a).alias("got"), F.array_join(a.cast("array<string>"), ",").alias("want")).collect():
             assert r["got"] == r["want"]
+
+
+def test_pad_to_max_encodes_once(spark, tmp_path, monkeypatch):
+    from corpuswright.queries import tokens as Q
+
+    written = []
+    monkeypatch.setattr(Q, "cut_lineage", lambda df, label: written.append(label) or df)
+    spark.createDataFrame([(0, "de", "a b a"), (1, "de", "a"), (2, "en", None)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["ids"] for r in Q.pad_to_max(spark, str(tmp_path)).collect()}
+    assert got[0] == "4,5,4" and got[1] == "4,0,0" and written == ["pad-to-max"]
