@@ -1,6 +1,6 @@
 """Mixture of denoisers over right-padded rows (input_ids, labels, attention_mask).
 
-Per row, the task is drawn, spans are drawn, and inputs and labels are rewritten with higher-order functions:
+Per row, the task is drawn, spans are drawn (in Arrow batches), and inputs and labels are rewritten with higher-order functions:
 row-local, no shuffle. All draws are md5 uniforms of (seed, row key, position), so a retried task repeats them.
 Rows without padding have no first pad (index −1); what follows from that is pinned in the tests.
 """
@@ -8,13 +8,15 @@ Rows without padding have no first pad (index −1); what follows from that is p
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import md5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.let import let, let_all
-from ..functions.rand import hash_hex, pick, uniform
+from ..functions.rand import pick, uniform
 
 TASKS = ("R", "S", "X")
 
@@ -49,29 +51,41 @@ def noise_counts(length: Column, mean: Column, density: Column) -> tuple[Column,
 def segmentation(items: Column, segments: Column, seed: int, *keys: Column) -> Column:
     """Random lengths ≥ 1 of `segments` pieces that add up to `items`; every cut set is equally likely.
 
-    Cuts are the first segments − 1 inner positions in the order of their hash.
+    Cuts are the first segments − 1 inner positions in the order of their hash, `hash_hex(seed, *keys, position)`. The hashes are
+    taken in Arrow batches, and only for rows that are cut at all. It is a Python function: it cannot stand in a lambda.
     """
-    inner = F.when(items > 1, F.sequence(F.lit(1), items - 1)).otherwise(F.array().cast("array<int>"))
-    ranked = F.sort_array(
-        F.transform(inner, lambda i: F.concat(hash_hex(seed, *keys, i), F.lpad(i.cast("string"), 9, "0")))
-    )
-    cuts = F.sort_array(F.transform(F.slice(ranked, 1, segments - 1), lambda s: F.substring(s, 9, 9).cast("int")))
-    lengths = lambda s: F.zip_with(
-        F.concat(s["cuts"], F.array(s["items"])), F.concat(F.array(F.lit(0)), s["cuts"]), lambda end, start: end - start
-    )
-    return let_all({"cuts": cuts, "items": items}, lengths)
+
+    @F.arrow_udf("array<int>")
+    def lengths(prefixes: pa.Array, items: pa.Array, segments: pa.Array) -> pa.Array:
+        rows = zip(prefixes.to_pylist(), items.to_pylist(), segments.to_pylist())
+        return pa.array([None if n is None or k is None else _cut(p, n, k) for p, n, k in rows], pa.list_(pa.int32()))
+
+    return lengths(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]), items, segments)
+
+
+def _cut(prefix: str, items: int, segments: int) -> list[int]:
+    """Lengths of the pieces of one row; positions of equal hashes go in their own order."""
+    if segments < 1:
+        raise ValueError(f"{items} items have no {segments} segments")
+    if segments == 1:
+        return [items]
+    start = md5(f"{prefix}:".encode(), usedforsecurity=False)
+
+    def place(i: int) -> bytes:
+        whole = start.copy()
+        whole.update(b"%d" % i)
+        return whole.digest()[:4]
+
+    ends = [*sorted(sorted(range(1, items), key=place)[: segments - 1]), items]
+    return [b - a for a, b in zip([0, *ends], ends)]
 
 
 def noise_mask(length: Column, mean: Column, density: Column, seed: int, *keys: Column) -> Column:
     """0/1 array: spans of kept and masked tokens alternate, kept first."""
     noise, spans = noise_counts(length, mean, density)
-
-    def draw(s: Column) -> Column:
-        masked = segmentation(s["noise"], s["spans"], seed, *keys, F.lit("noise"))
-        kept = segmentation(s["length"] - s["noise"], s["spans"], seed, *keys, F.lit("kept"))
-        return F.flatten(F.zip_with(kept, masked, lambda k, m: F.concat(A.repeat(0, k), A.repeat(1, m))))
-
-    return let_all({"length": length, "noise": noise, "spans": spans}, draw)
+    masked = segmentation(noise, spans, seed, *keys, F.lit("noise"))
+    kept = segmentation(length - noise, spans, seed, *keys, F.lit("kept"))
+    return F.flatten(F.zip_with(kept, masked, lambda k, m: F.concat(A.repeat(0, k), A.repeat(1, m))))
 
 
 def mask_union(masks: list[Column]) -> Column:
@@ -221,9 +235,10 @@ def denoise(
     rows = df.withColumn("task", assign_task(F.col(key), seed, config)).withColumn(
         "__pad", A.first_index(F.col("input_ids"), pad)
     )
-    # sequential rows have no mask: all that is derived from it stays NULL and costs nothing
-    mask = F.when(F.col("task") == "R", r_mask(length, first, seed, F.col(key), config)).when(
-        F.col("task") == "X", x_mask(length, first, seed, F.col(key), config)
+    # sequential rows have no mask: all that is derived from it stays NULL and costs nothing; nor are masks of the other task drawn
+    of = lambda task: F.when(F.col("task") == task, length)
+    mask = F.when(F.col("task") == "R", r_mask(of("R"), first, seed, F.col(key), config)).when(
+        F.col("task") == "X", x_mask(of("X"), first, seed, F.col(key), config)
     )
     rows = span_denoise(rows.withColumn("__m", mask), "__m", vocab_len, pad)
     sequential = F.col("task") == "S"
