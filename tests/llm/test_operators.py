@@ -453,6 +453,39 @@ def test_the_best_cut():
     assert toxicity.best_cut(z, np.zeros(6, int), w, 0.3) == 0.3 and toxicity.best_cut(z, np.ones(6, int), w, 9.0) < -1
 
 
+def test_best_cuts_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 3000)
+    # ties, crowded and empty stretches, logits beyond the last stretch
+    z = np.round(rng.normal(0, 1, 3000) + 1.5 * y, 2) * np.where(rng.random(3000) < 0.01, 90, 1)
+    scope = rng.choice(["a", "b", "c"], 3000, p=[0.6, 0.39, 0.01])
+    rows = [(str(s), int(c), float(v)) for s, c, v in zip(scope, y, z)] + [("none", 0, 1.0), ("none", 0, 2.0), ("one", 1, 3.0)]
+    df = spark.createDataFrame(rows, "scope string, y int, z double").repartition(3)
+    for weights in ([1.0, 1.0], [3.5, 1.0]):
+        for fallback in (0.3, 2.0, 50.0):
+            got = toxicity.best_cuts(df, np.array(weights), fallback)
+            assert set(got) == {"a", "b", "c", "none", "one"}
+            for name, (cut, rare) in got.items():
+                own = [r for r in rows if r[0] == name]
+                oy, oz = np.array([r[1] for r in own]), np.array([r[2] for r in own])
+                assert cut == toxicity.best_cut(oz, oy, np.array(weights)[oy], fallback) and rare == min((oy == 0).sum(), (oy == 1).sum())
+
+
+def test_toxicity_learns_from_every_labelled_text(spark):
+    ids = [k for k in range(8000) if zlib.crc32(str(k).encode()) % 3 != 1][:5100]
+    # each marker stands in three texts; some texts have more than 20 000 words
+    rows = [(k, ("vilword " if n % 10 == 0 else "plain ") + f"marker{n // 3}x", "en" if n % 2 else "de") for n, k in enumerate(ids)]
+    rows += [(-k, "long " * 20_500 + "farmarker", "en") for k in range(1, 40) if zlib.crc32(str(-k).encode()) % 3 != 1][:3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(r[0], int(r[1].startswith("vil"))) for r in rows], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels)
+    words = sorted({w for r in rows for w in r[1].split()})
+    piece = next(texts.words(pa.array([" ".join(words)]), texts.LOWER))
+    assert net.table[toxicity.word_ids(piece)[:, 0]].any(axis=1).all()
+    again = toxicity.fit(docs.repartition(7), labels)
+    assert (net.table == again.table).all() and (net.rest() == again.rest()).all() and net.thresholds == again.thresholds
+
+
 @pytest.mark.parametrize("scale,least,most,auc", [("sf0.1", 0.9, 0.02, 0.95), ("sf0.01", 0.7, 0.05, 0.9)])
 def test_toxicity_of_held_out_documents(spark, scale, least, most, auc):
     sf = f"/root/testdata/{scale}"
