@@ -486,6 +486,19 @@ def test_toxicity_learns_from_every_labelled_text(spark):
     assert (net.table == again.table).all() and (net.rest() == again.rest()).all() and net.thresholds == again.thresholds
 
 
+def test_texts_that_teach_do_not_pass_through_the_driver(spark):
+    import tracemalloc
+
+    ids = [k for k in range(800) if zlib.crc32(str(k).encode()) % 3 != 1][:500]
+    docs = spark.createDataFrame([(k,) for k in ids], "doc_id long").repartition(8).select("doc_id", F.concat(F.when(F.col("doc_id") % 9 == 0, "vilword ").otherwise("plain "), F.repeat(F.lit("many words "), 9900)).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 9 == 0).cast("int").alias("toxic"))
+    tracemalloc.start()
+    toxicity.fit(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # the places of these words take 80 MB
+
+
 @pytest.mark.parametrize("scale,least,most,auc", [("sf0.1", 0.9, 0.02, 0.95), ("sf0.01", 0.7, 0.05, 0.9)])
 def test_toxicity_of_held_out_documents(spark, scale, least, most, auc):
     sf = f"/root/testdata/{scale}"
