@@ -562,6 +562,24 @@ def plain_buckets(text):
     return [signed(x) % rules.BUCKETS for x in out]
 
 
+def test_ngrams_are_counted_without_a_lambda(spark, hard):
+    """A lambda is interpreted, word by word; what is counted over the whole corpus is compiled."""
+    grams = rules.buckets(hard.repartition(2))
+    assert "lambda" not in grams._jdf.queryExecution().optimizedPlan().toString()
+    assert Counter(r["b"] for r in grams.collect()) == Counter(b for _, t in ROWS for b in plain_buckets(t))
+
+
+def test_repeated_words_whose_short_hashes_agree(spark, monkeypatch):
+    """Four bits of the hash do not tell the windows apart: neighbours that agree in them must not count as the same."""
+    monkeypatch.setattr(rules, "PLACE_BITS", 60)
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choices("abcdef", k=rng.randrange(0, 60)))) for k in range(200)] + [(200, ""), (201, None)]
+    df = spark.createDataFrame(rows, "k long, text string").withColumn("x", rules.cut(F.col("text")))
+    df = df.withColumn("w", rules.windows_of(F.col("x.pairs"), F.col("x.hashes"))).withColumn("again", rules.repetitions(F.col("w")))
+    got = {r["k"]: r["n"] for r in df.select("k", rules.covered_words(F.col("w"), F.col("again")).alias("n")).collect()}
+    assert got == {k: fx.repeat_words((t or "").split()) for k, t in rows}
+
+
 def test_ratio_scores_are_the_plain_ones(spark):
     docs, labels = graded(spark, 90)
     hard_docs = spark.createDataFrame([(10**6 + k, t, None, None) for k, (_, t) in enumerate(ROWS)], docs.schema)
