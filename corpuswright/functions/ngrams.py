@@ -177,26 +177,40 @@ def statistics(reference: Column, outputs: Column, cut: Column) -> Column:
     return arrow_udf(run, f"array<struct<{STATS}>>")(reference, outputs, cut)
 
 
+def _listed(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
+
+
+def _unlisted(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values)"""
+    return lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
+
+
 def reference_grams(reference: Column, cut: Column) -> Column:
-    """Length of a text, and its n-grams of every order as sorted hashes with repeats: struct(ref_len, r1 … r4)."""
+    """Length of a text, and its n-grams of every order, sorted, with repeats: struct(ref_len, tokens, r1 … r4).
+
+    `tokens` has the tokens' hashes as they stand, and an order the places at which its n-grams begin, sorted by the n-grams' hashes:
+    these follow from the tokens, and words that recur and small numbers take a few bits in a file where a hash takes 64.
+    """
 
     def run(reference: pa.Array, cut: pa.Array) -> pa.Array:
         (raw, at), flags = column_bytes(reference), _flags(cut)
-        lengths, orders = [np.zeros(0, np.int64)], [([np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]) for _ in range(ORDER)]
+        none = lambda kind: [np.zeros(0, kind)]
+        lengths, tokens, orders = none(np.int64), none(np.uint64), [(none(np.int64), none(np.int32)) for _ in range(ORDER)]
         for a, b in _runs(np.diff(at), np.ones(len(at) - 1, np.int64)):
             piece = Grams(raw, at[a : b + 1], flags[a:b])
             lengths.append(piece.lengths)
-            for n, (totals, hashes) in enumerate(orders, 1):
+            tokens.append(piece.hashes)
+            for n, (totals, places) in enumerate(orders, 1):
                 rows, own = piece.of(n)
-                totals.append(piece.totals(n))
-                hashes.append(own[np.lexsort((own, rows))])
-        lists = []
-        for totals, hashes in orders:
-            ends = np.append(0, np.cumsum(np.concatenate(totals)))
-            lists.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))))
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(lengths), pa.int64()), *lists], names=["ref_len", *[f"r{n}" for n in range(1, ORDER + 1)]])
-
-    fields = ", ".join(["ref_len: bigint", *[f"r{n}: array<bigint>" for n in range(1, ORDER + 1)]])
+                many = piece.totals(n)
+                totals.append(many)
+                places.append((np.lexsort((own, rows)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32))
+        lengths = np.concatenate(lengths)
+        lists = [_listed(lengths, np.concatenate(tokens).view(np.int64)), *[_listed(np.concatenate(totals), np.concatenate(places)) for totals, places in orders]]
+        return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), *lists], names=["ref_len", "tokens", *[f"r{n}" for n in range(1, ORDER + 1)]])
+
+    fields = ", ".join(["ref_len: bigint", "tokens: array<bigint>", *[f"r{n}: array<int>" for n in range(1, ORDER + 1)]])
     return arrow_udf(run, f"struct<{fields}>")(reference, cut)
 
 
@@ -206,16 +220,17 @@ def statistics_stored(output: Column, ref: Column, cut: Column) -> Column:
     def run(output: pa.Array, ref: pa.Array, cut: pa.Array) -> pa.Array:
         (raw, at), flags = column_bytes(output), _flags(cut)
         ref_len = ref.field("ref_len").to_numpy(zero_copy_only=False)
-        lists = [ref.field(f"r{n}") for n in range(1, ORDER + 1)]
-        ends = [x.offsets.to_numpy().astype(np.int64) for x in lists]
-        values = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in lists]
+        ends, tokens = _unlisted(ref.field("tokens"))
+        orders = [_unlisted(ref.field(f"r{n}")) for n in range(1, ORDER + 1)]
         parts = []
-        for a, b in _runs(np.diff(at) + 8 * np.diff(ends[0]), np.ones(len(at) - 1, np.int64)):
+        for a, b in _runs(np.diff(at) + 8 * np.diff(ends), np.ones(len(at) - 1, np.int64)):
             bits = (b - a).bit_length()
+            first, own = ends[a:b] - ends[a], tokens[ends[a] : ends[b]].view(np.uint64)
 
             def stored(n: int) -> np.ndarray:
-                at_, own = ends[n - 1][a : b + 1], values[n - 1]
-                return _keys(np.repeat(np.arange(b - a), np.diff(at_)), own[at_[0] : at_[-1]], bits)
+                at_, places = orders[n - 1][0][a : b + 1], orders[n - 1][1]
+                rows = np.repeat(np.arange(b - a), np.diff(at_))
+                return _keys(rows, chain(own, n)[first[rows] + places[at_[0] : at_[-1]]], bits)
 
             parts.append(_statistics(Grams(raw, at[a : b + 1], flags[a:b]), np.arange(b - a), ref_len[a:b].astype(np.int64), stored, bits))
         return pa.concat_arrays(parts) if parts else _EMPTY

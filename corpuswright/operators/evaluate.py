@@ -55,14 +55,14 @@ def ngram_stats(aligned: DataFrame) -> DataFrame:
     return rows.select("system", "direction", "seg_id", "s.*")
 
 
-#: bytes of text that one bucket should hold, and the least number of buckets; n-grams take some six times as much
+#: bytes of text that one bucket should hold, and the least number of buckets; read into memory, n-grams take some five times as much
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 8
 
 
 def store_reference_stats(references: DataFrame, table: str, path: str, buckets: int | None = None) -> DataFrame:
     """The reference side of BLEU as a table, bucketed by segment, for all systems that come later.
 
-    `references` is (direction, seg_id, reference), one row per segment. Length and sorted n-grams are kept; segments
+    `references` is (direction, seg_id, reference), one row per segment. Length and sorted n-grams are kept (see `reference_grams`); segments
     without a reference, or whose target has no tokenizer here, are left out. A bucket is the share of one task; unless their
     number is given, it follows the bytes of the references.
     """

@@ -11,7 +11,7 @@ from ..functions import mt_tokens as M
 from ..functions.text import PY_SPACE
 from ..operators import directions as D
 from ..operators import evaluate as E
-from ..session import work_dir
+from ..session import cut_lineage, release, work_dir
 from . import fixtures as X
 from .fixtures import lit, with_ctes
 from .registry import query
@@ -99,10 +99,12 @@ def ngram_stats(spark, sf):
 
 @query(with_ctes("aligned", "SELECT * FROM stats", STATS))
 def ngram_stats_stored(spark, sf):
-    """References stored once; each system is then scored by itself."""
-    rows, path = X.aligned(spark, sf), work_dir(spark, "references")
-    references = rows.filter("system = 'sysA'").select("direction", "seg_id", "reference")
-    stored = E.store_reference_stats(references, path.rsplit("/", 1)[1].replace("-", "_"), path)
+    """References stored once; each system is then scored by itself. The segments are joined and written once, for all that read them."""
+    segments, path = cut_lineage(X.segments_of(X.parallel(spark, sf)).drop("source"), "segments"), work_dir(spark, "references")
+    release(spark)
+    stored = E.store_reference_stats(segments, path.rsplit("/", 1)[1].replace("-", "_"), path)
+    release(spark)
+    rows = X.answered(segments)
     parts = [E.ngram_stats_stored(rows.filter(F.col("system") == s).drop("reference"), stored) for s in X.SYSTEMS]
     return reduce(DataFrame.unionByName, parts)
 

@@ -34,8 +34,9 @@ def mono(spark: SparkSession, sf: str) -> DataFrame:
 
 def parallel(spark: SparkSession, sf: str) -> DataFrame:
     """Parallel rows xx-en: neighbouring documents of which exactly one is English, whole texts."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text").repartition("doc_id")
-    a = docs.select(F.col("doc_id").alias("seq"), F.col("lang").alias("la"), F.col("text").alias("ta"))
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    # only one side is dealt out here: the join deals the other, and a text would move for either
+    a = docs.repartition("doc_id").select(F.col("doc_id").alias("seq"), F.col("lang").alias("la"), F.col("text").alias("ta"))
     b = docs.select((F.col("doc_id") - 1).alias("seq"), F.col("lang").alias("lb"), F.col("text").alias("tb"))
     pairs = a.join(b, "seq").filter((F.col("la") == "en") != (F.col("lb") == "en"))
     flip = F.col("la") == "en"
@@ -71,19 +72,28 @@ def aligned(spark: SparkSession, sf: str) -> DataFrame:
 
 def aligned_of(pairs: DataFrame, *more: str) -> DataFrame:
     """The aligned rows of given parallel rows, with some more of their columns."""
-    seg = pairs.select(
+    return answered(segments_of(pairs, *more))
+
+
+def segments_of(pairs: DataFrame, *more: str) -> DataFrame:
+    """(direction, seg_id, source, reference) of given parallel rows, with some more of their columns."""
+    return pairs.select(
         *more,
         F.concat(F.col("lang_a"), F.lit("-en")).alias("direction"),
         F.col("seq").alias("seg_id"),
         F.col("text_a").alias("source"),
         F.col("text_b").alias("reference"),
     )
+
+
+def answered(segments: DataFrame) -> DataFrame:
+    """A row for each system's output of a segment: system, hypothesis."""
     outputs = F.array(
         F.struct(F.lit("sysA").alias("system"), _drop_fifth(F.col("reference")).alias("hypothesis")),
         F.struct(F.lit("sysB").alias("system"), F.lower("reference").alias("hypothesis")),
         F.struct(F.lit("sysC").alias("system"), F.col("reference").alias("hypothesis")),
     )
-    return seg.select("*", F.inline(outputs))
+    return segments.select("*", F.inline(outputs))
 
 
 def _drop_fifth(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -13,6 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 _local_dir: str | None = None
 
+#: between the two collections of `release`
+RELEASE_SECONDS = 0.5
+
 
 def build_session(app: str = "corpuswright", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution; on a cluster pass no master and size it by `conf`."""
@@ -56,6 +60,15 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished stages hold. Spark drops a shuffle or a broadcast, on disk and in memory, once the driver has
+    collected its handle; a driver with room left would put that off, while its heap and the executors' disks grow. What holds a
+    finished write's shuffles is itself let go of in the background, hence the second collection."""
+    for pause in (RELEASE_SECONDS, 0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed table as a local relation: no job and no Python worker when it is broadcast."""
     fields = T._parse_datatype_string(schema)

@@ -102,6 +102,43 @@ def test_buckets_of_references_follow_their_bytes(spark, monkeypatch):
     assert described["Num Buckets"] == "20"
 
 
+def test_stored_references_take_less_than_their_hashes(spark, sf, tmp_path):
+    """Four orders of 64-bit hashes are 32 bytes a token, which no codec shrinks."""
+    from pyspark.sql import functions as F
+
+    from corpuswright.operators import evaluate as E
+    from corpuswright.queries import fixtures as X
+
+    path = tmp_path / "refs"
+    segments = X.aligned(spark, sf).filter("system = 'sysA'").select("direction", "seg_id", "reference")
+    stored = E.store_reference_stats(segments, f"refs_{tmp_path.name}".replace("-", "_"), f"file://{path}", 8)
+    tokens = stored.agg(F.sum("ref.ref_len")).first()[0]
+    assert tokens > 10_000
+    assert sum(f.stat().st_size for f in path.glob("*.parquet")) < 20 * tokens
+
+
+def test_systems_and_references_read_segments_written_once(spark, sf, monkeypatch):
+    """The store and every system would otherwise join the pairs anew, and each join's shuffles stay on disk."""
+    from corpuswright.queries import evaluation, fixtures
+
+    calls, written, let_go = [], [], []
+    whole, cut = fixtures.parallel, evaluation.cut_lineage
+    monkeypatch.setattr(fixtures, "parallel", lambda *a: calls.append(1) or whole(*a))
+    monkeypatch.setattr(evaluation, "cut_lineage", lambda df, label: written.append((label, df.columns)) or cut(df, label))
+    monkeypatch.setattr(evaluation, "release", lambda spark: let_go.append(1))
+    df = REGISTRY["ngram_stats_stored"].run(spark, sf)
+    assert len(calls) == 1 and written == [("segments", ["direction", "seg_id", "reference"])] and len(let_go) == 2
+    assert not any("documents" in f for f in df.inputFiles())
+
+
+def test_pairs_deal_out_one_side(spark, sf):
+    """The join deals out the other by its own key; a text would move twice."""
+    from corpuswright.queries import fixtures as X
+
+    plan = X.parallel(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1
+
+
 def test_files_are_made_of_tables_written_once(spark, sf, monkeypatch):
     """Every file of a query would otherwise join the pairs anew."""
     from corpuswright.queries import files, fixtures
