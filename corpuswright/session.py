@@ -61,9 +61,8 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of what finished stages hold. Spark drops a shuffle or a broadcast, on disk and in memory, once the driver has
-    collected its handle; a driver with room left would put that off, while its heap and the executors' disks grow. What holds a
-    finished write's shuffles is itself let go of in the background, hence the second collection."""
+    """Let go of the shuffles of finished writes. Spark drops a shuffle from disk once the driver has collected its handle, which
+    a driver with room left puts off. As measured, one collection right after a write may free nothing, and a second after a pause all."""
     for pause in (RELEASE_SECONDS, 0):
         spark.sparkContext._jvm.System.gc()
         time.sleep(pause)
